@@ -15,7 +15,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .byte_bpe import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
+}
 
 ORACLE_SQL = {
     "op2_exact_dedup": f"""
