@@ -33,6 +33,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_importance_resampling": op3_importance_resampling,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_order_minhash": op6_order_minhash,
     "op7_warc": op7_warc,
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
