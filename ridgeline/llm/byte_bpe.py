@@ -183,10 +183,11 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "bytes", path
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of every whole text, encoded and decoded again in one pass."""
+def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 (and the packed ids) of every whole text, encoded and decoded again in one pass."""
     vocabulary, pattern = _shipped(docs, path, pattern)
-    schema = T.StructType([docs.schema[id_col], *DIGESTS.fields])
+    schema = T.StructType([docs.schema[id_col], *DIGESTS.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()][: len(schema) - 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, pattern)
@@ -195,10 +196,10 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = []
             for x in batch.column("_text"):
                 packed = codec.encode(x.as_py())
-                found.append((len(packed) // 4, sha(packed), sha(codec.decode(packed))))
-            columns = [list(c) for c in zip(*found)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=schema.names)
+                found.append((len(packed) // 4, sha(packed), sha(codec.decode(packed)), packed))
+            columns = list(zip(*found)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
 
     from pyspark.sql import functions as F
 
-    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
