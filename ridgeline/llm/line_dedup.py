@@ -83,58 +83,74 @@ def probe_keys(tau: int = TAU) -> list[Column]:
 
 
 def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
-    """Edit distance of two strings whose lengths differ by at most tau, exact where it is at most tau; bit-parallel along the band.
+    """Edit distance of two strings whose lengths differ by at most tau, exact where it is at most tau (else larger); bit-parallel along the band.
 
-    Bit k of a word stands for row j + tau - (width - 1) + k of column j; the differences of neighbouring cells are kept in two words, and the
-    distance is followed along the lowest diagonal of the band and then along the last row.
+    Common ends are cut off but for tau + 1 characters, without which the band would not fit. Bit k of a word stands for row
+    j + tau - (width - 1) + k of column j; the differences of neighbouring cells are kept in two words, and the distance is followed along the lowest
+    diagonal of the band and then along the last row. Once no cell of the band can be within tau, the remaining columns are passed over.
     """
     width = 2 * tau + 2
-    ones = (1 << width) - 1
-    top = width - 1
-    rows, columns = F.split(a, ""), F.split(b, "")
-    m, n = F.char_length(a), F.char_length(b)
-    start = F.struct(F.lit(ones & (ones << (width - tau - 1))).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(tau).cast("long").alias("d"))
-    word = lambda x: x.bitwiseAND(F.lit(ones).cast("long"))
+    ones, top, lost = (1 << width) - 1, width - 1, 3 * tau + 2
+    long = lambda x: F.lit(x).cast("long")
+    word = lambda x: x.bitwiseAND(long(ones))
     flip = lambda x: word(F.bitwise_not(x))
 
-    def step(state: Column, j: Column) -> Column:
-        c = F.get(columns, j - 1)
-        match = F.lit(0).cast("long")
-        for k in range(width):
-            match = match + F.when(F.get(rows, j + (tau - width + k)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-        first = F.struct(match.alias("x"), state["vp"].alias("vp"), state["vn"].alias("vn"), state["d"].alias("d"))
-        return _let(first, lambda s: _advance(s, j, m, tau, top, word, flip))
+    def alike(p: Column, q: Column) -> Column:
+        differs = F.array_position(F.zip_with(p, q, lambda x, y: x == y), F.lit(False))
+        return F.when(differs == 0, F.least(F.size(p), F.size(q)).cast("long")).otherwise(differs - 1)
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda state: state["d"].cast("int"))
+    def ends(s: Column) -> Column:
+        short = F.least(F.size(s["p"]), F.size(s["q"])).cast("long")
+        head = F.greatest(alike(s["p"], s["q"]) - (tau + 1), F.lit(0).cast("long"))
+        tail = F.greatest(F.least(alike(F.reverse(s["p"]), F.reverse(s["q"])), short - head - (tau + 1)), F.lit(0).cast("long"))
+        return F.struct(s["p"].alias("p"), s["q"].alias("q"), head.cast("int").alias("head"), (head + tail).cast("int").alias("cut"))
+
+    def inner(s: Column) -> Column:
+        part = lambda v: F.slice(v, s["head"] + 1, F.size(v) - s["cut"])
+        return F.struct(part(s["p"]).alias("rows"), part(s["q"]).alias("columns"), (F.size(s["p"]) - s["cut"]).alias("m"))
+
+    def run(s: Column) -> Column:
+        start = F.struct(long(ones & (ones << (width - tau - 1))).alias("vp"), long(0).alias("vn"), long(tau).alias("d"), F.lit(0).alias("j"))
+
+        def step(state: Column, c: Column) -> Column:
+            j = state["j"] + 1
+            match = long(0)
+            for k in range(width):
+                match = match + F.when(F.get(s["rows"], j + (tau - width + k)) == c, long(1 << k)).otherwise(long(0))
+            bound = F.struct(match.alias("x"), state["vp"].alias("vp"), state["vn"].alias("vn"), state["d"].alias("d"), j.alias("j"))
+            return F.when(state["d"] >= lost, state).otherwise(_let(bound, lambda t: _advance(t, s["m"], tau, top, word, flip)))
+
+        return F.aggregate(s["columns"], start, step, lambda state: state["d"].cast("int"))
+
+    pair = F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("q"))
+    return _let(pair, lambda s: _let(ends(s), lambda t: _let(inner(t), run)))
 
 
 def _let(value: Column, body) -> Column:
-    """Evaluate a value once for several uses, inside a lambda."""
+    """Evaluate a value once for several uses."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _advance(s: Column, j: Column, m: Column, tau: int, top: int, word, flip) -> Column:
+def _advance(s: Column, m: Column, tau: int, top: int, word, flip) -> Column:
+    """The state after a column, from the state before and the column's matches x."""
     d0 = word(s["x"].bitwiseAND(s["vp"]) + s["vp"]).bitwiseXOR(s["vp"]).bitwiseOR(s["x"]).bitwiseOR(s["vn"])
 
-    def move(t: Column) -> Column:
+    def settle(t: Column) -> Column:
         hp = t["vn"].bitwiseOR(flip(t["d0"].bitwiseOR(t["vp"])))
         hn = t["d0"].bitwiseAND(t["vp"])
         down = F.shiftrightunsigned(t["d0"], 1)
-
-        def settle(u: Column) -> Column:
-            diagonal = F.lit(1).cast("long") - F.shiftrightunsigned(u["d0"], top)
-            at = F.greatest(F.lit(top) - (j - (m - tau)), F.lit(0))
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), at)
-            along = F.when(u["hp"].bitwiseAND(bit) != 0, F.lit(1).cast("long")).when(u["hn"].bitwiseAND(bit) != 0, F.lit(-1).cast("long")).otherwise(F.lit(0).cast("long"))
-            return F.struct(
-                u["hn"].bitwiseOR(flip(u["down"].bitwiseOR(u["hp"]))).alias("vp"),
-                u["down"].bitwiseAND(u["hp"]).alias("vn"),
-                (u["d"] + F.when(j <= m - tau, diagonal).otherwise(along)).alias("d"),
-            )
-
-        return _let(F.struct(hp.alias("hp"), hn.alias("hn"), down.alias("down"), t["d0"].alias("d0"), t["d"].alias("d")), settle)
-
-    return _let(F.struct(d0.alias("d0"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d")), move)
+        one = F.lit(1).cast("long")
+        diagonal = one - F.shiftrightunsigned(t["d0"], top)
+        bit = F.call_function("shiftleft", one, F.greatest(F.lit(top) - (t["j"] - (m - tau)), F.lit(0)))
+        along = F.when(hp.bitwiseAND(bit) != 0, one).when(hn.bitwiseAND(bit) != 0, -one).otherwise(F.lit(0).cast("long"))
+        return F.struct(
+            hn.bitwiseOR(flip(down.bitwiseOR(hp))).alias("vp"),
+            down.bitwiseAND(hp).alias("vn"),
+            (t["d"] + F.when(t["j"] <= m - tau, diagonal).otherwise(along)).alias("d"),
+            t["j"].alias("j"),
+        )
+
+    return _let(F.struct(d0.alias("d0"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), s["j"].alias("j")), settle)
 
 
 def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
