@@ -7,8 +7,8 @@ with a chance of about 0.8 ** MINIMA; all of SKETCHES fail with one below 1e-6.
 
 Candidates come in two rounds, between different texts only (equal texts are one node from the start):
 
-1. every sketch bucket has a leader, picked by a hash that differs from sketch to sketch; each text is compared with the leader it shares most
-   buckets with, which needs one comparison per text however large a bucket is;
+1. every sketch bucket has a leader, the text that meets most others over all its buckets; each text is compared with the leader it shares most
+   buckets with, which needs one comparison per text however large a bucket is. What many copies were made from is such a leader;
 2. components of the links found are looked up, and what still shares a bucket across components is compared, unless lengths rule a
    similarity of 0.8 out or only one of the sketches agrees (which loses a pair of similarity 0.8 with a chance of about 1e-5). Nothing is capped.
 
@@ -209,10 +209,12 @@ def links(base: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_
     nodes = materialise(base.groupBy("key").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sketches").alias("sketches")), "nodes")
     # distinct texts that share an id (repeated ids) are told apart by key only: they don't link
     bands = nodes.select("id", "n", F.posexplode("sketches").alias("band", "sketch"))
-    buckets = bands.groupBy("band", "sketch").agg(F.min(F.struct(F.xxhash64("id", "band").alias("h"), F.col("id").alias("leader"))).alias("first"), F.count(F.lit(1)).alias("size"))
-    shared = bands.join(buckets.where("size > 1").select("band", "sketch", F.col("first.leader").alias("leader")), ["band", "sketch"])
-    shared = materialise(shared, "buckets")
-    best = shared.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("agree")).groupBy("id").agg(F.max(F.struct("agree", "leader")).alias("best"))
+    buckets = bands.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialise(bands.join(buckets, ["band", "sketch"]), "buckets")
+    reach = shared.groupBy("id").agg(F.sum("size").alias("reach"))
+    leaders = shared.join(reach, "id").groupBy("band", "sketch").agg(F.max(F.struct("reach", F.col("id").alias("leader"))).alias("_l"))
+    led = shared.join(leaders.select("band", "sketch", F.col("_l.leader").alias("leader")), ["band", "sketch"])
+    best = led.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("agree")).groupBy("id").agg(F.max(F.struct("agree", "leader")).alias("best"))
     sequences = materialise(word_sequences(docs, shared.select("id").distinct(), id_col, text_col), "sequences")
     first = best.select(F.greatest("id", "best.leader").alias("u"), F.least("id", "best.leader").alias("v")).distinct()
     tried = materialise(first, "pairs")
