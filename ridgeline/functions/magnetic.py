@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEGREE = 12
 #: WGS84 and the model's reference radius, km.
@@ -78,5 +79,5 @@ def with_field(points: DataFrame, coefficients: DataFrame, epoch: float, lat: st
             d, i, f = field(rows, epoch, *(part[c].to_numpy(float) for c in (lat, lon, alt_km, year)))
             yield part.assign(declination=d, inclination=i, total=f)
 
-    schema = points.schema.add("declination", "double").add("inclination", "double").add("total", "double")
+    schema = T.StructType([*points.schema.fields]).add("declination", "double").add("inclination", "double").add("total", "double")
     return points.mapInPandas(run, schema)

@@ -12,6 +12,7 @@ from ..config import GRS80_A
 from ..functions import astro, geodesy, text
 from ..lookups import COVER, FOREST, cover_table, with_lookup
 from ..operators import contour, flood, network, packed, raster, rays, stats, vector
+from ..storage import materialise
 from . import fixtures as fx
 from .fixtures import CELL, HERE, SQL_COVER, SQL_DAYS, SQL_DEM, SQL_POINTS, WIDTH
 
@@ -220,9 +221,11 @@ def t_day_table(spark, d):
 def t_sun_path(spark, d):
     """Samples every ten minutes from just after sunrise while the sun is up, on each distinct date."""
     days = astro.days_of(F.col("date"))
-    day = astro.sun_crossing(_dates(spark, d), days, F.lit(HERE[0]), F.lit(HERE[1])).withColumn("start", F.col("rise") + 0.02)
+    # written out: a filter on the result would be pushed into the passes and multiply their expressions
+    risen = materialise(astro.sun_crossing(_dates(spark, d), days, F.lit(HERE[0]), F.lit(HERE[1])), "crossing")
+    day = risen.withColumn("start", F.col("rise") + 0.02)
     each = day.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.col("set") - F.col("start")) * 6).cast("int")))).withColumn("hour", F.col("start") + F.col("i") / 6)
-    up = astro.sun_position(each.where("hour < set"), days, F.col("hour"), F.lit(HERE[0]), F.lit(HERE[1])).where("altitude > 0")
+    up = materialise(astro.sun_position(each.where("hour < set"), days, F.col("hour"), F.lit(HERE[0]), F.lit(HERE[1])), "sun").where("altitude > 0")
     return up.select("date", "i", r(F.col("hour"), 5).alias("hour"), r(F.col("azimuth"), 4).alias("azimuth"), r(F.col("altitude"), 4).alias("altitude"))
 
 

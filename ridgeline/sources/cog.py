@@ -49,6 +49,8 @@ class Level:
     order: str
 
     def __getattr__(self, name: str):
+        if name.startswith("__") or name == "fields":
+            raise AttributeError(name)
         return self.fields.get(name)
 
     def one(self, name: str, default=None):
