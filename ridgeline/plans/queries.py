@@ -600,11 +600,11 @@ def j_semi_anti(spark, d):
     return vector.inside_any(p, g).select("id", F.lit("in").alias("side")).unionByName(vector.outside_all(p, g).select("id", F.lit("out").alias("side")))
 
 
-_PLANE = "(x1 - lon)*111320*cos(radians(lat)) AS ax, (y1 - lat)*111200 AS ay, (x2 - lon)*111320*cos(radians(lat)) AS bx, (y2 - lat)*111200 AS by"
-_FOOT = "least(greatest(coalesce((0 - ax*(bx-ax) - ay*(by-ay))/nullif((bx-ax)*(bx-ax) + (by-ay)*(by-ay), 0), 0), 0), 1) AS t"
+_PLANE = "(x1 - lon)*111320*cos(radians(lat)) AS ax, (y1 - lat)*111200 AS ay, (x2 - lon)*111320*cos(radians(lat)) AS gx, (y2 - lat)*111200 AS gy"
+_FOOT = "least(greatest(coalesce((0 - ax*(gx-ax) - ay*(gy-ay))/nullif((gx-ax)*(gx-ax) + (gy-ay)*(gy-ay), 0), 0), 0), 1) AS t"
 
 
-@query(f"""WITH {_INSIDE}, a AS (SELECT id, CAST(fid AS BIGINT) AS fid, {_PLANE} FROM pts, edge), b AS (SELECT *, {_FOOT} FROM a), c AS (SELECT id, fid, round(min(sqrt(pow(ax + t*(bx-ax), 2) + pow(ay + t*(by-ay), 2))), 6) AS metres FROM b GROUP BY id, fid)
+@query(f"""WITH {_INSIDE}, a AS (SELECT id, CAST(fid AS BIGINT) AS fid, {_PLANE} FROM pts, edge), b AS (SELECT *, {_FOOT} FROM a), c AS (SELECT id, fid, round(min(sqrt(pow(ax + t*(gx-ax), 2) + pow(ay + t*(gy-ay), 2))), 6) AS metres FROM b GROUP BY id, fid)
   SELECT c.id, c.fid, round(metres, 3) AS metres FROM c LEFT JOIN ins ON ins.id = c.id AND ins.fid = c.fid WHERE ins.id IS NULL AND metres <= 2000""")
 def j_near_polygons(spark, d):
     """Polygons within two kilometres of a point that they don't hold."""
@@ -614,7 +614,7 @@ def j_near_polygons(spark, d):
 _SEGS = """sg AS (SELECT s_suppkey AS fid, j AS n, -119.80e0 + ((s_suppkey*613)%7000 + 20*j)/10000e0 AS x1, 53.85e0 + ((s_suppkey*271)%4000 + 15*(j%2))/10000e0 AS y1, -119.80e0 + ((s_suppkey*613)%7000 + 20*(j+1))/10000e0 AS x2, 53.85e0 + ((s_suppkey*271)%4000 + 15*((j+1)%2))/10000e0 AS y2 FROM supplier, (SELECT unnest(range(4)) AS j))"""
 
 
-@query(f"""WITH {SQL_POINTS}, {_SEGS}, a AS (SELECT id, lon, lat, fid, n, {_PLANE} FROM pts JOIN sg ON abs(sg.y1 - lat) < 0.05 AND abs(sg.x1 - lon) < 0.09), b AS (SELECT *, {_FOOT} FROM a), c AS (SELECT *, ax + t*(bx-ax) AS fx, ay + t*(by-ay) AS fy FROM b), e AS (SELECT *, round(sqrt(fx*fx + fy*fy), 6) AS m FROM c),
+@query(f"""WITH {SQL_POINTS}, {_SEGS}, a AS (SELECT id, lon, lat, fid, n, {_PLANE} FROM pts JOIN sg ON abs(sg.y1 - lat) < 0.05 AND abs(sg.x1 - lon) < 0.09), b AS (SELECT *, {_FOOT} FROM a), c AS (SELECT *, ax + t*(gx-ax) AS fx, ay + t*(gy-ay) AS fy FROM b), e AS (SELECT *, round(sqrt(fx*fx + fy*fy), 6) AS m FROM c),
   f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, fid, n) AS i FROM e WHERE m <= 3000) SELECT id, fid, round(m, 3) AS metres, round((degrees(atan2(fx, fy)) + 360) % 360, 4) AS bearing FROM f WHERE i = 1""")
 def j_nearest_line(spark, d):
     return vector.nearest_within(fx.points(spark, d).select("id", "lon", "lat"), fx.lines(spark, d).select("fid", "pts"), 3000.0).select("id", "fid", r(F.col("metres"), 3).alias("metres"), r(F.col("bearing"), 4).alias("bearing"))
