@@ -902,3 +902,82 @@ def describe_rows(spark, d):
     p = describe_points(spark, d)
     facts = [("Height", F.round("height"), F.lit("m")), ("Slope", F.round("slope"), F.col("facing")), ("Distance", F.round("metres"), F.col("compass"))]
     return stats.describe(p, "id", facts)
+
+
+# ---- more of the same families
+
+@query(f"""WITH {SQL_COVER}, {fx.SQL_POINTS.replace(fx.SQL_SIZE + ', ', '')}, gz AS (SELECT y, x, CASE WHEN code <> 18 THEN z END AS zz FROM cover), f AS (SELECT id, px, py, CAST(floor(px) AS INT) + i AS cx, CAST(floor(py) AS INT) + j AS cy, i, j,
+  CASE i WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END * CASE j WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END AS w FROM pts, size, (VALUES (0,0),(0,1),(1,0),(1,1)) k(i, j) WHERE px < {WIDTH - 1} AND py < h - 1),
+  s AS (SELECT id, CASE WHEN count(zz) = 4 THEN sum(zz * w) ELSE max(zz) FILTER (i = 0 AND j = 0) END AS v FROM f JOIN gz ON gz.x = cx AND gz.y = cy GROUP BY id) SELECT pts.id, round(v, 6) AS z FROM pts LEFT JOIN s ON s.id = pts.id""")
+def r_layer_sample(spark, d):
+    """Bilinear where all four cells have values, else the nearest; water has none."""
+    grid = fx.cover(spark, d).withColumn("z", F.when(F.col("code") != 18, F.col("z")))
+    return raster.sample_layer(fx.points(spark, d), grid, "z", WIDTH, fx.height(spark, d), out="v").select("id", r(F.col("v")).alias("z"))
+
+
+@query(f"""WITH {SQL_DEM}, {_NEIGHBOURS}, s AS (SELECT y, x, {_sql_shade(315, 45)} AS s FROM horn), c AS (SELECT y, x, CASE WHEN s < 0.7 THEN 120*(1 - 0.8*(0.7 - s)/0.7) ELSE 120 + 135*least(0.6, 0.8*(s - 0.7)/0.3) END AS c FROM s)
+  SELECT y, x, round(c, 6) AS shaded, round(c + (255 - c)*0.25, 6) AS blended, round(pow(least(greatest(c/255, 0), 1), 0.46), 6) AS tone FROM c""")
+def r_shade_colour(spark, d):
+    """Shading composite, alpha over, tone curve."""
+    c = raster.shade_colour(F.lit(120.0), raster.hillshade(315.0, 45.0), 0.7, 0.8)
+    at = _terrain(spark, d).withColumn("c", c)
+    return at.select("y", "x", r(F.col("c")).alias("shaded"), r(raster.over(F.col("c"), F.lit(255.0), F.lit(0.25))).alias("blended"), r(raster.tone(F.col("c") / 255)).alias("tone"))
+
+
+@query(f"""WITH {_SEGS}, e AS (SELECT ['highway','gravel','track'][fid % 3 + 1] AS kind, 2*6371008.8*asin(sqrt(pow(sin(radians(y2 - y1)/2), 2) + cos(radians(y1))*cos(radians(y2))*pow(sin(radians(x2 - x1)/2), 2))) AS m FROM sg)
+  SELECT kind, 2*count(*) AS edges, round(2*sum(m), 3) AS metres, round(2*sum(m*CASE kind WHEN 'highway' THEN 10 WHEN 'gravel' THEN 16 ELSE 40 END/10e0), 3) AS cost FROM e GROUP BY kind""")
+def n_graph(spark, d):
+    """Edges of the road graph, both directions, by kind."""
+    _, edges = network.build_graph(fx.lines(spark, d))
+    return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), r(F.sum("metres"), 3).alias("metres"), r(F.sum(network.edge_cost(F.col("metres"), F.col("kind"))), 3).alias("cost"))
+
+
+@query()
+def n_named_legs(spark, d):
+    """Legs by kind and compatible name, empty names taking over the leg's."""
+    steps = _trip_steps(spark, d).withColumn("name", F.when(F.col("seq") % 3 == 0, "").otherwise(F.concat(F.lit("road "), F.floor(F.col("seq") / 400).cast("string"))))
+    return network.legs(steps).select("trip", "leg", "kind", "name", r(F.col("km")).alias("km"))
+
+
+@query("""SELECT o_orderkey AS id, CASE p WHEN 'primary' THEN 'highway' WHEN 'residential' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'highway' ELSE 'gravel' END WHEN 'track' THEN 'track' END AS kind
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE ['primary','residential','track','path'][o_orderkey % 4 + 1] END AS p FROM orders)""")
+def n_road_kind(spark, d):
+    """Road kinds from tags; private ways are none."""
+    k = F.col("o_orderkey")
+    road = F.element_at(F.array(*map(F.lit, ("primary", "residential", "track", "path"))), (k % 4 + 1).cast("int"))
+    props = F.create_map(F.lit("highway"), road, F.lit("surface"), F.when(k % 2 == 0, "asphalt").otherwise("dirt"), F.lit("access"), F.when(k % 7 == 0, "private").otherwise("yes"))
+    return fx.table(spark, d, "orders").select(k.alias("id"), network.road_kind(props).alias("kind"))
+
+
+@query("""SELECT DISTINCT name, kind FROM (SELECT c_mktsegment AS name, 'customer' AS kind FROM customer UNION ALL SELECT p_brand, 'part' FROM part)""")
+def k_union_distinct(spark, d):
+    """Union of sources and distinct names."""
+    a = fx.table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.lit("customer").alias("kind"))
+    return a.unionByName(fx.table(spark, d, "part").select(F.col("p_brand").alias("name"), F.lit("part").alias("kind"))).dropDuplicates(["name", "kind"])
+
+
+@query("SELECT event_id AS id, CASE WHEN json_extract_string(props, '$.k') = '' THEN NULL ELSE trim(json_extract_string(props, '$.k')) END AS k FROM events")
+def a_properties(spark, d):
+    """Properties from JSON text, trimmed, empty ones dropped."""
+    from ..sources.vector_io import clean_props
+
+    props = clean_props(F.from_json("props", "map<string,string>"))
+    return fx.table(spark, d, "events").select(F.col("event_id").alias("id"), props["k"].alias("k"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS largest FROM events GROUP BY 1, 2""")
+def e_stream_windows(spark, d):
+    """Tumbling windows of a stream, read once through; beyond the batch operators."""
+    import uuid
+
+    from ..storage import shared_path
+    from ..streaming.weather import tumbling
+
+    batch = fx.table(spark, d, "events")
+    source = shared_path(spark, "events")
+    batch.write.parquet(source)
+    name = f"windows_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(batch.schema).parquet(source)
+    run = tumbling(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.to_date("start").alias("day"), "event_type", "n", r(F.col("total"), 4).alias("total"), "largest")

@@ -6,13 +6,18 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that spark.checkpoint.dir names; tests may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "ridgeline-tables")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write and read again: cuts the lineage and outlives lost executors. spark.checkpoint.dir names the folder; tests may leave it unset."""
+    """Write and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "ridgeline-tables")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
