@@ -82,7 +82,30 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
+def _secret_sql() -> str:
+    """Spans from the lengths of gaps and matches, rule by rule."""
+    from .secrets import BASE_RULES, RULES
+
+    text = "(SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, g[1:i] AS gaps, w[1:i - 1] AS earlier, w[i] AS whole, p[i] AS part, {rank} AS rank, '{rule.kind}' AS kind, {rule.shortest} AS shortest
+            FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}', 0) AS w, regexp_extract_all(t, '{pattern}', {rule.group}) AS p FROM {text} WHERE regexp_matches(t, '{pattern}')))""")
+    size = lambda c: f"coalesce(list_sum(list_transform({c}, lambda x: length(x))), 0)"
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE_RULES)
+    listed = "coalesce(string_agg(kind || ':' || pos || ':' || (pos + length(whole)), ',' ORDER BY pos, rank){}, '')"
+    return f"""
+        WITH m AS ({" UNION ALL ".join(parts)}),
+        s AS (SELECT doc_id, rank, kind, whole, CAST({size("gaps")} + {size("earlier")} AS BIGINT) AS pos FROM m WHERE length(part) >= shortest),
+        a AS (SELECT doc_id, {counts}, {listed.format(f" FILTER (rank < {len(BASE_RULES)})")} AS base, {listed.format("")} AS spans FROM s GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id
+    """
+
+
 ORACLE_SQL = {
+    "op8_secret_scan": _secret_sql(),
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
