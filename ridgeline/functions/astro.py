@@ -95,22 +95,25 @@ def sun_position(df: DataFrame, days: Column, hours: Column, lon: Column, lat: C
 
 
 def sun_crossing(df: DataFrame, days: Column, lon: Column, lat: Column, zenith: float = SUNRISE_ZENITH, prefix: str = "", passes: int = 4) -> DataFrame:
-    """The table with {prefix}rise, {prefix}set and {prefix}noon in UTC hours; null where the sun doesn't cross the zenith distance."""
-    names = {"rise": -6.0, "set": 6.0, "noon": 0.0}
-    out = df.withColumns({f"_{k}": 12 - lon / 15 + off for k, off in names.items()}).withColumn("_ok", F.lit(True))
-    for _ in range(passes):
-        # declination and equation of time at the three instants
-        out = out.withColumns({f"_{k}_{i}": v for k in names for i, v in enumerate(solar(julian_day(days, F.col(f"_{k}"))))})
-        out = out.withColumns({f"_{k}_c": (cosine(F.lit(zenith)) - sine(lat) * sine(F.col(f"_{k}_0"))) / (cosine(lat) * cosine(F.col(f"_{k}_0"))) for k in names})
-        reach = F.col("_ok")
-        for k in names:
-            reach = reach & (F.abs(F.col(f"_{k}_c")) <= 1)
-        out = out.withColumn("_ok", reach)
-        arc = lambda k: F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col(f"_{k}_c"))))) / 15
-        mid = lambda k: (720 - 4 * lon - F.col(f"_{k}_1")) / 60
-        out = out.withColumns({"_rise": mid("rise") - arc("rise"), "_set": mid("set") + arc("set"), "_noon": mid("noon")})
-    out = out.withColumns({f"{prefix}{k}": F.when(F.col("_ok"), F.col(f"_{k}")) for k in names})
-    return out.drop("_ok", *(f"_{k}{s}" for k in names for s in ("", "_0", "_1", "_c")))
+    """The table with {prefix}rise, {prefix}set and {prefix}noon in UTC hours; null where the sun doesn't cross the zenith distance.
+
+    The passes are steps of an aggregate, whose state is bound once, so the expression doesn't grow with their number.
+    """
+    off = {"rise": -1, "set": 1, "noon": 0}
+    start = F.struct(*((12 - lon / 15 + 6.0 * o).alias(k) for k, o in off.items()), F.lit(True).alias("ok"))
+
+    def refine(s: Column, _: Column) -> Column:
+        found, reached = [], s["ok"]
+        for k, o in off.items():
+            declination, time = solar(julian_day(days, s[k]))
+            cos_arc = (cosine(F.lit(zenith)) - sine(lat) * sine(declination)) / (cosine(lat) * cosine(declination))
+            arc = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cos_arc)))) / 15
+            found.append(((720 - 4 * lon - time) / 60 + o * arc).alias(k))
+            reached = reached & (F.abs(cos_arc) <= 1)
+        return F.struct(*found, reached.alias("ok"))
+
+    out = df.withColumn("_c", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, refine))
+    return out.withColumns({f"{prefix}{k}": F.when(F.col("_c.ok"), F.col(f"_c.{k}")) for k in off}).drop("_c")
 
 
 def mountain_offset(date: Column) -> Column:
