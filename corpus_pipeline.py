@@ -1,7 +1,7 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before has kept, and returns a DataFrame; all but the last return the
-columns of documents.
+columns of documents. Stages hand over files, which are read in no order, so the mixture's order goes along as ``mix_position`` (from 0).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ridgeline.llm.byte_bpe import token_digests
 from ridgeline.llm.common import materialise, table
 from ridgeline.llm.line_dedup import without_repeated_lines
-from ridgeline.llm.mixing import mixed
+from ridgeline.llm.mixing import in_order, mixed
 from ridgeline.llm.near_dedup import keep_one_of_each
 from ridgeline.llm.quality_rules import keep_good
 
@@ -34,13 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
-    return mixed(docs)
+    """All documents, in the order of the mixture, and mix_position."""
+    return mixed(docs, position_col="mix_position")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests of the ids and of what they decode to, and the ids (little-endian, unsigned 32 bits)."""
-    return token_digests(docs, with_ids=True)
+    """doc_id, n_tokens, digests of the ids and of what they decode to, the ids (little-endian, unsigned 32 bits) and mix_position, in the order of the mixture."""
+    return token_digests(in_order(docs, "mix_position"), with_ids=True, carry=("mix_position",))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

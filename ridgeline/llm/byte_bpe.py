@@ -162,7 +162,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", path:
 
     from pyspark.sql import functions as F
 
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("_text"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry))).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "bytes", path: str | None = None) -> DataFrame:
@@ -183,11 +183,13 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "bytes", path
 DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 (and the packed ids) of every whole text, encoded and decoded again in one pass."""
+def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256 (and the packed ids, and the columns named in ``carry``) of every whole text, encoded and decoded again in one pass.
+
+    Rows keep the order in which they come."""
     vocabulary, pattern = _shipped(docs, path, pattern)
-    schema = T.StructType([docs.schema[id_col], *DIGESTS.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()][: len(schema) - 1]
+    schema = T.StructType([docs.schema[id_col], *DIGESTS.fields, *([T.StructField("ids", T.BinaryType())] if with_ids else []), *(docs.schema[c] for c in carry)])
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary()][: 4 if with_ids else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, pattern)
@@ -198,8 +200,8 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 packed = codec.encode(x.as_py())
                 found.append((len(packed) // 4, sha(packed), sha(codec.decode(packed)), packed))
             columns = list(zip(*found)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *(pa.array(c, k) for c, k in zip(columns, kinds)), *(batch.column(f"_carry{i}") for i in range(len(carry)))], names=schema.names)
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry))).mapInArrow(run, schema)

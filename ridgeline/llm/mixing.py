@@ -137,11 +137,19 @@ def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, b
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """The rows themselves, with the columns they came with, range-partitioned and sorted by their place in the mixture."""
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", position_col: str | None = None) -> DataFrame:
+    """The rows themselves, with the columns they came with, range-partitioned and sorted by their place in the mixture.
+
+    Files that are read again come in no order: what has to outlive them is ``position_col``, which holds the place where it is named.
+    """
     placed = positions(docs, weights, block_rows, id_col, source_col, carry=True).select("mix_position", "_row")
-    return placed.repartitionByRange(width, "mix_position").sortWithinPartitions("mix_position").select("_row.*")
+    return in_order(placed, "mix_position").select("_row.*", *([F.col("mix_position").alias(position_col)] if position_col else []))
+
+
+def in_order(rows: DataFrame, position_col: str) -> DataFrame:
+    """Rows range-partitioned and sorted by a position."""
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(width, position_col).sortWithinPartitions(position_col)
 
 
 def _packed(part: list[tuple]) -> pa.RecordBatch:

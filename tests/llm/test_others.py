@@ -242,3 +242,23 @@ def test_pipeline(spark, tmp_path):
     assert len(out.keys() & copies) == 1 and good - copies <= out.keys() and len(out.keys() - good - copies) <= 1
     for r in out.values():
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and len(r["ids"]) == 4 * r["n_tokens"]
+
+
+def test_pipeline_follows_the_mixture(spark, tmp_path):
+    import corpus_pipeline
+    from ridgeline.llm.common import materialise
+
+    texts, labels = corpus(60)
+    docs_of(spark, texts, sources=["abc"[i % 7 % 3] for i in range(len(texts))]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = materialise(stage(spark, docs, str(tmp_path)), name)
+    wanted = [r["doc_id"] for r in mixing.positions(docs).orderBy("mix_position").collect()]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert [r["doc_id"] for r in rows] == wanted and [r["mix_position"] for r in rows] == list(range(len(wanted)))
+    # also if the files between the stages are read in another order
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        docs = stage(spark, docs, str(tmp_path)).repartition(5, "doc_id") if name == "source_mixing" else stage(spark, docs, str(tmp_path))
+    assert [r["doc_id"] for r in docs.collect()] == wanted
