@@ -1,7 +1,7 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if an equal line, or one within ``TAU`` edits (insertions, deletions, substitutions of code points), stands earlier in the
-order of (id, line number). Equal lines meet by hash; similar ones by the pigeonhole principle: a line cut into TAU + 1 segments
+order of (id, hash of the whole text, line number). Equal lines meet by hash; similar ones by the pigeonhole principle: a line cut into TAU + 1 segments
 keeps one of them whole under TAU edits. So each distinct line is indexed by its segments and probes, for each length that TAU edits allow, the
 substrings that the multi-match-aware bounds leave (for TAU = 2: 12 in place of all). Keys hold length, segment number and substring, so only
 lines of compatible lengths meet. Candidates are verified by a bit-parallel edit distance whose band of 2 TAU + 1 diagonals fits a long.
@@ -13,8 +13,8 @@ more: of two lines that agree in the first and not in the second, the later is l
 Only lines of ``MIN_CHARS`` characters or more are compared for similarity; of shorter ones equal copies go. A document of whose characters more than
 ``MOST_DROPPED`` would go is a copy as a whole: it is left alone, for document-level deduplication to judge.
 
-Defined results: null and empty texts have no lines that count; lines of spaces only are never dropped; a null id counts as the smallest; rows that
-repeat an id and a text share their fate; an empty table gives no rows.
+Defined results: null and empty texts have no lines that count; lines of spaces only are never dropped; a null id counts as the smallest; rows
+that share an id (or have none) but not the text are documents of their own; rows that repeat an id and a text share their fate; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +30,15 @@ MOST_DROPPED = 0.5
 NO_ID = -(1 << 63)
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """(id, doc) of a row: ids can be null or repeated, so a hash of the whole text tells their rows apart."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.lit("doc"), whole_text(text_col)).alias("doc")]
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, line) of every line with more than spaces."""
+    """(id, doc, at, line) of every line with more than spaces."""
     lines = F.split(whole_text(text_col), "\n", -1)
-    each = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.posexplode(lines).alias("at", "line"))
+    each = docs.select(*row_key(id_col, text_col), F.posexplode(lines).alias("at", "line"))
     return each.where(F.trim(F.col("line")) != "")
 
 
@@ -46,11 +51,11 @@ def line_check(line: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: key, and ``first``: the struct (id, at, line) of its first occurrence.
+    """One row per distinct line: key, and ``first``: the struct (id, doc, at, line) of its first occurrence.
 
     All that is needed later is in one aggregate, so that every use of this table shares one exchange.
     """
-    return lines.select(line_key(F.col("line")).alias("key"), F.struct("id", "at", "line").alias("row")).groupBy("key").agg(F.min("row").alias("first"))
+    return lines.select(line_key(F.col("line")).alias("key"), F.struct("id", "doc", "at", "line").alias("row")).groupBy("key").agg(F.min("row").alias("first"))
 
 
 def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
@@ -172,29 +177,29 @@ def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
 
 
 def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, at, n, copy, near, links) of every line that counts: whether it equals, or is similar to, an earlier line, and how many lines it is similar to."""
+    """(id, doc, at, n, copy, near, links) of every line that counts: whether it equals, or is similar to, an earlier line, and how many lines it is similar to."""
     lines = occurrences(docs, id_col, text_col)
     distinct = distinct_lines(lines)
     pairs = near_links(distinct, tau, min_chars)
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(0).alias("later")), F.struct(F.col("b").alias("key"), F.lit(1).alias("later")))).alias("s")).select("s.*")
     linked = sides.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
-    known = distinct.join(linked, "key", "left").select("key", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
-    rows = lines.select("id", "at", F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
+    known = distinct.join(linked, "key", "left").select("key", F.col("first.id").alias("first_id"), F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
+    rows = lines.select("id", "doc", "at", F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
     same = F.col("check") == F.col("first_check")
     return rows.join(known, "key").select(
-        "id", "at", "n",
-        (same & ((F.col("id") != F.col("first_id")) | (F.col("at") != F.col("first_at")))).alias("copy"),
+        "id", "doc", "at", "n",
+        (same & ((F.col("id") != F.col("first_id")) | (F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))).alias("copy"),
         (same & (F.coalesce("later", F.lit(0)) == 1)).alias("near"),
         F.when(same, F.coalesce("links", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("links"),
     )
 
 
 def document_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most_dropped: float = MOST_DROPPED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per id with lines: n_lines, n_copies, n_near, n_links, whole_copy, and the numbers (from 0) of the lines that go."""
+    """Per id and text (see row_key) with lines: n_lines, n_copies, n_near, n_links, whole_copy, and the numbers (from 0) of the lines that go."""
     verdicts = line_verdicts(docs, tau, min_chars, id_col, text_col)
     goes = F.col("copy") | F.col("near")
     long = lambda c: c.cast("long")
-    found = verdicts.groupBy("id").agg(
+    found = verdicts.groupBy("id", "doc").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(long(F.col("copy"))).alias("n_copies"),
         F.sum(long(F.col("near") & ~F.col("copy"))).alias("n_near"),
@@ -209,9 +214,9 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most
     """One row per document: doc_id, n_lines, n_copies, n_near, n_links, whole_copy, n_dropped and dropped, the numbers of the lines that go."""
     found = document_verdicts(docs, tau, min_chars, most_dropped)
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
-    ids = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    ids = docs.select("doc_id", *row_key())
     gone = F.coalesce("gone", F.array().cast("array<int>"))
-    return ids.join(found, "id", "left").select(
+    return ids.join(found, ["id", "doc"], "left").select(
         "doc_id", zero("n_lines"), zero("n_copies"), zero("n_near"), zero("n_links"), F.coalesce("whole_copy", F.lit(False)).alias("whole_copy"), F.size(gone).cast("long").alias("n_dropped"),
         F.array_join(gone.cast("array<string>"), ",").alias("dropped"),
     )
@@ -219,8 +224,9 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most
 
 def without_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most_dropped: float = MOST_DROPPED) -> DataFrame:
     """The documents, with all their columns, less the lines that go; n_chars follows the text."""
-    found = document_verdicts(docs, tau, min_chars, most_dropped).where(F.size("gone") > 0).select(F.col("id").alias("_line_id"), F.col("gone").alias("_gone"))
-    joined = docs.join(found, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_line_id"), "left")
+    found = document_verdicts(docs, tau, min_chars, most_dropped).where(F.size("gone") > 0).select(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc"), F.col("gone").alias("_gone"))
+    own_id, own_doc = row_key()
+    joined = docs.select("*", own_id.alias("_own_id"), own_doc.alias("_own_doc")).join(found, (F.col("_own_id") == F.col("_line_id")) & (F.col("_own_doc") == F.col("_line_doc")), "left")
     gone = F.col("_gone")
     rest = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(gone.isNull(), F.col("text")).otherwise(rest)

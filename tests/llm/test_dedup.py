@@ -108,6 +108,22 @@ def test_lines_go_and_documents_stay(spark):
     assert (report[1]["n_near"], report[1]["dropped"], report[2]["whole_copy"], report[3]["n_lines"]) == (1, "1", True, 0)
 
 
+def test_rows_without_or_with_repeated_ids_lose_lines_of_their_own(spark):
+    filler = [f"filler {i} of one document alone {'abcdefgh'[i] * 60}" for i in range(4)]
+    texts = [f"{c}\n{f}\nthe passage that they all share" for c, f in zip(["what only the first has to say", "another matter altogether", "third", "and a fourth"], filler)]
+    docs = docs_of(spark, texts, [None, None, 7, 7])
+    out = sorted(r["text"] for r in lines.without_repeated_lines(docs).collect())
+    shared = [t for t in out if t.endswith("share")]
+    assert len(out) == 4 and len(shared) == 1  # one of those without an id keeps it, they count as the smallest
+    assert shared[0] in texts[:2] and set(out) == {t if t in shared else t.rsplit("\n", 1)[0] for t in texts}
+    report = lines.line_dedup(docs).collect()
+    assert sorted((r["n_lines"], r["n_dropped"]) for r in report) == [(3, 0), (3, 1), (3, 1), (3, 1)]
+    # at different positions: a line number that goes in one row stays in the other
+    swapped = ["shared line of both of them\nonly here, number one " + "q" * 60, "only here, number two " + "z" * 60 + "\nshared line of both of them"]
+    left = {r["text"] for r in lines.without_repeated_lines(docs_of(spark, swapped, [None, None])).collect()}
+    assert left in ({swapped[0], swapped[1].split("\n")[0]}, {swapped[1], swapped[0].split("\n")[1]})
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)]
