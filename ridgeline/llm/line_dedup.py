@@ -10,8 +10,11 @@ Distinct lines are gathered once with a map-side combine, so a line that holds a
 to its occurrences it is a skewed side of a join, which AQE splits. Signatures carry hashes only. Lines are told apart by 64 bits and checked by 64
 more: of two lines that agree in the first and not in the second, the later is left alone.
 
-Only lines of ``MIN_CHARS`` characters or more are compared for similarity; of shorter ones equal copies go. A document of whose characters more than
-``MOST_DROPPED`` would go is a copy as a whole: it is left alone, for document-level deduplication to judge.
+Only lines of ``MIN_CHARS`` characters or more are compared for similarity; of shorter ones equal copies go. A document that is proved a copy of one other
+is left alone, for document-level deduplication to judge; however much of any other document is repeated, its repeated lines go. What counts as proof is
+lines whose equals stand first in one other document, and stay there: either these are all lines of the document, or the windows of ``SHINGLE`` words inside
+runs of them, taken in the order of both, are ``ALIKE`` of the windows of both documents together, which is what near-dedup asks for. Passages of several
+documents, boilerplate beside lines of its own, and similar but unequal lines prove nothing.
 
 Defined results: null and empty texts have no lines that count; lines of spaces only are never dropped; a null id counts as the smallest; rows
 that share an id (or have none) but not the text are documents of their own; rows that repeat an id and a text share their fate; an empty table gives no rows.
@@ -26,19 +29,27 @@ from .common import whole_text
 
 TAU = 2
 MIN_CHARS = 20
-MOST_DROPPED = 0.5
+#: Share of windows, and words in a window, at which near-dedup takes two documents for one.
+ALIKE = 0.8
+SHINGLE = 5
 NO_ID = -(1 << 63)
 
 
+def n_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """(id, doc) of a row: ids can be null or repeated, so a hash of the whole text tells their rows apart."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.lit("doc"), whole_text(text_col)).alias("doc")]
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, doc, at, line) of every line with more than spaces."""
+    """(id, doc, words, at, line) of every line with more than spaces; words: how many the document has."""
     lines = F.split(whole_text(text_col), "\n", -1)
-    each = docs.select(*row_key(id_col, text_col), F.posexplode(lines).alias("at", "line"))
+    # what is said of the whole text is settled first: beside posexplode it would be worked out again for every line
+    rows = docs.select(*row_key(id_col, text_col), n_words(whole_text(text_col)).alias("words"), F.col(text_col))
+    each = rows.select("id", "doc", "words", F.posexplode(lines).alias("at", "line"))
     return each.where(F.trim(F.col("line")) != "")
 
 
@@ -51,11 +62,11 @@ def line_check(line: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: key, and ``first``: the struct (id, doc, at, line) of its first occurrence.
+    """One row per distinct line: key, and ``first``: the struct (id, doc, at, words, line) of its first occurrence.
 
     All that is needed later is in one aggregate, so that every use of this table shares one exchange.
     """
-    return lines.select(line_key(F.col("line")).alias("key"), F.struct("id", "doc", "at", "line").alias("row")).groupBy("key").agg(F.min("row").alias("first"))
+    return lines.select(line_key(F.col("line")).alias("key"), F.struct("id", "doc", "at", "words", "line").alias("row")).groupBy("key").agg(F.min("row").alias("first"))
 
 
 def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
@@ -177,42 +188,81 @@ def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
 
 
 def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, doc, at, n, copy, near, links) of every line that counts: whether it equals, or is similar to, an earlier line, and how many lines it is similar to."""
+    """(id, doc, at, n, copy, near, links) of every line that counts: whether it equals, or is similar to, an earlier line, and how many lines it is similar to.
+
+    Beside these, for the proof of copies: words of the document, line_words, and ``first``, the struct (id, doc, words, at) of the first equal line and its document.
+    """
     lines = occurrences(docs, id_col, text_col)
     distinct = distinct_lines(lines)
     pairs = near_links(distinct, tau, min_chars)
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(0).alias("later")), F.struct(F.col("b").alias("key"), F.lit(1).alias("later")))).alias("s")).select("s.*")
     linked = sides.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
-    known = distinct.join(linked, "key", "left").select("key", F.col("first.id").alias("first_id"), F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
-    rows = lines.select("id", "doc", "at", F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
+    known = distinct.join(linked, "key", "left").select("key", F.struct("first.id", "first.doc", "first.words", "first.at").alias("first"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
+    rows = lines.select("id", "doc", "at", "words", n_words(F.col("line")).alias("line_words"), F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
     same = F.col("check") == F.col("first_check")
     return rows.join(known, "key").select(
         "id", "doc", "at", "n",
-        (same & ((F.col("id") != F.col("first_id")) | (F.col("doc") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))).alias("copy"),
+        (same & ((F.col("id") != F.col("first.id")) | (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))).alias("copy"),
         (same & (F.coalesce("later", F.lit(0)) == 1)).alias("near"),
         F.when(same, F.coalesce("links", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("links"),
+        "words", "line_words", "first",
     )
 
 
-def document_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most_dropped: float = MOST_DROPPED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def proved_copy(held: Column, n_lines: Column, words: Column, alike: float = ALIKE) -> Column:
+    """Whether one other document holds all lines, or ``alike`` of the windows of both; held: sorted structs (id, doc, words, at_other, at, line_words) of lines
+    that stand first in the document (id, doc)."""
+    windows = lambda n: F.greatest(n - (SHINGLE - 1), F.lit(0))
+    start = F.struct(
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc"), F.lit(0).alias("words"), F.lit(-2).alias("at_other"), F.lit(-2).alias("at"),
+        F.lit(0).alias("run"), F.lit(0).alias("kept"), F.lit(0).cast("long").alias("lines"), F.lit(False).alias("proved"),
+    )
+
+    def proved(s: Column) -> Column:
+        kept = s["kept"] + windows(s["run"])
+        both = F.greatest(windows(words), F.lit(1)) + F.greatest(windows(s["words"]), F.lit(1)) - kept
+        return s["proved"] | (s["lines"] == n_lines) | ((kept > 0) & (kept >= alike * both))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["id"].eqNullSafe(x["id"]) & s["doc"].eqNullSafe(x["doc"])
+        later = (x["at"] > s["at"]) & (x["at_other"] > s["at_other"])
+        follows = (x["at"] == s["at"] + 1) & (x["at_other"] == s["at_other"] + 1)
+        of = lambda anew, joined, cut, passed: F.when(~same, anew).when(follows, joined).when(later, cut).otherwise(passed)
+        return F.struct(
+            x["id"].alias("id"), x["doc"].alias("doc"), x["words"].alias("words"),
+            of(x["at_other"], x["at_other"], x["at_other"], s["at_other"]).alias("at_other"), of(x["at"], x["at"], x["at"], s["at"]).alias("at"),
+            of(x["line_words"], s["run"] + x["line_words"], x["line_words"], s["run"]).alias("run"),
+            of(F.lit(0), s["kept"], s["kept"] + windows(s["run"]), s["kept"]).alias("kept"),
+            (F.when(same, s["lines"]).otherwise(F.lit(0).cast("long")) + 1).alias("lines"),
+            F.when(same, s["proved"]).otherwise(proved(s)).alias("proved"),
+        )
+
+    return F.when(F.size(held) > 0, F.aggregate(held, start, step, proved)).otherwise(F.lit(False))
+
+
+def document_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, alike: float = ALIKE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per id and text (see row_key) with lines: n_lines, n_copies, n_near, n_links, whole_copy, and the numbers (from 0) of the lines that go."""
     verdicts = line_verdicts(docs, tau, min_chars, id_col, text_col)
     goes = F.col("copy") | F.col("near")
+    elsewhere = F.col("copy") & ~F.col("near") & ((F.col("id") != F.col("first.id")) | (F.col("doc") != F.col("first.doc")))
+    at_first = F.struct("first.id", "first.doc", "first.words", F.col("first.at").alias("at_other"), "at", "line_words")
     long = lambda c: c.cast("long")
     found = verdicts.groupBy("id", "doc").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(long(F.col("copy"))).alias("n_copies"),
         F.sum(long(F.col("near") & ~F.col("copy"))).alias("n_near"),
         F.sum("links").alias("n_links"),
-        (F.sum(F.when(goes, F.col("n")).otherwise(0)) > most_dropped * F.sum("n")).alias("whole_copy"),
+        F.max("words").alias("_words"),
+        F.array_sort(F.collect_list(F.when(elsewhere, at_first))).alias("_held"),
         F.array_sort(F.array_distinct(F.collect_list(F.when(goes, F.col("at"))))).alias("gone"),
     )
+    found = found.withColumn("whole_copy", proved_copy(F.col("_held"), F.col("n_lines"), F.col("_words"), alike)).drop("_held", "_words")
     return found.withColumn("gone", F.when(F.col("whole_copy"), F.array().cast("array<int>")).otherwise(F.col("gone")))
 
 
-def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most_dropped: float = MOST_DROPPED) -> DataFrame:
+def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, alike: float = ALIKE) -> DataFrame:
     """One row per document: doc_id, n_lines, n_copies, n_near, n_links, whole_copy, n_dropped and dropped, the numbers of the lines that go."""
-    found = document_verdicts(docs, tau, min_chars, most_dropped)
+    found = document_verdicts(docs, tau, min_chars, alike)
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
     ids = docs.select("doc_id", *row_key())
     gone = F.coalesce("gone", F.array().cast("array<int>"))
@@ -222,9 +272,9 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most
     )
 
 
-def without_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, most_dropped: float = MOST_DROPPED) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, alike: float = ALIKE) -> DataFrame:
     """The documents, with all their columns, less the lines that go; n_chars follows the text."""
-    found = document_verdicts(docs, tau, min_chars, most_dropped).where(F.size("gone") > 0).select(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc"), F.col("gone").alias("_gone"))
+    found = document_verdicts(docs, tau, min_chars, alike).where(F.size("gone") > 0).select(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc"), F.col("gone").alias("_gone"))
     own_id, own_doc = row_key()
     joined = docs.select("*", own_id.alias("_own_id"), own_doc.alias("_own_doc")).join(found, (F.col("_own_id") == F.col("_line_id")) & (F.col("_own_doc") == F.col("_line_doc")), "left")
     gone = F.col("_gone")

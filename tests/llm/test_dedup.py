@@ -124,6 +124,27 @@ def test_rows_without_or_with_repeated_ids_lose_lines_of_their_own(spark):
     assert left in ({swapped[0], swapped[1].split("\n")[0]}, {swapped[1], swapped[0].split("\n")[1]})
 
 
+def test_only_proved_copies_keep_repeated_lines(spark):
+    r = random.Random(8)
+    line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(10))
+    one, two, passage = [line() for _ in range(12)], [line() for _ in range(12)], [line() for _ in range(6)]
+    own = [[line() for _ in range(4)] for _ in range(4)]
+    parts = [
+        one, two, passage + own[0],
+        passage + own[1],  # 60 % of it is a passage of another
+        one[:6] + two[:6],  # all of it repeated, but of two documents
+        one[:11] + own[2][:1],  # near copies as a whole: windows 106 of 116 + 116 - 106
+        one[::-1][:10] + own[3][:1],  # the same lines, in another order
+        two,
+    ]
+    out = {x["doc_id"]: x["text"] for x in lines.without_repeated_lines(docs_of(spark, ["\n".join(p) for p in parts])).collect()}
+    left = [out[i].split("\n") if out[i] else [] for i in range(len(parts))]
+    assert left == [one, two, parts[2], own[1], [], parts[5], own[3][:1], two]
+    report = {x["doc_id"]: x for x in lines.line_dedup(docs_of(spark, ["\n".join(p) for p in parts])).collect()}
+    assert [report[i]["n_dropped"] for i in range(len(parts))] == [0, 0, 0, 6, 12, 0, 10, 0]
+    assert [report[i]["whole_copy"] for i in range(len(parts))] == [False] * 5 + [True, False, True]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)]
