@@ -10,8 +10,8 @@ Candidates come in two rounds, between different texts only (equal texts are one
 1. every sketch bucket has a leader, the text that meets most others over all its buckets; each text is compared with the leader it shares most
    buckets with, which needs one comparison per text however large a bucket is. What many copies were made from is such a leader;
 2. components of the links found are looked up, and what still shares a bucket across components is compared, unless lengths rule a
-   similarity of 0.8 out or fewer than AGREE of the sketches agree (at 0.8 about 16 do; a pair of just 0.8 is lost with a chance of about 5e-5, and texts that
-   only share a passage are spared the alignment). Nothing is capped.
+   similarity of 0.8 out. One shared bucket is enough; texts that only share a passage are spared the alignment by an exact bound, the labelled windows
+   in common. Nothing is capped.
 
 Verification aligns the two word sequences (greedy furthest-reaching alignment, its band set by how many edits the threshold still allows) and
 counts the windows kept in order: similarity is kept / (windows of a + windows of b - kept), and a link needs ``THRESHOLD``. Links join texts to classes;
@@ -36,8 +36,6 @@ from .components import components
 
 SHINGLE = 5
 SKETCHES = 32
-#: Sketches that two texts have to share before texts of different components are aligned.
-AGREE = 6
 MINIMA = 3
 THRESHOLD = 0.8
 CACHED_WORDS = 300_000
@@ -229,12 +227,11 @@ def links(base: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_
     rest = held.join(mixed, ["band", "sketch"]).join(nodes.select("id", "sketches"), "id").select("band", "sketch", "id", "n", "component", "sketches")
     rest = materialise(rest, "rest")
     a, b = (rest.select(*(F.col(c).alias(f"{side}_{c}") for c in rest.columns)) for side in "ab")
-    agree = sum((F.col("a_sketches")[i] == F.col("b_sketches")[i]).cast("int") for i in range(SKETCHES))
     earlier = sum(((F.col("a_sketches")[i] == F.col("b_sketches")[i]) & (F.col("a_band") > i)).cast("int") for i in range(SKETCHES))
     near = (F.col("a_n") - SHINGLE + 1) >= threshold * (F.col("b_n") - SHINGLE + 1)
     near = near & ((F.col("b_n") - SHINGLE + 1) >= threshold * (F.col("a_n") - SHINGLE + 1))
     across = (F.col("a_id") > F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
-    pairs = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_sketch") == F.col("b_sketch")) & across & near & (agree >= AGREE) & (earlier == 0)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
+    pairs = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_sketch") == F.col("b_sketch")) & across & near & (earlier == 0)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
     more = verified(pairs.join(tried, ["u", "v"], "left_anti"), sequences, threshold)
     return nodes, materialise(found.unionByName(more), "links")
 

@@ -197,6 +197,26 @@ def test_near_against_brute_force(spark):
         assert x["class_id"] == max(members) and x["class_size"] == len(members) and x["kept"] == (x["doc_id"] == max(members))
 
 
+def test_near_links_need_one_shared_sketch(spark, monkeypatch):
+    """Two pairs across first-round components that are alike and share few sketches."""
+    r = random.Random(5)
+    found = []
+    while len(found) < 2:
+        # four of five windows, as of texts of 8 and 9 words: the chance of few shared sketches is largest there
+        base = prose(r, 9)
+        sketches = [near.order_sketches(near.word_hashes(" ".join(t), near._Words())) for t in (base, base[:8])]
+        agree = int((sketches[0] == sketches[1]).sum())
+        if 0 < agree < 6:
+            found.append((" ".join(base), " ".join(base[:8])))
+    a, b = (near.word_hashes(t, near._Words()) for t in found[0])
+    assert near.similarity(a, b) == pytest.approx(0.8)
+    # no comparison with leaders: all pairs are left to the second round
+    real = near.materialise
+    monkeypatch.setattr(near, "materialise", lambda df, label: real(df.limit(0) if label == "pairs" else df, label))
+    got = {x["doc_id"]: x["class_id"] for x in near.near_dedup(docs_of(spark, [t for pair in found for t in pair])).collect()}
+    assert got == {0: 1, 1: 1, 2: 3, 3: 3}
+
+
 def test_near_edge_cases(spark):
     assert near.near_dedup(docs_of(spark, [])).count() == 0
     rows = near.near_dedup(docs_of(spark, ["a", "a", "b"], [None, 1, 1])).collect()
