@@ -237,7 +237,11 @@ def links(base: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (largest id of the class), class_size, n_links (between different texts) and kept of every document."""
+    """id, class_id (largest id of the class), class_size, n_links and kept of every document.
+
+    n_links counts the verified links that classes were built from: those with the text's leader and those across the first round's components. Pairs
+    inside a component are never compared, so it is not the number of texts that the document is similar to.
+    """
     base = materialise(sketched(docs, id_col, text_col), "sketched")
     nodes, found = links(base, docs, threshold, id_col, text_col)
     joined = components(found).withColumnRenamed("id", "node")
