@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 ROUNDS = 60
 
@@ -39,8 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
         if not n or (n, total) == seen:
             break
         seen = (n, total)
-        now = materialise(_settle(_small_star(_settle(_large_star(now)))), "edges")
+        before, now = now, materialise(_settle(_small_star(_settle(_large_star(now)))), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     # settled: every edge goes from a vertex to the least of its component
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    named = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = materialise(named, "components")
+    discard(now)
+    return out

@@ -5,20 +5,24 @@ functions picks the ``MINIMA`` k-mers of smallest hash, and the sketch is a hash
 if the same k-mers win and stand in the same order, so it follows edit similarity and not only shared content. At a similarity of 0.8 a sketch agrees
 with a chance of about 0.8 ** MINIMA; all of SKETCHES fail with one below 1e-9.
 
-Candidates come in two rounds, between different texts only (equal texts are one node from the start):
+Texts are told apart by content: equal word sequences are one node, whatever ids their rows have. Candidates come in two rounds, between nodes only:
 
 1. every sketch bucket has a leader, the text that meets most others over all its buckets; each text is compared with the leader it shares most
    buckets with, which needs one comparison per text however large a bucket is. What many copies were made from is such a leader;
-2. components of the links found are looked up, and what still shares a bucket across components is compared, unless lengths rule a
-   similarity of 0.8 out. One shared bucket is enough; texts that only share a passage are spared the alignment by an exact bound, the labelled windows
-   in common. Nothing is capped.
+2. texts whose buckets still hold several components of the links found are joined by their rarest windows. Windows that one component alone holds can't
+   be part of what two components share, so they come first in the order of rarity, the others by how many texts hold them. Two texts of n and m windows
+   within the threshold t have t / (1 + t) (n + m) in common, so one of the first n - t / (1 + t) (n + m) + 1 windows of each is in both. Keys hold the window and
+   the classes of both lengths, since the bound depends on these. A copy with too many changes of its own has no window left to be found by: it meets
+   nobody, where a bucket would make it meet all the others. The bound is exact: nothing is capped and no link is left out.
 
 Verification aligns the two word sequences (greedy furthest-reaching alignment, its band set by how many edits the threshold still allows) and
 counts the windows kept in order: similarity is kept / (windows of a + windows of b - kept), and a link needs ``THRESHOLD``. Links join texts to classes;
-one document of a class stays, that with the largest id.
+one row of a class stays, that with the largest id.
 
 Defined results: null and empty texts, and texts without a word, are equal to one another; texts of fewer words than a window match equal ones only; case
-and the kind of white space don't matter; a null id is a class of its own row and stays; an empty table gives no rows.
+and the kind of white space don't matter. Rows are compared by their texts alone: rows without an id, with repeated ids, or repeated as a whole are rows like any
+other. A null id counts as the smallest; of rows with the same largest id one stays (that of the larger hash of the text, then an arbitrary one). A class whose rows have
+no id has a null class_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, whole_text
 from .components import components
 
 SHINGLE = 5
 SKETCHES = 32
 MINIMA = 3
 THRESHOLD = 0.8
+#: Ratio of the bounds of a class of lengths.
+LENGTH_CLASS = 1.04
 CACHED_WORDS = 300_000
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
@@ -95,7 +101,11 @@ def order_sketches(words: np.ndarray) -> np.ndarray:
     label = labelled(h)
     few = min(MINIMA, len(h))
     values = _mix(label[None, :] ^ _SEEDS[:, None])
-    least = np.argpartition(values, few - 1, axis=1)[:, :few] if len(h) > few else np.tile(np.arange(few), (SKETCHES, 1))
+    each = np.arange(SKETCHES)
+    least = np.empty((SKETCHES, few), np.int64)
+    for i in range(few):
+        least[:, i] = at = values.argmin(axis=1)
+        values[each, at] = np.uint64(0xFFFFFFFFFFFFFFFF)
     least.sort(axis=1)  # text order
     out = _SEEDS.copy()
     for i in range(few):
@@ -159,8 +169,19 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     return kept / (na + nb - kept) if kept >= need else 0.0
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """The id, and a hash of the text, which together tell rows apart that aren't repeated as a whole."""
+    return F.col(id_col).cast("long"), F.xxhash64(F.lit("doc"), whole_text(text_col))
+
+
+def content(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, text) of every row, see row_key."""
+    own_id, own_doc = row_key(id_col, text_col)
+    return docs.select(own_id.alias("id"), own_doc.alias("doc"), F.col(text_col).alias("text"))
+
+
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, key (128 bits of the word sequence, as binary), n (words) and sketches of every document with an id."""
+    """id, doc, key (128 bits of the word sequence, as binary), n (words) and sketches of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
@@ -172,24 +193,24 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 sizes.append(len(words))
                 sketches.append(order_sketches(np.fromiter(map(cache.__getitem__, words), np.uint32, len(words))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "key", "n", "sketches"]
+                [batch.column("id"), batch.column("doc"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=["id", "doc", "key", "n", "sketches"]
             )
 
-    chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "id long, key binary, n int, sketches array<long>")
+    return content(docs, id_col, text_col).mapInArrow(run, "id long, doc long, key binary, n int, sketches array<long>")
 
 
-def word_sequences(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, words as packed 32-bit hashes) of the documents named in ``ids``."""
+def word_sequences(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, words as packed 32-bit hashes) of nodes (node, id, doc), each read from a row with its id and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for batch in batches:
             packed = [word_hashes(x.as_py(), cache).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "words"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return chosen.mapInArrow(run, "id long, words binary").dropDuplicates(["id"])
+    wanted = nodes.select("node", F.col("id").alias("_id"), F.col("doc").alias("_doc"))
+    rows = content(docs, id_col, text_col).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc"))).select("node", "text")
+    return rows.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFrame:
@@ -201,63 +222,116 @@ def verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFr
             whole = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
             yield whole.filter(pa.array([x > 0 for x in found], pa.bool_()))
 
-    both = pairs.join(sequences.select(F.col("id").alias("u"), F.col("words").alias("a")), "u").join(sequences.select(F.col("id").alias("v"), F.col("words").alias("b")), "v")
+    both = pairs.join(sequences.select(F.col("node").alias("u"), F.col("words").alias("a")), "u").join(sequences.select(F.col("node").alias("v"), F.col("words").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, similarity double")
 
 
-def links(base: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (key, id, copies: one per distinct text) and links (u, v, similarity) between nodes."""
-    nodes = materialise(base.groupBy("key").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sketches").alias("sketches")), "nodes")
-    # distinct texts that share an id (repeated ids) are told apart by key only: they don't link
-    bands = nodes.select("id", "n", F.posexplode("sketches").alias("band", "sketch"))
-    buckets = bands.groupBy("band", "sketch").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(bands.join(buckets, ["band", "sketch"]), "buckets")
-    reach = shared.groupBy("id").agg(F.sum("size").alias("reach"))
-    leaders = shared.join(reach, "id").groupBy("band", "sketch").agg(F.max(F.struct("reach", F.col("id").alias("leader"))).alias("_l"))
-    led = shared.join(leaders.select("band", "sketch", F.col("_l.leader").alias("leader")), ["band", "sketch"])
-    best = led.where("id <> leader").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("agree")).groupBy("id").agg(F.max(F.struct("agree", "leader")).alias("best"))
-    sequences = materialise(word_sequences(docs, shared.select("id").distinct(), id_col, text_col), "sequences")
-    first = best.select(F.greatest("id", "best.leader").alias("u"), F.least("id", "best.leader").alias("v")).distinct()
-    tried = materialise(first, "pairs")
+def node_windows(sequences: DataFrame) -> DataFrame:
+    """(node, component, n, windows): the labelled windows of sequences (node, component, words) of a window or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [labelled(shingles(np.frombuffer(x.as_py(), np.uint32))).view(np.int64) for x in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["node", "component", "n", "windows"])
+
+    long_enough = sequences.where(F.octet_length("words") >= 4 * SHINGLE).select("node", "component", "words")
+    return long_enough.mapInArrow(run, "node long, component long, n int, windows array<long>")
+
+
+def rare_window_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of nodes of different components that may reach the threshold; texts: (node, component, n, windows). No pair that reaches it is left out.
+
+    What leaves is bounded per text by its windows times the classes of lengths within the threshold of its own, about 12 of them.
+    """
+    step = F.lit(float(np.log(LENGTH_CLASS)))
+    length_class = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
+    need = lambda n, m: F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
+    each = texts.select("node", "component", F.explode("windows").alias("w"))
+    spread = each.groupBy("w").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("w", "held")
+    ranked = each.select("node", "w").join(spread, "w").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "w"))).alias("ranked"))
+    own = ranked.join(texts.select("node", "component", "n"), "node").withColumn("shared", F.size("ranked")).where(F.col("shared") >= F.ceil(F.col("n") * threshold - 1e-9))
+    least, most = F.ceil(F.col("n") * threshold - 1e-9), F.floor(F.col("n") / threshold + 1e-9)
+    # a class may begin one below its bound as rounded here; a longer prefix loses nothing
+    partner = F.greatest(F.ceil(F.pow(F.lit(LENGTH_CLASS), F.col("partner"))) - 1, least)
+    by_class = own.withColumn("class", length_class(F.col("n"))).withColumn("partner", F.explode(F.sequence(length_class(F.greatest(least - 1, F.lit(1))), length_class(most + 1))))
+    prefix = by_class.withColumn("prefix", (F.col("shared") - need(F.col("n"), partner) + 1).cast("int")).where("prefix > 0")
+    keys = prefix.select("node", "component", "n", "shared", "class", "partner", F.posexplode(F.slice("ranked", 1, F.col("prefix"))).alias("at", "x")).select(
+        F.xxhash64("x.w", F.least("class", "partner"), F.greatest("class", "partner")).alias("k"), "node", "component", "n", (F.col("shared") - F.col("at")).alias("left")
+    )
+    mixed = keys.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    keys = materialise(keys.join(mixed, "k"), "rare")
+    a, b = (keys.select(*(F.col(c).alias(f"{side}_{c}") for c in keys.columns)) for side in "ab")
+    # of the first window in common, no more can follow in either
+    within = F.least("a_left", "b_left") >= need(F.col("a_n"), F.col("b_n"))
+    met = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_node") > F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & within)
+    return met.groupBy(F.col("a_node").alias("u"), F.col("b_node").alias("v")).agg(F.count(F.lit(1)).alias("_n")).select("u", "v")
+
+
+def links(base: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, key, top, copies: one per distinct text), links (u, v, similarity) between nodes, and (id, component) of linked nodes."""
+    texts = base.groupBy("key").agg(F.max(F.struct("id", "doc", "row")).alias("top"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("sketches").alias("sketches"))
+    nodes = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers are settled once they are written
+    bands = nodes.select("node", F.explode("sketches").alias("sketch"))
+    buckets = bands.groupBy("sketch").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialise(bands.join(buckets, "sketch"), "buckets")
+    reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
+    leaders = shared.join(reach, "node").groupBy("sketch").agg(F.max(F.struct("reach", F.col("node").alias("leader"))).alias("_l"))
+    led = shared.join(leaders.select("sketch", F.col("_l.leader").alias("leader")), "sketch")
+    best = led.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("agree")).groupBy("node").agg(F.max(F.struct("agree", "leader")).alias("best"))
+    met = nodes.select("node", "top.id", "top.doc").join(shared.select("node").distinct(), "node", "left_semi")
+    sequences = materialise(word_sequences(docs, met, id_col, text_col), "sequences")
+    tried = materialise(best.select(F.greatest("node", "best.leader").alias("u"), F.least("node", "best.leader").alias("v")).distinct(), "pairs")
     found = materialise(verified(tried, sequences, threshold), "links")
 
     joined = components(found)
-    held = shared.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = held.groupBy("band", "sketch").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "sketch")
-    rest = held.join(mixed, ["band", "sketch"]).join(nodes.select("id", "sketches"), "id").select("band", "sketch", "id", "n", "component", "sketches")
-    rest = materialise(rest, "rest")
-    a, b = (rest.select(*(F.col(c).alias(f"{side}_{c}") for c in rest.columns)) for side in "ab")
-    earlier = sum(((F.col("a_sketches")[i] == F.col("b_sketches")[i]) & (F.col("a_band") > i)).cast("int") for i in range(SKETCHES))
-    near = (F.col("a_n") - SHINGLE + 1) >= threshold * (F.col("b_n") - SHINGLE + 1)
-    near = near & ((F.col("b_n") - SHINGLE + 1) >= threshold * (F.col("a_n") - SHINGLE + 1))
-    across = (F.col("a_id") > F.col("b_id")) & (F.col("a_component") != F.col("b_component"))
-    pairs = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_sketch") == F.col("b_sketch")) & across & near & (earlier == 0)).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
-    more = verified(pairs.join(tried, ["u", "v"], "left_anti"), sequences, threshold)
-    return nodes, materialise(found.unionByName(more), "links")
+    held = shared.join(joined.withColumnRenamed("id", "node"), "node", "left").select("sketch", "node", F.coalesce("component", "node").alias("component"))
+    mixed = held.groupBy("sketch").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sketch")
+    apart = held.join(mixed, "sketch").groupBy("node").agg(F.first("component").alias("component"))
+    texts = materialise(node_windows(sequences.join(apart, "node")), "windows")
+    pairs = rare_window_pairs(texts, threshold).join(tried, ["u", "v"], "left_anti")
+    more = materialise(verified(pairs, sequences, threshold), "links")
+    stars = joined.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    placed = components(stars.unionByName(more.select("u", "v")))
+    discard(shared, tried, sequences, texts, joined)
+    return nodes, found.unionByName(more), placed
+
+
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, doc, class_id, class_size, n_links, kept) of every row."""
+    sketches = sketched(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    base = materialise(sketches, "sketched")
+    nodes, found, placed = links(base, docs, threshold, id_col, text_col)
+    degree = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    known = nodes.select("key", "node", "top", "copies").join(placed.withColumnRenamed("id", "node"), "node", "left").join(degree, "node", "left")
+    known = known.withColumn("component", F.coalesce("component", "node"))
+    sizes = known.groupBy("component").agg(F.max("top").alias("stays"), F.sum("copies").alias("class_size")).where("class_size > 1")
+    classes = known.join(sizes, "component").select("key", "stays", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return base.select("id", "doc", "row", "key").join(classes, "key", "left").select(
+        "id", "doc", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("stays.id")).alias("class_id"),
+        F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", none).alias("n_links"), F.coalesce(F.col("stays.row") == F.col("row"), F.lit(True)).alias("kept"),
+    )
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, class_id (largest id of the class), class_size, n_links and kept of every document.
+    """id, class_id (largest id of the class), class_size, n_links and kept of every row; one row of a class is kept.
 
     n_links counts the verified links that classes were built from: those with the text's leader and those across the first round's components. Pairs
     inside a component are never compared, so it is not the number of texts that the document is similar to.
     """
-    base = materialise(sketched(docs, id_col, text_col), "sketched")
-    nodes, found = links(base, docs, threshold, id_col, text_col)
-    joined = components(found).withColumnRenamed("id", "node")
-    degree = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = nodes.select("key", F.col("id").alias("node"), "copies").join(joined, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("component").agg(F.max("node").alias("class_id"), F.sum("copies").alias("class_size")).where("class_size > 1")
-    classes = placed.join(sizes, "component").select("key", "class_id", "class_size", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    members = base.select("id", "key").join(classes, "key", "left").select(
-        F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", none).alias("n_links"), (F.coalesce("class_id", "id") == F.col("id")).alias("kept"),
-    )
-    lone = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), one.alias("class_size"), none.alias("n_links"), F.lit(True).alias("kept"))
-    return members.unionByName(lone)
+    return _classes(docs, threshold, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", "kept")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = near_dedup(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows that stay, with all their columns; of rows that repeat an id and a text one stays, whichever."""
+    rows = _classes(docs, threshold, "doc_id", "text").where("class_size > 1")
+    fate = rows.groupBy("id", "doc").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")).where("NOT _stays OR _rows > 1")
+    fate = materialise(fate.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "_stays"), "fate")
+    own_id, own_doc = row_key("doc_id", "text")
+    mine = own_id.eqNullSafe(F.col("_id")) & (own_doc == F.col("_doc"))
+    rest = docs.join(fate, mine, "left_anti")
+    repeated = fate.where("_stays")
+    if repeated.isEmpty():
+        return rest
+    once = docs.select(F.struct("*").alias("_row"), own_id.alias("_own_id"), own_doc.alias("_own_doc")).join(repeated, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_doc") == F.col("_doc")), "left_semi")
+    return rest.unionByName(once.groupBy("_own_id", "_own_doc").agg(F.first("_row").alias("_row")).select("_row.*"))

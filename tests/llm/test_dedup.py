@@ -219,11 +219,58 @@ def test_near_links_need_one_shared_sketch(spark, monkeypatch):
 
 def test_near_edge_cases(spark):
     assert near.near_dedup(docs_of(spark, [])).count() == 0
+    assert near.keep_one_of_each(docs_of(spark, [])).count() == 0
     rows = near.near_dedup(docs_of(spark, ["a", "a", "b"], [None, 1, 1])).collect()
-    assert len(rows) == 3 and all(r["kept"] for r in rows)
+    got = sorted((r["doc_id"] or 0, r["class_id"], r["class_size"], r["kept"]) for r in rows)
+    assert got == [(0, 1, 2, False), (1, 1, 1, True), (1, 1, 2, True)]
     assert {r["doc_id"] for r in near.keep_one_of_each(docs_of(spark, ["same text", "same  text", None])).collect()} == {1, 2}
 
 
+def test_near_rows_without_or_with_repeated_ids(spark):
+    """Whole texts tell: no id stands for several texts, and of repeated rows one stays."""
+    r = random.Random(2)
+    a, b, c, d, long = (prose(r, n) for n in (60, 70, 80, 50, 20_000))
+    near_b, near_long = b[:30] + ["changed"] + b[31:], long[:9000] + ["changed"] + long[9001:]
+    texts = [" ".join(t) for t in (a, a, b, near_b, c, c, d, d, long, near_long)] + [None, ""]
+    ids = [9, 5, 5, 5, None, None, 4, 4, 1, 2, None, 3]
+    rows = near.near_dedup(docs_of(spark, texts, ids)).collect()
+    assert len(rows) == len(texts) and sum(x["kept"] for x in rows) == 6
+    kept = sorted((x["doc_id"] if x["doc_id"] is not None else -1, x["class_id"] if x["class_id"] is not None else -1, x["class_size"]) for x in rows if x["kept"])
+    assert kept == [(-1, -1, 2), (2, 2, 2), (3, 3, 2), (4, 4, 2), (5, 5, 2), (9, 9, 2)]
+    out = near.keep_one_of_each(docs_of(spark, texts, ids))
+    assert out.columns == docs_of(spark, []).columns
+    left = [(x["doc_id"], x["text"]) for x in out.collect()]
+    assert len(left) == 6 and (5, texts[2]) in left or (5, texts[3]) in left
+    assert {t for _, t in left} - {texts[2], texts[3]} == {texts[0], texts[4], texts[6], texts[9], ""}
+
+
+def test_rare_window_pairs_leave_no_link_out(spark):
+    """All pairs of one original's copies, of which many are out of reach of each other and of the original, and passages, against brute force."""
+    import numpy as np
+
+    r = random.Random(12)
+    base = prose(r, 150)
+    texts = [base]
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.choice((1, 2, 3, 3, 4, 5, 6, 9))):
+            copy[r.randrange(len(copy))] = f"new{r.randrange(40)}"
+        texts.append(copy[r.choice((0, 0, 0, 15)) :])
+    texts += [base[:40] + prose(r, n) for n in (30, 60)] + [prose(r, n) for n in (5, 6, 150)]
+    sequences = [np.frombuffer(near.word_hashes(" ".join(t), near._Words()).tobytes(), np.uint32) for t in texts]
+    windows = [near.labelled(near.shingles(w)).view(np.int64) for w in sequences]
+    rows = [(i, r.choice((i, 1000)), len(w), w.tolist()) for i, w in enumerate(windows)]
+    want = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(windows[i], windows[j]))
+            if rows[i][1] != rows[j][1] and both >= 0.8 * (rows[i][2] + rows[j][2] - both):
+                want.add((i, j))
+    got = {(x["u"], x["v"]) for x in near.rare_window_pairs(spark.createDataFrame(rows, "node long, component long, n int, windows array<long>"), 0.8).collect()}
+    assert len(want) > 200 and want <= got
+    assert all(rows[u][1] != rows[v][1] for u, v in got) and len(got) < len(rows) ** 2 / 10
+
+
 def test_order_matters_to_similarity():
     import numpy as np
 
