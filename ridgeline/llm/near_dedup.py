@@ -13,7 +13,8 @@ Texts are told apart by content: equal word sequences are one node, whatever ids
    be part of what two components share, so they come first in the order of rarity, the others by how many texts hold them. Two texts of n and m windows
    within the threshold t have t / (1 + t) (n + m) in common, so one of the first n - t / (1 + t) (n + m) + 1 windows of each is in both. Keys hold the window and
    the classes of both lengths, since the bound depends on these. A copy with too many changes of its own has no window left to be found by: it meets
-   nobody, where a bucket would make it meet all the others. The bound is exact: nothing is capped and no link is left out.
+   nobody, where a bucket would make it meet all the others. Of two texts that meet, the parities of their windows, dealt to ``PARITIES`` bits, differ in no more
+   bits than windows are in one text only; where these are too many the pair is not emitted. Both bounds are exact: nothing is capped and no link is left out.
 
 Verification aligns the two word sequences (greedy furthest-reaching alignment, its band set by how many edits the threshold still allows) and
 counts the windows kept in order: similarity is kept / (windows of a + windows of b - kept), and a link needs ``THRESHOLD``. Links join texts to classes;
@@ -44,6 +45,7 @@ MINIMA = 3
 THRESHOLD = 0.8
 #: Ratio of the bounds of a class of lengths.
 LENGTH_CLASS = 1.04
+PARITIES = 256
 CACHED_WORDS = 300_000
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
@@ -226,20 +228,27 @@ def verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataFr
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, similarity double")
 
 
+def parities(windows: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of windows falls to each bit, as longs."""
+    odd = np.bincount((_mix(windows) >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def node_windows(sequences: DataFrame) -> DataFrame:
-    """(node, component, n, windows): the labelled windows of sequences (node, component, words) of a window or more."""
+    """(node, component, n, windows, bits): the labelled windows of sequences (node, component, words) of a window or more, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [labelled(shingles(np.frombuffer(x.as_py(), np.uint32))).view(np.int64) for x in batch.column("words")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(map(len, found), pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["node", "component", "n", "windows"])
+            found = [labelled(shingles(np.frombuffer(x.as_py(), np.uint32))) for x in batch.column("words")]
+            lists = [pa.array([f(x) for x in found], pa.list_(pa.int64())) for f in (lambda x: x.view(np.int64), parities)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(map(len, found), pa.int32()), *lists], names=["node", "component", "n", "windows", "bits"])
 
     long_enough = sequences.where(F.octet_length("words") >= 4 * SHINGLE).select("node", "component", "words")
-    return long_enough.mapInArrow(run, "node long, component long, n int, windows array<long>")
+    return long_enough.mapInArrow(run, "node long, component long, n int, windows array<long>, bits array<long>")
 
 
 def rare_window_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of nodes of different components that may reach the threshold; texts: (node, component, n, windows). No pair that reaches it is left out.
+    """Pairs (u, v) of nodes of different components that may reach the threshold; texts as of node_windows. No pair that reaches it is left out.
 
     What leaves is bounded per text by its windows times the classes of lengths within the threshold of its own, about 12 of them.
     """
@@ -249,20 +258,24 @@ def rare_window_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     each = texts.select("node", "component", F.explode("windows").alias("w"))
     spread = each.groupBy("w").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("w", "held")
     ranked = each.select("node", "w").join(spread, "w").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "w"))).alias("ranked"))
-    own = ranked.join(texts.select("node", "component", "n"), "node").withColumn("shared", F.size("ranked")).where(F.col("shared") >= F.ceil(F.col("n") * threshold - 1e-9))
+    own = ranked.join(texts.select("node", "component", "n", "bits"), "node").withColumn("shared", F.size("ranked")).where(F.col("shared") >= F.ceil(F.col("n") * threshold - 1e-9))
     least, most = F.ceil(F.col("n") * threshold - 1e-9), F.floor(F.col("n") / threshold + 1e-9)
     # a class may begin one below its bound as rounded here; a longer prefix loses nothing
     partner = F.greatest(F.ceil(F.pow(F.lit(LENGTH_CLASS), F.col("partner"))) - 1, least)
     by_class = own.withColumn("class", length_class(F.col("n"))).withColumn("partner", F.explode(F.sequence(length_class(F.greatest(least - 1, F.lit(1))), length_class(most + 1))))
     prefix = by_class.withColumn("prefix", (F.col("shared") - need(F.col("n"), partner) + 1).cast("int")).where("prefix > 0")
-    keys = prefix.select("node", "component", "n", "shared", "class", "partner", F.posexplode(F.slice("ranked", 1, F.col("prefix"))).alias("at", "x")).select(
-        F.xxhash64("x.w", F.least("class", "partner"), F.greatest("class", "partner")).alias("k"), "node", "component", "n", (F.col("shared") - F.col("at")).alias("left")
+    bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(PARITIES // 64)]
+    keys = prefix.select("node", "component", "n", "bits", "shared", "class", "partner", F.posexplode(F.slice("ranked", 1, F.col("prefix"))).alias("at", "x")).select(
+        F.xxhash64("x.w", F.least("class", "partner"), F.greatest("class", "partner")).alias("k"), "node", "component", "n", (F.col("shared") - F.col("at")).alias("left"), *bits
     )
     mixed = keys.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
     keys = materialise(keys.join(mixed, "k"), "rare")
     a, b = (keys.select(*(F.col(c).alias(f"{side}_{c}") for c in keys.columns)) for side in "ab")
-    # of the first window in common, no more can follow in either
-    within = F.least("a_left", "b_left") >= need(F.col("a_n"), F.col("b_n"))
+    common = need(F.col("a_n"), F.col("b_n"))
+    # after the first window in common, no more can follow than either has left
+    within = F.least("a_left", "b_left") >= common
+    differ = sum(F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(len(bits)))
+    within = within & (differ <= F.col("a_n") + F.col("b_n") - 2 * common)
     met = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_node") > F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & within)
     return met.groupBy(F.col("a_node").alias("u"), F.col("b_node").alias("v")).agg(F.count(F.lit(1)).alias("_n")).select("u", "v")
 

@@ -78,7 +78,9 @@ def test_banded_distance(spark, tau):
         assert row["d"] == true if true <= tau else row["d"] > tau
 
 
-def test_line_verdicts_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [lines.HOT, 1])
+def test_line_verdicts_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)  # 1: every shared segment is joined with the bound on characters
     r = random.Random(3)
     base = ["".join(r.choice("ab cé") for _ in range(r.randint(18, 34))) for _ in range(12)]
     texts = ["\n".join(mutated(r, r.choice(base), 2) for _ in range(r.randint(0, 4))) for _ in range(25)] + [None, "", "  \n ", "short\nshort", "short"]
@@ -259,16 +261,16 @@ def test_rare_window_pairs_leave_no_link_out(spark):
     texts += [base[:40] + prose(r, n) for n in (30, 60)] + [prose(r, n) for n in (5, 6, 150)]
     sequences = [np.frombuffer(near.word_hashes(" ".join(t), near._Words()).tobytes(), np.uint32) for t in texts]
     windows = [near.labelled(near.shingles(w)).view(np.int64) for w in sequences]
-    rows = [(i, r.choice((i, 1000)), len(w), w.tolist()) for i, w in enumerate(windows)]
+    rows = [(i, r.choice((i, 1000)), len(w), w.tolist(), near.parities(w.view(np.uint64)).tolist()) for i, w in enumerate(windows)]
     want = set()
     for i in range(len(rows)):
         for j in range(i):
             both = len(np.intersect1d(windows[i], windows[j]))
             if rows[i][1] != rows[j][1] and both >= 0.8 * (rows[i][2] + rows[j][2] - both):
                 want.add((i, j))
-    got = {(x["u"], x["v"]) for x in near.rare_window_pairs(spark.createDataFrame(rows, "node long, component long, n int, windows array<long>"), 0.8).collect()}
+    got = {(x["u"], x["v"]) for x in near.rare_window_pairs(spark.createDataFrame(rows, "node long, component long, n int, windows array<long>, bits array<long>"), 0.8).collect()}
     assert len(want) > 200 and want <= got
-    assert all(rows[u][1] != rows[v][1] for u, v in got) and len(got) < len(rows) ** 2 / 10
+    assert all(rows[u][1] != rows[v][1] for u, v in got) and len(got) < 3 * len(want)
 
 
 def test_order_matters_to_similarity():
