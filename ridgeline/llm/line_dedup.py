@@ -22,7 +22,7 @@ that share an id (or have none) but not the text are documents of their own; row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text
@@ -33,6 +33,8 @@ MIN_CHARS = 20
 ALIKE = 0.8
 SHINGLE = 5
 NO_ID = -(1 << 63)
+#: Lines under one segment key from which on pairs are joined with the bound on their characters.
+HOT = 32
 
 
 def n_words(text: Column) -> Column:
@@ -69,35 +71,40 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.select(line_key(F.col("line")).alias("key"), F.struct("id", "doc", "at", "words", "line").alias("row")).groupBy("key").agg(F.min("row").alias("first"))
 
 
-def _segment(length: str, i: int, tau: int) -> tuple[str, str]:
-    """SQL for the start (from 1) and the size of segment i (from 1) of a line of ``length``: sizes differ by one, the long ones last."""
-    parts = tau + 1
-    short = f"({parts} - ({length}) % {parts})"
-    start = f"(1 + {i - 1} * (({length}) div {parts}) + greatest(0, {i - 1} - {short}))"
-    return start, f"((({length}) div {parts}) + IF({i} > {short}, 1, 0))"
+def _segment(delta: int, i: int, tau: int) -> tuple[str, str]:
+    """SQL for the start (from 1) and the size of segment i (from 1) of a line of m<delta> characters (see sized): sizes differ by one, the long ones last."""
+    start = f"1 + {i - 1} * d{delta}" + (f" + greatest(0, r{delta} - {tau + 2 - i})" if i > 2 else "")
+    return start, f"d{delta} + IF(r{delta} > {tau + 1 - i}, 1, 0)" if i > 1 else f"d{delta}"
+
+
+def sized(lines: DataFrame, tau: int) -> DataFrame:
+    """With the lengths m0 to m<tau> that a line's partners may have, and their quotients and remainders by tau + 1: short columns keep the code of keys compiled."""
+    return lines.select("*", *(F.expr(f"{e} AS {name}{d}") for d in range(tau + 1) for name, e in (("m", f"n - {d}"), ("d", f"cast((n - {d}) div {tau + 1} as int)"), ("r", f"(n - {d}) % {tau + 1}"))))
 
 
 def segment_keys(tau: int = TAU) -> list[Column]:
-    """Index keys of column ``line`` of ``n`` characters."""
-    out = []
-    for i in range(1, tau + 2):
-        start, size = _segment("n", i, tau)
-        out.append(F.expr(f"xxhash64(n, {i}, substring(line, cast({start} as int), cast({size} as int)))"))
-    return out
+    """Index keys of column ``line`` of sized lines."""
+    cut = [(i, *_segment(0, i, tau)) for i in range(1, tau + 2)]
+    return [F.expr(f"xxhash64(m0, {i}, substring(line, {start}, {size}))") for i, start, size in cut]
 
 
-def probe_keys(tau: int = TAU) -> list[Column]:
-    """Keys under which lines of length n - tau to n may be indexed that are within tau edits; null where a length is too short."""
+def probe_keys(tau: int = TAU, shortest: int = 0) -> list[Column]:
+    """Keys under which lines of length n - tau to n may be indexed that are within tau edits, of sized lines of ``shortest`` characters or more; null where a length is too short."""
     out = []
     for delta in range(tau + 1):
-        length = f"(n - {delta})"
         for i in range(1, tau + 2):
-            start, size = _segment(length, i, tau)
+            start, size = _segment(delta, i, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
-                out.append(F.expr(f"IF({length} > {tau}, xxhash64({length}, {i}, substring(line, cast({start} + {shift} as int), cast({size} as int))), NULL)"))
+                key = f"xxhash64(m{delta}, {i}, substring(line, {start} + {shift}, {size}))"
+                out.append(F.expr(key if shortest - delta > tau else f"IF(m{delta} > {tau}, {key}, NULL)"))
     return out
 
 
+def parity(line: Column) -> Column:
+    """A bit for each class of characters: whether their number is odd. An edit changes two bits at most."""
+    return F.aggregate(F.split(line, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
+
+
 def banded_distance(a: Column, b: Column, tau: int = TAU) -> Column:
     """Edit distance of two strings whose lengths differ by at most tau, exact where it is at most tau (else larger); bit-parallel along the band.
 
@@ -169,22 +176,41 @@ def _advance(s: Column, m: Column, tau: int, top: int, word, flip) -> Column:
     return _let(F.struct(d0.alias("d0"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), s["j"].alias("j")), settle)
 
 
+def candidates(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
+    """Pairs (p, q) of keys of lines that share a segment; lines: (key, line, n).
+
+    A segment held by more than ``HOT`` lines is met once by each line that probes it; its pairs are then joined under the condition that the parities of
+    their characters allow tau edits, so that lines that share a segment and differ in words elsewhere are never emitted as pairs. The bound is exact.
+    """
+    index = sized(lines, tau).select("key", F.explode(F.array(*segment_keys(tau))).alias("sig"))
+    long_enough = lines.where(F.col("n") >= min_chars)
+    probe = sized(long_enough, tau).select(F.col("key").alias("other"), F.explode(F.array(*probe_keys(tau, min_chars))).alias("sig")).where("sig IS NOT NULL")
+    group = Window.partitionBy("sig")
+    counted = index.select("sig", "key", F.count(F.lit(1)).over(group).alias("held"), F.min("key").over(group).alias("least"))
+    met = counted.where(f"held <= {HOT} OR key = least").join(probe, "sig").where(f"held > {HOT} OR key <> other")
+    # hot is an aggregate: the two uses of met then share one exchange, no filter gets below it
+    met = met.groupBy(F.least("key", "other").alias("p"), F.greatest("key", "other").alias("q"), "other", F.when(F.col("held") > HOT, F.col("sig")).alias("sig")).agg(F.max(F.col("held") > HOT).alias("hot"))
+    cold = met.where("NOT hot").select("p", "q")
+    probing, held = met.where("hot").select("sig", F.col("other").alias("key")).distinct(), counted.where(f"held > {HOT}").select("sig", "key")
+    sides = probing.withColumn("probes", F.lit(True)).unionByName(held.withColumn("probes", F.lit(False)))
+    known = sides.join(lines.select("key", "line"), "key").select("sig", "key", "probes", parity(F.col("line")).alias("bits"))
+    a, b = known.where("probes"), known.where("NOT probes").select("sig", F.col("key").alias("other"), F.col("bits").alias("others"))
+    near = (F.col("key") != F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("others"))) <= 2 * tau)
+    hot = a.join(b, (a["sig"] == b["sig"]) & near).select(F.least("key", "other").alias("p"), F.greatest("key", "other").alias("q"))
+    return cold.unionByName(hot).groupBy("p", "q").agg(F.count(F.lit(1)).alias("_n")).select("p", "q")
+
+
 def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """Links (a, b, distance) between keys of different lines within tau edits, a being the earlier line."""
     lines = distinct.select("key", F.col("first.line").alias("line"), F.char_length("first.line").alias("n")).where(F.col("n") >= max(min_chars - tau, tau + 1))
-    index = lines.select("key", F.explode(F.array(*segment_keys(tau))).alias("sig"))
-    probe = lines.where(F.col("n") >= min_chars).select(F.col("key").alias("other"), F.explode(F.array(*probe_keys(tau))).alias("sig")).where("sig IS NOT NULL")
-    met = index.join(probe, "sig").where("key <> other")
-    pairs = met.select(F.least("key", "other").alias("p"), F.greatest("key", "other").alias("q")).groupBy("p", "q").agg(F.count(F.lit(1)).alias("_n")).select("p", "q")
-    one = distinct.select(F.col("key").alias("p"), F.col("first").alias("f"))
-    two = distinct.select(F.col("key").alias("q"), F.col("first").alias("g"))
-    both = pairs.join(one, "p").join(two, "q")
-    long, short = F.col("f.line"), F.col("g.line")
-    swap = F.char_length(long) < F.char_length(short)
-    checked = both.select("p", "q", (F.col("f") < F.col("g")).alias("ahead"), F.when(swap, short).otherwise(long).alias("long"), F.when(swap, long).otherwise(short).alias("short"))
+    ends = candidates(lines, tau, min_chars).select(F.explode(F.array("p", "q")).alias("key"), "p", "q")
+    # both lines of a pair are fetched by one join and meet in its group of two
+    fetched = ends.join(distinct, "key").groupBy("p", "q").agg(F.min("first").alias("f"), F.max("first").alias("g"), F.max(F.when(F.col("key") == F.col("p"), F.col("first"))).alias("of_p"))
+    both = fetched.select(F.when(F.col("f") == F.col("of_p"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("f") == F.col("of_p"), F.col("q")).otherwise(F.col("p")).alias("b"), F.col("f.line").alias("f"), F.col("g.line").alias("g"))
+    swap = F.char_length("f") < F.char_length("g")
+    checked = both.select("a", "b", F.when(swap, F.col("g")).otherwise(F.col("f")).alias("long"), F.when(swap, F.col("f")).otherwise(F.col("g")).alias("short"))
     fit = checked.where((F.char_length("long") - F.char_length("short") <= tau) & (F.char_length("long") >= min_chars))
-    linked = fit.withColumn("distance", banded_distance(F.col("long"), F.col("short"), tau)).where(F.col("distance") <= tau)
-    return linked.select(F.when(F.col("ahead"), F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("ahead"), F.col("q")).otherwise(F.col("p")).alias("b"), "distance")
+    return fit.withColumn("distance", banded_distance(F.col("long"), F.col("short"), tau)).where(F.col("distance") <= tau).select("a", "b", "distance")
 
 
 def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
