@@ -37,8 +37,9 @@ NO_ID = -(1 << 63)
 HOT = 32
 
 
-def n_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?U)\S+"))
+def n_words(line: Column) -> Column:
+    """How many words spaces separate in a line."""
+    return F.size(F.array_remove(F.split(line, " "), ""))
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
@@ -50,8 +51,9 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, doc, words, at, line) of every line with more than spaces; words: how many the document has."""
     lines = F.split(whole_text(text_col), "\n", -1)
     # what is said of the whole text is settled first: beside posexplode it would be worked out again for every line
-    rows = docs.select(*row_key(id_col, text_col), n_words(whole_text(text_col)).alias("words"), F.col(text_col))
-    each = rows.select("id", "doc", "words", F.posexplode(lines).alias("at", "line"))
+    rows = docs.select(*row_key(id_col, text_col), lines.alias("lines"))
+    rows = rows.withColumn("words", F.aggregate("lines", F.lit(0), lambda n, line: n + n_words(line)))
+    each = rows.select("id", "doc", "words", F.posexplode("lines").alias("at", "line"))
     return each.where(F.trim(F.col("line")) != "")
 
 
@@ -182,22 +184,24 @@ def candidates(lines: DataFrame, tau: int, min_chars: int) -> DataFrame:
     A segment held by more than ``HOT`` lines is met once by each line that probes it; its pairs are then joined under the condition that the parities of
     their characters allow tau edits, so that lines that share a segment and differ in words elsewhere are never emitted as pairs. The bound is exact.
     """
-    index = sized(lines, tau).select("key", F.explode(F.array(*segment_keys(tau))).alias("sig"))
-    long_enough = lines.where(F.col("n") >= min_chars)
-    probe = sized(long_enough, tau).select(F.col("key").alias("other"), F.explode(F.array(*probe_keys(tau, min_chars))).alias("sig")).where("sig IS NOT NULL")
+    own = F.array(*segment_keys(tau))
+    index = sized(lines, tau).select("key", F.explode(own).alias("sig"))
+    keys = F.when(F.col("n") >= min_chars, F.array(*probe_keys(tau, min_chars))).otherwise(own)
+    probe = sized(lines, tau).select(F.col("key").alias("other"), F.explode(keys).alias("sig")).where("sig IS NOT NULL")
     group = Window.partitionBy("sig")
     counted = index.select("sig", "key", F.count(F.lit(1)).over(group).alias("held"), F.min("key").over(group).alias("least"))
+    hot = F.col("held") > HOT
     met = counted.where(f"held <= {HOT} OR key = least").join(probe, "sig").where(f"held > {HOT} OR key <> other")
-    # hot is an aggregate: the two uses of met then share one exchange, no filter gets below it
-    met = met.groupBy(F.least("key", "other").alias("p"), F.greatest("key", "other").alias("q"), "other", F.when(F.col("held") > HOT, F.col("sig")).alias("sig")).agg(F.max(F.col("held") > HOT).alias("hot"))
-    cold = met.where("NOT hot").select("p", "q")
-    probing, held = met.where("hot").select("sig", F.col("other").alias("key")).distinct(), counted.where(f"held > {HOT}").select("sig", "key")
-    sides = probing.withColumn("probes", F.lit(True)).unionByName(held.withColumn("probes", F.lit(False)))
-    known = sides.join(lines.select("key", "line"), "key").select("sig", "key", "probes", parity(F.col("line")).alias("bits"))
-    a, b = known.where("probes"), known.where("NOT probes").select("sig", F.col("key").alias("other"), F.col("bits").alias("others"))
-    near = (F.col("key") != F.col("other")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("others"))) <= 2 * tau)
-    hot = a.join(b, (a["sig"] == b["sig"]) & near).select(F.least("key", "other").alias("p"), F.greatest("key", "other").alias("q"))
-    return cold.unionByName(hot).groupBy("p", "q").agg(F.count(F.lit(1)).alias("_n")).select("p", "q")
+    met = met.select(F.when(hot, F.col("sig")).otherwise(F.least("key", "other")).alias("x"), F.when(hot, F.col("other")).otherwise(F.greatest("key", "other")).alias("y"), hot.alias("hot"))
+    # hot is asked for as an aggregate: no filter gets below it, so its two uses share one exchange
+    met = met.groupBy("x", "y", "hot").agg(F.max("hot").alias("is_hot"))
+    cold = met.where("NOT is_hot").select(F.col("x").alias("p"), F.col("y").alias("q"))
+    probing = met.where("is_hot").select(F.col("x").alias("sig"), F.col("y").alias("key"))
+    known = sized(probing.join(lines, "key"), tau).select("sig", "key", F.array_contains(own, F.col("sig")).alias("holds"), F.coalesce(parity(F.col("line")), F.lit(0).cast("long")).alias("bits"))
+    a, b = (known.select(*(F.col(c).alias(f"{side}_{c}") for c in known.columns)) for side in "ab")
+    near = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * tau
+    met_again = a.join(b, (F.col("a_sig") == F.col("b_sig")) & (F.col("a_key") < F.col("b_key")) & near & (F.col("a_holds") | F.col("b_holds")))
+    return cold.unionByName(met_again.select(F.col("a_key").alias("p"), F.col("b_key").alias("q"))).groupBy("p", "q").agg(F.count(F.lit(1)).alias("_n")).select("p", "q")
 
 
 def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -210,13 +214,14 @@ def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
     swap = F.char_length("f") < F.char_length("g")
     checked = both.select("a", "b", F.when(swap, F.col("g")).otherwise(F.col("f")).alias("long"), F.when(swap, F.col("f")).otherwise(F.col("g")).alias("short"))
     fit = checked.where((F.char_length("long") - F.char_length("short") <= tau) & (F.char_length("long") >= min_chars))
+    fit = fit.where(F.bit_count(parity(F.col("long")).bitwiseXOR(parity(F.col("short")))) <= 2 * tau)
     return fit.withColumn("distance", banded_distance(F.col("long"), F.col("short"), tau)).where(F.col("distance") <= tau).select("a", "b", "distance")
 
 
 def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, doc, at, n, copy, near, links) of every line that counts: whether it equals, or is similar to, an earlier line, and how many lines it is similar to.
 
-    Beside these, for the proof of copies: words of the document, line_words, and ``first``, the struct (id, doc, words, at) of the first equal line and its document.
+    Beside these, for the proof of copies: line_words, and ``first``, the struct (id, doc, words, at) of the first equal line and its document.
     """
     lines = occurrences(docs, id_col, text_col)
     distinct = distinct_lines(lines)
@@ -224,14 +229,14 @@ def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(0).alias("later")), F.struct(F.col("b").alias("key"), F.lit(1).alias("later")))).alias("s")).select("s.*")
     linked = sides.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
     known = distinct.join(linked, "key", "left").select("key", F.struct("first.id", "first.doc", "first.words", "first.at").alias("first"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
-    rows = lines.select("id", "doc", "at", "words", n_words(F.col("line")).alias("line_words"), F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
+    rows = lines.select("id", "doc", "at", n_words(F.col("line")).alias("line_words"), F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
     same = F.col("check") == F.col("first_check")
     return rows.join(known, "key").select(
         "id", "doc", "at", "n",
         (same & ((F.col("id") != F.col("first.id")) | (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))).alias("copy"),
         (same & (F.coalesce("later", F.lit(0)) == 1)).alias("near"),
         F.when(same, F.coalesce("links", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("links"),
-        "words", "line_words", "first",
+        "line_words", "first",
     )
 
 
@@ -278,7 +283,7 @@ def document_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHAR
         F.sum(long(F.col("copy"))).alias("n_copies"),
         F.sum(long(F.col("near") & ~F.col("copy"))).alias("n_near"),
         F.sum("links").alias("n_links"),
-        F.max("words").alias("_words"),
+        F.sum("line_words").alias("_words"),
         F.array_sort(F.collect_list(F.when(elsewhere, at_first))).alias("_held"),
         F.array_sort(F.array_distinct(F.collect_list(F.when(goes, F.col("at"))))).alias("gone"),
     )
