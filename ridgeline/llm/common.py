@@ -30,11 +30,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is made: batches are held several times over, in the JVM and in its Python worker.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCHES)
+    spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCHES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out
