@@ -45,7 +45,7 @@ MINIMA = 3
 THRESHOLD = 0.8
 #: Ratio of the bounds of a class of lengths.
 LENGTH_CLASS = 1.04
-PARITIES = 256
+PARITIES = 512
 CACHED_WORDS = 300_000
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
 
@@ -266,14 +266,15 @@ def rare_window_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     prefix = by_class.withColumn("prefix", (F.col("shared") - need(F.col("n"), partner) + 1).cast("int")).where("prefix > 0")
     bits = [F.col("bits")[i].alias(f"bits{i}") for i in range(PARITIES // 64)]
     keys = prefix.select("node", "component", "n", "bits", "shared", "class", "partner", F.posexplode(F.slice("ranked", 1, F.col("prefix"))).alias("at", "x")).select(
-        F.xxhash64("x.w", F.least("class", "partner"), F.greatest("class", "partner")).alias("k"), "node", "component", "n", (F.col("shared") - F.col("at")).alias("left"), *bits
+        F.xxhash64("x.w", F.least("class", "partner"), F.greatest("class", "partner")).alias("k"), "node", "component", "n", (F.col("shared") - F.col("at")).alias("left"), F.signum(F.col("partner") - F.col("class")).cast("int").alias("side"), *bits
     )
-    mixed = keys.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k")
+    # under a key of two classes those of the one meet those of the other
+    mixed = keys.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), (F.min("side") + F.max("side")).alias("sides")).where("lo < hi AND sides = 0").select("k")
     keys = materialise(keys.join(mixed, "k"), "rare")
     a, b = (keys.select(*(F.col(c).alias(f"{side}_{c}") for c in keys.columns)) for side in "ab")
     common = need(F.col("a_n"), F.col("b_n"))
     # after the first window in common, no more can follow than either has left
-    within = F.least("a_left", "b_left") >= common
+    within = (F.col("a_side") + F.col("b_side") == 0) & (F.least("a_left", "b_left") >= common)
     differ = sum(F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(len(bits)))
     within = within & (differ <= F.col("a_n") + F.col("b_n") - 2 * common)
     met = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_node") > F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & within)
