@@ -1,25 +1,25 @@
 """Exact deduplication by skew-safe combining.
 
-Every stage compares whole texts, never digests alone:
+Digests only say which texts can't have an equal: those whose digest stands once. All others are compared as whole texts at every stage:
 
 1. local: the map side of the first aggregation meets equal (digest, salt, text) keys inside one
-   input partition, so a text leaves a partition once however often it stands there;
-2. salted: those rows are merged by (digest, salt, text), the salt being taken from the input
-   partition, so that the partitions' rows of one hot text are spread over ``salts`` reducers;
-3. global: the at most ``salts`` winners of a text are merged by (digest, text).
-
-Documents then look up their group by digest and length. Only groups of two or more are looked up; a
-hot digest on the documents' side is a skewed left side of an outer join, which AQE splits.
-
-Defined results: null is the empty text; empty texts form one group; repeated ids are separate
-rows; further columns of the input are ignored; an empty table gives an empty result.
+   partition, so a text leaves a partition once however often it stands there;
+2. salted: those rows are merged by (digest, salt, text), so that the partitions' rows of one hot text are
+   spread over ``salts`` reducers;
+3. global: the at most ``salts`` winners of a text are merged by (digest, text);
+4. documents look up their group by digest and text. A hot text on the documents' side is a skewed left side
+   of a join, which AQE splits.
+
+Defined results: null is the empty text; empty texts form one group; a null id counts as the smallest; repeated ids are separate
+rows, of which one stays (an arbitrary one of rows that repeat the largest id); further columns of the input are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import whole_text
@@ -33,29 +33,28 @@ def normalised(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per distinct normalised text: _digest, _bytes, keep_id, group_size."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = normalised(whole_text(text_col))
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select(
-        "_id", "_text", F.sha2("_text", 256).alias("_digest"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt")
-    )
-    salted = rows.groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
-    merged = salted.groupBy("_digest", "_text").agg(F.max("_top").alias("keep_id"), F.sum("_n").alias("group_size"))
-    return merged.select("_digest", F.octet_length("_text").alias("_bytes"), "keep_id", "group_size")
+    return docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select("_id", "_text", F.sha2("_text", 256).alias("_digest"))
+
+
+def groups(rows: DataFrame, salts: int = SALTS) -> DataFrame:
+    """One row per distinct text of rows (_id, _text, _digest): _digest, _text, keep_id, group_size."""
+    salt = F.pmod(F.xxhash64("_id") + F.spark_partition_id(), F.lit(salts))
+    salted = rows.withColumn("_salt", salt).groupBy("_digest", "_salt", "_text").agg(F.max("_id").alias("_top"), F.count(F.lit(1)).alias("_n"))
+    return salted.groupBy("_digest", "_text").agg(F.max("_top").alias("keep_id"), F.sum("_n").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    text = normalised(whole_text(text_col))
-    members = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).select(
-        "_id", F.sha2("_text", 256).alias("_digest"), F.octet_length("_text").alias("_bytes")
-    )
-    shared = groups(docs, id_col, text_col, salts).where("group_size > 1")
-    joined = members.join(shared, ["_digest", "_bytes"], "left")
-    return joined.select(
-        F.col("_id").alias(id_col),
-        F.coalesce("keep_id", "_id").alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("keep_id"), F.col("_id")).eqNullSafe(F.col("_id")).alias("kept"),
-        F.col("_digest").alias("text_sha256"),
-    )
+    rows = _rows(docs, id_col, text_col)
+    digests = rows.select("_id", "_digest")
+    often = digests.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest")
+    alone = digests.join(often, "_digest", "left_anti")
+    alone = alone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_digest")
+    several = rows.join(often, "_digest", "left_semi")
+    placed = several.join(groups(several, salts), ["_digest", "_text"]).select("_id", "keep_id", "group_size", "_digest", F.col("_id").eqNullSafe(F.col("keep_id")).alias("_top"))
+    # of rows that repeat the largest id one stays
+    first = F.row_number().over(Window.partitionBy("_digest", "keep_id", "group_size", "_id").orderBy("_top")) == 1
+    placed = placed.withColumn("kept", F.col("_top") & first).select("_id", "keep_id", "group_size", "kept", "_digest")
+    return alone.unionByName(placed).select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.col("_digest").alias("text_sha256"))

@@ -40,6 +40,14 @@ def test_exact_empty_and_null_ids(spark):
     assert exact_dedup(docs_of(spark, ["a", "b"], [None, None])).count() == 2
 
 
+def test_exact_repeated_rows(spark):
+    texts, ids = ["same", "Same", "same", "other", "same", "none", "none"], [3, 3, 1, 3, None, None, None]
+    got = exact_dedup(docs_of(spark, texts, ids)).collect()
+    assert sorted((r["doc_id"] or 0, r["keep_id"] or 0, r["group_size"], r["kept"]) for r in got) == [
+        (0, 0, 2, False), (0, 0, 2, True), (0, 3, 4, False), (1, 3, 4, False), (3, 3, 1, True), (3, 3, 4, False), (3, 3, 4, True),
+    ]
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
