@@ -1,10 +1,10 @@
 """Secret scanning over an incremental blob ledger, in DataFrame functions only.
 
 Every version of every path is addressed by the SHA-256 of its content; a ledger holds, for each blob and
-rule version, the spans found. A scan deduplicates the versions to blobs (comparing whole contents), leaves
-out the (blob, rule version) pairs that the ledger has, scans the rest, appends them to the ledger, and joins
-findings back to all paths. A blob that stands at a third of all paths is scanned once; on the way back it is a
-skewed left side of an outer join, which AQE splits, and only blobs with findings are looked up.
+rule version, the spans found. A scan leaves out the digests whose pair with the rule version the ledger has, deduplicates
+what is left to blobs (comparing whole contents), scans each once, writes the entries to the ledger's folder, reads them back and joins
+findings to all paths. So a blob that stands at a third of all paths is scanned once, and a second run over the same
+folder scans new blobs only; on the way back a hot blob is a skewed left side of an outer join, which AQE splits, and only blobs with findings are looked up.
 
 A rule is a pattern in the dialect that Java and others share, a shortest length, and the group that this length
 holds for. Matches are leftmost and non-overlapping per rule, counted in code points, ends exclusive; where a match stands
@@ -17,10 +17,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import fresh_path, whole_text
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,7 @@ RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "1"
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
 SPANS = f"array<{SPAN}>"
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
 def spans_of(content: Column, lowered: Column, rule: Rule, rank: int) -> Column:
@@ -94,12 +95,14 @@ def scan(contents: DataFrame, content_col: str, rules: tuple[Rule, ...] = RULES)
 
 
 def unseen_blobs(versions: DataFrame, content_col: str, ledger: DataFrame | None, rule_version: str) -> DataFrame:
-    """Distinct contents (blob, content) whose pair with the rule version the ledger doesn't have."""
+    """Distinct contents (blob, content) whose pair with the rule version the ledger doesn't have. Digests meet the ledger before any content moves."""
     content = whole_text(content_col)
-    blobs = versions.select(content.alias("content")).select(F.sha2("content", 256).alias("blob"), "content").groupBy("blob", "content").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    if ledger is None:
-        return blobs
-    return blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
+    blobs = versions.select(content.alias("content")).select(F.sha2("content", 256).alias("blob"), "content")
+    if ledger is not None:
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
+        unseen = blobs.select("blob").distinct().join(seen, "blob", "left_anti")
+        blobs = blobs.join(unseen, "blob", "left_semi")
+    return blobs.groupBy("blob", "content").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
 
 
 def ledger_entries(versions: DataFrame, content_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -120,10 +123,26 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_scan(versions: DataFrame, id_col: str = "doc_id", content_col: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
-    """id, n_assign, n_access, n_hex, base_sha256, spans of every version, scanning only what the ledger lacks."""
-    new = ledger_entries(versions, content_col, ledger, rules, rule_version)
-    known = new if ledger is None else ledger.unionByName(new)
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger in a folder; empty where nothing has been written yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def update_ledger(versions: DataFrame, folder: str, content_col: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scan the blobs that the ledger in ``folder`` lacks, append their entries, and return the whole ledger."""
+    spark = versions.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = read_ledger(spark, folder) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    ledger_entries(versions, content_col, known, rules, rule_version).write.mode("append").parquet(folder)
+    return read_ledger(spark, folder)
+
+
+def secret_scan(versions: DataFrame, id_col: str = "doc_id", content_col: str = "text", folder: str | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """id, n_assign, n_access, n_hex, base_sha256, spans of every version, scanning only what the ledger in ``folder`` (None: a new one in the shared folder) lacks."""
+    known = update_ledger(versions, folder or fresh_path(versions.sparkSession, "ledger"), content_col, rules, rule_version)
     found = findings_by_path(versions, known, id_col, content_col, rule_version)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -161,15 +161,30 @@ def test_secrets(spark):
         assert {f"{k}:{a}:{b}" for a, _, k, b in want} <= set(listed) and listed == sorted(listed, key=lambda s: int(s.split(":")[1]))
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
     one = docs_of(spark, ["token=abcdefgh", "plain", "plain"])
     ledger = secrets.ledger_entries(one).cache()
     assert ledger.count() == 2
     two = docs_of(spark, ["token=abcdefgh", "plain", "secret=zyxwvuts"])
     assert secrets.ledger_entries(two, ledger=ledger).count() == 1
     assert secrets.ledger_entries(two, ledger=ledger, rule_version="2").count() == 3
-    full, fresh = secrets.secret_scan(two, ledger=ledger), secrets.secret_scan(two)
-    assert sorted(full.collect()) == sorted(fresh.collect())
+    # over one folder: the second run scans one blob, a new version of the rules all
+    folder = str(tmp_path / "ledger")
+    secrets.secret_scan(one, folder=folder)
+    assert secrets.read_ledger(spark, folder).count() == 2
+    again = secrets.secret_scan(two, folder=folder)
+    assert sorted(again.collect()) == sorted(secrets.secret_scan(two).collect())
+    assert secrets.read_ledger(spark, folder).count() == 3
+    secrets.secret_scan(two, folder=folder, rule_version="2")
+    assert secrets.read_ledger(spark, folder).count() == 6
+
+
+def test_patterns_read_blobs_only_once(spark):
+    """No pattern stands below the de-duplication."""
+    docs = docs_of(spark, ["token=abcdefgh"] * 3)
+    plan = secrets.ledger_entries(docs)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    below = plan[next(i for i, line in enumerate(plan) if "Aggregate" in line) + 1 :]
+    assert any("regexp_extract_all" in line for line in plan) and not any("regexp_extract_all" in line for line in below)
 
 
 def test_tokens_equal_those_of_rank_merging(spark):
