@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 from ..config import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
 
 TILE_DEGREES = 0.1
@@ -90,22 +92,30 @@ def line_segments(lines: DataFrame, key: str = "fid") -> DataFrame:
     return at.select(key, "n", F.col("p.lon").alias("lon1"), F.col("p.lat").alias("lat1"), F.lead("p.lon").over(w).alias("lon2"), F.lead("p.lat").over(w).alias("lat2")).where("lon2 IS NOT NULL")
 
 
-def nearest_within(points: DataFrame, lines: DataFrame, metres: float) -> DataFrame:
-    """id, fid, metres, bearing, foot_lon, foot_lat of the nearest line within a distance; ties by fid and segment.
+def _near_segments(points: DataFrame, segments: DataFrame, metres: float) -> DataFrame:
+    """Points beside each segment whose box, grown by the distance, holds them, with the distance _d and the foot _fx, _fy on a plane around the point.
 
-    Segments are dealt to the tiles that their box, grown by the distance, touches; a tile is as large as the distance.
+    Boxes are dealt to tiles about as large as the distance. How many degrees of longitude that is follows from the latitude farthest from the equator
+    that a point within the distance can have; next to a pole a box goes all around. Boxes are tested before any distance is worked out.
     """
     size = metres / METRES_PER_DEGREE_LAT
-    wide = metres / 55_000  # degrees of longitude up to 60 degrees of latitude
-    seg = line_segments(lines)
-    box = F.struct((F.least("lon1", "lon2") - wide).alias("west"), (F.least("lat1", "lat2") - size).alias("south"), (F.greatest("lon1", "lon2") + wide).alias("east"), (F.greatest("lat1", "lat2") + size).alias("north"))
-    tile = max(wide, 0.01)
-    dealt = seg.withColumn("_t", F.explode(_tiles(box, tile))).withColumns({"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}).drop("_t")
+    farthest = F.greatest(F.abs("lat1"), F.abs("lat2")) + size
+    wide = F.when(farthest < 89.9, metres / (METRES_PER_DEGREE_LON * F.cos(F.radians(farthest))) * (1 + 1e-9)).otherwise(360.0)
+    edges = {"west": F.least("lon1", "lon2") - wide, "south": F.least("lat1", "lat2") - size, "east": F.greatest("lon1", "lon2") + wide, "north": F.greatest("lat1", "lat2") + size}
+    boxed = segments.withColumn("_box", F.struct(*(c.alias(name) for name, c in edges.items())))
+    tile = max(size, 0.01)
+    dealt = boxed.withColumn("_t", F.explode(_tiles(F.col("_box"), tile))).withColumns({"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}).drop("_t")
     met = points.withColumns({"_tx": F.floor(F.col("lon") / tile), "_ty": F.floor(F.col("lat") / tile)}).join(dealt, ["_tx", "_ty"])
+    met = met.where(F.col("lon").between(F.col("_box.west"), F.col("_box.east")) & F.col("lat").between(F.col("_box.south"), F.col("_box.north")))
     ax, ay = plane(F.col("lon1"), F.col("lat1"), F.col("lon"), F.col("lat"))
     bx, by = plane(F.col("lon2"), F.col("lat2"), F.col("lon"), F.col("lat"))
     d, fx, fy = segment_distance(ax, ay, bx, by)
-    near = met.withColumns({"_d": d, "_fx": fx, "_fy": fy}).where(F.col("_d") <= metres)
+    return met.withColumns({"_d": d, "_fx": fx, "_fy": fy}).where(F.col("_d") <= metres)
+
+
+def nearest_within(points: DataFrame, lines: DataFrame, metres: float) -> DataFrame:
+    """id, fid, metres, bearing, foot_lon, foot_lat of the nearest line within a distance; ties by fid and segment."""
+    near = _near_segments(points, line_segments(lines), metres)
     best = near.groupBy("id", "lon", "lat").agg(F.min(F.struct(F.round("_d", 6).alias("metres"), "fid", "n", "_fx", "_fy")).alias("_b"))
     east, north = F.col("_b._fx"), F.col("_b._fy")
     return best.select(
@@ -123,16 +133,8 @@ def boundary_lines(polygons: DataFrame) -> DataFrame:
 def distance_to_polygons(points: DataFrame, polygons: DataFrame, metres: float) -> DataFrame:
     """Of polygons that don't hold a point, those within a distance, nearest first: id, fid, metres."""
     lines = boundary_lines(polygons).select(F.concat_ws("/", F.col("fid").cast("string"), F.col("part").cast("string")).alias("_line"), "fid", "pts")
-    near = None
-    segs = line_segments(lines.select(F.col("_line").alias("fid"), "pts")).withColumn("poly", F.substring_index("fid", "/", 1).cast("long"))
-    size, wide = metres / METRES_PER_DEGREE_LAT, metres / 55_000
-    box = F.struct((F.least("lon1", "lon2") - wide).alias("west"), (F.least("lat1", "lat2") - size).alias("south"), (F.greatest("lon1", "lon2") + wide).alias("east"), (F.greatest("lat1", "lat2") + size).alias("north"))
-    tile = max(wide, 0.01)
-    dealt = segs.withColumn("_t", F.explode(_tiles(box, tile))).withColumns({"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}).drop("_t", "fid")
-    met = points.withColumns({"_tx": F.floor(F.col("lon") / tile), "_ty": F.floor(F.col("lat") / tile)}).join(dealt, ["_tx", "_ty"])
-    ax, ay = plane(F.col("lon1"), F.col("lat1"), F.col("lon"), F.col("lat"))
-    bx, by = plane(F.col("lon2"), F.col("lat2"), F.col("lon"), F.col("lat"))
-    near = met.withColumn("_d", segment_distance(ax, ay, bx, by)[0]).where(F.col("_d") <= metres)
+    segments = line_segments(lines.select(F.col("_line").alias("fid"), "pts")).withColumn("poly", F.substring_index("fid", "/", 1).cast("long")).drop("fid")
+    near = _near_segments(points, segments, metres)
     held = containing(points, polygons).select("id", F.col("fid").alias("poly"))
     return near.groupBy("id", "poly").agg(F.round(F.min("_d"), 6).alias("metres")).join(held, ["id", "poly"], "left_anti").withColumnRenamed("poly", "fid")
 
@@ -151,27 +153,37 @@ def touches_box(points: Column, box: tuple[float, float, float, float], margin:
     return F.exists(points, lambda p: in_box(p["lon"], p["lat"], (west - margin, south - margin, east + margin, north + margin)))
 
 
-def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02) -> DataFrame:
-    """id, lon, lat, vertex_lon, vertex_lat, metres of the nearest vertex: rings of cells around the point until one holds a vertex and one more."""
+#: Cells of a ring's reach and how many times larger than the smallest they are, one round after the other.
+VERTEX_RINGS = ((1, 1), (4, 1), (16, 1), (16, 8), (16, 64))
+
+
+def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02, rings: tuple[tuple[int, int], ...] = VERTEX_RINGS) -> DataFrame:
+    """id, lon, lat, vertex_lon, vertex_lat, metres of the nearest vertex: rings of cells around the point until one holds a vertex that nothing outside can beat.
+
+    Points without one get larger rings, of larger cells. Beyond the last ring (16 cells of 1.28 degrees, as parameters stand) the vertex is null: every point
+    has its row. Only the ring's inner border bounds what is certain, in longitude that of the latitude where meridians are closest. Rounds are written to the shared folder.
+    """
     from ..functions.geodesy import haversine
 
     vertices = lines.select(F.posexplode("pts").alias("n", "p"), "fid").select("fid", "n", F.col("p.lon").alias("vertex_lon"), F.col("p.lat").alias("vertex_lat"))
-    keyed = vertices.withColumns({"_tx": F.floor(F.col("vertex_lon") / cell), "_ty": F.floor(F.col("vertex_lat") / cell)})
     left, done = points.select("id", "lon", "lat"), None
-    reach = 1
-    while True:
+    for reach, larger in rings:
+        size = cell * larger
+        keyed = vertices.withColumns({"_tx": F.floor(F.col("vertex_lon") / size), "_ty": F.floor(F.col("vertex_lat") / size)})
         span = F.sequence(F.lit(-reach), F.lit(reach))
-        around = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).withColumns({"_tx": F.floor(F.col("lon") / cell) + F.col("_dx"), "_ty": F.floor(F.col("lat") / cell) + F.col("_dy")})
+        around = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).withColumns({"_tx": F.floor(F.col("lon") / size) + F.col("_dx"), "_ty": F.floor(F.col("lat") / size) + F.col("_dy")})
         met = around.join(keyed, ["_tx", "_ty"]).withColumn("_m", haversine(F.col("lon"), F.col("lat"), F.col("vertex_lon"), F.col("vertex_lat")))
         best = met.groupBy("id", "lon", "lat").agg(F.min(F.struct(F.round("_m", 6).alias("metres"), "fid", "n", "vertex_lon", "vertex_lat")).alias("_b"))
-        # certain if nearer than the ring's inner border, which is narrowest in longitude
-        safe = reach * cell * METRES_PER_DEGREE_LON * F.cos(F.radians(F.col("lat"))) * 0.98
-        sure = best.where(F.col("_b.metres") <= safe).select("id", "lon", "lat", "_b.vertex_lon", "_b.vertex_lat", "_b.metres")
+        # where meridians are closest within the distance that is asked for
+        pole = F.least(F.abs("lat") + F.col("_b.metres") / METRES_PER_DEGREE_LAT, F.lit(90.0))
+        safe = reach * size * METRES_PER_DEGREE_LON * F.cos(F.radians(pole)) * 0.98
+        sure = materialise(best.where(F.col("_b.metres") <= safe).select("id", "lon", "lat", "_b.vertex_lon", "_b.vertex_lat", "_b.metres"), "sure")
         done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select("id"), "id", "left_anti")
-        if reach >= 64 or not left.limit(1).count():
+        left = materialise(left.join(sure.select("id"), "id", "left_anti"), "left")
+        if left.isEmpty():
             return done
-        reach *= 4
+    nothing = F.lit(None).cast("double")
+    return done.unionByName(left.select("id", "lon", "lat", nothing.alias("vertex_lon"), nothing.alias("vertex_lat"), nothing.alias("metres")))
 
 
 def interior_points(spark, polygons: DataFrame, lattice: int = 13, aspect_cap: float = 1.5) -> DataFrame:
