@@ -24,26 +24,27 @@ def quads(grid: DataFrame, value: str) -> DataFrame:
 
 
 def segments(grid: DataFrame, value: str, interval: float) -> DataFrame:
-    """(level, y, x, side_a, side_b, ax, ay, bx, by): line segments in squares; sides T, R, B, L; positions in cells."""
+    """(level, y, x, side_a, side_b, ax, ay, bx, by): line segments in squares; sides T, R, B, L; positions in cells, the
+    first cell's centre at 0.5. A level is raised by ``NUDGE`` for the cut alone, so that no value lies on it."""
     quad = quads(grid, value)
     low, high = F.least("a", "b", "c", "d"), F.greatest("a", "b", "c", "d")
     first, last = F.ceil((low - NUDGE) / interval), F.floor((high - NUDGE) / interval)
-    at = quad.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last))).withColumn("level", F.col("_k") * interval + NUDGE)
-    above = lambda c: F.col(c) > F.col("level")
+    at = quad.where(first <= last).withColumn("_k", F.explode(F.sequence(first, last))).withColumns({"level": F.col("_k") * interval, "_cut": F.col("_k") * interval + NUDGE})
+    above = lambda c: F.col(c) > F.col("_cut")
     at = at.withColumn("_case", above("a").cast("int") + 2 * above("b").cast("int") + 4 * above("c").cast("int") + 8 * above("d").cast("int"))
-    middle = (F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4 > F.col("level")
+    middle = (F.col("a") + F.col("b") + F.col("c") + F.col("d")) / 4 > F.col("_cut")
     pairs = lambda *names: F.array(*map(F.lit, names))
     # opposite corners above: the centre tells whether they are joined
     choice = F.when(F.col("_case") == 5, F.when(middle, pairs("TR", "LB")).otherwise(pairs("LT", "RB"))).when(F.col("_case") == 10, F.when(middle, pairs("LT", "RB")).otherwise(pairs("TR", "LB")))
     for case, sides in CASES.items():
         choice = choice.when(F.col("_case") == case, pairs(*sides))
     each = at.withColumn("_s", F.explode(choice)).withColumns({"side_a": F.substring("_s", 1, 1), "side_b": F.substring("_s", 2, 1)})
-    cut = lambda p, q: (F.col("level") - F.col(p)) / (F.col(q) - F.col(p))
+    cut = lambda p, q: (F.col("_cut") - F.col(p)) / (F.col(q) - F.col(p)) + 0.5
 
     def spot(side: str) -> tuple[Column, Column]:
         s = F.col(side)
-        x = F.when(s == "T", F.col("x") + cut("a", "b")).when(s == "B", F.col("x") + cut("d", "c")).when(s == "L", F.col("x").cast("double")).otherwise(F.col("x") + 1.0)
-        y = F.when(s == "L", F.col("y") + cut("a", "d")).when(s == "R", F.col("y") + cut("b", "c")).when(s == "T", F.col("y").cast("double")).otherwise(F.col("y") + 1.0)
+        x = F.when(s == "T", F.col("x") + cut("a", "b")).when(s == "B", F.col("x") + cut("d", "c")).when(s == "L", F.col("x") + 0.5).otherwise(F.col("x") + 1.5)
+        y = F.when(s == "L", F.col("y") + cut("a", "d")).when(s == "R", F.col("y") + cut("b", "c")).when(s == "T", F.col("y") + 0.5).otherwise(F.col("y") + 1.5)
         return x, y
 
     (ax, ay), (bx, by) = spot("side_a"), spot("side_b")

@@ -537,18 +537,18 @@ def f_saddle_axis(spark, d):
 
 
 _CASES = " ".join(f"WHEN {c} THEN ['{s[0]}']" for c, s in contour.CASES.items())
-_SPOT = {"T": ("x + (lv - a)/(b - a)", "y"), "B": ("x + (lv - d)/(c - d)", "y + 1"), "L": ("x", "y + (lv - a)/(d - a)"), "R": ("x + 1", "y + (lv - b)/(c - b)")}
+_SPOT = {"T": ("x + ((lv - a)/(b - a) + 0.5)", "y + 0.5"), "B": ("x + ((lv - d)/(c - d) + 0.5)", "y + 1.5"), "L": ("x + 0.5", "y + ((lv - a)/(d - a) + 0.5)"), "R": ("x + 1.5", "y + ((lv - b)/(c - b) + 0.5)")}
 
 
 def _spot_sql(side: str, axis: int) -> str:
     return "CASE " + side + " " + " ".join(f"WHEN '{k}' THEN {v[axis]}" for k, v in _SPOT.items()) + " END"
 
 
-@query(f"""WITH {SQL_DEM}, q AS (SELECT a.y, a.x, a.z AS a, b.z AS b, c.z AS c, e.z AS d FROM dem a JOIN dem b ON b.y = a.y AND b.x = a.x + 1 JOIN dem c ON c.y = a.y + 1 AND c.x = a.x + 1 JOIN dem e ON e.y = a.y + 1 AND e.x = a.x),
+@query(f"""WITH {SQL_DEM}, w AS (SELECT y, x, z AS a, lead(z) OVER (PARTITION BY y ORDER BY x) AS b FROM dem), q AS (SELECT * FROM (SELECT *, lead(a) OVER (PARTITION BY x ORDER BY y) AS d, lead(b) OVER (PARTITION BY x ORDER BY y) AS c FROM w) WHERE a + b + c + d IS NOT NULL),
   l AS (SELECT *, unnest(range(CAST(ceil((least(a,b,c,d) - {contour.NUDGE})/20) AS BIGINT), CAST(floor((greatest(a,b,c,d) - {contour.NUDGE})/20) AS BIGINT) + 1)) * 20 + {contour.NUDGE}e0 AS lv FROM q),
   k AS (SELECT *, CAST(a > lv AS INT) + 2*CAST(b > lv AS INT) + 4*CAST(c > lv AS INT) + 8*CAST(d > lv AS INT) AS ca, (a + b + c + d)/4 > lv AS mid FROM l),
   s AS (SELECT *, unnest(CASE ca WHEN 5 THEN CASE WHEN mid THEN ['TR','LB'] ELSE ['LT','RB'] END WHEN 10 THEN CASE WHEN mid THEN ['LT','RB'] ELSE ['TR','LB'] END {_CASES} END) AS sd FROM k), t AS (SELECT *, substr(sd, 1, 1) AS sa, substr(sd, 2, 1) AS sb FROM s)
-  SELECT round(lv, 6) AS level, y, x, sa AS side_a, sb AS side_b, round({_spot_sql("sa", 0)}, 6) AS ax, round({_spot_sql("sa", 1)}, 6) AS ay, round({_spot_sql("sb", 0)}, 6) AS bx, round({_spot_sql("sb", 1)}, 6) AS by FROM t""")
+  SELECT round(lv - {contour.NUDGE}e0, 6) AS level, y, x, sa AS side_a, sb AS side_b, round({_spot_sql("sa", 0)}, 6) AS ax, round({_spot_sql("sa", 1)}, 6) AS ay, round({_spot_sql("sb", 0)}, 6) AS bx, round({_spot_sql("sb", 1)}, 6) AS by FROM t""")
 def f_contour_segments(spark, d):
     return contour.segments(fx.dem(spark, d), "z", 20.0).select(r(F.col("level")).alias("level"), "y", "x", "side_a", "side_b", *(r(F.col(c)).alias(c) for c in ("ax", "ay", "bx", "by")))
 
@@ -627,7 +627,7 @@ def j_areal_share(spark, d):
 
 
 @query(f"""WITH {SQL_POINTS}, {_SEGS}, v AS (SELECT DISTINCT x, y FROM (SELECT x1 AS x, y1 AS y FROM sg UNION ALL SELECT x2, y2 FROM sg)), m AS (SELECT id, min(2*6371008.8*asin(sqrt(pow(sin(radians(y - lat)/2), 2) + cos(radians(lat))*cos(radians(y))*pow(sin(radians(x - lon)/2), 2)))) AS m FROM pts, v GROUP BY id)
-  SELECT id, round(m, 3) AS metres FROM m""")
+  SELECT id, round(round(m, 6), 3) AS metres FROM m""")
 def j_nearest_vertex(spark, d):
     return vector.nearest_vertex(fx.points(spark, d), fx.lines(spark, d)).select("id", r(F.col("metres"), 3).alias("metres"))
 
