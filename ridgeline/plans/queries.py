@@ -861,7 +861,14 @@ def _packed_cells(spark, d):
     )
 
 
-@query()
+_CLIP = lambda e: f"least(greatest(round({e}), 0), 255)"
+
+
+@query(f"""WITH {SQL_COVER}, p AS (SELECT y, x, {_CLIP("(x*7 + y) % 90/2e0*2")} AS a_r, CASE WHEN (x*7 + y) % 90/2e0 < 2 THEN 255 ELSE {_CLIP("(x*11 + y*3) % 360/1.5e0")} END AS a_g, CAST(code AS INT) AS cover, CAST((x + y) % 10 + 1 AS INT) AS landform,
+    {_CLIP("(4 + (x + y) % 180/12e0 - 4)*12")} AS b_g, {_CLIP("(x*y) % 200/16e0*16")} AS b_b, CAST((x + 3*y) % 122 + 1 AS INT) AS snow_day, {_CLIP("(x*5 + y) % 240/20e0*60/3")} AS c_g, CAST((x + y) % 2 AS INT) AS seen, CAST((x + y) % 15 AS INT) AS n_seen,
+    {_CLIP("(x - y) % 25/4e0*4 + 128")} AS d_r, {_CLIP("(x*3 - y) % 90/32e0*32 + 128")} AS d_g, {_CLIP("(x - 2*y) % 90/32e0*32 + 128")} AS d_b FROM cover)
+  SELECT y, x, a_r/2 AS slope, CASE WHEN a_g <> 255 THEN a_g*1.5e0 END AS aspect, cover, landform, CASE WHEN b_g <> 255 THEN b_g/12 + 4 END AS first_sun, b_b/16 AS sun_hours, snow_day, CASE WHEN c_g <> 255 THEN c_g*3/60 END AS walk_hours, seen, n_seen,
+    CASE WHEN d_r <> 0 THEN (d_r - 128)/4 END AS shelter, (d_g - 128)/32 AS tpi300, (d_b - 128)/32 AS tpi2000 FROM p""")
 def s_packed_round_trip(spark, d):
     """Channels of the packed grids, unpacked again."""
     return packed.unpack(packed.pack(_packed_cells(spark, d)))
@@ -896,7 +903,8 @@ def describe_points(spark, d):
     return at.select("id", r(F.col("height")).alias("height"), r(F.col("slope")).alias("slope"), r(F.col("aspect")).alias("aspect"), facing.alias("facing"), r(m, 3).alias("metres"), r(b).alias("bearing"), geodesy.compass16(b).alias("compass"))
 
 
-@query()
+@query(f"""WITH b AS ({ORACLE_SQL["describe_points"]}) SELECT id, CAST(seq AS INT) AS seq, name, value, note FROM (
+  SELECT id, 0 AS seq, 'Height' AS name, CAST(round(height) AS VARCHAR) AS value, 'm' AS note FROM b UNION ALL SELECT id, 1, 'Slope', CAST(round(slope) AS VARCHAR), facing FROM b UNION ALL SELECT id, 2, 'Distance', CAST(round(metres) AS VARCHAR), compass FROM b) WHERE value IS NOT NULL""")
 def describe_rows(spark, d):
     """The same, unpivoted to named facts."""
     p = describe_points(spark, d)
