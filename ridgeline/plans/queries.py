@@ -180,13 +180,13 @@ def t_sun_position(spark, d):
     return astro.sun_position(bare, *args).select("date", "hour", r(F.col("azimuth"), 5).alias("azimuth"), r(F.col("altitude"), 5).alias("altitude"), r(F.col("bare"), 5).alias("bare"))
 
 
-def _sql_crossing() -> str:
+def _sql_crossing(zenith: float = 90.833, tag: str = "") -> str:
     parts, source = [], f"(SELECT date, n, 12 - ({HERE[0]})/15e0 + off AS hour, k, true AS ok FROM dd, (VALUES ('rise', -6e0), ('set', 6e0), ('noon', 0e0)) v(k, off))"
     for i in range(4):
-        parts.append(sql_solar("n + 2440587.5 + hour/24", source, f"p{i}"))
-        parts.append(f"x{i} AS (SELECT *, (cos(radians(90.833)) - sin(radians({HERE[1]}))*sin(radians(decl)))/(cos(radians({HERE[1]}))*cos(radians(decl))) AS c FROM p{i}solar)")
-        parts.append(f"y{i} AS (SELECT date, n, k, (720 - 4*({HERE[0]}) - eqt)/60 + CASE k WHEN 'rise' THEN -1 WHEN 'set' THEN 1 ELSE 0 END * degrees(acos(c))/15 AS hour FROM x{i})")
-        source = f"y{i}"
+        parts.append(sql_solar("n + 2440587.5 + hour/24", source, f"{tag}p{i}"))
+        parts.append(f"{tag}x{i} AS (SELECT *, (cos(radians({zenith})) - sin(radians({HERE[1]}))*sin(radians(decl)))/(cos(radians({HERE[1]}))*cos(radians(decl))) AS c FROM {tag}p{i}solar)")
+        parts.append(f"{tag}y{i} AS (SELECT date, n, k, (720 - 4*({HERE[0]}) - eqt)/60 + CASE k WHEN 'rise' THEN -1 WHEN 'set' THEN 1 ELSE 0 END * degrees(acos(c))/15 AS hour FROM {tag}x{i})")
+        source = f"{tag}y{i}"
     return ", ".join(parts)
 
 
@@ -199,17 +199,25 @@ def t_sun_crossing(spark, d):
 _PHASES = " ".join(f"WHEN el >= {a} THEN '{n}'" for a, n in reversed(astro.MOON_PHASES))
 
 
-@query(f"""WITH {_DATES}, a AS (SELECT date, (n + 2440587.5 + 0.25 - 2451545)/36525e0 AS t FROM dd),
-  b AS (SELECT date, ((297.8501921 + 445267.1114034*t) % 360 + 360) % 360 AS d, ((357.5291092 + 35999.0502909*t) % 360 + 360) % 360 AS m, ((134.9633964 + 477198.8675055*t) % 360 + 360) % 360 AS p FROM a),
-  c AS (SELECT date, (1 + cos(radians(180 - d - 6.289*sin(radians(p)) + 2.1*sin(radians(m)) - 1.274*sin(radians(2*d - p)) - 0.658*sin(radians(2*d)) - 0.214*sin(radians(2*p)) - 0.11*sin(radians(d)))))/2 AS lit,
-    ((d + 6.289*sin(radians(p)) - 2.1*sin(radians(m)) + 1.274*sin(radians(2*d - p)) + 0.658*sin(radians(2*d))) % 360 + 360) % 360 AS el FROM b)
-  SELECT date, round(lit, 6) AS lit, round(el/360*29.530588, 5) AS age, CASE {_PHASES} ELSE 'new' END AS phase FROM c""")
+def _sql_moon(hours: str, source: str) -> str:
+    """CTE moons (date, lit, age, phase) over a table with date and n."""
+    return f"""ma AS (SELECT date, (n + 2440587.5 + ({hours})/24e0 - 2451545)/36525e0 AS t FROM {source}),
+  mb AS (SELECT date, ((297.8501921 + 445267.1114034*t) % 360 + 360) % 360 AS d, ((357.5291092 + 35999.0502909*t) % 360 + 360) % 360 AS m, ((134.9633964 + 477198.8675055*t) % 360 + 360) % 360 AS p FROM ma),
+  mc AS (SELECT date, (1 + cos(radians(180 - d - 6.289*sin(radians(p)) + 2.1*sin(radians(m)) - 1.274*sin(radians(2*d - p)) - 0.658*sin(radians(2*d)) - 0.214*sin(radians(2*p)) - 0.11*sin(radians(d)))))/2 AS lit,
+    ((d + 6.289*sin(radians(p)) - 2.1*sin(radians(m)) + 1.274*sin(radians(2*d - p)) + 0.658*sin(radians(2*d))) % 360 + 360) % 360 AS el FROM mb),
+  moons AS (SELECT date, lit, el/360*29.530588 AS age, CASE {_PHASES} ELSE 'new' END AS phase FROM mc)"""
+
+
+@query(f"WITH {_DATES}, {_sql_moon('6', 'dd')} SELECT date, round(lit, 6) AS lit, round(age, 5) AS age, phase FROM moons")
 def t_moon(spark, d):
     lit, age, name = astro.moon(astro.days_of(F.col("date")), F.lit(6.0))
     return _dates(spark, d).select("date", r(lit).alias("lit"), r(age, 5).alias("age"), name.alias("phase"))
 
 
-@query()
+@query(f"""WITH days AS (SELECT CAST(u AS DATE) AS date FROM range(DATE '2026-09-28', DATE '2026-12-01', INTERVAL 1 DAY) v(u)), dd AS (SELECT date, date_diff('day', DATE '1970-01-01', date) AS n, CASE WHEN date < DATE '2026-11-01' THEN -6 ELSE -7 END AS utc FROM days), {_sql_crossing()}, {_sql_crossing(96.0, "v")}, {_sql_moon("24 - utc", "dd")},
+  s AS (SELECT date, max(hour) FILTER (k = 'rise') AS rise, max(hour) FILTER (k = 'set') AS set FROM y3 GROUP BY date), c AS (SELECT date, max(hour) FILTER (k = 'rise') AS rise, max(hour) FILTER (k = 'set') AS set FROM vy3 GROUP BY date)
+  SELECT dd.date, CASE utc WHEN -6 THEN 'MDT' ELSE 'MST' END AS zone, phase AS moon_phase, round(s.rise + utc, 5) AS rise, round(s.set + utc, 5) AS set, round(s.rise + utc - 0.5, 5) AS legal_from, round(s.set + utc + 0.5, 5) AS legal_to, round(c.rise + utc, 5) AS civil_rise, round(c.set + utc, 5) AS civil_set, round(lit, 5) AS moon_lit, round(age, 5) AS moon_age
+  FROM dd JOIN s ON s.date = dd.date JOIN c ON c.date = dd.date JOIN moons ON moons.date = dd.date""")
 def t_day_table(spark, d):
     """Rise, set, legal light, twilight, zone and moon of each date of the season."""
     days = spark.sql("SELECT explode(sequence(date'2026-09-28', date'2026-11-30')) AS date")
