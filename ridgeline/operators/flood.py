@@ -186,6 +186,16 @@ def _whole(pdf: pd.DataFrame, value: str) -> np.ndarray:
     return z
 
 
+#: Cells of a grid that one task takes as a whole; larger ones have to be cut into basins or windows first.
+MOST_CELLS = 50_000_000
+
+
+def _bounded(grid: DataFrame) -> DataFrame:
+    """The grid; it fails where a cell is read that shows it to be too large for one task."""
+    too_far = (F.col("y").cast("long") + 1) * (F.col("x").cast("long") + 1) > MOST_CELLS
+    return grid.where(F.when(too_far, F.raise_error(F.lit(f"a grid of more than {MOST_CELLS} cells doesn't go to one task: cut it into basins or windows")).cast("boolean")).otherwise(F.lit(True)))
+
+
 def travel_table(grid: DataFrame, starts: DataFrame, cell: float, value: str = "z", factor: str = "factor") -> DataFrame:
     """(start, reverse, y, x, hours, before_y, before_x) for each start (start, sy, sx, reverse); one task per start. Unreachable cells are absent."""
 
@@ -197,7 +207,7 @@ def travel_table(grid: DataFrame, starts: DataFrame, cell: float, value: str = "
         w = before.shape[1]
         return pd.DataFrame({"start": s["start"], "reverse": bool(s["reverse"]), "y": y, "x": x, "hours": hours[y, x], "before_y": pd.array(np.where(b < 0, -1, b // w), "Int64").astype("int32"), "before_x": np.where(b < 0, -1, b % w).astype("int32")})
 
-    each = grid.select("y", "x", F.col(value).cast("double").alias(value), F.col(factor).cast("double").alias(factor)).join(F.broadcast(starts.select(F.col("start").alias("start"))))
+    each = _bounded(grid).select("y", "x", F.col(value).cast("double").alias(value), F.col(factor).cast("double").alias(factor)).join(F.broadcast(starts.select(F.col("start").alias("start"))))
     out = "start int, reverse boolean, y int, x int, hours double, before_y int, before_x int"
     return each.groupBy("start").cogroup(starts.groupBy("start")).applyInPandas(run, out)
 
@@ -213,7 +223,7 @@ def drainage_table(grid: DataFrame, cell: float, value: str = "z") -> DataFrame:
         none = d < 0
         return pd.DataFrame({"y": y, "x": x, "filled": filled.ravel(), "down_y": pd.Series(np.where(none, 0, d // w)).mask(none).astype("Int32"), "down_x": pd.Series(np.where(none, 0, d % w)).mask(none).astype("Int32"), "area_km2": area.ravel()})
 
-    return grid.select("y", "x", F.col(value).cast("double").alias(value)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "y int, x int, filled double, down_y int, down_x int, area_km2 double")
+    return _bounded(grid).select("y", "x", F.col(value).cast("double").alias(value)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "y int, x int, filled double, down_y int, down_x int, area_km2 double")
 
 
 def stream_table(drained: DataFrame, threshold: float) -> DataFrame:
@@ -228,7 +238,7 @@ def stream_table(drained: DataFrame, threshold: float) -> DataFrame:
         rows = [(k, s, c // w, c % w, km2) for k, (cells, km2) in enumerate(streams(down, area, threshold)) for s, c in enumerate(cells)]
         return pd.DataFrame(rows, columns=["reach", "seq", "y", "x", "km2"])
 
-    return drained.select("y", "x", "down_y", "down_x", "area_km2").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "reach int, seq int, y int, x int, km2 double")
+    return _bounded(drained).select("y", "x", "down_y", "down_x", "area_km2").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "reach int, seq int, y int, x int, km2 double")
 
 
 def summit_table(grid: DataFrame, least: float, top: int = 14, value: str = "z") -> DataFrame:
@@ -237,7 +247,7 @@ def summit_table(grid: DataFrame, least: float, top: int = 14, value: str = "z")
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(summits(_whole(pdf, value), least), columns=["y", "x", "height", "prominence", "saddle_y", "saddle_x", "edge"])
 
-    found = grid.select("y", "x", F.col(value).cast("double").alias(value)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "y int, x int, height double, prominence double, saddle_y int, saddle_x int, edge boolean")
+    found = _bounded(grid).select("y", "x", F.col(value).cast("double").alias(value)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "y int, x int, height double, prominence double, saddle_y int, saddle_x int, edge boolean")
     return found.orderBy(F.desc("prominence"), "y", "x").limit(top)
 
 

@@ -126,3 +126,11 @@ def test_landforms_partition(spark, rough):
     assert math.isclose(sum(r["share"] for r in out), 1) and all(1 <= r["k"] <= 10 for r in out)
     m = both.agg(F.avg("s"), F.stddev_pop("s")).first()
     assert abs(m[0]) < 1e-9 and math.isclose(m[1], 1)
+
+
+def test_grids_too_large_for_a_task_are_refused(spark, monkeypatch):
+    grid = grid_of(spark, np.arange(20.0).reshape(4, 5))
+    assert flood.drainage_table(grid, 30.0).count() == 20
+    monkeypatch.setattr(flood, "MOST_CELLS", 19)
+    with pytest.raises(Exception, match="cut it into"):
+        flood.drainage_table(grid, 30.0).collect()
