@@ -148,9 +148,9 @@ def areal_share(spark, polygons: DataFrame, box: tuple[float, float, float, floa
 
 
 def touches_box(points: Column, box: tuple[float, float, float, float], margin: float = 0.02) -> Column:
-    """Whether any vertex lies in the grown box."""
+    """Whether any vertex lies inside the grown box; on its border is outside."""
     west, south, east, north = box
-    return F.exists(points, lambda p: in_box(p["lon"], p["lat"], (west - margin, south - margin, east + margin, north + margin)))
+    return F.exists(points, lambda p: (p["lon"] > west - margin) & (p["lon"] < east + margin) & (p["lat"] > south - margin) & (p["lat"] < north + margin))
 
 
 #: Cells of a ring's reach and how many times larger than the smallest they are, one round after the other.

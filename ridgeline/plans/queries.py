@@ -475,20 +475,6 @@ def v_wind_shelter(spark, d):
     return rays.wind_shelter(fx.dem(spark, d), 270.0, 120.0, CELL, WIDTH, fx.height(spark, d)).select("y", "x", r(F.col("shelter")).alias("shelter"))
 
 
-@query(f"""WITH {_PAIRS}, pp AS (SELECT id, seq, id * 100 + seq AS k, ox + (tx - ox) * (seq / 20e0) AS px, oy + (ty - oy) * (seq / 20e0) AS py, sqrt((tx-ox)*(tx-ox) + (ty-oy)*(ty-oy)) * 30 AS m FROM pairs, (SELECT CAST(unnest(range(21)) AS INT) AS seq)), {_bilinear_sql("pp", "k")},
-  z AS (SELECT id, seq, m, v, v - lag(v) OVER (PARTITION BY id ORDER BY seq) AS dz FROM pp JOIN bil USING (k))
-  SELECT id, round(max(m), 6) AS metres, round(sum(greatest(dz, 0)), 6) AS climb, round(sum(greatest(-dz, 0)), 6) AS descent, round(sum(sqrt(dz*dz + (m/20)*(m/20))), 6) AS surface FROM z GROUP BY id""")
-def v_measure(spark, d):
-    """Two-point measure: distance, climb, descent and the path along the ground."""
-    p = _pairs(spark, d)
-    far = p.select("id", (F.sqrt(F.pow(F.col("tx") - F.col("ox"), F.lit(2)) + F.pow(F.col("ty") - F.col("oy"), F.lit(2))) * CELL).alias("m"))
-    at = rays.profile_points(p, 20).withColumn("k", F.col("id") * 100 + F.col("seq"))
-    z = raster.sample_bilinear(at, fx.dem(spark, d), "z", WIDTH, fx.height(spark, d), "k", out="v").join(far, "id")
-    dz = F.col("v") - F.lag("v").over(Window.partitionBy("id").orderBy("seq"))
-    step = z.withColumn("dz", dz)
-    return step.groupBy("id").agg(r(F.max("m")).alias("metres"), r(F.sum(F.when(F.col("dz").isNotNull(), F.greatest("dz", F.lit(0.0))))).alias("climb"), r(F.sum(F.when(F.col("dz").isNotNull(), F.greatest(-F.col("dz"), F.lit(0.0))))).alias("descent"), r(F.sum(F.sqrt(F.col("dz") * F.col("dz") + F.pow(F.col("m") / 20, F.lit(2))))).alias("surface"))
-
-
 @query(f"""WITH {SQL_DEM}, sc AS (SELECT y, x, z FROM dem WHERE y % 9 = 4 AND x % 9 = 4), m AS (SELECT dem.y, dem.x, sc.z, (sc.y - dem.y)*(sc.y - dem.y) + (sc.x - dem.x)*(sc.x - dem.x) AS d2 FROM dem JOIN sc ON sc.y BETWEEN dem.y - 10 AND dem.y + 10 AND sc.x BETWEEN dem.x - 10 AND dem.x + 10)
   SELECT y, x, round(sum(exp(-d2/18e0) * z) / sum(exp(-d2/18e0)), 6) AS z FROM m WHERE d2 <= 100 GROUP BY y, x""")
 def v_kernel_smooth(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; tests may leave that unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "ridgeline-tables")
+    """A fresh path in the folder that spark.checkpoint.dir names. Where that is unset a session on this machine alone uses a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "ridgeline-tables")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
