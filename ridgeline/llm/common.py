@@ -62,3 +62,14 @@ def whole_text(name: str = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))
 
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes not to meet a column of the table."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

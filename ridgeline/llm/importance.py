@@ -10,7 +10,8 @@ k is ``keep_share`` of all rows; by default the share of good ones among all lab
 so the keys are never sorted or gathered; they are written to the shared folder once and scanned a few times.
 
 Defined results: null and empty texts have no n-grams and take the smallest log ratio of all buckets; equal keys share one fate, so
-that ties at the threshold are all kept; without good labels the ratio is zero and noise decides alone; an empty table gives no rows.
+that ties at the threshold are all kept; rows of one id, or without one, share one draw of noise; a document with labels of both kinds
+counts as bad, a label without an id or outside 0 and 1 doesn't count; without good labels the ratio is zero and noise decides alone; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import free_names, whole_text
 
 TAU = 2
 MIN_CHARS = 20
@@ -304,11 +304,12 @@ def line_dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, alik
 
 
 def without_repeated_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, alike: float = ALIKE) -> DataFrame:
-    """The documents, with all their columns, less the lines that go; n_chars follows the text."""
-    found = document_verdicts(docs, tau, min_chars, alike).where(F.size("gone") > 0).select(F.col("id").alias("_line_id"), F.col("doc").alias("_line_doc"), F.col("gone").alias("_gone"))
+    """The documents, with all their columns, whatever their names, less the lines that go; n_chars follows the text."""
+    line_id, line_doc, gone_col, of_id, of_doc = free_names(docs, "_line_id", "_line_doc", "_gone", "_own_id", "_own_doc")
+    found = document_verdicts(docs, tau, min_chars, alike).where(F.size("gone") > 0).select(F.col("id").alias(line_id), F.col("doc").alias(line_doc), F.col("gone").alias(gone_col))
     own_id, own_doc = row_key()
-    joined = docs.select("*", own_id.alias("_own_id"), own_doc.alias("_own_doc")).join(found, (F.col("_own_id") == F.col("_line_id")) & (F.col("_own_doc") == F.col("_line_doc")), "left")
-    gone = F.col("_gone")
+    joined = docs.select("*", own_id.alias(of_id), own_doc.alias(of_doc)).join(found, (F.col(of_id) == F.col(line_id)) & (F.col(of_doc) == F.col(line_doc)), "left")
+    gone = F.col(gone_col)
     rest = F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda _, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(gone.isNull(), F.col("text")).otherwise(rest)
     out = joined.withColumn("text", text)

@@ -140,10 +140,12 @@ def positions(docs: DataFrame, weights: dict[str | None, float] | None = None, b
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", position_col: str | None = None) -> DataFrame:
     """The rows themselves, with the columns they came with, range-partitioned and sorted by their place in the mixture.
 
-    Files that are read again come in no order: what has to outlive them is ``position_col``, which holds the place where it is named.
+    Files that are read again come in no order: what has to outlive them is ``position_col``, which holds the place where it is named; a column
+    of that name that the rows came with gives way to it.
     """
     placed = positions(docs, weights, block_rows, id_col, source_col, carry=True).select("mix_position", "_row")
-    return in_order(placed, "mix_position").select("_row.*", *([F.col("mix_position").alias(position_col)] if position_col else []))
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if position_col is None or c.lower() != position_col.lower()]
+    return in_order(placed, "mix_position").select(*own, *([F.col("mix_position").alias(position_col)] if position_col else []))
 
 
 def in_order(rows: DataFrame, position_col: str) -> DataFrame:

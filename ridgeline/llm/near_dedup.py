@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, whole_text
+from .common import discard, free_names, materialise, whole_text
 from .components import components
 
 SHINGLE = 5
@@ -337,15 +337,16 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that stay, with all their columns; of rows that repeat an id and a text one stays, whichever."""
+    """The rows that stay, with all their columns, whatever their names; of rows that repeat an id and a text one stays, whichever."""
     rows = _classes(docs, threshold, "doc_id", "text").where("class_size > 1")
     fate = rows.groupBy("id", "doc").agg(F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")).where("NOT _stays OR _rows > 1")
-    fate = materialise(fate.select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), "_stays"), "fate")
+    fate_id, fate_doc, stays, of_id, of_doc = free_names(docs, "_id", "_doc", "_stays", "_own_id", "_own_doc")
+    fate = materialise(fate.select(F.col("id").alias(fate_id), F.col("doc").alias(fate_doc), F.col("_stays").alias(stays)), "fate")
     own_id, own_doc = row_key("doc_id", "text")
-    mine = own_id.eqNullSafe(F.col("_id")) & (own_doc == F.col("_doc"))
+    mine = own_id.eqNullSafe(F.col(fate_id)) & (own_doc == F.col(fate_doc))
     rest = docs.join(fate, mine, "left_anti")
-    repeated = fate.where("_stays")
+    repeated = fate.where(F.col(stays))
     if repeated.isEmpty():
         return rest
-    once = docs.select(F.struct("*").alias("_row"), own_id.alias("_own_id"), own_doc.alias("_own_doc")).join(repeated, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_doc") == F.col("_doc")), "left_semi")
-    return rest.unionByName(once.groupBy("_own_id", "_own_doc").agg(F.first("_row").alias("_row")).select("_row.*"))
+    once = docs.select(F.struct("*").alias("_row"), own_id.alias(of_id), own_doc.alias(of_doc)).join(repeated, F.col(of_id).eqNullSafe(F.col(fate_id)) & (F.col(of_doc) == F.col(fate_doc)), "left_semi")
+    return rest.unionByName(once.groupBy(of_id, of_doc).agg(F.first("_row").alias("_row")).select("_row.*"))
