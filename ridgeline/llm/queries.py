@@ -69,6 +69,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled outcome of a page is the row of labels with its id."""
+    from .url_filter import label_outcomes, url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"), label_outcomes(table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -80,8 +87,44 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
+    "op13_url_filter": op13_url_filter,
 }
 
+
+def _url_sql() -> str:
+    """Priors from suffix to domain to host, each level's spread by the method of moments."""
+
+    def shrunk(name: str, level: str) -> str:
+        return f"""{name}_s AS (SELECT CASE WHEN coalesce(sum(prior * (1 - prior) * (n - 1)) FILTER (n > 0), 0) = 0 THEN 0.1e0
+                ELSE least(0.99e0, greatest(0.001e0, (sum(n * pow(bad / n - prior, 2)) FILTER (n > 0) - sum(prior * (1 - prior)) FILTER (n > 0)) / sum(prior * (1 - prior) * (n - 1)) FILTER (n > 0))) END AS rho FROM {level}),
+            {name} AS (SELECT l.*, bad + (1 / rho - 1) * prior AS a, n - bad + (1 / rho - 1) * (1 - prior) AS b FROM {level} l, {name}_s)"""
+
+    two = "('ac.uk', 'co.in', 'co.jp', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.au', 'org.uk')"
+    last = lambda n: f"array_to_string(l[-{n}:], '.')"
+    return f"""
+        WITH u AS (SELECT row_number() OVER () AS row, page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
+                          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+        told AS (SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+        c AS (SELECT host, count(bad)::DOUBLE AS n, (count(*) FILTER (bad))::DOUBLE AS bad FROM u LEFT JOIN told ON doc_id = page_id GROUP BY host),
+        split AS (SELECT *, string_split(bare, '.') AS l FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?$', ''), '[.]$', '') AS bare FROM c)),
+        h0 AS (SELECT host, n, bad, CASE WHEN regexp_matches(bare, '^[0-9.]*$|^[[]') THEN bare WHEN {last(2)} IN {two} THEN {last(3)} ELSE {last(2)} END AS domain,
+                      CASE WHEN regexp_matches(bare, '^[0-9.]*$|^[[]') THEN bare WHEN {last(2)} IN {two} THEN {last(2)} ELSE {last(1)} END AS suffix FROM split),
+        d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h0 GROUP BY ALL),
+        s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM c) AS prior FROM d0 GROUP BY suffix),
+        {shrunk("s2", "s1")},
+        d1 AS (SELECT d0.*, a / (a + b) AS prior FROM d0 JOIN s2 USING (suffix)),
+        {shrunk("d2", "d1")},
+        h1 AS (SELECT h0.*, a / (a + b) AS prior FROM h0 JOIN d2 USING (domain, suffix)),
+        {shrunk("h2", "h1")},
+        h AS (SELECT host, n, greatest(0, a / (a + b) - 1.645e0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM h2),
+        rules AS (FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(says, place, start)),
+        best AS (SELECT page_id, u.host, path, max(CASE WHEN starts_with(path, start) THEN {{'size': length(place || start), 'says': says, 'rule': place || start}} END) AS r
+                 FROM u LEFT JOIN rules ON u.host = place OR ends_with(u.host, '.' || place) GROUP BY row, page_id, u.host, path)
+        SELECT page_id, host, path, r.rule AS rule, coalesce(r.says, CASE WHEN bound > 0.3e0 THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bad_bound, CAST(n AS BIGINT) AS n_labelled
+        FROM best JOIN h USING (host)
+    """
+
+
 def _secret_sql() -> str:
     """Spans from the lengths of gaps and matches, rule by rule."""
     from .secrets import BASE_RULES, RULES
@@ -105,6 +148,7 @@ def _secret_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op13_url_filter": _url_sql(),
     "op8_secret_scan": _secret_sql(),
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents)
