@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -69,6 +70,14 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with the first turns, up to five, of the first of its hundred."""
+    from .prefix_trie import prefix_trie, turns_in_order, with_shared_heads
+
+    turns = turns_in_order(table(spark, sf_dir, "conversations"))
+    return prefix_trie(*with_shared_heads(turns, 100, F.crc32(F.col("conv_id").cast("string")) % 6))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcome of a page is the row of labels with its id."""
     from .url_filter import label_outcomes, url_filter
@@ -87,10 +96,35 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_url_filter": op13_url_filter,
 }
 
 
+def _crc32_sql(ascii_text: str) -> str:
+    """crc32 bit by bit: a byte is taken in, then eight shifts, shown as -1, follow."""
+    steps = f"flatten(list_transform(string_split({ascii_text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+
+
+def _trie_sql() -> str:
+    """Nodes are lists of turns; sums over subtrees go up the members' paths."""
+    return f"""
+        WITH t AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (SELECT c.conv_id, c.l AS own, coalesce(b.l, []) AS base, CAST({_crc32_sql("CAST(c.conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM t c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 100),
+        r AS (SELECT conv_id, list_concat(base[1:h], own[h + 1:]) AS l FROM h),
+        o AS (SELECT conv_id, d, l[1:d] AS p, len(l) AS n, CASE WHEN d > 0 THEN length(l[d].text) ELSE 0 END AS size FROM r, unnest(range(len(l) + 1)) AS u(d)),
+        k AS (SELECT *, sha256(CAST(p AS VARCHAR)) AS node FROM o),
+        n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS leaf, (count(*) - 1) * any_value(size) AS saved, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM k GROUP BY node, d),
+        up AS (SELECT DISTINCT below.node AS node, above.node AS top FROM k below JOIN k above ON above.conv_id = below.conv_id AND above.d <= below.d),
+        s AS (SELECT top, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM up JOIN n USING (node) GROUP BY top),
+        e AS (SELECT DISTINCT c.node AS child, a.node AS parent FROM k c JOIN k a ON a.conv_id = c.conv_id AND a.d = c.d - 1),
+        m AS (SELECT parent, count(*) AS children FROM e GROUP BY parent)
+        SELECT n.conv_id, n.d AS depth, pn.conv_id AS parent_conv_id, n.n_convs, coalesce(children, 0) AS n_children, leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+        FROM n JOIN s ON s.top = n.node LEFT JOIN e ON e.child = n.node LEFT JOIN n pn ON pn.node = e.parent LEFT JOIN m ON m.parent = n.node
+    """
+
+
 def _url_sql() -> str:
     """Priors from suffix to domain to host, each level's spread by the method of moments."""
 
@@ -148,6 +182,7 @@ def _secret_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op11_prefix_trie": _trie_sql(),
     "op13_url_filter": _url_sql(),
     "op8_secret_scan": _secret_sql(),
     "op2_exact_dedup": f"""
