@@ -78,6 +78,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*with_shared_heads(turns, 100, F.crc32(F.col("conv_id").cast("string")) % 6))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the damaged table, every conversation of the original one."""
+    from .repair import damaged, structure_repair
+
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair(damaged(conversations), conversations)
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcome of a page is the row of labels with its id."""
     from .url_filter import label_outcomes, url_filter
@@ -97,6 +105,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_source_mixing": op10_source_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_structure_repair": op12_structure_repair,
     "op13_url_filter": op13_url_filter,
 }
 
