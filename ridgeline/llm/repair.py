@@ -221,7 +221,7 @@ def structure_repair(turns: DataFrame, ids: DataFrame, block: int = BLOCK) -> Da
     order = [F.asc_nulls_first("turn"), F.col("role").asc(), F.col("text").asc()]
     placed = materialise(faults(numbered(turns.select(key, "turn", "role", "text"), "_key", order)), "faults")
     wide = F.max("turn").cast("decimal(20,0)") - F.min("turn").cast("decimal(20,0)") + 1 - F.count_distinct("turn")
-    gaps = F.least(wide, F.lit((1 << 63) - 1)).cast("long").alias("gaps")
+    gaps = F.when(wide.isNotNull(), F.least(wide, F.lit((1 << 63) - 1))).cast("long").alias("gaps")
     count = lambda fault, name: F.count(F.when(F.col("fault") == fault, 1)).alias(name)
     sums = placed.groupBy("_key").agg(gaps, count(BLANK, "blank"), count(DUPLICATE, "duplicate"), count(CUT, "truncated"))
     out = ids.select("conv_id").distinct().withColumn("_key", key)
