@@ -137,10 +137,12 @@ def _trie_sql() -> str:
 def _url_sql() -> str:
     """Priors from suffix to domain to host, each level's spread by the method of moments."""
 
-    def shrunk(name: str, level: str) -> str:
-        return f"""{name}_s AS (SELECT CASE WHEN coalesce(sum(prior * (1 - prior) * (n - 1)) FILTER (n > 0), 0) = 0 THEN 0.1e0
-                ELSE least(0.99e0, greatest(0.001e0, (sum(n * pow(bad / n - prior, 2)) FILTER (n > 0) - sum(prior * (1 - prior)) FILTER (n > 0)) / sum(prior * (1 - prior) * (n - 1)) FILTER (n > 0))) END AS rho FROM {level}),
-            {name} AS (SELECT l.*, bad + (1 / rho - 1) * prior AS a, n - bad + (1 / rho - 1) * (1 - prior) AS b FROM {level} l, {name}_s)"""
+    def rho(name: str, level: str) -> str:
+        return f"""{name} AS (SELECT CASE WHEN coalesce(sum(mu * (1 - mu) * (n - 1)) FILTER (n > 0), 0) = 0 THEN 0.1e0
+                ELSE least(0.99e0, greatest(0.001e0, (sum(n * pow(bad / n - mu, 2)) FILTER (n > 0) - sum(mu * (1 - mu)) FILTER (n > 0)) / sum(mu * (1 - mu) * (n - 1)) FILTER (n > 0))) END AS rho FROM {level})"""
+
+    kappa = "(mu * (1 - mu) / (rho * (mu * (1 - mu) - var) + var) - 1)"
+    prior = "* REPLACE (a / (a + b) AS mu, a * b / ((a + b) * (a + b) * (a + b + 1)) AS var)"
 
     two = "('ac.uk', 'co.in', 'co.jp', 'co.nz', 'co.uk', 'co.za', 'com.au', 'com.br', 'com.cn', 'gov.uk', 'org.au', 'org.uk')"
     last = lambda n: f"array_to_string(l[-{n}:], '.')"
@@ -153,12 +155,13 @@ def _url_sql() -> str:
         h0 AS (SELECT host, n, bad, CASE WHEN regexp_matches(bare, '^[0-9.]*$|^[[]') THEN bare WHEN {last(2)} IN {two} THEN {last(3)} ELSE {last(2)} END AS domain,
                       CASE WHEN regexp_matches(bare, '^[0-9.]*$|^[[]') THEN bare WHEN {last(2)} IN {two} THEN {last(2)} ELSE {last(1)} END AS suffix FROM split),
         d0 AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h0 GROUP BY ALL),
-        s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / sum(n) FROM c) AS prior FROM d0 GROUP BY suffix),
-        {shrunk("s2", "s1")},
-        d1 AS (SELECT d0.*, a / (a + b) AS prior FROM d0 JOIN s2 USING (suffix)),
-        {shrunk("d2", "d1")},
-        h1 AS (SELECT h0.*, a / (a + b) AS prior FROM h0 JOIN d2 USING (domain, suffix)),
-        {shrunk("h2", "h1")},
+        s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM c) AS mu, 0e0 AS var FROM d0 GROUP BY suffix),
+        {rho("rs", "s1")},
+        d1 AS (SELECT {prior} FROM (SELECT d.*, mu, var, s.bad - d.bad + {kappa} * mu AS a, s.n - d.n - (s.bad - d.bad) + {kappa} * (1 - mu) AS b FROM d0 d JOIN s1 s USING (suffix), rs)),
+        {rho("rd", "d1")},
+        h1 AS (SELECT {prior} FROM (SELECT h.*, mu, var, d.bad - h.bad + {kappa} * mu AS a, d.n - h.n - (d.bad - h.bad) + {kappa} * (1 - mu) AS b FROM h0 h JOIN d1 d USING (domain, suffix), rd)),
+        {rho("rh", "h1")},
+        h2 AS (SELECT host, n, bad + {kappa} * mu AS a, n - bad + {kappa} * (1 - mu) AS b FROM h1, rh),
         h AS (SELECT host, n, greatest(0, a / (a + b) - 1.645e0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM h2),
         rules AS (FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS r(says, place, start)),
         best AS (SELECT page_id, u.host, path, max(CASE WHEN starts_with(path, start) THEN {{'size': length(place || start), 'says': says, 'rule': place || start}} END) AS r

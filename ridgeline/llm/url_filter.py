@@ -3,8 +3,9 @@
 Reputation. Every labelled page is an outcome, bad or not. Outcomes are counted by host, registered domain and public suffix. The share of bad pages of
 a host is drawn from a beta distribution about its domain's, that of a domain about its suffix's, that of a suffix about the share of all. How far
 the nodes of a level lie from their parents (the intraclass correlation) is estimated from all nodes of that level by the method of moments, so a host
-with few labels keeps close to its domain and one with many follows its own pages. A host is blocked if the lower bound of its posterior,
-``z`` standard deviations under the mean, lies above ``most_bad``.
+with few labels keeps close to its domain and one with many follows its own pages. No outcome counts twice: what a domain says of a host leaves out the host's
+own pages, what a suffix says of a domain the domain's. What is not known of the parent's share widens the prior. A host is blocked if the lower bound of
+its posterior, ``z`` standard deviations under the mean, lies above ``most_bad``.
 
 Plan. Pages meet outcomes by id; counts by host are summed before they are shuffled, so that a host that holds a third of all pages is a
 few rows; levels above are sums of those. What a host's rules and reputation say is worked out once a host and joined to the pages, where the hot host is
@@ -80,9 +81,9 @@ def with_levels(hosts: DataFrame) -> DataFrame:
 
 
 def _rho(level: DataFrame) -> float:
-    """Intraclass correlation of nodes (n, bad) about the means ``prior``, by the weighted sum of squares and its expectation."""
-    v = F.col("prior") * (1 - F.col("prior"))
-    off = F.col("bad") / F.col("n") - F.col("prior")
+    """Intraclass correlation of nodes (n, bad) about the means ``mu``, by the weighted sum of squares and its expectation."""
+    v = F.col("mu") * (1 - F.col("mu"))
+    off = F.col("bad") / F.col("n") - F.col("mu")
     seen = level.where("n > 0")
     found = seen.agg(F.sum(F.col("n") * off * off).alias("s"), F.sum(v).alias("v"), F.sum(v * (F.col("n") - 1)).alias("more")).first()
     if not found["more"]:
@@ -90,25 +91,37 @@ def _rho(level: DataFrame) -> float:
     return min(MOST_RHO, max(LEAST_RHO, (found["s"] - found["v"]) / found["more"]))
 
 
-def _shrunk(level: DataFrame) -> DataFrame:
-    """Adds a and b of the posterior beta distribution of nodes (n, bad, prior)."""
-    kappa = 1 / _rho(level) - 1
-    return level.withColumns({"a": F.col("bad") + F.lit(kappa) * F.col("prior"), "b": F.col("n") - F.col("bad") + F.lit(kappa) * (1 - F.col("prior"))})
+def _shrunk_by(level: DataFrame, rho: float, n: str, bad: str) -> DataFrame:
+    """Adds a and b of the beta distribution of a share that is drawn, with correlation ``rho``, about one of mean ``mu`` and variance ``var``, and has been seen in ``n`` outcomes."""
+    most = F.col("mu") * (1 - F.col("mu"))
+    kappa = most / (F.lit(rho) * (most - F.col("var")) + F.col("var")) - 1
+    return level.withColumn("_kappa", kappa).withColumns({"a": F.expr(bad) + F.col("_kappa") * F.col("mu"), "b": F.expr(f"{n} - ({bad})") + F.col("_kappa") * (1 - F.col("mu"))}).drop("_kappa")
+
+
+def _as_prior(level: DataFrame) -> DataFrame:
+    """mu and var of the distribution (a, b)."""
+    n = F.col("a") + F.col("b")
+    return level.withColumns({"mu": F.col("a") / n, "var": F.col("a") * F.col("b") / (n * n * (n + 1))}).drop("a", "b")
 
 
 def reputations(counts: DataFrame) -> DataFrame:
-    """host, domain, suffix, n, bad, a and b of each host's posterior, from counts by host (host, n, bad)."""
-    spark = counts.sparkSession
-    hosts = with_levels(counts)
+    """host, n, bad, a and b of each host's posterior, from counts by host (host, n, bad)."""
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     if not total["n"]:
-        return hosts.withColumns({"a": F.lit(0.0), "b": F.lit(1.0)})
+        return counts.withColumns({"a": F.lit(0.0), "b": F.lit(1.0)})
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    hosts = with_levels(counts)
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(total["bad"] / total["n"]))
-    mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")
-    domains = domains.join(_shrunk(suffixes).select("suffix", mean), "suffix")
-    return _shrunk(hosts.join(_shrunk(domains).select("domain", "suffix", mean), ["domain", "suffix"])).drop("prior")
+    suffixes = domains.groupBy("suffix").agg(*sums).withColumns({"mu": F.lit((total["bad"] + 1) / (total["n"] + 2)), "var": F.lit(0.0)})
+    renamed = lambda df, end: df.withColumnsRenamed({"n": f"n_{end}", "bad": f"bad_{end}"})
+    rho = _rho(suffixes)
+    # what a domain's suffix says without the domain itself, and what a host's domain says without the host
+    at = domains.join(renamed(suffixes, "suffix"), "suffix")
+    domains = _as_prior(_shrunk_by(at, rho, "n_suffix - n", "bad_suffix - bad"))
+    rho = _rho(domains)
+    at = hosts.join(renamed(domains, "domain").select("domain", "suffix", "n_domain", "bad_domain", "mu", "var"), ["domain", "suffix"])
+    hosts = _as_prior(_shrunk_by(at, rho, "n_domain - n", "bad_domain - bad"))
+    return _shrunk_by(hosts, _rho(hosts), "n", "bad").select("host", "n", "bad", "a", "b")
 
 
 def lower_bound(z: float = Z) -> Column:
