@@ -48,6 +48,42 @@ def test_exact_repeated_rows(spark):
     ]
 
 
+def test_exact_where_digests_name_several_texts(spark):
+    r = random.Random(9)
+    texts, ids = [r.choice(["a", "A", "b", "c" * 50, "", None, "d"]) for _ in range(120)], [r.choice([None, *range(40)]) for _ in range(120)]
+    docs = docs_of(spark, texts, ids)
+    key = lambda r: (r["doc_id"] is None, *(str(x) for x in r))
+    plain, weak = (sorted(exact_dedup(docs, salts=3, **more).collect(), key=key) for more in ({}, {"digest": lambda t: F.substring(F.sha2(t, 256), 1, 1)}))
+    assert [r[:3] + r[4:] for r in plain] == [r[:3] + r[4:] for r in weak]
+    for rows in (plain, weak):
+        kept = [(r["text_sha256"], r["doc_id"]) for r in rows if r["kept"]]
+        assert len(kept) == len({t for t, _ in kept}) == len({fold(t) for t in texts}) and all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
+
+
+def test_exact_hot_text_without_ids(spark):
+    got = exact_dedup(docs_of(spark, ["hot"] * 500 + ["cold"], [None] * 501)).collect()
+    assert sorted((r["group_size"], r["kept"]) for r in got) == sorted([(500, False)] * 499 + [(500, True), (1, True)])
+
+
+def test_exact_combines_before_it_shuffles_texts(spark):
+    """Without broadcasts, whole texts leave a partition as keys of a partial aggregate, dealt by salt, and nowhere else by digest alone."""
+    from ridgeline.llm import exact_dedup as module
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = docs_of(spark, ["a", "b", "A"] * 20)
+        rows = module._rows(docs, "doc_id", "text").withColumn("_digest", module.sha256(F.col("_text")))
+        plan = module.groups(rows)._jdf.queryExecution().executedPlan().toString()
+        last = exact_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.splitlines()
+    deals = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert len(deals) == 2 and all("Aggregate" in lines[i + 1] and "partial_" in lines[i + 1] for i in deals)
+    assert "_salt" in lines[deals[1]].split("),")[0] and "_text" in lines[deals[0]]
+    assert "_text#" not in last  # documents meet their groups without texts
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
