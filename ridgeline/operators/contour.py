@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+from .jumping import chain_ranks, ring_minima
+from .tiles import TILE, tile_of
+
 #: Fixed value: keeps levels off the heights themselves.
 NUDGE = 0.0137
 #: Sides that a segment joins, by the corners above the level (1 north-west, 2 north-east, 4 south-east, 8 south-west).
@@ -51,32 +55,63 @@ def segments(grid: DataFrame, value: str, interval: float) -> DataFrame:
     return each.select("level", "y", "x", "side_a", "side_b", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
 
 
-def join_segments(rows: list[tuple]) -> list[tuple[bool, list[tuple[float, float]]]]:
-    """Lines (closed, points) of one level from (edge a, edge b, point a, point b): open ones first, then rings."""
-    ends = defaultdict(list)
-    for i, r in enumerate(rows):
-        ends[r[0]].append(i)
-        ends[r[1]].append(i)
-    used = [False] * len(rows)
-
-    def walk(i: int, edge) -> tuple[list, object]:
-        points = []
-        while i is not None:
-            used[i] = True
-            a, b, p, q = rows[i]
-            near, far, edge = (p, q, b) if edge == a else (q, p, a)
-            points = points or [near]
-            points.append(far)
-            i = next((j for j in ends[edge] if not used[j]), None)
-        return points, edge
+def side_number(y: Column, x: Column, side: Column) -> Column:
+    """One number for each side of a square: its upper or left side, or that of the square below or to the right."""
+    below, right = (side == "B").cast("long"), (side == "R").cast("long")
+    return (y + below) * (1 << 32) + (x + right) * 2 + side.isin("L", "R").cast("long")
+
+
+def _partners(sides: np.ndarray) -> np.ndarray:
+    """For each of the ends 0..2n-1 of n segments (a-ends, then b-ends) the other end at its side, -1 if there is none."""
+    order = np.argsort(sides, kind="stable")
+    same = sides[order][1:] == sides[order][:-1]
+    out = np.full(len(sides), -1)
+    out[order[1:][same]] = order[:-1][same]
+    out[order[:-1][same]] = order[1:][same]
+    return out
 
+
+def _ranked(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Head and rank of each element of chains, given the element before (-1 at heads), by doubling."""
+    head = np.where(before < 0, np.arange(len(before)), before)
+    rank = (before >= 0).astype(int)
+    for _ in range(len(before).bit_length()):
+        rank, head = rank + rank[head], head[head]
+    return head, rank
+
+
+def _least_on_ring(after: np.ndarray) -> np.ndarray:
+    """The least element of each ring, given the next element, by doubling; where there is no next one (-1) the least up to the end."""
+    low, jump = np.arange(len(after)), np.where(after < 0, np.arange(len(after)), after)
+    for _ in range(len(after).bit_length()):
+        low, jump = np.minimum(low, low[jump]), jump[jump]
+    return low
+
+
+def _pieces(sides: np.ndarray, places: np.ndarray) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+    """(closed, sides, points) of the lines that n segments make; row i of both inputs is end i, a-ends first.
+
+    An arc, a segment walked from one of its ends, bears that end's number. Each line is walked both ways: of an open one the way from the lesser side is taken, of a ring the one
+    that holds its least arc, from there.
+    """
+    n = len(sides) // 2
+    partner, other = _partners(sides), (np.arange(2 * n) + n) % (2 * n)
+    after, before = partner[other], np.where(partner < 0, -1, other[partner])
+    head, rank = _ranked(before)
+    ring = before[head] >= 0
+    cut = ring & (_least_on_ring(after) == np.arange(2 * n))
+    if cut.any():
+        head, rank = _ranked(np.where(cut, -1, before))
+    order = np.lexsort((rank, head))
+    starts = np.flatnonzero(np.r_[True, np.diff(head[order]) != 0])
     out = []
-    for edge in sorted(e for e, at in ends.items() if len(at) == 1):
-        if not used[i := ends[edge][0]]:
-            out.append((False, walk(i, edge)[0]))
-    for i in range(len(rows)):
-        if not used[i]:
-            out.append((True, walk(i, rows[i][0])[0]))
+    for lo, hi in zip(starts, np.r_[starts[1:], 2 * n]):
+        arcs = order[lo:hi]
+        tip = other[arcs[-1]]
+        closed = bool(ring[arcs[0]])
+        if (arcs[0] < other[arcs].min()) if closed else sides[arcs[0]] < sides[tip]:
+            walk = np.r_[arcs, tip]
+            out.append((closed, sides[walk], places[walk]))
     return out
 
 
@@ -103,20 +138,65 @@ def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[
     return [tuple(map(float, q)) for q in p[keep]]
 
 
-def contours(grid: DataFrame, value: str, interval: float, tolerance: float = 0.0) -> DataFrame:
-    """(level, line_id, closed, pts): a task per level joins its segments at the cell sides they share."""
-    found = segments(grid, value, interval)
+_POINTS = "array<struct<x:double,y:double>>"
+_PIECES = f"level double, ty int, tx int, piece int, closed boolean, low long, first long, last long, pts {_POINTS}"
 
-    def edge(y: int, x: int, side: str) -> tuple[int, int, str]:
-        return (y, x, "T") if side == "T" else (y + 1, x, "T") if side == "B" else (y, x, "L") if side == "L" else (y, x + 1, "L")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "side_a", "side_b"])
-        rows = [(edge(r.y, r.x, r.side_a), edge(r.y, r.x, r.side_b), (r.ax, r.ay), (r.bx, r.by)) for r in pdf.itertuples()]
-        lines = join_segments(rows)
-        return pd.DataFrame([(pdf["level"].iloc[0], i, closed, [{"x": x, "y": y} for x, y in (simplify(pts, tolerance) if tolerance else pts)]) for i, (closed, pts) in enumerate(lines)], columns=["level", "line_id", "closed", "pts"])
+def contours(grid: DataFrame, value: str, interval: float, tolerance: float = 0.0, tile: int = TILE) -> DataFrame:
+    """(level, line_id, closed, pts): lines of joined segments, named by the least number of the sides that they cross; a ring's first point is repeated at its end.
 
-    return found.groupBy("level").applyInPandas(run, "level double, line_id int, closed boolean, pts array<struct<x:double,y:double>>")
+    Segments are joined tile by tile and level by level. What is open there is a piece, which may go on at its first or last side; pieces are ranked along
+    their lines by pointer jumping, rings being cut at their least piece. Only a line itself comes together in one task, as one row.
+    """
+    found = segments(grid, value, interval)
+    number = lambda side: side_number(F.col("y").cast("long"), F.col("x").cast("long"), F.col(side))
+    found = found.select("level", tile_of("y", tile).alias("ty"), tile_of("x", tile).alias("tx"), number("side_a").alias("sa"), number("side_b").alias("sb"), "ax", "ay", "bx", "by")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sa", "sb"])
+        places = np.concatenate([pdf[["ax", "ay"]].to_numpy(), pdf[["bx", "by"]].to_numpy()])
+        lines = _pieces(np.concatenate([pdf["sa"].to_numpy(), pdf["sb"].to_numpy()]), places)
+        rows = [(*key, i, closed, sides.min(), sides[0], sides[-1], [{"x": x, "y": y} for x, y in points]) for i, (closed, sides, points) in enumerate(lines)]
+        return pd.DataFrame(rows, columns=["level", "ty", "tx", "piece", "closed", "low", "first", "last", "pts"])
+
+    pieces = materialise(found.groupBy("level", "ty", "tx").applyInPandas(run, _PIECES), "pieces")
+    rings = pieces.where("closed").select("level", F.col("low").alias("line_id"), "closed", "pts")
+    part = F.struct("ty", "tx", "piece").alias("part")
+    open_ = pieces.where("NOT closed").select("level", part, "low", "first", "last", "pts")
+    # each piece is walked both ways: an arc starts at one of its ends
+    way = F.explode(F.array(*(F.struct(F.lit(d).alias("way"), F.col(a).alias("from"), F.col(b).alias("to")) for d, a, b in ((0, "first", "last"), (1, "last", "first"))))).alias("_w")
+    arcs = materialise(open_.select("level", "low", F.struct("level", F.col("part"), F.lit(0).alias("way")).alias("id"), "part", way).select("level", "low", F.struct("level", "part", "_w.way").alias("id"), "_w.from", "_w.to"), "arcs")
+    # the arc before: it comes to where this one starts, and isn't this one walked back
+    came = arcs.select("level", F.col("to").alias("from"), F.col("id").alias("up"))
+    links = arcs.join(came, ["level", "from"]).where("up.part <> id.part").select("id", "up")
+    links = materialise(links, "links")
+    ranks = chain_ranks(links)
+    heads = arcs.join(links, "id", "left_anti").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("rank"))
+    ranks = heads.unionByName(ranks)
+    # what is on no chain is on a ring: it is cut before its least arc, and ranked from there, one way
+    round_ = links.join(ranks, "id", "left_anti")
+    least = ring_minima(round_)
+    forward = least.where("least.way = 0").select("id", "least")
+    cut = round_.join(forward, "id").where("id <> least").select("id", "up")
+    turned = chain_ranks(cut).unionByName(forward.where("id = least").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("rank")))
+    ends = ranks.join(arcs, "id").groupBy("head").agg(F.max(F.struct("rank", "to")).alias("_e"), F.min(F.struct("rank", "from")).alias("_s")).where("_s.from < _e.to").select("head")
+    taken = ranks.join(ends, "head", "left_semi").withColumn("closed", F.lit(False)).unionByName(turned.withColumn("closed", F.lit(True)))
+    pts = F.when(F.col("id.way") == 1, F.reverse("pts")).otherwise(F.col("pts"))
+    placed = taken.join(arcs.select("id", "low"), "id").join(open_.select("level", "part", "pts"), (F.col("id.level") == F.col("level")) & (F.col("id.part") == F.col("part")))
+    parts = placed.select("level", "head", "closed", "low", F.struct("rank", pts.alias("pts")).alias("_p"))
+    lines = parts.groupBy("level", "head", "closed").agg(F.min("low").alias("line_id"), F.array_sort(F.collect_list("_p")).alias("_p"))
+    # a piece begins where the one before ends
+    joined = F.concat(F.element_at("_p", 1)["pts"], F.flatten(F.transform(F.slice("_p", 2, F.size("_p")), lambda p: F.slice(p["pts"], 2, F.size(p["pts"])))))
+    out = rings.unionByName(lines.select("level", "line_id", "closed", joined.alias("pts")))
+    if not tolerance:
+        return out
+
+    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            part["pts"] = [[{"x": x, "y": y} for x, y in simplify([(p["x"], p["y"]) for p in pts], tolerance)] for pts in part["pts"]]
+            yield part
+
+    return out.mapInPandas(thin, f"level double, line_id long, closed boolean, pts {_POINTS}")
 
 
 def polyline_length(points: Column) -> Column:

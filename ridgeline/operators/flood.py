@@ -1,298 +1,241 @@
-"""Flooding and least-cost operators whose order is global: drainage, streams, summits, saddles, travel time.
-
-Each kernel is a plain numpy function; the wrapper hands it one problem per group, so that problems run beside one another. A grid of up to some
-tens of millions of cells fits a task; larger ones are to be cut into basins or windows first. Ties are broken by the cell's number.
-"""
+"""Water over a height grid: levels, ways, areas upstream and streams, by tiles."""
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEPS_8 = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
-STEPS_16 = STEPS_8 + tuple((dy, dx) for dy in (-2, -1, 1, 2) for dx in (-2, -1, 1, 2) if abs(dy) != abs(dx))
-#: Lengths of a step to a side, to a corner and of a knight's move.
-LENGTHS = {1: 1.0, 2: 1.41421, 5: 2.23607}
-
-
-def tobler_speed(slope):
-    """Walking km/h on a slope (rise over run); for Columns and floats."""
-    if isinstance(slope, Column):
-        return 6 * F.exp(-3.5 * F.abs(slope + 0.05))
-    return 6 * math.exp(-3.5 * abs(slope + 0.05))
+from ..storage import discard, materialise
+from .jumping import chain_ranks, subtree_sums
+from .tiles import TILE, about, bands, pack, plane, settle, tile_of, with_cells
 
+STEPS_8 = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
-def travel_time(z: np.ndarray, factor: np.ndarray, cell: np.ndarray, start: tuple[int, int], reverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hours from a start (or to it) and the cell before, by Dijkstra over 16 moves; unreachable cells are infinite and -1.
 
-    The run of a move is its length times the cell size of the row it leaves; moves whose mean factor isn't positive are barred.
-    """
-    h, w = z.shape
-    hours, before = np.full(h * w, np.inf), np.full(h * w, -1, np.int64)
-    heights, speed, size = z.ravel().tolist(), factor.ravel().tolist(), np.broadcast_to(cell, h).tolist()
-    moves = [(dy, dx, LENGTHS[dy * dy + dx * dx]) for dy, dx in STEPS_16]
-    first = start[0] * w + start[1]
-    hours[first] = 0.0
-    best = hours.tolist()
-    heap = [(0.0, first)]
-    while heap:
-        t, i = heapq.heappop(heap)
-        if t > best[i]:
-            continue
-        y, x = divmod(i, w)
-        for dy, dx, length in moves:
-            v, u = y + dy, x + dx
-            if not (0 <= v < h and 0 <= u < w):
-                continue
-            j = v * w + u
-            mean = (speed[i] + speed[j]) / 2
-            if not mean > 0 or heights[j] != heights[j]:
-                continue
-            run = length * size[y]
-            rise = (heights[i] - heights[j] if reverse else heights[j] - heights[i]) / run
-            after = t + run / 1000 / (tobler_speed(rise) * mean)
-            if after < best[j]:
-                best[j] = after
-                before[j] = i
-                heapq.heappush(heap, (after, j))
-    return np.array(best).reshape(h, w), before.reshape(h, w)
-
-
-def path_to(before: np.ndarray, end: tuple[int, int]) -> list[tuple[int, int]]:
-    """The cells from the start to ``end``; empty if there is no way."""
-    w = before.shape[1]
-    out, i = [end], int(before[end])
-    while i >= 0:
-        out.append(divmod(i, w))
-        i = int(before[divmod(i, w)])
-    return out[::-1] if len(out) > 1 else []
-
-
-def drainage(z: np.ndarray, cell: np.ndarray, lift: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filled heights, downstream cell (-1 at outlets) and upstream area in km2.
-
-    Priority flood from the border: a cell is filled to just above the cell it was reached from. Where nothing was filled the water takes the steepest
-    way down instead; elsewhere it follows the flood back.
-    """
-    h, w = z.shape
-    size = np.broadcast_to(np.asarray(cell, float), h)
-    filled, down, seen = z.astype(float).copy(), np.full(h * w, -1, np.int64), np.zeros(h * w, bool)
-    flat = filled.ravel()
-    border = [i for i in range(h * w) if i // w in (0, h - 1) or i % w in (0, w - 1)]
-    heap = [(float(flat[i]), i) for i in border]
+def flooded(z: np.ndarray, known: np.ndarray, lift: float) -> np.ndarray:
+    """Water levels of a padded tile: from cells whose level is known (finite), each cell is filled to just above the lowest that reaches it; NaN cells are no ground."""
+    side = z.shape[1]
+    ground, level = z.ravel().tolist(), known.ravel().copy()
+    closed = np.isfinite(level) | np.isnan(z.ravel())
+    ring = np.ones(z.shape, bool)
+    ring[1:-1, 1:-1] = False
+    heap = [(float(level[i]), int(i)) for i in np.flatnonzero(np.isfinite(level))]
+    closed = (closed | ring.ravel()).tolist()
+    level = level.tolist()
     heapq.heapify(heap)
-    seen[border] = True
+    steps = [dy * side + dx for dy, dx in STEPS_8]
+    n = len(ground)
     while heap:
-        level, i = heapq.heappop(heap)
-        y, x = divmod(i, w)
-        for dy, dx in STEPS_8:
-            v, u = y + dy, x + dx
-            if 0 <= v < h and 0 <= u < w and not seen[v * w + u]:
-                j = v * w + u
-                seen[j] = True
-                flat[j] = max(float(flat[j]), level + lift)
-                down[j] = i
-                heapq.heappush(heap, (float(flat[j]), j))
-    pad = np.pad(z.astype(float), 1, constant_values=np.inf)
-    drops = np.stack([(z - pad[1 + dy : h + 1 + dy, 1 + dx : w + 1 + dx]) / (size[:, None] * math.hypot(dy, dx)) for dy, dx in STEPS_8])
-    best = drops.argmax(0)  # the first in row-major order
-    yy, xx = np.indices(z.shape)
-    step = np.array(STEPS_8)[best]
-    steep = ((yy + step[..., 0]) * w + xx + step[..., 1]).ravel()
-    free = (np.abs(flat - z.ravel()) < 0.01) & (drops.max(0).ravel() > 0)
-    down = np.where(free, steep, down)
-    area = np.repeat(size * size / 1e6, w)
-    for i in np.lexsort((np.arange(h * w), -flat)):
-        if down[i] >= 0:
-            area[down[i]] += area[i]
-    return filled, down.reshape(h, w), area.reshape(h, w)
-
-
-def streams(down: np.ndarray, area: np.ndarray, threshold: float) -> list[tuple[list[int], float]]:
-    """Reaches: cells from a head or confluence down to the next confluence, and the area at the lower end."""
-    flat, size = down.ravel(), area.ravel()
-    channel = size >= threshold
-    inflow = np.bincount(flat[channel & (flat >= 0)], minlength=len(flat))
-    out = []
-    for i in np.flatnonzero(channel & (inflow != 1)):
-        cells, j = [int(i)], int(flat[i])
-        while j >= 0 and channel[j]:
-            cells.append(j)
-            if inflow[j] != 1:
-                break
-            j = int(flat[j])
-        if len(cells) > 1:
-            out.append((cells, float(size[cells[-1]])))
-    return out
-
-
-def summits(z: np.ndarray, least: float) -> list[tuple[int, int, float, float, int, int, bool]]:
-    """(y, x, height, prominence, saddle y, saddle x, edge) by prominence: cells surface from the highest, islands meet at saddles.
-
-    Where islands meet, the one with the highest top goes on. An island that touches the border before it ends is an edge peak with the least prominence that
-    the grid allows; its saddle is unknown (-1).
+        here, i = heapq.heappop(heap)
+        for step in steps:
+            j = i + step
+            if 0 <= j < n and not closed[j]:  # cells of the ring are closed, so no step runs over a side
+                closed[j] = True
+                level[j] = max(ground[j], here + lift)
+                heapq.heappush(heap, (level[j], j))
+    return np.array(level).reshape(z.shape)
+
+
+@dataclass(frozen=True)
+class _Frame:
+    """Where a grid ends, and how its cells are numbered."""
+
+    top: int
+    left: int
+    bottom: int
+    right: int
+    tile: int
+
+    @property
+    def width(self) -> int:
+        return self.right + 1
+
+    def levels(self, ty: int, tx: int, z: np.ndarray, ring: pd.DataFrame) -> np.ndarray:
+        """What is known of a padded tile: the levels of cells about it, and the heights of cells at the grid's border."""
+        out = np.full(z.shape, np.inf)
+        y0, x0 = ty * self.tile, tx * self.tile
+        out[ring["y"].to_numpy(int) - y0 + 1, ring["x"].to_numpy(int) - x0 + 1] = ring["v"].to_numpy(float)
+        for y in (self.top, self.bottom):
+            if 0 <= y - y0 < self.tile:
+                out[y - y0 + 1, 1:-1] = z[y - y0 + 1, 1:-1]
+        for x in (self.left, self.right):
+            if 0 <= x - x0 < self.tile:
+                out[1:-1, x - x0 + 1] = z[1:-1, x - x0 + 1]
+        return np.where(np.isnan(out), np.inf, out)
+
+
+def _frame(grid: DataFrame, tile: int) -> _Frame | None:
+    ends = grid.agg(F.min("y"), F.min("x"), F.max("y"), F.max("x")).first()
+    return None if ends[0] is None else _Frame(*ends, tile)
+
+
+def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """The neighbours, a step away, of the inner cells of a padded array."""
+    return a[1 + dy : a.shape[0] - 1 + dy, 1 + dx : a.shape[1] - 1 + dx]
+
+
+def _downstream(z: np.ndarray, filled: np.ndarray, size: np.ndarray, y0: int, x0: int, frame: _Frame) -> np.ndarray:
+    """The cell's number that each inner cell of a padded tile drains to, -1 for none."""
+    side = z.shape[0] - 2
+    yy, xx = np.indices((side, side))
+    number = (yy + y0).astype(np.int64) * frame.width + xx + x0
+    ground = np.where(np.isnan(z), np.inf, z)
+    here = np.where(np.isinf(ground), -np.inf, ground)[1:-1, 1:-1]
+    drops = np.stack([(here - _shifted(ground, dy, dx)) / (size[1:-1, 1:-1] * math.hypot(dy, dx)) for dy, dx in STEPS_8])
+    drops = np.where(np.isnan(drops), -np.inf, drops)
+    to = np.array([dy * frame.width + dx for dy, dx in STEPS_8])
+    best, most = drops.argmax(0), drops.max(0)
+    # the neighbour that the flood came from: the lowest, of equals the first
+    levels = np.stack([_shifted(filled, dy, dx) for dy, dx in STEPS_8])
+    back = levels.argmin(0)
+    border = (yy + y0 == frame.top) | (yy + y0 == frame.bottom) | (xx + x0 == frame.left) | (xx + x0 == frame.right)
+    flood = np.where(border | ~np.isfinite(levels.min(0)), -1, number + to[back])
+    inner = filled[1:-1, 1:-1]
+    free = (np.abs(inner - here) < 0.01) & (most > 0)
+    return np.where(np.isfinite(inner), np.where(free, number + to[best], flood), -1)
+
+
+class _Flow:
+    """The drained cells of one tile in order from the highest level, and where their water goes.
+
+    Water is handed on only to cells that come later in that order; ``late`` cells drain to an earlier one, which gets their area without handing it on.
     """
-    h, w = z.shape
-    flat = z.ravel()
-    parent = np.full(h * w, -1, np.int64)
-    top, edge = {}, {}
-    out = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
-
-    def tell(r: int, at: int, on_edge: bool) -> None:
-        t = top[r]
-        rise = float(flat[t] - flat[at])
-        if rise >= least:
-            out.append((t // w, t % w, float(flat[t]), rise, -1 if on_edge else at // w, -1 if on_edge else at % w, on_edge))
-
-    for i in np.lexsort((np.arange(h * w), -flat)):
-        i = int(i)
-        if flat[i] != flat[i]:
-            continue
-        y, x = divmod(i, w)
-        found = sorted({root(v * w + u) for dy, dx in STEPS_8 if 0 <= (v := y + dy) < h and 0 <= (u := x + dx) < w and parent[v * w + u] >= 0}, key=lambda r: (-flat[top[r]], top[r]))
-        border = y in (0, h - 1) or x in (0, w - 1)
-        if not found:
-            parent[i], top[i], edge[i] = i, i, False
-            keep = i
-        else:
-            keep = found[0]
-            for r in found[1:]:
-                if not edge[r]:
-                    tell(r, i, False)
-                parent[r] = keep
-                edge[keep] = edge[keep] or edge[r]
-            parent[i] = keep
-        if border and not edge[keep]:
-            edge[keep] = True
-            tell(keep, i, True)
-    return sorted(out, key=lambda p: (-p[3], p[0], p[1]))
-
-
-def _whole(pdf: pd.DataFrame, value: str) -> np.ndarray:
-    h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-    z = np.full((h, w), np.nan)
-    z[pdf["y"], pdf["x"]] = pdf[value]
-    return z
-
-
-#: Cells of a grid that one task takes as a whole; larger ones have to be cut into basins or windows first.
-MOST_CELLS = 50_000_000
-
-
-def _bounded(grid: DataFrame) -> DataFrame:
-    """The grid; it fails where a cell is read that shows it to be too large for one task."""
-    too_far = (F.col("y").cast("long") + 1) * (F.col("x").cast("long") + 1) > MOST_CELLS
-    return grid.where(F.when(too_far, F.raise_error(F.lit(f"a grid of more than {MOST_CELLS} cells doesn't go to one task: cut it into basins or windows")).cast("boolean")).otherwise(F.lit(True)))
-
-
-def travel_table(grid: DataFrame, starts: DataFrame, cell: float, value: str = "z", factor: str = "factor") -> DataFrame:
-    """(start, reverse, y, x, hours, before_y, before_x) for each start (start, sy, sx, reverse); one task per start. Unreachable cells are absent."""
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        s = right.iloc[0]
-        hours, before = travel_time(_whole(left, value), np.nan_to_num(_whole(left, factor)), np.array(cell), (int(s["sy"]), int(s["sx"])), bool(s["reverse"]))
-        y, x = np.nonzero(np.isfinite(hours))
-        b = before[y, x]
-        w = before.shape[1]
-        return pd.DataFrame({"start": s["start"], "reverse": bool(s["reverse"]), "y": y, "x": x, "hours": hours[y, x], "before_y": pd.array(np.where(b < 0, -1, b // w), "Int64").astype("int32"), "before_x": np.where(b < 0, -1, b % w).astype("int32")})
-
-    each = _bounded(grid).select("y", "x", F.col(value).cast("double").alias(value), F.col(factor).cast("double").alias(factor)).join(F.broadcast(starts.select(F.col("start").alias("start"))))
-    out = "start int, reverse boolean, y int, x int, hours double, before_y int, before_x int"
-    return each.groupBy("start").cogroup(starts.groupBy("start")).applyInPandas(run, out)
-
-
-def drainage_table(grid: DataFrame, cell: float, value: str = "z") -> DataFrame:
-    """(y, x, filled, down_y, down_x, area_km2); down is null at outlets."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = _whole(pdf, value)
-        filled, down, area = drainage(z, np.array(cell))
-        y, x = np.indices(z.shape).reshape(2, -1)
-        d, w = down.ravel(), z.shape[1]
-        none = d < 0
-        return pd.DataFrame({"y": y, "x": x, "filled": filled.ravel(), "down_y": pd.Series(np.where(none, 0, d // w)).mask(none).astype("Int32"), "down_x": pd.Series(np.where(none, 0, d % w)).mask(none).astype("Int32"), "area_km2": area.ravel()})
-
-    return _bounded(grid).select("y", "x", F.col(value).cast("double").alias(value)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "y int, x int, filled double, down_y int, down_x int, area_km2 double")
-
-
-def stream_table(drained: DataFrame, threshold: float) -> DataFrame:
-    """(reach, seq, y, x, km2) of a drainage table."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        down, area = np.full((h, w), -1, np.int64), np.zeros((h, w))
-        known = pdf["down_y"].notna()
-        down[pdf["y"][known], pdf["x"][known]] = (pdf["down_y"][known] * w + pdf["down_x"][known]).astype("int64")
-        area[pdf["y"], pdf["x"]] = pdf["area_km2"]
-        rows = [(k, s, c // w, c % w, km2) for k, (cells, km2) in enumerate(streams(down, area, threshold)) for s, c in enumerate(cells)]
-        return pd.DataFrame(rows, columns=["reach", "seq", "y", "x", "km2"])
 
-    return _bounded(drained).select("y", "x", "down_y", "down_x", "area_km2").withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "reach int, seq int, y int, x int, km2 double")
-
-
-def summit_table(grid: DataFrame, least: float, top: int = 14, value: str = "z") -> DataFrame:
-    """The ``top`` peaks by prominence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(summits(_whole(pdf, value), least), columns=["y", "x", "height", "prominence", "saddle_y", "saddle_x", "edge"])
-
-    found = _bounded(grid).select("y", "x", F.col(value).cast("double").alias(value)).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, "y int, x int, height double, prominence double, saddle_y int, saddle_x int, edge boolean")
-    return found.orderBy(F.desc("prominence"), "y", "x").limit(top)
-
-
-def saddle_axis(points: DataFrame, grid: DataFrame, width: int, height: int, radius: float, value: str = "z", key: str = "id") -> DataFrame:
-    """key, angle, drop_a, drop_b: of 36 directions that whose higher opposite end is lowest, the first of equals; ``radius`` in cells."""
-    from .raster import sample_bilinear
-
-    ends = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(s * radius * math.sin(math.radians(5 * k))).alias("dx"), F.lit(-s * radius * math.cos(math.radians(5 * k))).alias("dy")) for k in range(36) for s in (1, -1)))
-    each = points.select(key, F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.explode(ends).alias("_e"))
-    ring = each.select(key, F.concat_ws("/", F.col(key).cast("string"), F.col("_e.k").cast("string"), F.col("_e.s").cast("string")).alias("_id"), F.col("_e.k").alias("_k"), F.col("_e.s").alias("_s"), (F.col("_x0") + F.col("_e.dx")).alias("px"), (F.col("_y0") + F.col("_e.dy")).alias("py"))
-    ring = sample_bilinear(ring, grid, value, width, height, "_id", out="_h")
-    both = ring.groupBy(key, "_k").agg(F.max(F.when(F.col("_s") == 1, F.col("_h"))).alias("_a"), F.max(F.when(F.col("_s") == -1, F.col("_h"))).alias("_b"))
-    best = both.groupBy(key).agg(F.min(F.struct(F.round(F.greatest("_a", "_b"), 9).alias("score"), F.col("_k").alias("k"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_best"))
-    here = grid.select("y", "x", F.col(value).cast("double").alias("_z"))
-    return points.select(key, "y", "x").join(best, key).join(here, ["y", "x"]).select(key, (F.col("_best.k") * 5).alias("angle"), (F.col("_z") - F.col("_best.a")).alias("drop_a"), (F.col("_z") - F.col("_best.b")).alias("drop_b"))
-
-
-def chosen_saddles(peaks: DataFrame, apart: float, top: int, oy: float, ox: float) -> DataFrame:
-    """Saddles of peaks that don't touch the edge, at least ``apart`` cells from one another in order of prominence, ``top`` of them, numbered by distance."""
-    from .rays import greedy_spaced
-
-    spark = peaks.sparkSession
-    rows = peaks.where(~F.col("edge")).orderBy(F.desc("prominence"), "y", "x").collect()
-    kept = greedy_spaced(rows, lambda r: (r["saddle_y"], r["saddle_x"]), apart, top)
-    away = lambda r: math.hypot(r["saddle_y"] - oy, r["saddle_x"] - ox)
-    out = [(i, r["saddle_y"], r["saddle_x"], r["prominence"], away(r)) for i, r in enumerate(sorted(kept, key=lambda r: (away(r), r["saddle_y"], r["saddle_x"])), 1)]
-    return spark.createDataFrame(out, "number int, saddle_y int, saddle_x int, prominence double, away double")
+    def __init__(self, job: pd.Series, ty: int, tx: int, frame: _Frame):
+        tile = frame.tile
+        padded = plane(job["filled"], tile, 1)
+        self.filled = padded[1:-1, 1:-1]
+        self.down = np.frombuffer(job["down"], np.int64).reshape(tile, tile)
+        self.area = np.frombuffer(job["area"]).reshape(tile, tile)
+        yy, xx = np.indices((tile, tile))
+        self.y, self.x = yy + ty * tile, xx + tx * tile
+        self.number = self.y.astype(np.int64) * frame.width + self.x
+        ty_, tx_ = self.down // frame.width - ty * tile, self.down % frame.width - tx * tile
+        known = self.down >= 0
+        level = padded[np.where(known, ty_ + 1, 0), np.where(known, tx_ + 1, 0)]
+        onward = known & ((self.filled > level) | ((self.filled == level) & (self.number < self.down)))
+        self.late = known & ~onward
+        inside = (ty_ >= 0) & (ty_ < tile) & (tx_ >= 0) & (tx_ < tile)
+        self.leaves = (onward & ~inside).ravel()
+        self.next = np.where(onward & inside, ty_ * tile + tx_, -1).ravel()
+        there = np.flatnonzero(np.isfinite(self.filled.ravel()))
+        self.order = there[np.lexsort((self.number.ravel()[there], -self.filled.ravel()[there]))]
+
+    def drained(self, inflow: np.ndarray) -> np.ndarray:
+        """Upstream area of each cell within the tile and of what flows in."""
+        out, following = (self.area + inflow).ravel().tolist(), self.next.tolist()
+        for i in self.order.tolist():
+            if following[i] >= 0:
+                out[following[i]] += out[i]
+        return np.array(out).reshape(self.area.shape)
+
+    def exits(self) -> np.ndarray:
+        """The cell by which water leaves the tile from each cell, -1 if it stays."""
+        out, following, leaves = [-1] * self.next.size, self.next.tolist(), self.leaves.tolist()
+        for i in reversed(self.order.tolist()):
+            out[i] = i if leaves[i] else out[following[i]] if following[i] >= 0 else -1
+        return np.array(out)
+
+
+def drainage_table(grid: DataFrame, cell: float | str, value: str = "z", lift: float = 1e-3, tile: int = TILE) -> DataFrame:
+    """(y, x, filled, down_y, down_x, area_km2); down is null at outlets. ``cell`` is the cell size in metres or a column that has it.
+
+    Levels are those of a flood from the grid's border: a cell is filled to ``lift`` above the lowest cell that reaches it, or stands above. Where nothing was filled water takes the
+    steepest way down, elsewhere it follows the flood back to the lowest neighbour, of equals the first. Cells without a value are no ground: water neither crosses
+    nor leaves there, and what they shut in from the border has no level, no way and its own area.
+
+    By tiles: levels settle in rounds; then each tile says which of its cells hand water to another tile, how much of its own, and by which of them water
+    that enters it leaves again. Sums along those links, by pointer jumping, are what flows in, and each tile is drained once more with that.
+    """
+    size = F.col(cell) if isinstance(cell, str) else F.lit(float(cell))
+    grid = grid.select("y", "x", F.col(value).cast("double").alias("z"), size.cast("double").alias("size"))
+    frame = _frame(grid, tile)
+    schema = "y int, x int, filled double, down_y int, down_x int, area_km2 double"
+    if frame is None:
+        return grid.sparkSession.createDataFrame([], schema)
+    tiles = materialise(pack(grid, ["z", "size"], 1, tile), "tiles")
+
+    def solve(at: tuple, job: pd.Series, ring: pd.DataFrame) -> pd.DataFrame:
+        z = plane(job["z"], tile, 1)
+        return bands(flooded(z, frame.levels(*at, z, ring), lift)[1:-1, 1:-1], at[0] * tile, at[1] * tile, 1)
+
+    levels = settle(tiles, tiles.select("ty", "tx"), solve, [], "", 1, tile)
+
+    def drain(at: tuple, job: pd.Series, ring: pd.DataFrame) -> pd.DataFrame:
+        z, size = plane(job["z"], tile, 1), plane(job["size"], tile, 1)
+        filled = flooded(z, frame.levels(*at, z, ring), lift)
+        down = _downstream(z, filled, size, at[0] * tile, at[1] * tile, frame)
+        there = np.where(np.isnan(size[1:-1, 1:-1]), 0.0, size[1:-1, 1:-1] ** 2 / 1e6)
+        return pd.DataFrame({"ty": [at[0]], "tx": [at[1]], "filled": [filled.tobytes()], "down": [down.astype(np.int64).tobytes()], "area": [there.tobytes()]})
+
+    place = ["ty", "tx"]
+    flows = materialise(with_cells(tiles, about(levels, 1, tile), place, drain, "ty int, tx int, filled binary, down binary, area binary"), "flows")
+    discard(tiles)
+
+    def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for _, job in part.iterrows():
+                flow = _Flow(job, job["ty"], job["tx"], frame)
+                own, exits, number = flow.drained(np.zeros(flow.area.shape)).ravel(), flow.exits(), flow.number.ravel()
+                out = np.flatnonzero(flow.leaves)
+                yield pd.DataFrame({"cell": number[out], "other": flow.down.ravel()[out], "own": own[out]})
+                rim = np.ones((tile, tile), bool)
+                rim[1:-1, 1:-1] = False
+                enter = np.flatnonzero(rim.ravel() & (exits >= 0))
+                yield pd.DataFrame({"cell": number[enter], "other": number[exits[enter]], "own": None})
+
+    found = materialise(flows.mapInPandas(links, "cell long, other long, own double"), "links")
+    leaving = found.where("own IS NOT NULL").select(F.col("cell").alias("id"), F.col("other").alias("to"), F.col("own").alias("weight"))
+    through = found.where("own IS NULL").select(F.col("cell").alias("to"), F.col("other").alias("next"))
+    totals = subtree_sums(leaving.join(through, "to", "left").select("id", "next", "weight"))
+    row, col = F.floor(F.col("to") / frame.width), F.col("to") % frame.width
+    inflow = totals.join(leaving, "id").groupBy("to").agg(F.sum("total").alias("v")).select(row.cast("int").alias("y"), col.cast("int").alias("x"), "v")
+    inflow = inflow.withColumns({"ty": tile_of("y", tile), "tx": tile_of("x", tile)})
+
+    def accumulate(at: tuple, job: pd.Series, ring: pd.DataFrame) -> pd.DataFrame:
+        flow = _Flow(job, *at, frame)
+        gained = np.zeros(flow.area.shape)
+        gained[ring["y"].to_numpy(int) - at[0] * tile, ring["x"].to_numpy(int) - at[1] * tile] = ring["v"].to_numpy(float)
+        there = flow.area > 0
+        y, x, down = flow.y[there], flow.x[there], flow.down[there]
+        none = down < 0
+        pick = lambda a: pd.Series(np.where(none, 0, a)).mask(none).astype("Int32")
+        return pd.DataFrame({"y": y.astype("int32"), "x": x.astype("int32"), "filled": flow.filled[there], "down_y": pick(down // frame.width), "down_x": pick(down % frame.width), "area_km2": flow.drained(gained)[there], "late": flow.late[there]})
+
+    cells = materialise(with_cells(flows, inflow, place, accumulate, schema + ", late boolean"), "drained")
+    discard(flows, found)
+    late = cells.where("late").groupBy(F.col("down_y").alias("y"), F.col("down_x").alias("x")).agg(F.sum("area_km2").alias("_late"))
+    full = cells.join(late, ["y", "x"], "left")
+    level = F.when(F.col("filled") < float("inf"), F.col("filled")).alias("filled")
+    return full.select("y", "x", level, "down_y", "down_x", (F.col("area_km2") + F.coalesce("_late", F.lit(0.0))).alias("area_km2"))
 
 
-def filled_by_relaxation(grid: DataFrame, value: str = "z", lift: float = 1e-3, rounds: int = 1000) -> DataFrame:
-    """Pit filling by joins only: from infinity inside the border, each round lowers a cell to the larger of its height and its lowest neighbour plus ``lift``.
+def stream_table(drained: DataFrame, threshold: float) -> DataFrame:
+    """(reach, seq, y, x, km2) of a drainage table: the cells from a head or confluence down to the next confluence, the first cell that is no channel or an outlet,
+    and the area at the lower end. A reach bears the place of its first cell, as ``y:x``. Reaches of one cell are left out.
 
-    The fixpoint is the flood's. Rounds are as many as the longest way water takes, so this form is for grids that no task can hold, run basin by basin.
+    The cells between a reach's ends have one channel above them each; their place in the reach is their rank along the chain of those, by pointer jumping.
     """
-    from ..storage import materialise
-
-    ends = grid.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
-    border = F.col("y").isin(ends[0], ends[1]) | F.col("x").isin(ends[2], ends[3])
-    now = materialise(grid.select("y", "x", F.col(value).cast("double").alias("_z")).withColumn("filled", F.when(border, F.col("_z")).otherwise(F.lit(float("inf")))), "fill")
-    rows, cols = Window.partitionBy("y").orderBy("x").rowsBetween(-1, 1), Window.partitionBy("x").orderBy("y").rowsBetween(-1, 1)
-    for _ in range(rounds):
-        near = now.withColumn("_m", F.min("filled").over(rows)).withColumn("_m", F.min("_m").over(cols))
-        after = materialise(near.select("y", "x", "_z", F.when(border, F.col("_z")).otherwise(F.least("filled", F.greatest("_z", F.col("_m") + lift))).alias("filled"), (F.col("filled") > F.greatest("_z", F.col("_m") + lift)).alias("_moved")), "fill")
-        moved = after.where("_moved").limit(1).count()
-        now = after.drop("_moved")
-        if not moved:
-            return now.select("y", "x", "filled")
-    raise RuntimeError(f"no fixpoint in {rounds} rounds")
+    at = drained.select(F.struct("y", "x").alias("id"), F.when(F.col("down_y").isNotNull(), F.struct(F.col("down_y").alias("y"), F.col("down_x").alias("x"))).alias("down"), "area_km2")
+    at = materialise(at.where(F.col("area_km2") >= threshold), "channels")
+    inflow = at.where("down IS NOT NULL").groupBy(F.col("down").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_up"))
+    at = materialise(at.join(inflow, "id", "left").withColumn("inner", F.coalesce(F.col("_n") == 1, F.lit(False))), "channels")
+    ranks = chain_ranks(at.where("inner").select("id", F.col("_up").alias("up")))
+    members = at.where("NOT inner").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("rank")).unionByName(ranks)
+    members = members.join(at.select("id", "down", "area_km2", "inner"), "id")
+    # a reach ends below its last channel cell: at a confluence, or where no channel goes on
+    below = at.select(F.col("id").alias("down"), F.col("inner").alias("_inner"))
+    met = materialise(members.join(below, "down", "left").withColumn("_ends", ~F.coalesce("_inner", F.lit(False))), "reaches")
+    tips = met.where("_ends AND down IS NOT NULL").select("head", (F.col("rank") + 1).alias("rank"), F.col("down").alias("id"))
+    area = drained.select(F.struct("y", "x").alias("id"), "area_km2")
+    tips = tips.join(area, "id").select("head", "rank", "id", "area_km2")
+    cells = met.select("head", "rank", "id", "area_km2").unionByName(tips)
+    ends = cells.groupBy("head").agg(F.max(F.struct("rank", "area_km2")).alias("_e")).where("_e.rank > 0").select("head", F.col("_e.area_km2").alias("km2"))
+    return cells.join(ends, "head").select(F.concat_ws(":", "head.y", "head.x").alias("reach"), F.col("rank").cast("int").alias("seq"), "id.y", "id.x", "km2")

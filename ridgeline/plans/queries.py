@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import GRS80_A
 from ..functions import astro, geodesy, text
 from ..lookups import COVER, FOREST, cover_table, with_lookup
-from ..operators import contour, flood, network, packed, raster, rays, stats, vector
+from ..operators import contour, flood, network, packed, peaks, raster, rays, stats, vector, walks
 from ..storage import materialise
 from . import fixtures as fx
 from .fixtures import CELL, HERE, SQL_COVER, SQL_DAYS, SQL_DEM, SQL_POINTS, WIDTH
@@ -487,35 +487,87 @@ def v_kernel_smooth(spark, d):
 @query("SELECT s_suppkey AS id, round(6 * exp(-3.5 * abs((s_suppkey % 41 - 20) / 20e0 + 0.05)), 9) AS kmh FROM supplier")
 def f_tobler(spark, d):
     k = F.col("s_suppkey")
-    return fx.table(spark, d, "supplier").select(k.alias("id"), r(flood.tobler_speed((k % 41 - 20) / 20.0), 9).alias("kmh"))
+    return fx.table(spark, d, "supplier").select(k.alias("id"), r(walks.tobler_speed((k % 41 - 20) / 20.0), 9).alias("kmh"))
 
 
-@query()
+_WALK = "CASE WHEN code = 18 THEN 0.0 WHEN code IN (1, 2) THEN 0.5 ELSE 0.8 END"
+
+
+def _walk_grid(spark, d):
+    return fx.cover(spark, d).withColumn("factor", F.when(F.col("code") == 18, 0.0).when(F.col("code").isin(1, 2), 0.5).otherwise(0.8)).withColumn("size", CELL + F.col("y") % 7 / 100)
+
+
+def _walk_starts(spark, d):
+    """There and back, from a place for each of a few suppliers."""
+    s = fx.table(spark, d, "supplier").where("s_suppkey = 1")
+    way = F.explode(F.array(F.lit(False), F.lit(True))).alias("reverse")
+    return s.select((F.col("s_suppkey") * 2).alias("_k"), (F.col("s_suppkey") * 7 % 30).cast("int").alias("sy"), (F.col("s_suppkey") * 41 % WIDTH).cast("int").alias("sx"), way).select((F.col("_k") + F.col("reverse").cast("int")).cast("int").alias("start"), "sy", "sx", "reverse")
+
+
+_MOVES = ", ".join(f"({dy}, {dx}, {walks.LENGTHS[dy * dy + dx * dx]!r})" for dy, dx in walks.MOVES)
+#: Hours of every move between cells, and the least hours from each start, corrected until nothing gets shorter.
+_SQL_HOURS = f"""{SQL_COVER}, g AS (SELECT CAST(y AS BIGINT) * {WIDTH} + x AS id, y, x, z, {_WALK} AS factor, 30 + y % 7 / 100e0 AS size FROM cover),
+  st AS (SELECT CAST(s_suppkey * 2 + CAST(back AS INT) AS INT) AS start, back, (s_suppkey * 7 % 30) * {WIDTH} + s_suppkey * 41 % {WIDTH} AS id FROM supplier, (VALUES (false), (true)) AS r(back) WHERE s_suppkey = 1),
+  mv AS (SELECT a.id, b.id AS dst, len * a.size AS run, b.z - a.z AS up, (a.factor + b.factor) / 2 AS mean FROM g a, (VALUES {_MOVES}) m(dy, dx, len) JOIN g b ON b.y = a.y + dy AND b.x = a.x + dx WHERE a.factor + b.factor > 0),
+  co AS MATERIALIZED (SELECT back, id, dst, run / 1000 / (6 * exp(-3.5 * abs(CASE WHEN back THEN -up ELSE up END / run + 0.05)) * mean) AS cost FROM mv, (VALUES (false), (true)) AS r(back)),
+  walked(start, id, back, h) USING KEY (start, id) AS (SELECT start, id, back, 0e0 FROM st
+  UNION SELECT w.start, co.dst, w.back, min(w.h + co.cost) FROM walked w JOIN co ON co.id = w.id AND co.back = w.back LEFT JOIN recurring.walked k ON k.start = w.start AND k.id = co.dst GROUP BY w.start, co.dst, w.back, k.h HAVING min(w.h + co.cost) < coalesce(k.h, 1e300))"""
+
+
+@query(f"WITH RECURSIVE {_SQL_HOURS} SELECT start, back AS reverse, CAST(id // {WIDTH} AS INT) AS y, CAST(id % {WIDTH} AS INT) AS x, round(h, 6) AS hours FROM walked")
 def f_travel_time(spark, d):
-    """Hours from a start, and back to it."""
-    grid = fx.cover(spark, d).withColumn("factor", F.when(F.col("code") == 18, 0.0).when(F.col("code").isin(1, 2), 0.5).otherwise(0.8))
-    starts = spark.createDataFrame([(1, 15, 60, False), (2, 15, 60, True)], "start int, sy int, sx int, reverse boolean")
-    return flood.travel_table(grid, starts, CELL).select("start", "reverse", "y", "x", r(F.col("hours")).alias("hours"))
+    """Hours from a few starts, and back to them."""
+    return walks.travel_table(_walk_grid(spark, d), _walk_starts(spark, d), "size").select("start", "reverse", "y", "x", r(F.col("hours")).alias("hours"))
 
 
 @query()
+def f_travel_path(spark, d):
+    """The ways from each start to the corners of a lattice of cells."""
+    table = walks.travel_table(_walk_grid(spark, d), _walk_starts(spark, d), "size")
+    ends = table.where("y % 20 = 19 AND x % 20 = 19").select(F.concat_ws(":", "start", "y", "x").alias("path"), "start", "y", "x")
+    return walks.path_table(table, ends).select("path", "seq", "y", "x", r(F.col("hours")).alias("hours"))
+
+
+_SQL_NEAR = ", ".join(f"({dy}, {dx})" for dy, dx in flood.STEPS_8)
+#: Levels by correction until nothing falls; the steepest way or the lowest neighbour; areas along ways to ever later cells, and what earlier cells get besides.
+_SQL_DRAINED = f"""{SQL_DEM}, g AS MATERIALIZED (SELECT CAST(y AS BIGINT) * {WIDTH} + x AS id, y, x, z, y IN (0, h - 1) OR x IN (0, {WIDTH - 1}) AS rim FROM dem, size),
+  nb AS MATERIALIZED (SELECT a.id, b.id AS dst, b.z, sqrt(dy * dy + dx * dx) AS len, a.z AS z0, a.rim FROM g a, (VALUES {_SQL_NEAR}) m(dy, dx) JOIN g b ON b.y = a.y + dy AND b.x = a.x + dx),
+  fill(id, f) USING KEY (id) AS (SELECT id, z FROM g WHERE rim
+    UNION SELECT nb.id, min(greatest(nb.z0, fill.f + 1e-3)) FROM fill JOIN nb ON nb.dst = fill.id AND NOT nb.rim LEFT JOIN recurring.fill k ON k.id = nb.id GROUP BY nb.id, k.f HAVING min(greatest(nb.z0, fill.f + 1e-3)) < coalesce(k.f, 1e300)),
+  steep AS (SELECT id, arg_max(dst, (drop_, -dst)) AS dst, max(drop_) AS most FROM (SELECT id, dst, (z0 - z) / (30 * len) AS drop_ FROM nb) GROUP BY id),
+  back AS (SELECT nb.id, arg_min(nb.dst, (f, nb.dst)) AS dst FROM nb JOIN fill ON fill.id = nb.dst WHERE NOT rim GROUP BY nb.id),
+  down AS MATERIALIZED (SELECT fill.id, f, CASE WHEN abs(f - z) < 0.01 AND most > 0 THEN steep.dst ELSE back.dst END AS down FROM fill JOIN g USING (id) JOIN steep USING (id) LEFT JOIN back USING (id)),
+  onward AS MATERIALIZED (SELECT a.id, a.down AS dst FROM down a JOIN down b ON b.id = a.down WHERE a.f > b.f OR (a.f = b.f AND a.id < b.id)),
+  way(id, dst) AS (SELECT id, id FROM down UNION ALL SELECT way.id, onward.dst FROM way JOIN onward ON onward.id = way.dst),
+  up AS (SELECT dst AS id, count(*) * 900 / 1e6 AS km2 FROM way GROUP BY dst),
+  late AS (SELECT down.down AS id, sum(km2) AS km2 FROM down JOIN up USING (id) LEFT JOIN onward USING (id) WHERE down.down IS NOT NULL AND onward.id IS NULL GROUP BY down.down),
+  drained AS MATERIALIZED (SELECT down.id, f, down, up.km2 + coalesce(late.km2, 0) AS km2 FROM down JOIN up USING (id) LEFT JOIN late USING (id))"""
+
+
+@query(f"""WITH RECURSIVE {_SQL_DRAINED} SELECT CAST(id // {WIDTH} AS INT) AS y, CAST(id % {WIDTH} AS INT) AS x, round(f, 6) AS filled, CAST(down // {WIDTH} AS INT) AS down_y, CAST(down % {WIDTH} AS INT) AS down_x, round(km2, 6) AS area_km2 FROM drained""")
 def f_drainage(spark, d):
-    return flood.drainage_table(fx.dem(spark, d), CELL)
+    return flood.drainage_table(fx.dem(spark, d), CELL).withColumns({c: r(F.col(c)) for c in ("filled", "area_km2")})
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SQL_DRAINED}, ch AS MATERIALIZED (SELECT * FROM drained WHERE km2 >= 0.04), n AS (SELECT a.down AS id, count(*) AS n FROM ch a JOIN ch b ON b.id = a.down GROUP BY a.down),
+  link AS MATERIALIZED (SELECT ch.id, ch.down, coalesce(n, 0) <> 1 AS tip FROM ch LEFT JOIN n USING (id)),
+  reach(head, seq, id, down, stop) AS (SELECT id, 0, id, down, false FROM link WHERE tip UNION ALL SELECT head, seq + 1, reach.down, link.down, coalesce(link.tip, true) FROM reach LEFT JOIN link ON link.id = reach.down WHERE NOT stop AND reach.down IS NOT NULL),
+  e AS (SELECT head, max(seq) AS n, arg_max(id, seq) AS last FROM reach GROUP BY head HAVING max(seq) > 0)
+  SELECT head // {WIDTH} || ':' || head % {WIDTH} AS reach, CAST(seq AS INT) AS seq, CAST(reach.id // {WIDTH} AS INT) AS y, CAST(reach.id % {WIDTH} AS INT) AS x, round(km2, 6) AS km2 FROM reach JOIN e USING (head) JOIN drained ON drained.id = e.last""")
 def f_streams(spark, d):
-    return flood.stream_table(flood.drainage_table(fx.dem(spark, d), CELL), 0.05)
+    return flood.stream_table(flood.drainage_table(fx.dem(spark, d), CELL), 0.04).withColumn("km2", r(F.col("km2")))
 
 
 @query()
 def f_summits(spark, d):
-    return flood.summit_table(fx.dem(spark, d), 5.0)
+    return peaks.summit_table(fx.dem(spark, d), 5.0)
 
 
 @query()
 def f_saddles(spark, d):
-    return flood.chosen_saddles(flood.summit_table(fx.dem(spark, d), 3.0, 100), 13.0, 14, 15.0, 60.0)
+    """Key saddles of all peaks within a box, spaced, with whether they are open ground."""
+    cover = fx.cover(spark, d).withColumn("open", F.col("code").isin(8, 10, 13))
+    return peaks.chosen_saddles(peaks.summit_table(cover, 3.0, None), cover, CELL, (15.0, 60.0), (2, 2, fx.height(spark, d) - 2, WIDTH - 2))
 
 
 _RING = ", ".join(f"({k}, {s}, {s * 5 * math.sin(math.radians(5 * k))!r}, {-s * 5 * math.cos(math.radians(5 * k))!r})" for k in range(36) for s in (1, -1))
@@ -527,7 +579,7 @@ _RING = ", ".join(f"({k}, {s}, {s * 5 * math.sin(math.radians(5 * k))!r}, {-s *
 def f_saddle_axis(spark, d):
     grid = fx.dem(spark, d)
     at = grid.where("y % 10 = 5 AND x % 10 = 5").select("y", "x", (F.col("y").cast("long") * WIDTH + F.col("x")).alias("id"))
-    return flood.saddle_axis(at, grid, WIDTH, fx.height(spark, d), 5.0).select("id", "angle", r(F.col("drop_a")).alias("drop_a"), r(F.col("drop_b")).alias("drop_b"))
+    return peaks.saddle_axis(at, grid, WIDTH, fx.height(spark, d), 5.0).select("id", "angle", r(F.col("drop_a")).alias("drop_a"), r(F.col("drop_b")).alias("drop_b"))
 
 
 _CASES = " ".join(f"WHEN {c} THEN ['{s[0]}']" for c, s in contour.CASES.items())
@@ -538,22 +590,40 @@ def _spot_sql(side: str, axis: int) -> str:
     return "CASE " + side + " " + " ".join(f"WHEN '{k}' THEN {v[axis]}" for k, v in _SPOT.items()) + " END"
 
 
-@query(f"""WITH {SQL_DEM}, w AS (SELECT y, x, z AS a, lead(z) OVER (PARTITION BY y ORDER BY x) AS b FROM dem), q AS (SELECT * FROM (SELECT *, lead(a) OVER (PARTITION BY x ORDER BY y) AS d, lead(b) OVER (PARTITION BY x ORDER BY y) AS c FROM w) WHERE a + b + c + d IS NOT NULL),
+_SEGMENTS_SQL = f"""WITH {SQL_DEM}, w AS (SELECT y, x, z AS a, lead(z) OVER (PARTITION BY y ORDER BY x) AS b FROM dem), q AS (SELECT * FROM (SELECT *, lead(a) OVER (PARTITION BY x ORDER BY y) AS d, lead(b) OVER (PARTITION BY x ORDER BY y) AS c FROM w) WHERE a + b + c + d IS NOT NULL),
   l AS (SELECT *, unnest(range(CAST(ceil((least(a,b,c,d) - {contour.NUDGE})/20) AS BIGINT), CAST(floor((greatest(a,b,c,d) - {contour.NUDGE})/20) AS BIGINT) + 1)) * 20 + {contour.NUDGE}e0 AS lv FROM q),
   k AS (SELECT *, CAST(a > lv AS INT) + 2*CAST(b > lv AS INT) + 4*CAST(c > lv AS INT) + 8*CAST(d > lv AS INT) AS ca, (a + b + c + d)/4 > lv AS mid FROM l),
   s AS (SELECT *, unnest(CASE ca WHEN 5 THEN CASE WHEN mid THEN ['TR','LB'] ELSE ['LT','RB'] END WHEN 10 THEN CASE WHEN mid THEN ['LT','RB'] ELSE ['TR','LB'] END {_CASES} END) AS sd FROM k), t AS (SELECT *, substr(sd, 1, 1) AS sa, substr(sd, 2, 1) AS sb FROM s)
-  SELECT round(lv - {contour.NUDGE}e0, 6) AS level, y, x, sa AS side_a, sb AS side_b, round({_spot_sql("sa", 0)}, 6) AS ax, round({_spot_sql("sa", 1)}, 6) AS ay, round({_spot_sql("sb", 0)}, 6) AS bx, round({_spot_sql("sb", 1)}, 6) AS by FROM t""")
+  , raw AS (SELECT round(lv - {contour.NUDGE}e0, {{digits}}) AS level, y, x, sa AS side_a, sb AS side_b, round({_spot_sql("sa", 0)}, {{digits}}) AS ax, round({_spot_sql("sa", 1)}, {{digits}}) AS ay, round({_spot_sql("sb", 0)}, {{digits}}) AS bx, round({_spot_sql("sb", 1)}, {{digits}}) AS by FROM t)"""
+
+
+@query(_SEGMENTS_SQL.format(digits=6) + " SELECT * FROM raw")
 def f_contour_segments(spark, d):
     return contour.segments(fx.dem(spark, d), "z", 20.0).select(r(F.col("level")).alias("level"), "y", "x", "side_a", "side_b", *(r(F.col(c)).alias(c) for c in ("ax", "ay", "bx", "by")))
 
 
-@query()
+_SQL_SEGMENTS = f"""seg AS MATERIALIZED (SELECT level, (y + CAST(side_a = 'B' AS INT)) * 4294967296 + (x + CAST(side_a = 'R' AS INT)) * 2 + CAST(side_a IN ('L', 'R') AS INT) AS a, (y + CAST(side_b = 'B' AS INT)) * 4294967296 + (x + CAST(side_b = 'R' AS INT)) * 2 + CAST(side_b IN ('L', 'R') AS INT) AS b,
+  sqrt((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)) AS len FROM raw), both_ AS MATERIALIZED (SELECT level, a, b FROM seg UNION ALL SELECT level, b, a FROM seg)"""
+
+
+@query(f"""WITH RECURSIVE {_SEGMENTS_SQL.format(digits=12)[5:]}, {_SQL_SEGMENTS},
+  low(level, side, low) USING KEY (level, side) AS (SELECT level, a, min(least(a, b)) FROM both_ GROUP BY level, a
+    UNION SELECT low.level, both_.b, min(low.low) FROM low JOIN both_ ON both_.level = low.level AND both_.a = low.side JOIN recurring.low k ON k.level = low.level AND k.side = both_.b GROUP BY low.level, both_.b, k.low HAVING min(low.low) < k.low),
+  deg AS (SELECT level, a AS side, count(*) AS n FROM both_ GROUP BY level, a), ring AS (SELECT low.level, low, min(n) = 2 AS closed FROM low JOIN deg USING (level, side) GROUP BY low.level, low)
+  SELECT seg.level, ring.low AS line_id, closed, CAST(count(*) + 1 AS INT) AS n, round(sum(len), 6) AS length FROM seg JOIN low ON low.level = seg.level AND low.side = seg.a JOIN ring ON ring.level = seg.level AND ring.low = low.low GROUP BY seg.level, ring.low, closed""")
 def f_contours(spark, d):
     """Whole contour lines with their lengths."""
-    found = contour.contours(fx.dem(spark, d), "z", 20.0, 0.1)
+    found = contour.contours(fx.dem(spark, d), "z", 20.0)
     return found.select(r(F.col("level")).alias("level"), "line_id", "closed", F.size("pts").alias("n"), r(contour.polyline_length(F.col("pts"))).alias("length"))
 
 
+@query()
+def f_contours_thinned(spark, d):
+    """Contour lines with the points that a tenth of a cell keeps."""
+    found = contour.contours(fx.dem(spark, d), "z", 20.0, 0.1)
+    return found.select(r(F.col("level")).alias("level"), "line_id", "closed", F.size("pts").alias("n"))
+
+
 @query(f"""WITH {_LINE_POINTS}, m AS (SELECT *, avg(px) OVER w AS ax, avg(py) OVER w AS ay, lag(seq) OVER o IS NULL OR lead(seq) OVER o IS NULL AS tip FROM lp WINDOW w AS (PARTITION BY line_id ORDER BY seq ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), o AS (PARTITION BY line_id ORDER BY seq))
   SELECT line_id, CAST(seq AS INT) AS seq, round(CASE WHEN tip THEN px ELSE ax END, 6) AS px, round(CASE WHEN tip THEN py ELSE ay END, 6) AS py FROM m""")
 def f_smooth_line(spark, d):

@@ -4,9 +4,10 @@ import math
 
 import numpy as np
 import pytest
+import whole_grids as whole
 from pyspark.sql import functions as F
 
-from ridgeline.operators import contour, flood, packed, raster, rays, stats
+from ridgeline.operators import contour, flood, packed, raster, rays, stats, walks
 
 
 def grid_of(spark, z):
@@ -31,28 +32,28 @@ def test_null_neighbour_gives_null(spark):
     assert raster.horn(grid_of(spark, z), "z", 1.0).where("y = 2 AND x = 2").first()["slope"] is None
 
 
-def test_travel_time_against_relaxation(rough):
+def test_whole_grid_travel_time_against_relaxation(rough):
     z, factor = rough[:8, :8], np.ones((8, 8))
     factor[2, 3:6] = -1
     for reverse in (False, True):
-        hours, before = flood.travel_time(z, factor, np.array(30.0), (1, 1), reverse)
+        hours, before = whole.travel_time(z, factor, np.array(30.0), (1, 1), reverse)
         naive = np.full(z.shape, np.inf)
         naive[1, 1] = 0
         for _ in range(80):
             for y, x in np.ndindex(*z.shape):
-                for dy, dx in flood.STEPS_16:
+                for dy, dx in walks.MOVES:
                     v, u = y + dy, x + dx
                     if 0 <= v < 8 and 0 <= u < 8 and (mean := (factor[y, x] + factor[v, u]) / 2) > 0:
-                        run = flood.LENGTHS[dy * dy + dx * dx] * 30
+                        run = walks.LENGTHS[dy * dy + dx * dx] * 30
                         rise = (z[v, u] - z[y, x]) / run * (-1 if reverse else 1)
-                        naive[v, u] = min(naive[v, u], naive[y, x] + run / 1000 / (flood.tobler_speed(rise) * mean))
+                        naive[v, u] = min(naive[v, u], naive[y, x] + run / 1000 / (walks.tobler_speed(rise) * mean))
         assert np.allclose(hours, naive)
-        path = flood.path_to(before, (7, 7))
+        path = whole.path_to(before, (7, 7))
         assert path[0] == (1, 1) and path[-1] == (7, 7)
 
 
-def test_flood_is_the_fixpoint_and_area_is_kept(spark, rough):
-    filled, down, area = flood.drainage(rough, np.array(30.0))
+def test_whole_grid_flood_is_the_fixpoint_and_area_is_kept(rough):
+    filled, down, area = whole.drainage(rough, np.array(30.0))
     z = np.full(rough.shape, np.inf)
     z[0], z[-1], z[:, 0], z[:, -1] = rough[0], rough[-1], rough[:, 0], rough[:, -1]
     for _ in range(300):
@@ -62,21 +63,19 @@ def test_flood_is_the_fixpoint_and_area_is_kept(spark, rough):
     assert np.allclose(filled, z)
     yy, xx = np.indices(rough.shape)
     sloping = 3.0 * xx + 2.0 * yy + rough / 100  # without pits, where steepest descent and flood would meet, all area leaves
-    _, away, drained = flood.drainage(sloping, np.array(30.0))
+    _, away, drained = whole.drainage(sloping, np.array(30.0))
     assert math.isclose(drained[away < 0].sum(), rough.size * 900 / 1e6)
-    got = {(r["y"], r["x"]): r["filled"] for r in flood.filled_by_relaxation(grid_of(spark, rough)).collect()}
-    assert all(math.isclose(got[k], v) for k, v in np.ndenumerate(z))
-    for cells, _ in flood.streams(down, area, 0.005):
+    for cells, _ in whole.streams(down, area, 0.005):
         assert all(down.ravel()[a] == b for a, b in zip(cells, cells[1:]))
 
 
 def test_two_hills_meet_at_their_saddle():
     y, x = np.indices((21, 41))
     z = 100 * np.exp(-((x - 10) ** 2 + (y - 10) ** 2) / 40) + 80 * np.exp(-((x - 30) ** 2 + (y - 10) ** 2) / 40)
-    peaks = flood.summits(z, 5.0)
-    low = next(p for p in peaks if not p[6])
+    found = whole.summits(z, 5.0)
+    low = next(p for p in found if not p[6])
     assert low[:2] == (10, 30) and low[4] == 10 and 15 < low[5] < 25 and math.isclose(low[3], z[10, 30] - z[low[4], low[5]])
-    assert next(p for p in peaks if p[6])[:2] == (10, 10)
+    assert next(p for p in found if p[6])[:2] == (10, 10)
 
 
 def test_viewshed_agrees_with_exploded_form(spark, rough):
@@ -126,11 +125,3 @@ def test_landforms_partition(spark, rough):
     assert math.isclose(sum(r["share"] for r in out), 1) and all(1 <= r["k"] <= 10 for r in out)
     m = both.agg(F.avg("s"), F.stddev_pop("s")).first()
     assert abs(m[0]) < 1e-9 and math.isclose(m[1], 1)
-
-
-def test_grids_too_large_for_a_task_are_refused(spark, monkeypatch):
-    grid = grid_of(spark, np.arange(20.0).reshape(4, 5))
-    assert flood.drainage_table(grid, 30.0).count() == 20
-    monkeypatch.setattr(flood, "MOST_CELLS", 19)
-    with pytest.raises(Exception, match="cut it into"):
-        flood.drainage_table(grid, 30.0).collect()
