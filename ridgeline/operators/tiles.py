@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise
+from ..storage import discard, materialise, own_columns
 
 TILE = 256
 ROUNDS = 10_000
@@ -74,8 +74,7 @@ def with_cells(jobs: DataFrame, cells: DataFrame, at: list[str], run: Callable,
     def each(key: tuple, job: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         return run(key, job.iloc[0], own) if len(job) else _empty(schema)
 
-    jobs = jobs.select(*(F.col(c).alias(c) for c in jobs.columns))  # columns of its own, where both come from one table
-    return jobs.groupBy(*at).cogroup(cells.groupBy(*at)).applyInPandas(each, schema)
+    return own_columns(jobs).groupBy(*at).cogroup(cells.groupBy(*at)).applyInPandas(each, schema)
 
 
 def about(known: DataFrame, halo: int, tile: int) -> DataFrame:

@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialise
-
 from ..config import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
+from ..storage import discard, materialise
 
 TILE_DEGREES = 0.1
 
@@ -56,19 +55,22 @@ def in_box_of(lon: Column, lat: Column, box: Column) -> Column:
 
 
 def first_containing(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Points with fid and props of the first polygon, in the order of the layer, that holds them; null if none does."""
-    best = containing(points, polygons).groupBy("id").agg(F.min(F.struct("seq", "fid")).alias("_b")).select("id", F.col("_b.fid").alias("fid"))
-    return points.join(best, "id", "left")
+    """Points with fid and props of the first polygon, in the order of the layer, that holds them; null if none does. What holds a point goes by its place, so ids may repeat or be null."""
+    places = points.select("lon", "lat").distinct()
+    best = containing(places, polygons).groupBy("lon", "lat").agg(F.min(F.struct("seq", "fid")).alias("_b")).select("lon", "lat", F.col("_b.fid").alias("fid"))
+    return points.join(best, ["lon", "lat"], "left").select(*points.columns, "fid")
 
 
 def inside_any(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Points that some polygon holds (semi join)."""
-    return points.join(containing(points, polygons).select("id").distinct(), "id", "left_semi")
+    """Points that some polygon holds (semi join, by place)."""
+    held = containing(points.select("lon", "lat").distinct(), polygons).select("lon", "lat").distinct()
+    return points.join(held, ["lon", "lat"], "left_semi").select(*points.columns)
 
 
 def outside_all(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """Points that no polygon holds (anti join)."""
-    return points.join(containing(points, polygons).select("id").distinct(), "id", "left_anti")
+    """Points that no polygon holds (anti join, by place), those without a place included."""
+    held = containing(points.select("lon", "lat").distinct(), polygons).select("lon", "lat").distinct()
+    return points.join(held, ["lon", "lat"], "left_anti").select(*points.columns)
 
 
 def plane(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
@@ -96,13 +98,18 @@ def _near_segments(points: DataFrame, segments: DataFrame, metres: float) -> Dat
     """Points beside each segment whose box, grown by the distance, holds them, with the distance _d and the foot _fx, _fy on a plane around the point.
 
     Boxes are dealt to tiles about as large as the distance. How many degrees of longitude that is follows from the latitude farthest from the equator
-    that a point within the distance can have; next to a pole a box goes all around. Boxes are tested before any distance is worked out.
+    that a point within the distance can have; next to a pole a box goes all around. Boxes are tested before any distance is worked out. A segment goes the short way round:
+    one that crosses the 180th meridian, or whose box does, is dealt to both sides of it.
     """
+    short = F.when(F.col("lon2") - F.col("lon1") > 180, F.col("lon2") - 360).when(F.col("lon2") - F.col("lon1") < -180, F.col("lon2") + 360).otherwise(F.col("lon2"))
+    segments = segments.withColumn("lon2", short)
     size = metres / METRES_PER_DEGREE_LAT
     farthest = F.greatest(F.abs("lat1"), F.abs("lat2")) + size
     wide = F.when(farthest < 89.9, metres / (METRES_PER_DEGREE_LON * F.cos(F.radians(farthest))) * (1 + 1e-9)).otherwise(360.0)
     edges = {"west": F.least("lon1", "lon2") - wide, "south": F.least("lat1", "lat2") - size, "east": F.greatest("lon1", "lon2") + wide, "north": F.greatest("lat1", "lat2") + size}
-    boxed = segments.withColumn("_box", F.struct(*(c.alias(name) for name, c in edges.items())))
+    turned = segments.withColumns({f"_{name}": c for name, c in edges.items()}).withColumn("_turn", F.explode(F.array(*(F.lit(t) for t in (0.0, 360.0, -360.0)))))
+    turned = turned.withColumns({"lon1": F.col("lon1") + F.col("_turn"), "lon2": F.col("lon2") + F.col("_turn"), "_west": F.greatest(F.col("_west") + F.col("_turn"), F.lit(-180.0)), "_east": F.least(F.col("_east") + F.col("_turn"), F.lit(180.0))})
+    boxed = turned.where("_west <= _east").withColumn("_box", F.struct(*(F.col(f"_{name}").alias(name) for name in edges))).drop("_turn", *(f"_{name}" for name in edges))
     tile = max(size, 0.01)
     dealt = boxed.withColumn("_t", F.explode(_tiles(F.col("_box"), tile))).withColumns({"_tx": F.col("_t.tx"), "_ty": F.col("_t.ty")}).drop("_t")
     met = points.withColumns({"_tx": F.floor(F.col("lon") / tile), "_ty": F.floor(F.col("lat") / tile)}).join(dealt, ["_tx", "_ty"])
@@ -113,6 +120,10 @@ def _near_segments(points: DataFrame, segments: DataFrame, metres: float) -> Dat
     return met.withColumns({"_d": d, "_fx": fx, "_fy": fy}).where(F.col("_d") <= metres)
 
 
+def _within_180(lon: Column) -> Column:
+    return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
+
+
 def nearest_within(points: DataFrame, lines: DataFrame, metres: float) -> DataFrame:
     """id, fid, metres, bearing, foot_lon, foot_lat of the nearest line within a distance; ties by fid and segment."""
     near = _near_segments(points, line_segments(lines), metres)
@@ -120,7 +131,7 @@ def nearest_within(points: DataFrame, lines: DataFrame, metres: float) -> DataFr
     east, north = F.col("_b._fx"), F.col("_b._fy")
     return best.select(
         "id", F.col("_b.fid").alias("fid"), F.col("_b.metres").alias("metres"), ((F.degrees(F.atan2(east, north)) + 360) % 360).alias("bearing"),
-        (F.col("lon") + east / (METRES_PER_DEGREE_LON * F.cos(F.radians("lat")))).alias("foot_lon"), (F.col("lat") + north / METRES_PER_DEGREE_LAT).alias("foot_lat"),
+        _within_180(F.col("lon") + east / (METRES_PER_DEGREE_LON * F.cos(F.radians("lat")))).alias("foot_lon"), (F.col("lat") + north / METRES_PER_DEGREE_LAT).alias("foot_lat"),
     )
 
 
@@ -160,30 +171,37 @@ VERTEX_RINGS = ((1, 1), (4, 1), (16, 1), (16, 8), (16, 64))
 def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02, rings: tuple[tuple[int, int], ...] = VERTEX_RINGS) -> DataFrame:
     """id, lon, lat, vertex_lon, vertex_lat, metres of the nearest vertex: rings of cells around the point until one holds a vertex that nothing outside can beat.
 
-    Points without one get larger rings, of larger cells. Beyond the last ring (16 cells of 1.28 degrees, as parameters stand) the vertex is null: every point
-    has its row. Only the ring's inner border bounds what is certain, in longitude that of the latitude where meridians are closest. Rounds are written to the shared folder.
+    Places without one get larger rings, of larger cells. Beyond the last ring (16 cells of 1.28 degrees, as parameters stand), and for a point without a place, the vertex is null.
+    Places are looked up once each and joined back, so every row of points has its row, whatever its id. Only the ring's inner border bounds what is certain,
+    in longitude that of the latitude where meridians are closest. Vertices near the 180th meridian stand on both sides of it. Rounds are written to the shared folder.
     """
     from ..functions.geodesy import haversine
 
     vertices = lines.select(F.posexplode("pts").alias("n", "p"), "fid").select("fid", "n", F.col("p.lon").alias("vertex_lon"), F.col("p.lat").alias("vertex_lat"))
-    left, done = points.select("id", "lon", "lat"), None
+    left, found = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct(), []
+    passed = []
     for reach, larger in rings:
         size = cell * larger
-        keyed = vertices.withColumns({"_tx": F.floor(F.col("vertex_lon") / size), "_ty": F.floor(F.col("vertex_lat") / size)})
+        seam = (reach + 1) * size
+        copies = F.array_compact(F.array(F.lit(0.0), F.when(F.col("vertex_lon") < -180 + seam, 360.0), F.when(F.col("vertex_lon") > 180 - seam, -360.0)))
+        keyed = vertices.withColumn("_turn", F.explode(copies)).withColumns({"_tx": F.floor((F.col("vertex_lon") + F.col("_turn")) / size), "_ty": F.floor(F.col("vertex_lat") / size)}).drop("_turn")
         span = F.sequence(F.lit(-reach), F.lit(reach))
         around = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).withColumns({"_tx": F.floor(F.col("lon") / size) + F.col("_dx"), "_ty": F.floor(F.col("lat") / size) + F.col("_dy")})
         met = around.join(keyed, ["_tx", "_ty"]).withColumn("_m", haversine(F.col("lon"), F.col("lat"), F.col("vertex_lon"), F.col("vertex_lat")))
-        best = met.groupBy("id", "lon", "lat").agg(F.min(F.struct(F.round("_m", 6).alias("metres"), "fid", "n", "vertex_lon", "vertex_lat")).alias("_b"))
+        best = met.groupBy("lon", "lat").agg(F.min(F.struct(F.round("_m", 6).alias("metres"), "fid", "n", "vertex_lon", "vertex_lat")).alias("_b"))
         # where meridians are closest within the distance that is asked for
         pole = F.least(F.abs("lat") + F.col("_b.metres") / METRES_PER_DEGREE_LAT, F.lit(90.0))
         safe = reach * size * METRES_PER_DEGREE_LON * F.cos(F.radians(pole)) * 0.98
-        sure = materialise(best.where(F.col("_b.metres") <= safe).select("id", "lon", "lat", "_b.vertex_lon", "_b.vertex_lat", "_b.metres"), "sure")
-        done = sure if done is None else done.unionByName(sure)
-        left = materialise(left.join(sure.select("id"), "id", "left_anti"), "left")
+        found.append(materialise(best.where(F.col("_b.metres") <= safe).select("lon", "lat", "_b.vertex_lon", "_b.vertex_lat", "_b.metres"), "sure"))
+        left = materialise(left.join(found[-1], ["lon", "lat"], "left_anti"), "left")
+        passed.append(left)
         if left.isEmpty():
-            return done
-    nothing = F.lit(None).cast("double")
-    return done.unionByName(left.select("id", "lon", "lat", nothing.alias("vertex_lon"), nothing.alias("vertex_lat"), nothing.alias("metres")))
+            break
+    discard(*passed)
+    done = found[0]
+    for more in found[1:]:
+        done = done.unionByName(more)
+    return points.join(done, ["lon", "lat"], "left").select("id", "lon", "lat", "vertex_lon", "vertex_lat", "metres")
 
 
 def interior_points(spark, polygons: DataFrame, lattice: int = 13, aspect_cap: float = 1.5) -> DataFrame:

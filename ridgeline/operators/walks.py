@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import discard, materialise
+from ..storage import discard, materialise, own_columns
 from .tiles import TILE, about, bands, pack, plane, settle, tile_of, with_cells
 
 #: Lengths of a step to a side, to a corner and of a knight's move.
@@ -161,8 +161,7 @@ def path_table(table: DataFrame, ends: DataFrame, tile: int = TILE, rounds: int
     for _ in range(rounds):
         tips = tips.withColumns({"ty": tile_of("y", tile), "tx": tile_of("x", tile)})
         needed = cells.join(tips.select(*at).distinct(), at, "left_semi")
-        needed = needed.select(*(F.col(c).alias(c) for c in needed.columns))  # columns of its own, where ends come from the same table
-        step = materialise(needed.groupBy(*at).cogroup(tips.groupBy(*at)).applyInPandas(run, schema), "path")
+        step = materialise(own_columns(needed).groupBy(*at).cogroup(tips.groupBy(*at)).applyInPandas(run, schema), "path")
         found.append(step)
         last = step.groupBy("path").agg(F.max(F.struct("back", "start", "next_y", "next_x")).alias("_l"))
         tips = last.where("_l.next_y >= 0").select("path", "_l.start", (F.col("_l.back") + 1).alias("back"), F.col("_l.next_y").alias("y"), F.col("_l.next_x").alias("x"))

@@ -726,11 +726,18 @@ def n_distances(spark, d):
     return network.distances_from(fx.edges(spark, d).select("src", "dst", "step"), 1).select("node", r(F.col("cost"), 3).alias("cost"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, n AS (SELECT count(*) AS n FROM supplier), trips AS MATERIALIZED (SELECT c_custkey AS trip, (c_custkey * 7) % n + 1 AS start, (c_custkey * 31) % n + 1 AS goal FROM customer, n WHERE c_custkey % 25 = 1),
+  way(trip, node, cost, before) USING KEY (trip, node) AS (SELECT trip, start, 0e0, CAST(-1 AS BIGINT) FROM trips
+    UNION SELECT w.trip, e.dst, min(w.cost + e.cost), arg_min(w.node, (w.cost + e.cost, w.node)) FROM way w JOIN edges e ON e.src = w.node LEFT JOIN recurring.way k ON k.trip = w.trip AND k.node = e.dst
+      GROUP BY w.trip, e.dst, k.cost, k.before HAVING min((w.cost + e.cost, w.node)) < coalesce((k.cost, k.before), (1e300, 0))),
+  back(trip, k, node, cost, before) AS (SELECT way.trip, 0, node, cost, before FROM way JOIN trips ON trips.trip = way.trip AND goal = node UNION ALL SELECT way.trip, k + 1, way.node, way.cost, way.before FROM back JOIN way ON way.trip = back.trip AND way.node = back.before)
+  SELECT trip, CAST(max(k) OVER (PARTITION BY trip) - k AS INT) AS seq, node, round(cost, 3) AS cost FROM back""")
 def n_shortest_path(spark, d):
+    """The ways of a trip for some customers, all at once."""
     n = fx.table(spark, d, "supplier").count()
-    trips = spark.createDataFrame([(1, 1, n // 2), (2, 2, n // 3 + 1)], "trip long, start long, goal long")
-    return network.shortest_paths(fx.edges(spark, d), trips).select("trip", "seq", "node", r(F.col("cost"), 3).alias("cost"))
+    k = F.col("c_custkey")
+    trips = fx.table(spark, d, "customer").where("c_custkey % 25 = 1").select(k.alias("trip"), ((k * 7) % n + 1).alias("start"), ((k * 31) % n + 1).alias("goal"))
+    return network.shortest_paths(fx.edges(spark, d), trips, F.floor(F.col("src") / 64)).select("trip", "seq", "node", r(F.col("cost"), 3).alias("cost"))
 
 
 def _trip_steps(spark, d):
@@ -1004,7 +1011,9 @@ def n_graph(spark, d):
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), r(F.sum("metres"), 3).alias("metres"), r(F.sum(network.edge_cost(F.col("metres"), F.col("kind"))), 3).alias("cost"))
 
 
-@query()
+@query(f"""WITH {_STEPS}, nm AS (SELECT *, CASE WHEN seq % 3 <> 0 THEN 'road ' || seq // 400 END AS name FROM st), a AS (SELECT *, coalesce(CAST(kind <> lag(kind) OVER w AS INT), 1) AS nw FROM nm WINDOW w AS (PARTITION BY trip ORDER BY seq)), b AS (SELECT *, sum(nw) OVER (PARTITION BY trip ORDER BY seq) AS run FROM a),
+  c AS (SELECT *, last_value(name IGNORE NULLS) OVER (PARTITION BY trip, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM b), e AS (SELECT *, sum(greatest(nw, coalesce(CAST(name <> held AS INT), 0))) OVER (PARTITION BY trip ORDER BY seq) AS leg FROM c)
+  SELECT trip, CAST(leg AS INT) AS leg, kind, coalesce(max(name), '') AS name, round(sum(metres) / 1000e0, 6) AS km FROM e GROUP BY trip, leg, kind""")
 def n_named_legs(spark, d):
     """Legs by kind and compatible name, empty names taking over the leg's."""
     steps = _trip_steps(spark, d).withColumn("name", F.when(F.col("seq") % 3 == 0, "").otherwise(F.concat(F.lit("road "), F.floor(F.col("seq") / 400).cast("string"))))

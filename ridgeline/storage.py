@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -36,3 +37,8 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.work_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def own_columns(df: DataFrame) -> DataFrame:
+    """The same rows under columns of their own, so that they can meet rows that come from the same table."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))

@@ -38,3 +38,29 @@ def test_nearest_vertex_of_far_points(spark):
     got = {x["id"]: x for x in vector.nearest_vertex(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(lines, LINES)).collect()}
     assert [(got[i]["vertex_lon"], got[i]["vertex_lat"]) for i in (1, 2, 3, 4)] == [(10.0, 50.0), (12.0, 50.0), (12.0, 50.0), (12.5, 80.0)]
     assert got[5]["metres"] is None and len(got) == 5
+
+
+def test_nearest_vertex_by_place_and_across_the_180th_meridian(spark):
+    lines = [(1, [(10.0, 50.0), (10.01, 50.01)]), (2, [(-179.999, 0.0), (-179.9, 0.1)]), (3, [(179.5, 70.0), (179.6, 70.1)])]
+    points = [(1, 10.001, 50.0), (1, 20.0, 50.0), (None, 10.001, 50.0), (None, 10.001, 50.0), (2, 179.9995, 0.0), (3, -179.9, 70.0), (4, None, 50.0)]
+    got = vector.nearest_vertex(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(lines, LINES)).collect()
+    assert sorted((r["id"] or 0, r["lon"] or 0, r["vertex_lon"]) for r in got) == [(0, 10.001, 10.0), (0, 10.001, 10.0), (1, 10.001, 10.0), (1, 20.0, 10.01), (2, 179.9995, -179.999), (3, -179.9, 179.6), (4, 0, None)]
+    assert 160 < next(r["metres"] for r in got if r["id"] == 2) < 170
+
+
+def test_nearest_line_across_the_180th_meridian(spark):
+    lines = [(1, [(179.99, 10.0), (-179.99, 10.0)]), (2, [(-179.995, -20.0), (-179.99, -20.0)]), (3, [(179.995, -40.0), (179.99, -40.0)])]
+    points = [(1, 179.999, 10.01), (2, -179.999, 10.01), (3, 179.999, -20.0), (4, -179.999, -40.0), (5, 0.0, 10.0)]
+    got = {r["id"]: r for r in vector.nearest_within(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(lines, LINES), 2000.0).collect()}
+    assert {i: r["fid"] for i, r in got.items()} == {1: 1, 2: 1, 3: 2, 4: 3}
+    assert abs(got[1]["metres"] - 1112) < 1 and abs(got[2]["metres"] - 1112) < 1 and abs(got[3]["metres"] - 0.006 * 111_320 * math.cos(math.radians(20))) < 1
+    assert all(-180 <= r["foot_lon"] <= 180 for r in got.values()) and got[3]["foot_lon"] < 0
+
+
+def test_places_decide_what_holds_a_point(spark):
+    square = spark.createDataFrame([(7, 0, [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]], {"name": "a"})], "fid long, seq int, rings array<array<struct<lon:double,lat:double>>>, props map<string,string>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (1, 5.0, 5.0), (None, 0.5, 0.5), (None, 6.0, 6.0), (2, None, 0.5)], "id long, lon double, lat double")
+    key = lambda r: (r["id"] or 0, r["lon"] or 0)
+    assert sorted(map(key, vector.inside_any(points, square).collect())) == [(0, 0.5), (1, 0.5)]
+    assert sorted(map(key, vector.outside_all(points, square).collect())) == [(0, 6.0), (1, 5.0), (2, 0)]
+    assert sorted((*key(r), r["fid"]) for r in vector.first_containing(points, square).collect()) == [(0, 0.5, 7), (0, 6.0, None), (1, 0.5, 7), (1, 5.0, None), (2, 0, None)]
