@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -179,19 +178,17 @@ def drainage_table(grid: DataFrame, cell: float | str, value: str = "z", lift: f
     flows = materialise(with_cells(tiles, about(levels, 1, tile), place, drain, "ty int, tx int, filled binary, down binary, area binary"), "flows")
     discard(tiles)
 
-    def links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for _, job in part.iterrows():
-                flow = _Flow(job, job["ty"], job["tx"], frame)
-                own, exits, number = flow.drained(np.zeros(flow.area.shape)).ravel(), flow.exits(), flow.number.ravel()
-                out = np.flatnonzero(flow.leaves)
-                yield pd.DataFrame({"cell": number[out], "other": flow.down.ravel()[out], "own": own[out]})
-                rim = np.ones((tile, tile), bool)
-                rim[1:-1, 1:-1] = False
-                enter = np.flatnonzero(rim.ravel() & (exits >= 0))
-                yield pd.DataFrame({"cell": number[enter], "other": number[exits[enter]], "own": None})
-
-    found = materialise(flows.mapInPandas(links, "cell long, other long, own double"), "links")
+    def links(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        flow = _Flow(pdf.iloc[0], *at, frame)
+        own, exits, number = flow.drained(np.zeros(flow.area.shape)).ravel(), flow.exits(), flow.number.ravel()
+        out = np.flatnonzero(flow.leaves)
+        rim = np.ones((tile, tile), bool)
+        rim[1:-1, 1:-1] = False
+        enter = np.flatnonzero(rim.ravel() & (exits >= 0))
+        weight = pd.Series([*own[out].tolist(), *[None] * len(enter)], dtype=object)
+        return pd.DataFrame({"cell": np.r_[number[out], number[enter]], "other": np.r_[flow.down.ravel()[out], number[exits[enter]]], "own": weight})
+
+    found = materialise(flows.groupBy(*place).applyInPandas(links, "cell long, other long, own double"), "links")
     leaving = found.where("own IS NOT NULL").select(F.col("cell").alias("id"), F.col("other").alias("to"), F.col("own").alias("weight"))
     through = found.where("own IS NULL").select(F.col("cell").alias("to"), F.col("other").alias("next"))
     totals = subtree_sums(leaving.join(through, "to", "left").select("id", "next", "weight"))

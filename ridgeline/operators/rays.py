@@ -1,14 +1,14 @@
 """Rays over a height grid: line of sight, viewshed, vantage, sun and wind.
 
-Two forms. ``line_of_sight`` explodes each pair into one row per step and joins the cells, so that grid and pairs may have any size. The bulk
-kernels march over a broadcast copy of the heights, which is taken only up to ``BROADCAST_CELLS`` cells; a larger grid raises and is to be cut by a window
-or answered by the exploded form.
+Two forms. ``line_of_sight`` explodes each pair into one row per step and joins the cells. Where whole areas are looked at, tiles meet the tiles between them and the eye or
+the sun, and a task holds two of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CURVATURE_RADIUS_M, REFRACTION
-
-BROADCAST_CELLS = 50_000_000
+from ..storage import materialise
+from .tiles import TILE, pack, plane, tile_of, with_cells
 
 
 def curvature_drop(metres):
@@ -25,56 +25,127 @@ def curvature_drop(metres):
     return metres * metres / (2 * CURVATURE_RADIUS_M) * (1 - REFRACTION)
 
 
-def grid_array(grid: DataFrame, value: str = "z") -> np.ndarray:
-    """The grid as an array of floats, missing cells NaN; refuses grids beyond BROADCAST_CELLS."""
-    top, left, bottom, right, n = grid.agg(F.min("y"), F.min("x"), F.max("y"), F.max("x"), F.count(F.lit(1))).first()
-    if not n:
-        return np.zeros((0, 0))
-    if top < 0 or left < 0 or (bottom + 1) * (right + 1) > BROADCAST_CELLS:
-        raise ValueError(f"{bottom + 1} x {right + 1} cells are more than a broadcast may hold; cut a window first")
-    cells = grid.select("y", "x", F.col(value).cast("double").alias("v")).toPandas()
-    out = np.full((bottom + 1, right + 1), np.nan)
-    out[cells["y"].to_numpy(), cells["x"].to_numpy()] = cells["v"].to_numpy()
-    return out
-
-
 def bilinear(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    h, w = z.shape
-    x, y = np.clip(x, 0, w - 1.001), np.clip(y, 0, h - 1.001)
+    """Heights at places of an array that all lie before its last row and column."""
     i, j = np.floor(x).astype(int), np.floor(y).astype(int)
     fx, fy = x - i, y - j
     return (z[j, i] * (1 - fx) + z[j, i + 1] * fx) * (1 - fy) + (z[j + 1, i] * (1 - fx) + z[j + 1, i + 1] * fx) * fy
 
 
-def visible(z: np.ndarray, ox: float, oy: float, tx: np.ndarray, ty: np.ndarray, cell: float, eye: float, target: float) -> np.ndarray:
-    """Which targets an eye sees: one sample per cell of distance, all targets of a batch at once."""
-    far = np.hypot(tx - ox, ty - oy)
-    start = z[int(oy), int(ox)] + eye
-    aim = z[ty.astype(int), tx.astype(int)] + target - curvature_drop(far * cell) - start
-    seen = np.ones(len(tx), bool)
-    n = np.ceil(far).astype(int)
-    for s in range(1, int(n.max(initial=0))):
-        live = np.flatnonzero(seen & (s < n) & (far >= 1.5))
-        if not len(live):
-            break
-        f = s / n[live]
-        ground = bilinear(z, ox + (tx[live] - ox) * f, oy + (ty[live] - oy) * f)
-        seen[live[ground - curvature_drop(far[live] * f * cell) > start + aim[live] * f]] = False
-    return seen
+@dataclass(frozen=True)
+class _Extent:
+    """Cells of a grid across and down, from 0, and its highest and lowest ground."""
 
+    height: int
+    width: int
+    top: float
+    low: float
 
-def viewshed(grid: DataFrame, oy: int, ox: int, radius_m: float, cell: float, eye: float = 1.7, target: float = 1.0, value: str = "z") -> DataFrame:
-    """(y, x, seen) of the cells within a radius: 1 or 0; cells out of reach are absent."""
-    heights = grid.sparkSession.sparkContext.broadcast(grid_array(grid, value))
-    reach = radius_m / cell
-    dy, dx = F.col("y") - oy, F.col("x") - ox
+    def clipped(self, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.clip(px, 0, self.width - 1.001), np.clip(py, 0, self.height - 1.001)
+
+
+def _extent(grid: DataFrame, value: str) -> _Extent:
+    bottom, right, top, low = grid.agg(F.max("y"), F.max("x"), F.max(value), F.min(value)).first()
+    return _Extent((bottom or 0) + 1, (right or 0) + 1, top if top is not None else 0.0, low if low is not None else 0.0)
+
+
+def _in_tile(px: np.ndarray, py: np.ndarray, ty: int, tx: int, tile: int) -> np.ndarray:
+    return (np.floor(px) >= tx * tile) & (np.floor(px) < (tx + 1) * tile) & (np.floor(py) >= ty * tile) & (np.floor(py) < (ty + 1) * tile)
+
+
+def _sampled(z: np.ndarray, px: np.ndarray, py: np.ndarray, ty: int, tx: int, tile: int) -> np.ndarray:
+    """Heights at places of a tile, of which the array reaches one cell beyond it."""
+    return bilinear(z, px - tx * tile + 1, py - ty * tile + 1)
+
+
+def _near_line(y0: Column, x0: Column, y1: Column, x1: Column, y: Column, x: Column) -> Column:
+    """Distance of (y, x) from the straight way from (y0, x0) to (y1, x1)."""
+    dy, dx = y1 - y0, x1 - x0
+    t = F.coalesce(F.try_divide((y - y0) * dy + (x - x0) * dx, dy * dy + dx * dx), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return F.sqrt(F.pow(y0 + t * dy - y, F.lit(2)) + F.pow(x0 + t * dx - x, F.lit(2)))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            seen = visible(heights.value, ox, oy, part["x"].to_numpy(float), part["y"].to_numpy(float), cell, eye, target)
-            yield pd.DataFrame({"y": part["y"], "x": part["x"], "seen": seen.astype("int32")})
 
-    return grid.where((dx * dx + dy * dy <= reach * reach) & F.col(value).isNotNull()).select("y", "x").mapInPandas(run, "y int, x int, seen int")
+_RAYS = "{eye}, ty int, tx int, hidden binary"
+
+
+def viewsheds(grid: DataFrame, eyes: DataFrame, radius_m: float, cell: float, eye: float = 1.7, target: float = 1.0, value: str = "z", tile: int = TILE) -> DataFrame:
+    """(eye, y, x, seen) of the cells within a radius of each eye (eye, y, x): 1 or 0; cells out of reach are absent, and so are eyes without a cell.
+
+    One sample of the ground per cell of distance. The tile that holds the cells looked at meets each tile that lies between it and the eye: a task has two tiles,
+    says which of the cells are hidden by the second, and what any tile hides is hidden. So neither the grid nor a radius has to fit a task.
+    """
+    size = _extent(grid, value)
+    reach = radius_m / cell
+    tiles = materialise(pack(grid.select("y", "x", F.col(value).alias("z")), ["z"], 1, tile), "tiles")
+    kind = f"eye {dict(eyes.dtypes)['eye']}"
+    from_ = eyes.select("eye", F.col("y").alias("oy"), F.col("x").alias("ox")).join(grid.select(F.col("y").alias("oy"), F.col("x").alias("ox"), F.col(value).cast("double").alias("_z0")), ["oy", "ox"]).where("_z0 IS NOT NULL")
+    around = lambda c, name: F.explode(F.sequence(tile_of(F.col(c) - reach, tile), tile_of(F.col(c) + reach, tile))).alias(name)
+    looked = from_.select("eye", "oy", "ox", "_z0", around("oy", "ty")).select("*", around("ox", "tx")).join(tiles.select("ty", "tx"), ["ty", "tx"])
+    between = looked
+    for axis in ("y", "x"):
+        first, last = tile_of(f"o{axis}", tile), F.col(f"t{axis}")
+        between = between.withColumn(f"r{axis}", F.explode(F.sequence(F.least(first, last), F.greatest(first, last))))
+    middle = lambda c: (F.col(c) + 0.5) * tile
+    # a ray to a cell of one tile runs through the other only if their middles lie this near the same line
+    between = between.where(_near_line(F.col("oy"), F.col("ox"), middle("ty"), middle("tx"), middle("ry"), middle("rx")) <= 1.4143 * tile + 2)
+    pairs = between.join(tiles, ["ty", "tx"]).join(tiles.select(F.col("ty").alias("ry"), F.col("tx").alias("rx"), F.col("z").alias("ground")), ["ry", "rx"])
+
+    def cells(at: tuple[int, int], z: np.ndarray, oy: int, ox: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and columns within the tile of cells that are looked at, and their heights."""
+        inner = z[1:-1, 1:-1]
+        yy, xx = np.indices(inner.shape)
+        dy, dx = yy + at[0] * tile - oy, xx + at[1] * tile - ox
+        y, x = np.nonzero((dy * dy + dx * dx <= reach * reach) & ~np.isnan(inner))
+        return y, x, inner[y, x]
+
+    def hide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        here, there, oy, ox = (int(row["ty"]), int(row["tx"])), (int(row["ry"]), int(row["rx"])), int(row["oy"]), int(row["ox"])
+        z, ground = plane(row["z"], tile, 1), plane(row["ground"], tile, 1)
+        y, x, height = cells(here, z, oy, ox)
+        dy, dx = y + here[0] * tile - oy, x + here[1] * tile - ox
+        far = np.hypot(dy, dx)
+        n = np.ceil(far).astype(int)
+        start = row["_z0"] + eye
+        aim = height + target - curvature_drop(far * cell) - start
+        hidden = np.zeros(len(y), bool)
+        corner = [(math.hypot(there[0] * tile + a - oy, there[1] * tile + b - ox)) for a in (0, tile) for b in (0, tile)]
+        nearest = math.hypot(max(there[0] * tile - oy, 0, oy - (there[0] + 1) * tile), max(there[1] * tile - ox, 0, ox - (there[1] + 1) * tile))
+        for s in range(max(1, int(nearest) - 1), min(int(n.max(initial=0)), int(max(corner)) + 3)):
+            live = np.flatnonzero(~hidden & (s < n) & (far >= 1.5))
+            f = s / n[live]
+            px, py = size.clipped(ox + dx[live] * f, oy + dy[live] * f)
+            on = _in_tile(px, py, *there, tile)
+            live, f = live[on], f[on]
+            hidden[live[_sampled(ground, px[on], py[on], *there, tile) - curvature_drop(far[live] * f * cell) > start + aim[live] * f]] = True
+        whole = np.zeros((tile, tile), bool)
+        whole[y, x] = hidden
+        return pd.DataFrame({"eye": [row["eye"]], "ty": [here[0]], "tx": [here[1]], "hidden": [np.packbits(whole).tobytes()]})
+
+    shade = pairs.groupBy("eye", "ty", "tx", "ry", "rx").applyInPandas(hide, _RAYS.format(eye=kind))
+
+    def tell(key: tuple, job: pd.Series, hidden: pd.DataFrame) -> pd.DataFrame:
+        y, x, _ = cells(key[1:], plane(job["z"], tile, 1), int(job["oy"]), int(job["ox"]))
+        seen = ~_any(hidden["hidden"], tile)[y, x]
+        return pd.DataFrame({"eye": [key[0]] * len(y), "y": y + key[1] * tile, "x": x + key[2] * tile, "seen": seen.astype("int32")})
+
+    return with_cells(looked.join(tiles, ["ty", "tx"]), shade, ["eye", "ty", "tx"], tell, f"{kind}, y int, x int, seen int")
+
+
+def _any(bits: Iterable[bytes], tile: int) -> np.ndarray:
+    """Cells of a tile that any of the packed masks holds."""
+    out = np.zeros(-(-tile * tile // 8), np.uint8)
+    for b in bits:
+        out |= np.frombuffer(b, np.uint8)
+    return np.unpackbits(out, count=tile * tile).reshape(tile, tile).astype(bool)
+
+
+def viewshed(grid: DataFrame, oy: int, ox: int, radius_m: float, cell: float, eye: float = 1.7, target: float = 1.0, value: str = "z", tile: int = TILE) -> DataFrame:
+    """(y, x, seen) of the cells within a radius of one eye."""
+    eyes = grid.where((F.col("y") == oy) & (F.col("x") == ox)).select(F.lit(0).alias("eye"), "y", "x")
+    return viewsheds(grid, eyes, radius_m, cell, eye, target, value, tile).drop("eye")
 
 
 def line_of_sight(pairs: DataFrame, grid: DataFrame, width: int, height: int, cell: float, eye: float = 1.7, target: float = 1.0, value: str = "z", key: str = "id") -> DataFrame:
@@ -107,28 +178,45 @@ def seen_count(viewsheds: list[DataFrame]) -> DataFrame:
     return out.groupBy("y", "x").agg(F.sum("seen").alias("n_seen"))
 
 
-def vantage_scores(grid: DataFrame, candidates: DataFrame, cell: float, stride: int, near_m: float, far_m: float, eye: float = 1.7, target: float = 1.0, value: str = "z") -> DataFrame:
-    """y, x, area_km2 and share seen of candidates (y, x), over targets at multiples of the stride from them within near to far."""
-    heights = grid.sparkSession.sparkContext.broadcast(grid_array(grid, value))
+def vantage_scores(grid: DataFrame, candidates: DataFrame, cell: float, stride: int, near_m: float, far_m: float, eye: float = 1.7, target: float = 1.0, value: str = "z", open_col: str | None = None, tile: int = TILE) -> DataFrame:
+    """y, x, area_km2 and share seen of candidates (y, x), over targets at multiples of the stride from them within near to far; only cells that are ``open`` where a column is named.
+
+    A task holds the heights of one tile and as far about it as candidates see, and the candidates of the tile.
+    """
     reach = int(far_m / cell) // stride * stride
     steps = np.arange(-reach, reach + 1, stride)
     dx, dy = (a.ravel() for a in np.meshgrid(steps, steps))
     away = np.hypot(dx, dy) * cell
     ring = (away >= near_m) & (away <= far_m)
     dx, dy = dx[ring], dy[ring]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = heights.value
-        for part in parts:
-            rows = []
-            for y, x in zip(part["y"], part["x"]):
-                tx, ty = x + dx, y + dy
-                inside = (tx >= 0) & (ty >= 0) & (tx < z.shape[1]) & (ty < z.shape[0])
-                seen = int(visible(z, x, y, tx[inside].astype(float), ty[inside].astype(float), cell, eye, target).sum())
-                rows.append((y, x, seen * (stride * cell) ** 2 / 1e6, seen / max(1, int(inside.sum()))))
-            yield pd.DataFrame(rows, columns=["y", "x", "area_km2", "share"])
-
-    return candidates.select("y", "x").mapInPandas(run, "y int, x int, area_km2 double, share double")
+    far, n = np.hypot(dx, dy), np.ceil(np.hypot(dx, dy)).astype(int)
+    side, halo = max(tile, reach), reach + 1
+    size = _extent(grid, value)
+    wanted = F.lit(1.0) if open_col is None else F.coalesce(F.col(open_col).cast("double"), F.lit(0.0))
+    tiles = pack(grid.select("y", "x", F.col(value).alias("z"), wanted.alias("open")), ["z", "open"], halo, side)
+
+    def score(key: tuple, job: pd.Series, own: pd.DataFrame) -> pd.DataFrame:
+        z, free = plane(job["z"], side, halo), np.nan_to_num(plane(job["open"], side, halo)) > 0
+        y0, x0 = key[0] * side - halo, key[1] * side - halo
+        rows = []
+        for y, x in zip(own["y"].tolist(), own["x"].tolist()):
+            ty, tx = y + dy, x + dx
+            at = np.flatnonzero((tx >= 0) & (ty >= 0) & (tx < size.width) & (ty < size.height))
+            at = at[free[ty[at] - y0, tx[at] - x0]]
+            start = z[y - y0, x - x0] + eye
+            aim = z[ty[at] - y0, tx[at] - x0] + target - curvature_drop(far[at] * cell) - start
+            hidden = np.zeros(len(at), bool)
+            for s in range(1, int(n[at].max(initial=0))):
+                live = np.flatnonzero(~hidden & (s < n[at]) & (far[at] >= 1.5))
+                f = s / n[at[live]]
+                px, py = size.clipped(x + dx[at[live]] * f, y + dy[at[live]] * f)
+                hidden[live[bilinear(z, px - x0, py - y0) - curvature_drop(far[at[live]] * f * cell) > start + aim[live] * f]] = True
+            seen = int((~hidden).sum())
+            rows.append((y, x, seen * (stride * cell) ** 2 / 1e6, seen / max(1, len(at))))
+        return pd.DataFrame(rows, columns=["y", "x", "area_km2", "share"])
+
+    own = candidates.select("y", "x", tile_of("y", side).alias("ty"), tile_of("x", side).alias("tx"))
+    return with_cells(tiles, own, ["ty", "tx"], score, "y int, x int, area_km2 double, share double")
 
 
 def greedy_spaced(rows: list, place, apart: float, most: int) -> list:
@@ -143,13 +231,18 @@ def greedy_spaced(rows: list, place, apart: float, most: int) -> list:
     return kept
 
 
-def best_vantages(grid: DataFrame, candidates: DataFrame, cell: float, coarse: int = 3, top: int = 160, apart_m: float = 700.0, picks: int = 8, near_m: float = 300.0, far_m: float = 3000.0) -> DataFrame:
-    """Coarse scores of all, the ``top`` again at full density, then a spaced choice."""
-    spark = grid.sparkSession
-    first = vantage_scores(grid, candidates, cell, coarse, near_m, far_m).orderBy(F.desc("area_km2"), "y", "x").limit(top)
-    rows = vantage_scores(grid, first, cell, 1, near_m, far_m).orderBy(F.desc("area_km2"), "y", "x").collect()
+def best_vantages(grid: DataFrame, candidates: DataFrame, cell: float, coarse: int = 3, top: int = 160, apart_m: float = 700.0, picks: int = 8, near_m: float = 300.0, far_m: float = 3000.0, open_col: str | None = None, tile: int = TILE) -> DataFrame:
+    """rank, y, x, area_km2, share: coarse scores of all candidates over all ground, the ``top`` again at full density over open ground, then a spaced choice.
+
+    With ``open_col`` only candidates on open ground are taken on. The driver sees the ``top``.
+    """
+    first = vantage_scores(grid, candidates, cell, coarse, near_m, far_m, tile=tile)
+    if open_col is not None:
+        first = first.join(grid.where(F.col(open_col)).select("y", "x"), ["y", "x"], "left_semi")
+    first = materialise(first.orderBy(F.desc("area_km2"), "y", "x").limit(top), "vantages")
+    rows = vantage_scores(grid, first, cell, 1, near_m, far_m, open_col=open_col, tile=tile).orderBy(F.desc("area_km2"), "y", "x").limit(top).collect()
     kept = greedy_spaced(rows, lambda r: (r["y"], r["x"]), apart_m / cell, picks)
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(kept, 1)], "rank int, y int, x int, area_km2 double, share double")
+    return grid.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(kept, 1)], "rank int, y int, x int, area_km2 double, share double")
 
 
 def kernel_smooth(points: DataFrame, cells: DataFrame, value: str, reach: int = 10, variance: float = 9.0) -> DataFrame:
@@ -175,42 +268,74 @@ def ray_steps(longest: float) -> np.ndarray:
     return np.array(out)
 
 
-def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: float, step_hours: float, value: str = "z") -> DataFrame:
+def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: float, step_hours: float, value: str = "z", tile: int = TILE) -> DataFrame:
     """y, x, first, last (hours of the first and last sample lit, null if never) and hours lit; ``sun`` holds (hour, azimuth, altitude).
 
-    The grid carries nx, ny, nz: slopes that face away are dark without a ray.
+    The grid carries nx, ny, nz: slopes that face away are dark without a ray. A tile meets each tile that lies towards the sun from it, for the samples
+    for which it does, as far as ground may still stand above the beam; a task has two tiles.
     """
-    heights = grid.sparkSession.sparkContext.broadcast(grid_array(grid, value))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z = heights.value
-        top = np.nanmax(z)
-        steps = ray_steps(math.hypot(*z.shape))
-        for part in parts:
-            x, y, z0 = (part[c].to_numpy(float) for c in ("x", "y", value))
-            first, last, n = np.full(len(part), np.nan), np.full(len(part), np.nan), np.zeros(len(part))
-            for hour, azimuth, altitude in sun:
-                az, al = math.radians(azimuth), math.radians(altitude)
-                east, north, rise = math.sin(az), math.cos(az), math.tan(al)
-                facing = part["nx"] * east * math.cos(al) + part["ny"] * north * math.cos(al) + part["nz"] * math.sin(al)
-                lit = facing.to_numpy() > 0
-                live = np.flatnonzero(lit)
-                for d in steps:
-                    px, py = x[live] + east * d, y[live] - north * d
-                    beam = z0[live] + 1 + d * cell * rise + curvature_drop(d * cell)
-                    on = (px >= 0) & (py >= 0) & (px <= z.shape[1] - 1) & (py <= z.shape[0] - 1) & (beam <= top)
-                    live, px, py, beam = live[on], px[on], py[on], beam[on]
-                    if not len(live):
-                        break
-                    dark = bilinear(z, px, py) > beam
-                    lit[live[dark]] = False
-                    live = live[~dark]
-                first = np.where(lit & np.isnan(first), hour, first)
-                last = np.where(lit, hour, last)
-                n += lit
-            yield pd.DataFrame({"y": part["y"], "x": part["x"], "first": first, "last": last, "hours": n * step_hours})
-
-    out = grid.select("y", "x", F.col(value).cast("double").alias(value), "nx", "ny", "nz").mapInPandas(run, "y int, x int, first double, last double, hours double")
+    size = _extent(grid, value)
+    planes = ["z", "nx", "ny", "nz"]
+    tiles = materialise(pack(grid.select("y", "x", F.col(value).alias("z"), "nx", "ny", "nz"), planes, 1, tile), "tiles")
+    beams = []
+    for _, azimuth, altitude in sun:
+        az, al = math.radians(azimuth), math.radians(altitude)
+        rise = math.tan(al)
+        across = math.hypot(size.height, size.width)
+        beams.append((math.sin(az), math.cos(az), rise, al, min(across, (size.top - size.low) / (cell * rise)) if rise > 0 else across))
+    spans = [(k, east, -north, reach) for k, (east, north, _, _, reach) in enumerate(beams)]
+    dealt = tiles.select("ty", "tx", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(e).alias("dx"), F.lit(s).alias("dy"), F.lit(r).alias("reach")) for k, e, s, r in spans))).alias("_b")).select("ty", "tx", "_b.*")
+    middle = lambda c: (F.col(c) + 0.5) * tile
+    ends = dealt.withColumns({"_ey": middle("ty") + F.col("dy") * F.col("reach"), "_ex": middle("tx") + F.col("dx") * F.col("reach")})
+    for axis in ("y", "x"):
+        here, there = F.col(f"t{axis}"), tile_of(f"_e{axis}", tile)
+        ends = ends.withColumn(f"r{axis}", F.explode(F.sequence(F.least(here, there) - 1, F.greatest(here, there) + 1)))
+    on_way = ends.where(_near_line(middle("ty"), middle("tx"), F.col("_ey"), F.col("_ex"), middle("ry"), middle("rx")) <= 1.4143 * tile + 2)
+    pairs = on_way.groupBy("ty", "tx", "ry", "rx").agg(F.sort_array(F.collect_set("k")).alias("samples"))
+    pairs = pairs.join(tiles.select("ty", "tx", "z"), ["ty", "tx"]).join(tiles.select(F.col("ty").alias("ry"), F.col("tx").alias("rx"), F.col("z").alias("ground")), ["ry", "rx"])
+    steps = ray_steps(math.hypot(size.height, size.width))
+
+    def shade(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        z, ground = plane(row["z"], tile, 1)[1:-1, 1:-1], plane(row["ground"], tile, 1)
+        y, x = np.nonzero(~np.isnan(z))
+        z0, y_, x_ = z[y, x], y + key[0] * tile, x + key[1] * tile
+        nearest = math.hypot(*(max(abs(key[i + 2] - key[i]) - 1, 0) * tile for i in (0, 1)))
+        farthest = math.hypot(*((abs(key[i + 2] - key[i]) + 1) * tile for i in (0, 1)))
+        out = []
+        for k in row["samples"]:
+            east, north, rise, _, _ = beams[k]
+            dark = np.zeros(len(y), bool)
+            for d in steps[(steps >= nearest - 1) & (steps <= farthest + 1)]:
+                px, py = x_ + east * d, y_ - north * d
+                beam = z0 + 1 + d * cell * rise + curvature_drop(d * cell)
+                live = np.flatnonzero(~dark & (px >= 0) & (py >= 0) & (px <= size.width - 1) & (py <= size.height - 1) & (beam <= size.top))
+                cx, cy = size.clipped(px[live], py[live])
+                on = _in_tile(cx, cy, key[2], key[3], tile)
+                live = live[on]
+                dark[live[_sampled(ground, cx[on], cy[on], key[2], key[3], tile) > beam[live]]] = True
+            whole = np.zeros((tile, tile), bool)
+            whole[y, x] = dark
+            if dark.any():
+                out.append((key[0], key[1], int(k), np.packbits(whole).tobytes()))
+        return pd.DataFrame(out, columns=["ty", "tx", "k", "hidden"])
+
+    shadows = pairs.groupBy("ty", "tx", "ry", "rx").applyInPandas(shade, "ty int, tx int, k int, hidden binary")
+
+    def expose(key: tuple, job: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
+        z, nx, ny, nz = (plane(job[c], tile, 1)[1:-1, 1:-1] for c in planes)
+        y, x = np.nonzero(~np.isnan(z))
+        first, last, n = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y))
+        for k, (hour, _, _) in enumerate(sun):
+            east, north, _, al, _ = beams[k]
+            facing = nx[y, x] * east * math.cos(al) + ny[y, x] * north * math.cos(al) + nz[y, x] * math.sin(al)
+            lit = (facing > 0) & ~_any(found["hidden"][found["k"] == k], tile)[y, x]
+            first = np.where(lit & np.isnan(first), hour, first)
+            last = np.where(lit, hour, last)
+            n += lit
+        return pd.DataFrame({"y": y + key[0] * tile, "x": x + key[1] * tile, "first": first, "last": last, "hours": n * step_hours})
+
+    out = with_cells(tiles, shadows, ["ty", "tx"], expose, "y int, x int, first double, last double, hours double")
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("first", "last")})
 
 

@@ -434,30 +434,44 @@ def _pairs(spark, d):
     return fx.table(spark, d, "supplier").select(k.alias("id"), ((k * 7) % WIDTH).cast("int").alias("ox"), ((k * 11) % h).cast("int").alias("oy"), ((k * 7 + 13 + k % 17) % WIDTH).cast("int").alias("tx"), ((k * 11 + k % 23) % h).cast("int").alias("ty"))
 
 
-@query(f"""WITH {_PAIRS}, e AS (SELECT p.*, sqrt((tx-ox)*(tx-ox) + (ty-oy)*(ty-oy)) AS far, a.z + 1.7 AS z0, b.z + 1.0 AS z1 FROM pairs p JOIN dem a ON a.x = ox AND a.y = oy JOIN dem b ON b.x = tx AND b.y = ty),
+#: The first step that blocks each of the pairs (id, ox, oy, tx, ty) that one blocks, as bl (id, s).
+_BLOCKED = f"""e AS (SELECT p.*, sqrt((tx-ox)*(tx-ox) + (ty-oy)*(ty-oy)) AS far, a.z + 1.7 AS z0, b.z + 1.0 AS z1 FROM pairs p JOIN dem a ON a.x = ox AND a.y = oy JOIN dem b ON b.x = tx AND b.y = ty),
   n AS (SELECT *, CAST(ceil(far) AS INT) AS n, z1 - pow(far*30, 2)/(2*6371000)*0.87 AS aim FROM e), s AS (SELECT *, unnest(range(1, n)) AS s FROM n WHERE n > 1 AND far >= 1.5), sp AS (SELECT *, ox + (tx-ox)*(s/CAST(n AS DOUBLE)) AS px, oy + (ty-oy)*(s/CAST(n AS DOUBLE)) AS py, id * 1000 + s AS k FROM s), {_bilinear_sql("sp", "k")},
-  bl AS (SELECT id, min(s) AS s FROM sp JOIN bil USING (k) WHERE round(v - pow(far*(s/CAST(n AS DOUBLE))*30, 2)/(2*6371000)*0.87 - z0 - (aim - z0)*(s/CAST(n AS DOUBLE)), 9) > 0 GROUP BY id)
-  SELECT pairs.id, CAST(bl.s IS NULL AS INT) AS seen, CAST(bl.s AS INT) AS first_block FROM pairs LEFT JOIN bl ON bl.id = pairs.id""")
+  bl AS (SELECT id, min(s) AS s FROM sp JOIN bil USING (k) WHERE round(v - pow(far*(s/CAST(n AS DOUBLE))*30, 2)/(2*6371000)*0.87 - z0 - (aim - z0)*(s/CAST(n AS DOUBLE)), 9) > 0 GROUP BY id)"""
+
+
+@query(f"""WITH {_PAIRS}, {_BLOCKED} SELECT pairs.id, CAST(bl.s IS NULL AS INT) AS seen, CAST(bl.s AS INT) AS first_block FROM pairs LEFT JOIN bl ON bl.id = pairs.id""")
 def v_line_of_sight(spark, d):
     return rays.line_of_sight(_pairs(spark, d), fx.dem(spark, d), WIDTH, fx.height(spark, d), CELL)
 
 
-@query()
+def _eyes(spark, d):
+    """A place for each of three suppliers."""
+    k = F.col("s_suppkey")
+    return fx.table(spark, d, "supplier").where("s_suppkey BETWEEN 1 AND 3").select(k.cast("int").alias("eye"), (k * 10 - 5).cast("int").alias("y"), (k * 40 - 20).cast("int").alias("x"))
+
+
+def _looked_at(reach: int) -> str:
+    return f"""{SQL_DEM}, pairs AS (SELECT eye, d.y, d.x, ox, oy, d.x AS tx, d.y AS ty, (eye * 10000000 + CAST(d.y AS BIGINT)) * {WIDTH} + d.x AS id FROM (SELECT s_suppkey AS eye, s_suppkey * 10 - 5 AS oy, s_suppkey * 40 - 20 AS ox FROM supplier WHERE s_suppkey BETWEEN 1 AND 3) JOIN dem d
+      ON (d.y - oy) * (d.y - oy) + (d.x - ox) * (d.x - ox) <= {reach * reach}), {_BLOCKED}"""
+
+
+@query(f"""WITH {_looked_at(50)} SELECT CAST(eye AS INT) AS eye, y, x, CAST(bl.s IS NULL AS INT) AS seen FROM pairs LEFT JOIN bl USING (id)""")
 def v_viewshed(spark, d):
-    return rays.viewshed(fx.dem(spark, d), 15, 60, 1500.0, CELL)
+    return rays.viewsheds(fx.dem(spark, d), _eyes(spark, d), 1500.0, CELL)
 
 
-@query()
+@query(f"""WITH {_looked_at(40)} SELECT y, x, CAST(sum(CAST(bl.s IS NULL AS INT)) AS BIGINT) AS n_seen FROM pairs LEFT JOIN bl USING (id) GROUP BY y, x""")
 def v_seen_count(spark, d):
     """How many of three eyes see each cell."""
-    grid = fx.dem(spark, d)
-    return rays.seen_count([rays.viewshed(grid, y, x, 1200.0, CELL) for y, x in ((5, 20), (15, 60), (25, 100))])
+    return rays.seen_count([rays.viewsheds(fx.dem(spark, d), _eyes(spark, d), 1200.0, CELL)])
 
 
 @query()
 def v_best_vantages(spark, d):
-    grid = fx.dem(spark, d)
-    return rays.best_vantages(grid, grid.where("y % 6 = 0 AND x % 6 = 0"), CELL, top=40, near_m=90.0, far_m=900.0, apart_m=300.0)
+    """Of a lattice of cells the best on open ground, apart from one another."""
+    grid = fx.cover(spark, d).withColumn("open", F.col("code").isin(8, 10, 13))
+    return rays.best_vantages(grid, grid.where("y % 30 = 0 AND x % 30 = 0"), CELL, open_col="open")
 
 
 @query()

@@ -86,12 +86,6 @@ def test_viewshed_agrees_with_exploded_form(spark, rough):
     assert [got[i] for i in range(len(seen))] == list(seen.values())
 
 
-def test_broadcast_is_refused_beyond_its_bound(spark, monkeypatch):
-    monkeypatch.setattr(rays, "BROADCAST_CELLS", 10)
-    with pytest.raises(ValueError, match="broadcast"):
-        rays.grid_array(grid_of(spark, np.zeros((4, 4))))
-
-
 def test_sun_leaves_shadow_behind_a_wall(spark):
     z = np.zeros((9, 9))
     z[:, 4:6] = 50.0

@@ -7,7 +7,7 @@ import pytest
 import whole_grids as whole
 from pyspark.sql import functions as F
 
-from ridgeline.operators import contour, flood, jumping, peaks, walks
+from ridgeline.operators import contour, flood, jumping, peaks, raster, rays, walks
 
 
 def grid_of(spark, z):
@@ -208,3 +208,59 @@ def test_contours_by_tiles(spark, seed, tile):
             turns = [theirs[:-1][j:] + theirs[:-1][:j] for j in range(len(theirs) - 1)]
             assert mine[:-1] in turns or mine[:-1] in [t[::-1] for t in turns]
     assert contour.contours(grid.limit(0), "z", 10.0).count() == 0
+
+
+@pytest.mark.parametrize("tile", [5, 11, 64])
+def test_viewsheds_by_tiles(spark, tile):
+    z = rough(9, (33, 37), 40) + 10
+    z[20:22, 30] = np.nan
+    eyes = [(1, 16, 18), (2, 0, 0), (3, 32, 36)]
+    got = {(r["eye"], r["y"], r["x"]): r["seen"] for r in rays.viewsheds(grid_of(spark, z), spark.createDataFrame([*eyes, (4, 99, 0)], "eye int, y int, x int"), 600.0, 30.0, tile=tile).collect()}
+    for e, oy, ox in eyes:
+        yy, xx = (a.ravel() for a in np.indices(z.shape))
+        on = ((yy - oy) ** 2 + (xx - ox) ** 2 <= 400) & ~np.isnan(z.ravel())
+        seen = whole.visible(z, ox, oy, xx[on].astype(float), yy[on].astype(float), 30.0, 1.7, 1.0)
+        assert {k[1:]: v for k, v in got.items() if k[0] == e} == {(int(y), int(x)): int(s) for y, x, s in zip(yy[on], xx[on], seen)}
+        assert 0 < seen.sum() < len(seen)
+    assert not any(k[0] == 4 for k in got)
+
+
+@pytest.mark.parametrize("open_col", [None, "open"])
+def test_vantages_by_tiles(spark, open_col):
+    z = rough(10, (30, 34), 60)
+    grid = grid_of(spark, z).withColumn("open", (F.col("x") + F.col("y")) % 3 > 0)
+    at = [(y, x) for y in range(0, 30, 7) for x in range(0, 34, 6)]
+    got = {(r["y"], r["x"]): r for r in rays.vantage_scores(grid, spark.createDataFrame(at, "y int, x int"), 30.0, 2, 90.0, 300.0, open_col=open_col, tile=9).collect()}
+    assert len(got) == len(at)
+    for y, x in at:
+        yy, xx = (a.ravel() for a in np.indices(z.shape))
+        d = np.hypot(yy - y, xx - x) * 30
+        on = ((yy - y) % 2 == 0) & ((xx - x) % 2 == 0) & (d >= 90) & (d <= 300)
+        if open_col:
+            on &= (xx + yy) % 3 > 0
+        seen = whole.visible(z, x, y, xx[on].astype(float), yy[on].astype(float), 30.0, 1.7, 1.0)
+        assert math.isclose(got[y, x]["share"], seen.mean()) and math.isclose(got[y, x]["area_km2"], seen.sum() * 0.0036)
+
+
+def test_best_vantages_stand_on_open_ground_apart(spark):
+    z = rough(12, (40, 40), 60)
+    grid = grid_of(spark, z).withColumn("open", F.col("x") % 2 == 0)
+    got = rays.best_vantages(grid, grid.where("y % 5 = 0 AND x % 5 = 0"), 30.0, top=20, apart_m=200.0, picks=5, near_m=60.0, far_m=240.0, open_col="open", tile=16).orderBy("rank").collect()
+    assert len(got) == 5 and all(r["x"] % 2 == 0 for r in got) and [r["area_km2"] for r in got] == sorted((r["area_km2"] for r in got), reverse=True)
+    assert all(math.hypot(a["y"] - b["y"], a["x"] - b["x"]) * 30 > 200 for a in got for b in got if a != b)
+
+
+@pytest.mark.parametrize("tile", [6, 64])
+def test_sun_by_tiles(spark, tile):
+    z = rough(11, (24, 29), 80)
+    grid = raster.horn(grid_of(spark, z), "z", 30.0).select("y", "x", "z", "nx", "ny", "nz")
+    normals = {(r["y"], r["x"]): (r["nx"], r["ny"], r["nz"]) for r in grid.collect()}
+    planes = [np.array([[normals[y, x][i] if normals[y, x][i] is not None else np.nan for x in range(29)] for y in range(24)]).ravel() for i in range(3)]
+    sun = [(6.0, 80.0, 8.0), (9.0, 130.0, 25.0), (12.0, 180.0, 40.0), (18.0, 275.0, 6.0)]
+    first, last, n = whole.sunlit(z, planes, sun, 30.0)
+    got = {(r["y"], r["x"]): r for r in rays.sun_exposure(grid, sun, 30.0, 0.5, tile=tile).collect()}
+    assert len(got) == z.size
+    for i, (y, x) in enumerate(np.ndindex(*z.shape)):
+        r = got[y, x]
+        assert (r["first"], r["last"], r["hours"]) == (None if np.isnan(first[i]) else first[i], None if np.isnan(last[i]) else last[i], n[i] / 2)
+    assert 0 < n.sum() < 4 * z.size

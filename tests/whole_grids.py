@@ -6,6 +6,7 @@ import math
 import numpy as np
 
 from ridgeline.operators.flood import STEPS_8
+from ridgeline.operators.rays import curvature_drop, ray_steps
 from ridgeline.operators.walks import LENGTHS, MOVES, tobler_speed
 
 
@@ -159,3 +160,51 @@ def path_to(before: np.ndarray, end: tuple[int, int]) -> list[tuple[int, int]]:
         out.append(divmod(i, w))
         i = int(before[divmod(i, w)])
     return out[::-1] if len(out) > 1 else []
+
+
+def bilinear(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    h, w = z.shape
+    x, y = np.clip(x, 0, w - 1.001), np.clip(y, 0, h - 1.001)
+    i, j = np.floor(x).astype(int), np.floor(y).astype(int)
+    fx, fy = x - i, y - j
+    return (z[j, i] * (1 - fx) + z[j, i + 1] * fx) * (1 - fy) + (z[j + 1, i] * (1 - fx) + z[j + 1, i + 1] * fx) * fy
+
+
+def visible(z: np.ndarray, ox: float, oy: float, tx: np.ndarray, ty: np.ndarray, cell: float, eye: float, target: float) -> np.ndarray:
+    """Which targets an eye sees: one sample per cell of distance, all targets of a batch at once."""
+    far = np.hypot(tx - ox, ty - oy)
+    start = z[int(oy), int(ox)] + eye
+    aim = z[ty.astype(int), tx.astype(int)] + target - curvature_drop(far * cell) - start
+    seen = np.ones(len(tx), bool)
+    n = np.ceil(far).astype(int)
+    for s in range(1, int(n.max(initial=0))):
+        live = np.flatnonzero(seen & (s < n) & (far >= 1.5))
+        if not len(live):
+            break
+        f = s / n[live]
+        ground = bilinear(z, ox + (tx[live] - ox) * f, oy + (ty[live] - oy) * f)
+        seen[live[ground - curvature_drop(far[live] * f * cell) > start + aim[live] * f]] = False
+    return seen
+
+
+def sunlit(z, normals, sun, cell):
+    """first, last and number of samples lit of each cell, as arrays; nan where never."""
+    h, w = z.shape
+    yy, xx = np.indices(z.shape)
+    x, y, z0 = xx.ravel().astype(float), yy.ravel().astype(float), z.ravel()
+    first, last, n = np.full(z.size, np.nan), np.full(z.size, np.nan), np.zeros(z.size)
+    for hour, azimuth, altitude in sun:
+        az, al = math.radians(azimuth), math.radians(altitude)
+        east, north, rise = math.sin(az), math.cos(az), math.tan(al)
+        nx, ny, nz = normals
+        lit = nx * east * math.cos(al) + ny * north * math.cos(al) + nz * math.sin(al) > 0
+        for d in ray_steps(math.hypot(h, w)):
+            px, py = x + east * d, y - north * d
+            beam = z0 + 1 + d * cell * rise + curvature_drop(d * cell)
+            on = (px >= 0) & (py >= 0) & (px <= w - 1) & (py <= h - 1) & (beam <= np.nanmax(z))
+            ground = bilinear(z, np.where(on, px, 0), np.where(on, py, 0))
+            lit &= ~(on & (ground > beam))
+        first = np.where(lit & np.isnan(first), hour, first)
+        last = np.where(lit, hour, last)
+        n += lit
+    return first, last, n
