@@ -34,12 +34,35 @@ def slope_class(slope: Column) -> Column:
     return sum((F.round(slope, 9) >= edge).cast("int") for edge in (10, 20, 30, 40))
 
 
+#: Parts that a range of values is cut into at a time.
+BINS = 4096
+
+
 def at_rank(df: DataFrame, value: str, share: float) -> DataFrame:
-    """The value at trunc(n * share) of the ascending order, as one row. Ranks come from counts of the distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    run = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.agg(F.sum("_n").alias("_t"))
-    return run.join(F.broadcast(total)).where(F.col("_upto") > F.floor(F.col("_t") * share)).agg(F.min(value).alias(value))
+    """The value at trunc(n * share) of the ascending order, as one row; null where there is none.
+
+    The range of values is cut into bins, rows are counted by bin, and the bin that holds the rank is cut again until it holds one value. A bin's number never falls where the
+    value rises, so this is exact; a few passes over the rows, of which the driver sees the bins' counts, and no window over them.
+    """
+    spark = df.sparkSession
+    kind = df.select(value).schema[0].dataType
+    v = F.col(value).cast("double")
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_kept"), v.alias("_v"))
+    low, high, n = rows.agg(F.min("_v"), F.max("_v"), F.count(F.lit(1))).first()
+    rank = int(n * share)
+    if rank >= n:
+        return spark.range(1).select(F.lit(None).cast(kind).alias(value))
+    while low < high:
+        width = F.lit((high - low) / BINS or high - low)
+        bins = rows.where(F.col("_v").between(low, high)).groupBy(F.least(F.floor((F.col("_v") - low) / width), F.lit(BINS)).alias("_bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        for r in sorted(bins.collect(), key=lambda r: r["_bin"]):
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        if (r["low"], r["high"]) == (low, high):  # neighbouring numbers that no division keeps apart
+            return rows.where(F.col("_v") > low).agg(F.min("_kept").alias(value)) if rank >= rows.where(F.col("_v") == low).count() else rows.where(F.col("_v") == low).agg(F.min("_kept").alias(value))
+        low, high = r["low"], r["high"]
+    return rows.where(F.col("_v") == low).agg(F.min("_kept").alias(value))
 
 
 def first_highest(grid: DataFrame, value: str) -> DataFrame:
@@ -110,12 +133,17 @@ def latest_not_after(df: DataFrame, order: str, value: Column) -> DataFrame:
 
 
 def chosen_scenes(scenes: DataFrame, tiles: list[str], least: int = 8) -> DataFrame:
-    """Days newest first from the first that has every tile; of each all scenes by cloud, until at least ``least`` stand in the list."""
+    """Days newest first from the first that has every tile; of each all scenes by cloud, until at least ``least`` stand in the list.
+
+    The days taken are among the ``least`` newest, as each has a scene, so only those are counted along; scenes are ranked within their day.
+    """
     known = scenes.where(F.col("tile").isin(*tiles))
     whole = known.groupBy("day").agg(F.countDistinct("tile").alias("_k")).where(F.col("_k") == len(tiles)).agg(F.max("day").alias("_start"))
     sizes = known.join(F.broadcast(whole)).where("day <= _start").groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
-    run = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return known.join(run.where(F.col("_before") < least), "day").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("day"), "cloud", "id"))).drop("_n", "_before")
+    newest = sizes.orderBy(F.desc("day")).limit(least)
+    run = newest.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    taken = known.join(F.broadcast(run.where(F.col("_before") < least)), "day")
+    return taken.withColumn("rank", (F.col("_before") + F.row_number().over(Window.partitionBy("day").orderBy("cloud", "id"))).cast("int")).drop("_n", "_before")
 
 
 def nice_step(span: Column, target: int) -> Column:

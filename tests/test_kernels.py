@@ -119,3 +119,15 @@ def test_landforms_partition(spark, rough):
     assert math.isclose(sum(r["share"] for r in out), 1) and all(1 <= r["k"] <= 10 for r in out)
     m = both.agg(F.avg("s"), F.stddev_pop("s")).first()
     assert abs(m[0]) < 1e-9 and math.isclose(m[1], 1)
+
+
+def test_rank_without_a_window(spark):
+    r = np.random.default_rng(3)
+    for values in (r.normal(size=900).round(2), r.integers(0, 5, 300).astype(float), np.array([1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 2), 1e300, -1e300]), np.array([7.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.05, 0.5, 0.95, 0.999):
+            assert stats.at_rank(df, "v", share).first()[0] == np.sort(values)[int(len(values) * share)]
+        assert stats.at_rank(df, "v", 1.0).first()[0] is None
+    assert stats.at_rank(df.limit(0), "v", 0.5).first()[0] is None
+    plan = stats.at_rank(df, "v", 0.5)._jdf.queryExecution().toString()
+    assert "Window" not in plan
