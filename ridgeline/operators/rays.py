@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CURVATURE_RADIUS_M, REFRACTION
@@ -357,6 +357,72 @@ def wind_shelter(grid: DataFrame, wind_from: float, reach_m: float, cell: float,
     return ground.groupBy("y", "x", "_ray").agg(F.max(angle).alias("_a")).groupBy("y", "x").agg(F.avg("_a").alias("shelter"))
 
 
+#: Halvings between the last step above the ground and the first below.
+PICK_HALVINGS = 18
+
+
+def pick_distances(cell: float, far: float) -> list[float]:
+    """Metres along a picking ray at which the ground is asked: steps grow with the distance."""
+    out, t, step = [], 0.0, max(8.0, cell * 0.5)
+    while t < far:
+        out.append(t)
+        t += step
+        step = max(8.0, min(60.0, t * 0.004 + cell * 0.4))
+    return out
+
+
+def ray_pick(picks: DataFrame, grid: DataFrame, width: int, height: int, cell: float, value: str = "z", key: str = "id") -> DataFrame:
+    """key, t, px, py, z: where rays (ox, oy in cells, oz in metres, dx, dy, dz a direction in metres) first go under the ground; t in metres, null with the rest if they don't.
+
+    A ray is marched until it is under; a ray that has come over the grid and leaves it, or comes over a cell without a value, hits nothing. The crossing is halved between the
+    last two steps, over the few cells that they span. Joins only: a row a step, then one a hit.
+    """
+    steps = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(t).alias("t")) for i, t in enumerate(pick_distances(cell, max(width, height) * cell * 3))))
+    cells = grid.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).cast("double").alias("_z")).where("_z IS NOT NULL")
+    at = lambda c, d, t: F.col(c) + F.col(d) * t / cell
+    march = picks.select(key, "ox", "oy", "oz", "dx", "dy", "dz", F.explode(steps).alias("_s")).select("*", F.col("_s.s").alias("_i"), F.col("_s.t").alias("_t"))
+    march = march.withColumns({"_px": at("ox", "dx", F.col("_t")), "_py": at("oy", "dy", F.col("_t")), "_ray": F.col("oz") + F.col("dz") * F.col("_t")})
+    over = march.where(F.col("_px").between(0, width - 1) & F.col("_py").between(0, height - 1))
+    gx, gy = F.least(F.floor("_px"), F.lit(width - 2)), F.least(F.floor("_py"), F.lit(height - 2))
+    fx, fy = F.col("_px") - gx, F.col("_py") - gy
+    corners = F.array(*(F.struct((gx + i).cast("int").alias("x"), (gy + j).cast("int").alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
+    taps = over.select(key, "_i", "_ray", F.explode(corners).alias("_c")).select(key, "_i", "_ray", F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"), F.col("_c.w").alias("_w"))
+    ground = taps.join(cells, ["_x", "_y"]).groupBy(key, "_i", "_ray").agg(F.sum(F.col("_z") * F.col("_w")).alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n = 4")
+    # steps over ground follow one another until the ray leaves it: the first of a gap ends the march
+    w = Window.partitionBy(key).orderBy("_i")
+    asked = ground.select(key, "_i", (F.col("_ray") <= F.col("_g")).alias("_under"), (F.col("_i") - F.row_number().over(w)).alias("_lead"))
+    hits = asked.groupBy(key).agg(F.min("_lead").alias("_first"), F.min(F.when(F.col("_under"), F.struct("_i", "_lead"))).alias("_h")).where("_h._lead = _first").select(key, F.col("_h._i").alias("_i"))
+    times = F.transform(steps, lambda s: s["t"])
+    found = picks.join(hits, key).withColumns({"_b": F.get(times, F.col("_i")), "_a": F.coalesce(F.get(times, F.col("_i") - 1), F.lit(0.0))})
+    spans = {}
+    for axis, most in (("x", width - 1), ("y", height - 1)):
+        a, b = F.floor(at(f"o{axis}", f"d{axis}", F.col("_a"))), F.floor(at(f"o{axis}", f"d{axis}", F.col("_b")))
+        spans[f"_{axis}"] = F.explode(F.sequence(F.greatest(F.least(a, b) - 1, F.lit(0)).cast("int"), F.least(F.greatest(a, b) + 1, F.lit(most)).cast("int")))
+    few = found
+    for name, span in spans.items():
+        few = few.withColumn(name, span)
+    around = few.join(cells, ["_x", "_y"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("_y").cast("long") * width + F.col("_x")).alias("k"), F.col("_z").alias("z")))).alias("_m"))
+    near = found.join(around, key)
+
+    def height_at(t: Column) -> Column:
+        px, py = at("ox", "dx", t), at("oy", "dy", t)
+        x, y = F.least(F.floor(px), F.lit(width - 2)), F.least(F.floor(py), F.lit(height - 2))
+        u, v = px - x, py - y
+        h = lambda i, j: F.try_element_at("_m", ((y + j) * width + x + i).cast("long"))
+        return (h(0, 0) * (1 - u) + h(1, 0) * u) * (1 - v) + (h(0, 1) * (1 - u) + h(1, 1) * u) * v
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["a"] + s["b"]) / 2
+        px, py = at("ox", "dx", middle), at("oy", "dy", middle)
+        inside = px.between(0, width - 1) & py.between(0, height - 1)
+        under = F.coalesce(inside & (F.col("oz") + F.col("dz") * middle <= height_at(middle)), F.lit(False))
+        return F.struct(F.when(under, s["a"]).otherwise(middle).alias("a"), F.when(under, middle).otherwise(s["b"]).alias("b"))
+
+    hit = F.aggregate(F.sequence(F.lit(1), F.lit(PICK_HALVINGS)), F.struct(F.col("_a").cast("double").alias("a"), F.col("_b").cast("double").alias("b")), halve, lambda s: s["b"])
+    spot = near.withColumn("t", hit).select(key, "t", at("ox", "dx", F.col("t")).alias("px"), at("oy", "dy", F.col("t")).alias("py"), (F.col("oz") + F.col("dz") * F.col("t")).alias("z"))
+    return picks.select(key).join(spot, key, "left")
+
+
 def profile_points(pairs: DataFrame, samples: Column | int, key: str = "id") -> DataFrame:
     """Points (key, seq, px, py) at even steps of the straight line from (ox, oy) to (tx, ty), both ends included."""
     n = samples if isinstance(samples, Column) else F.lit(samples)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import GRS80_A
 from ..functions import astro, geodesy, text
 from ..lookups import COVER, FOREST, cover_table, with_lookup
-from ..operators import contour, flood, network, packed, peaks, raster, rays, stats, vector, walks
+from ..operators import contour, flood, network, packed, peaks, raster, rays, sheets, stats, vector, walks
 from ..storage import materialise
 from . import fixtures as fx
 from .fixtures import CELL, HERE, SQL_COVER, SQL_DAYS, SQL_DEM, SQL_POINTS, WIDTH
@@ -88,6 +88,33 @@ def g_mercator(spark, d):
     return at.select("id", r(F.col("x"), 3).alias("x"), r(F.col("y"), 3).alias("y"), r(lon).alias("back_lon"), r(lat).alias("back_lat"))
 
 
+def _utm_sql(source: str) -> str:
+    """Rows of a source with lon and lat, and their easting x and northing y."""
+    return f"""SELECT * EXCLUDE (l, tau, sigma, tp, xi, eta), 500000 + {_RAD} * (eta + {_series(geodesy.KRUEGER_FORWARD, "xi", "eta", "cos", "sinh")}) AS x, {_RAD} * (xi + {_series(geodesy.KRUEGER_FORWARD, "xi", "eta", "sin", "cosh")}) AS y
+      FROM (SELECT *, atan2(tp, cos(l)) AS xi, asinh(sin(l) / sqrt(tp*tp + cos(l)*cos(l))) AS eta FROM (SELECT *, tau * sqrt(1 + sigma*sigma) - sigma * sqrt(1 + tau*tau) AS tp FROM (SELECT *, sinh({_E} * atanh({_E} * tau / sqrt(1 + tau*tau))) AS sigma FROM (SELECT *, radians(lon) - radians(-117) AS l, tan(radians(lat)) AS tau FROM {source}))))"""
+
+
+_SHEETS = "sheets AS (SELECT n_nationkey AS sheet, -119.85 + (n_nationkey % 5) * 0.17 AS west, 53.80 + (n_nationkey // 5) * 0.11 AS south, -119.85 + (n_nationkey % 5) * 0.17 + 0.2 + n_nationkey % 3 * 0.3 AS east, 53.80 + (n_nationkey // 5) * 0.11 + 0.12 AS north, CASE n_nationkey % 2 WHEN 0 THEN 2000e0 ELSE 5000e0 END AS step FROM nation)"
+
+
+@query(f"""WITH RECURSIVE {_SHEETS}, co AS (SELECT sheet, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ({_utm_sql("(SELECT sheet, unnest([west, west, east, east]) AS lon, unnest([south, north, south, north]) AS lat FROM sheets)")}) GROUP BY sheet),
+  n AS (SELECT sheets.*, CAST(floor(x0/step) AS BIGINT) AS e0, CAST(ceil(x1/step) AS BIGINT) AS e1, CAST(floor(y0/step) AS BIGINT) AS n0, CAST(ceil(y1/step) AS BIGINT) AS n1 FROM sheets JOIN co USING (sheet)),
+  m AS (SELECT *, CASE WHEN step < 5000 AND e1 - e0 > 16 THEN 2 ELSE 1 END AS every FROM n),
+  ln AS (SELECT sheet, 'E' AS axis, (e0 + k) * step AS metres, edge, west AS a, east AS b, CASE edge WHEN 'S' THEN south ELSE north END AS fix FROM (SELECT *, unnest(range(0, e1 - e0 + 1, every)) AS k FROM m), (VALUES ('S'), ('N')) v(edge)
+    UNION ALL SELECT sheet, 'N', (n0 + k) * step, edge, south, north, CASE edge WHEN 'W' THEN west ELSE east END FROM (SELECT *, unnest(range(0, n1 - n0 + 1, every)) AS k FROM m), (VALUES ('W'), ('E')) v(edge)),
+  en AS (SELECT sheet, axis, metres, edge, sign(max(off) FILTER (w = 0)) AS here, sign(max(off) FILTER (w = 1)) AS there FROM (SELECT *, CASE axis WHEN 'E' THEN x ELSE y END - metres AS off FROM ({_utm_sql("(SELECT *, CASE axis WHEN 'E' THEN e ELSE fix END AS lon, CASE axis WHEN 'E' THEN fix ELSE e END AS lat FROM (SELECT *, unnest([a, b]) AS e, unnest([0, 1]) AS w FROM ln))")})) GROUP BY ALL),
+  hv(sheet, axis, metres, edge, fix, here, k, a, b) AS (SELECT sheet, axis, metres, edge, fix, here, 0, CAST(a AS DOUBLE), CAST(b AS DOUBLE) FROM ln JOIN en USING (sheet, axis, metres, edge) WHERE here * there <= 0
+    UNION ALL SELECT sheet, axis, metres, edge, fix, here, k + 1, CASE WHEN sign(CASE axis WHEN 'E' THEN x ELSE y END - metres) * here <= 0 THEN a ELSE mid END, CASE WHEN sign(CASE axis WHEN 'E' THEN x ELSE y END - metres) * here <= 0 THEN mid ELSE b END
+      FROM ({_utm_sql("(SELECT *, CASE axis WHEN 'E' THEN mid ELSE fix END AS lon, CASE axis WHEN 'E' THEN fix ELSE mid END AS lat FROM (SELECT *, (a + b) / 2 AS mid FROM hv WHERE k < 40))")}))
+  SELECT sheet, axis, metres, edge, round(CASE axis WHEN 'E' THEN (a + b) / 2 ELSE fix END, 6) AS lon, round(CASE axis WHEN 'E' THEN fix ELSE (a + b) / 2 END, 6) AS lat, CAST(CAST(round(metres / 1000) AS BIGINT) // 100 AS VARCHAR) AS small, lpad(CAST(CAST(round(metres / 1000) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS principal FROM hv WHERE k = 40""")
+def x_grid_ticks(spark, d):
+    """Where grid lines meet the frames of one sheet a nation."""
+    k = F.col("n_nationkey")
+    west, south = -119.85 + (k % 5) * 0.17, 53.80 + F.floor(k / 5) * 0.11
+    frames = fx.table(spark, d, "nation").select(k.alias("sheet"), west.alias("west"), south.alias("south"), (west + 0.2 + k % 3 * 0.3).alias("east"), (south + 0.12).alias("north"), F.when(k % 2 == 0, 2000.0).otherwise(5000.0).alias("step"))
+    return sheets.grid_ticks(frames, 11).withColumns({c: r(F.col(c)) for c in ("lon", "lat")})
+
+
 _HAV = f"2 * 6371008.8 * asin(sqrt(pow(sin(radians({HERE[1]} - lat)/2), 2) + cos(radians(lat)) * cos(radians({HERE[1]})) * pow(sin(radians({HERE[0]} - lon)/2), 2)))"
 _BEAR = f"(degrees(atan2(sin(radians({HERE[0]} - lon)) * cos(radians({HERE[1]})), cos(radians(lat)) * sin(radians({HERE[1]})) - sin(radians(lat)) * cos(radians({HERE[1]})) * cos(radians({HERE[0]} - lon)))) + 360) % 360"
 _W16 = "['" + "','".join(geodesy.COMPASS_16) + "']"
@@ -467,6 +494,34 @@ def v_seen_count(spark, d):
     return rays.seen_count([rays.viewsheds(fx.dem(spark, d), _eyes(spark, d), 1200.0, CELL)])
 
 
+_PICK_STEPS = rays.pick_distances(CELL, 3 * CELL * WIDTH)
+_PICKS = f"""{SQL_DEM}, picks AS (SELECT c_custkey AS id, (c_custkey * 7919) % 12000 / 100e0 AS ox, (c_custkey * 31) % 2900 / 100e0 AS oy, 1700 + c_custkey % 400 + 0e0 AS oz, cos(c_custkey * 0.7) * 0.97 AS dx, sin(c_custkey * 0.7) * 0.97 AS dy, -0.02e0 - (c_custkey % 23) * 0.01e0 AS dz FROM customer),
+  lm AS (SELECT h FROM size)"""
+
+
+def _pick_ground(source: str) -> str:
+    """Ground under rows (id, t, ...) of a source, null off the grid, as v."""
+    return f"""SELECT s.*, CASE WHEN px BETWEEN 0 AND {WIDTH - 1} AND py BETWEEN 0 AND h - 1 THEN (a.z * (1 - fx) + b.z * fx) * (1 - fy) + (c.z * (1 - fx) + d.z * fx) * fy END AS v
+      FROM (SELECT *, px - gx AS fx, py - gy AS fy FROM (SELECT q.*, CAST(least(floor(px), {WIDTH - 2}) AS INT) AS gx, CAST(least(floor(py), h - 2) AS INT) AS gy, h FROM (SELECT r.*, ox + dx * t / 30 AS px, oy + dy * t / 30 AS py FROM {source} r) q, lm)) s
+      LEFT JOIN dem a ON a.x = gx AND a.y = gy LEFT JOIN dem b ON b.x = gx + 1 AND b.y = gy LEFT JOIN dem c ON c.x = gx AND c.y = gy + 1 LEFT JOIN dem d ON d.x = gx + 1 AND d.y = gy + 1"""
+
+
+@query(f"""WITH RECURSIVE {_PICKS}, ts AS MATERIALIZED (SELECT unnest(range({len(_PICK_STEPS)})) AS i, unnest(CAST({_PICK_STEPS!r} AS DOUBLE[])) AS t), st AS (SELECT picks.*, i, t FROM picks, ts), gr AS MATERIALIZED (SELECT id, i, oz + dz * t AS ray, v FROM ({_pick_ground("st")})),
+  f AS (SELECT id, min(i) FILTER (v IS NOT NULL) AS came, min(i) FILTER (ray <= v) AS hit FROM gr GROUP BY id), ok AS (SELECT f.id, hit FROM f WHERE hit IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gr WHERE gr.id = f.id AND gr.i > came AND gr.i < hit AND v IS NULL)),
+  hv(id, ox, oy, oz, dx, dy, dz, k, a, b) AS (SELECT picks.*, 0, coalesce(p.t, 0e0), ts.t FROM ok JOIN picks USING (id) JOIN ts ON ts.i = hit LEFT JOIN ts p ON p.i = hit - 1
+    UNION ALL SELECT id, ox, oy, oz, dx, dy, dz, k + 1, CASE WHEN coalesce(oz + dz * t <= v, false) THEN a ELSE t END, CASE WHEN coalesce(oz + dz * t <= v, false) THEN t ELSE b END FROM ({_pick_ground("(SELECT *, (a + b) / 2 AS t FROM hv WHERE k < 18)")}))
+  SELECT picks.id, round(b, 4) AS t, round(hv.ox + hv.dx * b / 30, 6) + 0 AS px, round(hv.oy + hv.dy * b / 30, 6) + 0 AS py, round(hv.oz + hv.dz * b, 4) AS z FROM picks LEFT JOIN hv ON hv.id = picks.id AND k = 18""")
+def v_ray_pick(spark, d):
+    """Where slanting rays of customers go under the ground."""
+    k = F.col("c_custkey")
+    picks = fx.table(spark, d, "customer").select(
+        k.alias("id"), ((k * 7919) % 12000 / 100.0).alias("ox"), ((k * 31) % 2900 / 100.0).alias("oy"), (1700 + k % 400).cast("double").alias("oz"),
+        (F.cos(k * 0.7) * 0.97).alias("dx"), (F.sin(k * 0.7) * 0.97).alias("dy"), (-0.02 - (k % 23) * 0.01).alias("dz"),
+    )
+    found = rays.ray_pick(picks, fx.dem(spark, d).where(f"x < {WIDTH}"), WIDTH, fx.height(spark, d), CELL)
+    return found.select("id", r(F.col("t"), 4).alias("t"), r(F.col("px")).alias("px"), r(F.col("py")).alias("py"), r(F.col("z"), 4).alias("z"))
+
+
 @query()
 def v_best_vantages(spark, d):
     """Of a lattice of cells the best on open ground, apart from one another."""
