@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import UTM_SCALE
-from ..functions.geodesy import E1, KRUEGER_FORWARD, _sums, rectifying_radius, utm_forward
+from ..functions.geodesy import E1, KRUEGER_FORWARD, _sums, rectifying_radius
 
 #: Halvings of a frame's edge.
 HALVINGS = 40
@@ -40,11 +40,11 @@ def _utm(lon: Column, lat: Column, zone: int, northing: bool) -> Column:
     return _let(F.radians(lon) - math.radians(6 * zone - 183), lambda turn: _let(F.tan(F.radians(lat)), lambda tau: from_tau(tau, turn)))
 
 
-def _crossing(along: str, first: Column, last: Column, at: Column, aim: Column, zone: int) -> Column:
-    """Where on an edge (a parallel walked by longitude, or a meridian by latitude) the easting or northing is ``aim``; null if it isn't between the edge's ends."""
+def _crossing(northing: bool, first: Column, last: Column, at: Column, aim: Column, zone: int) -> Column:
+    """Where on an edge the easting (of a parallel, walked by longitude) or northing (of a meridian, by latitude) is ``aim``; null if that isn't between the edge's ends."""
 
     def off(c: Column) -> Column:
-        return _utm(c, at, zone, False) - aim if along == "lon" else _utm(at, c, zone, True) - aim
+        return (_utm(at, c, zone, True) if northing else _utm(c, at, zone, False)) - aim
 
     def halve(s: Column, _: Column) -> Column:
         middle = (s["a"] + s["b"]) / 2
@@ -65,26 +65,24 @@ def grid_ticks(sheets: DataFrame, zone: int, key: str = "sheet") -> DataFrame:
     Lines are multiples of the step between the least and largest corner, every second one where there are many of a fine step. A crossing is found by halving the edge; lines that
     don't cross an edge have no row for it. Labels are the hundreds of kilometres and the two digits below, with a nought.
     """
-    corners = [utm_forward(F.col(x), F.col(y), zone) for x in ("west", "east") for y in ("south", "north")]
-    lines = []
-    for axis, i in (("E", 0), ("N", 1)):
-        low, high = F.least(*(c[i] for c in corners)), F.greatest(*(c[i] for c in corners))
-        ends = sheets.withColumns({"_lo": F.floor(low / F.col("step")).cast("long"), "_hi": F.ceil(high / F.col("step")).cast("long"), "axis": F.lit(axis)})
-        lines.append(ends)
+    corners = sheets.select(key, F.explode(F.array(*(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for x in ("west", "east") for y in ("south", "north")))).alias("_c"))
+    spans = {axis: _utm(F.col("_c.x"), F.col("_c.y"), zone, axis == "N") for axis in ("E", "N")}
+    ends = corners.select(key, *(c.alias(axis) for axis, c in spans.items())).groupBy(key).agg(*(f(axis).alias(f"_{axis}{end}") for axis in spans for end, f in (("lo", F.min), ("hi", F.max))))
+    framed = sheets.join(ends, key)
+    lines = [framed.withColumns({"_lo": F.floor(F.col(f"_{axis}lo") / F.col("step")).cast("long"), "_hi": F.ceil(F.col(f"_{axis}hi") / F.col("step")).cast("long"), "axis": F.lit(axis)}) for axis in spans]
     # how many lines there are is asked of the eastings, for both axes
     dense = lines[0].select(key, F.when((F.col("step") < FINE_STEP) & (F.col("_hi") - F.col("_lo") > CROWDED), 2).otherwise(1).alias("_every"))
     each = lines[0].unionByName(lines[1]).join(dense, key).withColumn("_k", F.explode(F.sequence("_lo", "_hi"))).where((F.col("_k") - F.col("_lo")) % F.col("_every") == 0)
     each = each.withColumn("metres", F.col("_k") * F.col("step"))
-    west, south, east, north = (F.col(c) for c in ("west", "south", "east", "north"))
-    edges = {"E": (("S", "lon", south), ("N", "lon", north)), "N": (("W", "lat", west), ("E", "lat", east))}
+    west, south, east, north = (F.col(c).cast("double") for c in ("west", "south", "east", "north"))
+    sides = {"E": (("S", south, west, east), ("N", north, west, east)), "N": (("W", west, south, north), ("E", east, south, north))}
+    edges = {axis: F.array(*(F.struct(F.lit(name).alias("edge"), at.alias("at"), a.alias("a"), b.alias("b")) for name, at, a, b in found)) for axis, found in sides.items()}
+    on = each.select(key, "axis", "metres", F.explode(F.when(F.col("axis") == "E", edges["E"]).otherwise(edges["N"])).alias("_e"))
     out = []
-    for axis, sides in edges.items():
-        for edge, along, at in sides:
-            spot = _crossing(along, *((west, east) if along == "lon" else (south, north)), at, F.col("metres"), zone)
-            place = {"lon": spot, "lat": at} if along == "lon" else {"lon": at, "lat": spot}
-            out.append(each.where(F.col("axis") == axis).select(key, "axis", "metres", F.lit(edge).alias("edge"), *(c.cast("double").alias(n) for n, c in place.items())))
-    ticks = out[0]
-    for more in out[1:]:
-        ticks = ticks.unionByName(more)
+    for axis, northing in (("E", False), ("N", True)):
+        spot = _crossing(northing, F.col("_e.a"), F.col("_e.b"), F.col("_e.at"), F.col("metres"), zone)
+        found = on.where(F.col("axis") == axis).select(key, "axis", "metres", F.col("_e.edge").alias("edge"), F.col("_e.at").alias("_at"), spot.alias("_spot")).where("_spot IS NOT NULL")
+        out.append(found.select(key, "axis", "metres", "edge", F.col("_at" if northing else "_spot").alias("lon"), F.col("_spot" if northing else "_at").alias("lat")))
+    ticks = out[0].unionByName(out[1])
     km = F.round(F.col("metres") / 1000).cast("long")
-    return ticks.where("lon IS NOT NULL AND lat IS NOT NULL").select("*", F.floor(km / 100).cast("string").alias("small"), F.lpad((km % 100).cast("string"), 2, "0").alias("principal"))
+    return ticks.select("*", F.floor(km / 100).cast("string").alias("small"), F.lpad((km % 100).cast("string"), 2, "0").alias("principal"))
