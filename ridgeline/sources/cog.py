@@ -14,7 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
+
+from .strips import Bounds, pushdown
 
 #: TIFF tags and the sizes of field types.
 TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 277: "samples", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "offsets", 325: "counts", 339: "format", 33550: "scale", 33922: "tiepoint", 42113: "nodata"}
@@ -193,17 +195,26 @@ class TiledTiffReader(DataSourceReader):
         self.level = levels(self.path)[int(options.get("level", 0))]
         whole = f"0,0,{self.level.one('width')},{self.level.one('height')}"
         self.window = tuple(int(v) for v in options.get("window", whole).split(","))
+        self.bounds = Bounds()
+
+    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
+        """Comparisons of y and x with constants leave out tiles; Spark applies them again to the cells."""
+        return self.bounds.narrow(filters)
 
     def partitions(self) -> list[Tile]:
-        """Only tiles that the window meets and the file has."""
+        """Only tiles that the window and the filters on y and x meet, and the file has."""
         x, y, w, h = self.window
         tw, th = self.level.one("tile_width"), self.level.one("tile_height")
         across, down = math.ceil(self.level.one("width") / tw), math.ceil(self.level.one("height") / th)
-        return [Tile(i, j) for j in range(max(0, y // th), min(down, -(-(y + h) // th))) for i in range(max(0, x // tw), min(across, -(-(x + w) // tw)))]
+        rows = [j for j in range(max(0, y // th), min(down, -(-(y + h) // th))) if self.bounds.meets("y", j * th, th)]
+        columns = [i for i in range(max(0, x // tw), min(across, -(-(x + w) // tw))) if self.bounds.meets("x", i * tw, tw)]
+        return [Tile(i, j) for j in rows for i in columns]
 
-    def read(self, tile: Tile):
+    def read(self, tile: Tile | None):
         import pyarrow as pa
 
+        if tile is None:  # no tile is left
+            return
         tw, th = self.level.one("tile_width"), self.level.one("tile_height")
         k = tile.ty * math.ceil(self.level.one("width") / tw) + tile.tx
         (offset,), (size,) = index_slice(self.path, self.level, "offsets", k, k), index_slice(self.path, self.level, "counts", k, k)
@@ -229,6 +240,7 @@ class TiledTiff(DataSource):
 
 
 def read_tiled(spark: SparkSession, path: str, level: int = 0, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    pushdown(spark)
     spark.dataSource.register(TiledTiff)
     reader = spark.read.format("tiled_tiff").option("path", path).option("level", level)
     return (reader.option("window", ",".join(map(str, window))) if window else reader).load()

@@ -11,7 +11,7 @@ import pytest
 
 from ridgeline.functions import geodesy
 from ridgeline.sinks import export
-from ridgeline.sources import cog, vector_io
+from ridgeline.sources import cog, strips, vector_io
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -165,3 +165,48 @@ def test_exports(spark):
     assert "A &amp; B" in export.gpx(rows, tracks) and "<ele>3.0</ele>" in export.gpx(rows, tracks)
     data = export.kmz(export.kml(rows, tracks, ("i.png", (0, 1, 2, 3))), "i.png", b"x")
     assert zipfile.ZipFile(io.BytesIO(data)).read("i.png") == b"x"
+
+
+def test_filters_prune_tiles(spark, tmp_path):
+    path = str(tmp_path / "f.tif")
+    write_tiff(path, np.arange(64 * 64.0).reshape(64, 64), "f4", 1, 1)
+    whole = cog.read_tiled(spark, path)
+    assert whole.rdd.getNumPartitions() == 16
+    part = whole.where("y >= 17 AND y < 30 AND x = 40")
+    assert part.rdd.getNumPartitions() == 1
+    assert sorted(r["y"] for r in part.collect()) == list(range(17, 30)) and {r["value"] for r in part.collect()} == {y * 64.0 + 40 for y in range(17, 30)}
+    assert whole.where("x IN (1, 60)").rdd.getNumPartitions() == 16 and whole.where("y > 47").rdd.getNumPartitions() == 4
+    assert whole.where("y > 100").count() == 0 and whole.where("value < 3 AND y + x < 50").count() == 3
+
+
+def test_strips_round_trip(spark, tmp_path):
+    z = np.random.default_rng(2).uniform(-99, 5000, (23, 9)).round(1)
+    z[5] = np.nan
+    z[20:, 3] = np.nan
+    rows = [(y, x, None if np.isnan(z[y, x]) else float(z[y, x])) for y, x in np.ndindex(*z.shape)]
+    grid = spark.createDataFrame(rows, "y int, x int, z double").repartition(5)
+    path = str(tmp_path / "heights")
+    strips.write_strips(grid, path, {"crs": "local", "x0": 1.5, "y0": 2.5, "res": 30.0}, rows=8)
+    got = strips.read_strips(spark, path)
+    assert {(r["y"], r["x"]): None if r["value"] is None else round(r["value"], 1) for r in got.collect()} == {(y, x): v for y, x, v in rows}
+    meta = strips.sidecar(path)
+    assert (meta["w"], meta["h"], meta["res"], [s["y"] for s in meta["strips"]]) == (9, 23, 30.0, [0, 8, 16])
+    assert got.where("y BETWEEN 9 AND 12").rdd.getNumPartitions() == 1 and got.where("y < 9").rdd.getNumPartitions() == 2 and got.where("y = 99").count() == 0
+    with pytest.raises(Exception, match="holds a raster"):
+        strips.write_strips(grid, path, {}, rows=8)
+    assert sum(f.name.endswith(".png") for f in (tmp_path / "heights").iterdir()) == 3
+    strips.write_strips(grid.where("y < 8"), path, {}, rows=4, overwrite=True)
+    assert strips.read_strips(spark, path).count() == 72 and sum(f.name.endswith(".png") for f in (tmp_path / "heights").iterdir()) == 2
+    bands = [(y, x, y, x + 1, 65535, 0) for y in range(5) for x in range(4)]
+    four = spark.createDataFrame(bands, "y int, x int, red int, green int, blue int, nir int")
+    strips.write_strips(four, str(tmp_path / "four"), {"zone": 11}, bands=4, rows=2)
+    assert sorted(map(tuple, strips.read_strips(spark, str(tmp_path / "four")).collect())) == [(y, x, r or None, g, b, None) for y, x, r, g, b, _ in bands]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    spark.dataSource.register(strips.StripRaster)
+    good, bad = (0, 1, bytearray(b"x")), (1, 1, None)
+    rows = spark.createDataFrame([good, bad], "y int, rows int, png binary").repartition(2, "y")
+    with pytest.raises(Exception, match="without an image"):
+        rows.write.format("strip_raster").mode("append").option("path", str(tmp_path / "broken")).option("meta", "{}").save()
+    assert not (tmp_path / "broken").exists() or not list((tmp_path / "broken").iterdir())
