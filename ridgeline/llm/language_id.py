@@ -96,15 +96,19 @@ def document_frequencies(texts: DataFrame, text_col: str = "text") -> tuple[np.n
 
 
 def training_sample(rows: DataFrame, bound: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``bound`` (text, language) of each language, those of the smallest hashes of the id."""
+    """At most ``bound`` (text, language) of each language, those of the smallest hashes of the id, or of the text where there is no id.
+
+    Ids that repeat share a hash; the driver takes no more than twice what is asked for, the smallest hashes first.
+    """
     sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().collect()}
     if not sizes:
         return []
     rate = F.lit(0)
     for lang, n in sizes.items():
         rate = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, 1.2 * bound / n) * (1 << 30)))).otherwise(rate)
-    hashed = F.xxhash64(F.lit("language sample"), id_col)
-    near = rows.where(F.pmod(hashed, F.lit(1 << 30)) < rate).select(hashed.alias("_h"), lang_col, text_col).collect()
+    hashed = F.xxhash64(F.lit("language sample"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)))
+    few = rows.where(F.pmod(hashed, F.lit(1 << 30)) < rate).select(hashed.alias("_h"), lang_col, text_col)
+    near = few.orderBy("_h", F.xxhash64(text_col)).limit(2 * bound * len(sizes)).collect()
     out, taken = [], dict.fromkeys(sizes, 0)
     for r in sorted(near, key=lambda r: (r["_h"], r[lang_col], r[text_col])):
         if taken[r[lang_col]] < bound:

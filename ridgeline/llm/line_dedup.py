@@ -12,12 +12,12 @@ more: of two lines that agree in the first and not in the second, the later is l
 
 Only lines of ``MIN_CHARS`` characters or more are compared for similarity; of shorter ones equal copies go. A document that is proved a copy of one other
 is left alone, for document-level deduplication to judge; however much of any other document is repeated, its repeated lines go. What counts as proof is
-lines whose equals stand first in one other document, and stay there: either these are all lines of the document, or the windows of ``SHINGLE`` words inside
-runs of them, taken in the order of both, are ``ALIKE`` of the windows of both documents together, which is what near-dedup asks for. Passages of several
-documents, boilerplate beside lines of its own, and similar but unequal lines prove nothing.
+lines whose equals stand first in one other document, and stay there: either both texts are the same, or these are all lines of the document in the other's order and it has no
+more words than they, or the windows of ``SHINGLE`` words inside runs of them, taken in the order of both, are ``ALIKE`` of the windows of both documents together, which is what
+near-dedup asks for. A part of a longer document, lines in another order, passages of several documents, boilerplate beside lines of its own, and similar but unequal lines prove nothing.
 
 Defined results: null and empty texts have no lines that count; lines of spaces only are never dropped; a null id counts as the smallest; rows
-that share an id (or have none) but not the text are documents of their own; rows that repeat an id and a text share their fate; an empty table gives no rows.
+that share an id (or have none) but not the text are documents of their own; rows that repeat an id and a text share their fate and are counted as one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,13 +48,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, doc, words, at, line) of every line with more than spaces; words: how many the document has."""
+    """(id, doc, words, at, line, line_words, top) of every line with more than spaces; words: how many the document has, top: whether it is the document's first such line."""
     lines = F.split(whole_text(text_col), "\n", -1)
     # what is said of the whole text is settled first: beside posexplode it would be worked out again for every line
     rows = docs.select(*row_key(id_col, text_col), lines.alias("lines"))
-    rows = rows.withColumn("words", F.aggregate("lines", F.lit(0), lambda n, line: n + n_words(line)))
-    each = rows.select("id", "doc", "words", F.posexplode("lines").alias("at", "line"))
-    return each.where(F.trim(F.col("line")) != "")
+    rows = rows.withColumn("counts", F.transform("lines", n_words))
+    rows = rows.select("id", "doc", F.arrays_zip("lines", "counts").alias("each"), F.aggregate("counts", F.lit(0), lambda n, c: n + c).alias("words"), (F.array_position(F.transform("counts", lambda c: c > 0), F.lit(True)) - 1).alias("first_at"))
+    each = rows.select("id", "doc", "words", "first_at", F.posexplode("each").alias("at", "e"))
+    return each.where("e.counts > 0").select("id", "doc", "words", "at", F.col("e.lines").alias("line"), F.col("e.counts").alias("line_words"), (F.col("at") == F.col("first_at")).alias("top"))
 
 
 def line_key(line: Column) -> Column:
@@ -221,7 +222,7 @@ def near_links(distinct: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS)
 def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, doc, at, n, copy, near, links) of every line that counts: whether it equals, or is similar to, an earlier line, and how many lines it is similar to.
 
-    Beside these, for the proof of copies: line_words, and ``first``, the struct (id, doc, words, at) of the first equal line and its document.
+    Beside these, for the proof of copies: line_words, top (see occurrences), and ``first``, the struct (id, doc, words, at) of the first equal line and its document.
     """
     lines = occurrences(docs, id_col, text_col)
     distinct = distinct_lines(lines)
@@ -229,30 +230,31 @@ def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(0).alias("later")), F.struct(F.col("b").alias("key"), F.lit(1).alias("later")))).alias("s")).select("s.*")
     linked = sides.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
     known = distinct.join(linked, "key", "left").select("key", F.struct("first.id", "first.doc", "first.words", "first.at").alias("first"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
-    rows = lines.select("id", "doc", "at", n_words(F.col("line")).alias("line_words"), F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
+    rows = lines.select("id", "doc", "at", "line_words", "top", F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
     same = F.col("check") == F.col("first_check")
     return rows.join(known, "key").select(
         "id", "doc", "at", "n",
         (same & ((F.col("id") != F.col("first.id")) | (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))).alias("copy"),
         (same & (F.coalesce("later", F.lit(0)) == 1)).alias("near"),
         F.when(same, F.coalesce("links", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("links"),
-        "line_words", "first",
+        "line_words", "top", "first",
     )
 
 
-def proved_copy(held: Column, n_lines: Column, words: Column, alike: float = ALIKE) -> Column:
-    """Whether one other document holds all lines, or ``alike`` of the windows of both; held: sorted structs (id, doc, words, at_other, at, line_words) of lines
-    that stand first in the document (id, doc)."""
+def proved_copy(held: Column, doc: Column, n_lines: Column, words: Column, alike: float = ALIKE) -> Column:
+    """Whether one other document has the same text, or all lines in that order and no more words, or ``alike`` of the windows of both; held: sorted structs
+    (id, doc, words, at_other, at, line_words) of lines that stand first in the document (id, doc)."""
     windows = lambda n: F.greatest(n - (SHINGLE - 1), F.lit(0))
     start = F.struct(
         F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc"), F.lit(0).alias("words"), F.lit(-2).alias("at_other"), F.lit(-2).alias("at"),
-        F.lit(0).alias("run"), F.lit(0).alias("kept"), F.lit(0).cast("long").alias("lines"), F.lit(False).alias("proved"),
+        F.lit(0).alias("run"), F.lit(0).alias("kept"), F.lit(0).cast("long").alias("lines"), F.lit(True).alias("ordered"), F.lit(False).alias("proved"),
     )
 
     def proved(s: Column) -> Column:
         kept = s["kept"] + windows(s["run"])
         both = F.greatest(windows(words), F.lit(1)) + F.greatest(windows(s["words"]), F.lit(1)) - kept
-        return s["proved"] | (s["lines"] == n_lines) | ((kept > 0) & (kept >= alike * both))
+        whole = (s["lines"] == n_lines) & s["ordered"] & (s["words"] == words)
+        return s["proved"] | F.coalesce(s["doc"] == doc, F.lit(False)) | whole | ((kept > 0) & (kept >= alike * both))
 
     def step(s: Column, x: Column) -> Column:
         same = s["id"].eqNullSafe(x["id"]) & s["doc"].eqNullSafe(x["doc"])
@@ -265,6 +267,7 @@ def proved_copy(held: Column, n_lines: Column, words: Column, alike: float = ALI
             of(x["line_words"], s["run"] + x["line_words"], x["line_words"], s["run"]).alias("run"),
             of(F.lit(0), s["kept"], s["kept"] + windows(s["run"]), s["kept"]).alias("kept"),
             (F.when(same, s["lines"]).otherwise(F.lit(0).cast("long")) + 1).alias("lines"),
+            F.when(same, s["ordered"] & later).otherwise(F.lit(True)).alias("ordered"),
             F.when(same, s["proved"]).otherwise(proved(s)).alias("proved"),
         )
 
@@ -279,15 +282,18 @@ def document_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHAR
     at_first = F.struct("first.id", "first.doc", "first.words", F.col("first.at").alias("at_other"), "at", "line_words")
     long = lambda c: c.cast("long")
     found = verdicts.groupBy("id", "doc").agg(
+        F.sum(long(F.col("top"))).alias("_rows"),
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(long(F.col("copy"))).alias("n_copies"),
         F.sum(long(F.col("near") & ~F.col("copy"))).alias("n_near"),
         F.sum("links").alias("n_links"),
         F.sum("line_words").alias("_words"),
-        F.array_sort(F.collect_list(F.when(elsewhere, at_first))).alias("_held"),
-        F.array_sort(F.array_distinct(F.collect_list(F.when(goes, F.col("at"))))).alias("gone"),
+        F.array_sort(F.collect_set(F.when(elsewhere, at_first))).alias("_held"),
+        F.array_sort(F.collect_set(F.when(goes, F.col("at")))).alias("gone"),
     )
-    found = found.withColumn("whole_copy", proved_copy(F.col("_held"), F.col("n_lines"), F.col("_words"), alike)).drop("_held", "_words")
+    # rows that repeat id and text are one document
+    found = found.withColumns({c: F.expr(f"{c} div _rows") for c in ("n_lines", "n_copies", "n_near", "n_links", "_words")})
+    found = found.withColumn("whole_copy", proved_copy(F.col("_held"), F.col("doc"), F.col("n_lines"), F.col("_words"), alike)).drop("_held", "_words", "_rows")
     return found.withColumn("gone", F.when(F.col("whole_copy"), F.array().cast("array<int>")).otherwise(F.col("gone")))
 
 

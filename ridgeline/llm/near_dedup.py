@@ -28,6 +28,7 @@ no id has a null class_id. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -156,6 +157,22 @@ def kept_windows(a: list[int], b: list[int], most_edits: int) -> int:
     return -1
 
 
+#: Windows from which on an alignment, quadratic in the edits, is worth the bound below first.
+LONG = 1000
+
+
+def most_in_order(sa: np.ndarray, sb: np.ndarray) -> int:
+    """No alignment keeps more windows than this: those that stand once in each text rise in both where they are kept, so no more of them than the longest rise; of others all that are common."""
+    (ua, ia, ca), (ub, ib, cb) = (np.unique(s, return_index=True, return_counts=True) for s in (sa, sb))
+    _, at, bt = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    once = (ca[at] == 1) & (cb[bt] == 1)
+    tails: list[int] = []
+    for j in ib[bt[once]][np.argsort(ia[at[once]])].tolist():
+        k = bisect.bisect_left(tails, j)
+        tails[k : k + 1] = [j]
+    return len(tails) + int(np.minimum(ca[at], cb[bt])[~once].sum())
+
+
 def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Share of windows kept in order; 0 where the threshold is out of reach."""
     na, nb = max(1, len(a) - SHINGLE + 1), max(1, len(b) - SHINGLE + 1)
@@ -167,6 +184,8 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
     # windows in common, whatever their order, bound those kept in order
     if len(np.intersect1d(labelled(shingles(a)), labelled(shingles(b)))) < need:
         return 0.0
+    if min(na, nb) > LONG and most_in_order(shingles(a), shingles(b)) < need:
+        return 0.0
     kept = kept_windows(a.tolist(), b.tolist(), len(a) + len(b) - 2 * (need + SHINGLE - 1))
     return kept / (na + nb - kept) if kept >= need else 0.0
 

@@ -145,13 +145,14 @@ def test_line_verdicts_against_brute_force(spark, monkeypatch, hot):
 def test_lines_go_and_documents_stay(spark):
     own = [f"this is line number {i} of its own document {'abcdefgh'[i] * 20}" for i in range(4)]
     licence = "Licensed under the terms that follow below."
-    texts = [f"{own[0]}\n{licence}", f"{own[1]}\n{licence.replace('terms', 'terns')}\n\nend of it {'z' * 40}", own[0], None]
+    texts = [f"{own[0]}\n{licence}", f"{own[1]}\n{licence.replace('terms', 'terns')}\n\nend of it {'z' * 40}", own[0], None, f"{own[0]}\n{licence}"]
     out = {r["doc_id"]: r for r in lines.without_repeated_lines(docs_of(spark, texts)).collect()}
     assert out[0]["text"] == texts[0] and out[1]["text"] == f"{own[1]}\n\nend of it {'z' * 40}"
-    assert out[2]["text"] == own[0] and out[3]["text"] is None  # a copy as a whole is left alone
+    assert out[2]["text"] == "" and out[3]["text"] is None  # a part of a longer document goes
+    assert out[4]["text"] == texts[0]  # a copy as a whole is left alone
     assert lines.without_repeated_lines(docs_of(spark, [])).count() == 0
     report = {r["doc_id"]: r for r in lines.line_dedup(docs_of(spark, texts)).collect()}
-    assert (report[1]["n_near"], report[1]["dropped"], report[2]["whole_copy"], report[3]["n_lines"]) == (1, "1", True, 0)
+    assert (report[1]["n_near"], report[1]["dropped"], report[4]["whole_copy"], report[3]["n_lines"]) == (1, "1", True, 0)
 
 
 def test_rows_without_or_with_repeated_ids_lose_lines_of_their_own(spark):
@@ -191,6 +192,22 @@ def test_only_proved_copies_keep_repeated_lines(spark):
     assert [report[i]["whole_copy"] for i in range(len(parts))] == [False] * 5 + [True, False, True]
 
 
+def test_parts_and_reordered_documents_lose_their_repeats(spark):
+    r = random.Random(6)
+    line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(9))
+    lines40, turned = [line() for _ in range(40)], [line() for _ in range(6)]
+    texts = ["\n".join(lines40), "\n".join(lines40[5:10]), lines40[7], "\n".join(turned), "\n".join(turned[::-1]), "\n".join(turned), "\n\n".join(turned), "only", "only"]
+    got = {r["doc_id"]: r for r in lines.line_dedup(docs_of(spark, texts)).collect()}
+    assert [got[i]["n_dropped"] for i in range(9)] == [0, 5, 1, 0, 6, 0, 0, 0, 0]
+    assert [got[i]["whole_copy"] for i in range(9)] == [False, False, False, False, False, True, True, False, True]
+
+
+def test_repeated_rows_count_once(spark):
+    texts, ids = ["a line that is long enough\nand another line of it"] * 3 + ["and another line of it\nown words stand here alone"] * 2, [5, 5, None, 7, 7]
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_copies"], r["n_dropped"]) for r in lines.line_dedup(docs_of(spark, texts, ids)).collect())
+    assert got == [(0, 2, 0, 0), (5, 2, 2, 0), (5, 2, 2, 0), (7, 2, 1, 1), (7, 2, 1, 1)]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(50)]
@@ -323,3 +340,22 @@ def test_order_matters_to_similarity():
     a = np.arange(400, dtype=np.uint32)
     assert near.similarity(a, a) == 1 and near.similarity(a, np.concatenate([a[200:], a[:200]])) == 0
     assert near.similarity(a, np.delete(a, 100)) == pytest.approx(391 / (396 + 395 - 391))
+
+
+def test_long_texts_with_parts_swapped_are_told_apart_quickly(monkeypatch):
+    import time
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    a = r.integers(0, 1 << 60, 20_000).astype(np.uint64)
+    begun = time.perf_counter()
+    assert near.similarity(a, np.r_[a[10_000:], a[:10_000]]) == 0.0 and time.perf_counter() - begun < 1
+    for k in range(300):
+        a = r.integers(0, 1 << (3 if k % 2 else 40), 60).astype(np.uint64)
+        b = np.delete(a, r.integers(0, 60, r.integers(0, 6)))
+        b = np.r_[b[20:], b[:20]] if k % 5 == 0 else b
+        monkeypatch.setattr(near, "LONG", 10_000)
+        plain = near.similarity(a, b)
+        monkeypatch.setattr(near, "LONG", 0)
+        assert near.similarity(a, b) == plain
