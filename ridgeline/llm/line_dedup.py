@@ -48,14 +48,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, doc, words, at, line, line_words, top) of every line with more than spaces; words: how many the document has, top: whether it is the document's first such line."""
-    lines = F.split(whole_text(text_col), "\n", -1)
+    """(id, doc, words, at, line, top) of every line with more than spaces; words: how many the document has, top: whether it is the document's first such line."""
+    text = whole_text(text_col)
     # what is said of the whole text is settled first: beside posexplode it would be worked out again for every line
-    rows = docs.select(*row_key(id_col, text_col), lines.alias("lines"))
-    rows = rows.withColumn("counts", F.transform("lines", n_words))
-    rows = rows.select("id", "doc", F.arrays_zip("lines", "counts").alias("each"), F.aggregate("counts", F.lit(0), lambda n, c: n + c).alias("words"), (F.array_position(F.transform("counts", lambda c: c > 0), F.lit(True)) - 1).alias("first_at"))
-    each = rows.select("id", "doc", "words", "first_at", F.posexplode("each").alias("at", "e"))
-    return each.where("e.counts > 0").select("id", "doc", "words", "at", F.col("e.lines").alias("line"), F.col("e.counts").alias("line_words"), (F.col("at") == F.col("first_at")).alias("top"))
+    before = F.substring(text, F.lit(1), F.char_length(text) - F.char_length(F.ltrim(text, F.lit(" \n"))))
+    first_at = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))
+    rows = docs.select(*row_key(id_col, text_col), n_words(F.replace(text, F.lit("\n"), F.lit(" "))).alias("words"), first_at.alias("first_at"), F.split(text, "\n", -1).alias("lines"))
+    each = rows.select("id", "doc", "words", "first_at", F.posexplode("lines").alias("at", "line"))
+    return each.where(F.trim(F.col("line")) != "").select("id", "doc", "words", "at", "line", (F.col("at") == F.col("first_at")).alias("top"))
 
 
 def line_key(line: Column) -> Column:
@@ -230,7 +230,7 @@ def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
     sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("key"), F.lit(0).alias("later")), F.struct(F.col("b").alias("key"), F.lit(1).alias("later")))).alias("s")).select("s.*")
     linked = sides.groupBy("key").agg(F.count(F.lit(1)).alias("links"), F.max("later").alias("later"))
     known = distinct.join(linked, "key", "left").select("key", F.struct("first.id", "first.doc", "first.words", "first.at").alias("first"), line_check(F.col("first.line")).alias("first_check"), "links", "later")
-    rows = lines.select("id", "doc", "at", "line_words", "top", F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
+    rows = lines.select("id", "doc", "at", n_words(F.col("line")).alias("line_words"), "top", F.char_length("line").alias("n"), line_key(F.col("line")).alias("key"), line_check(F.col("line")).alias("check"))
     same = F.col("check") == F.col("first_check")
     return rows.join(known, "key").select(
         "id", "doc", "at", "n",
