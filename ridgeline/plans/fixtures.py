@@ -24,11 +24,13 @@ def height(spark: SparkSession, sf_dir: str) -> int:
 
 
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """y, x, z."""
+    """y, x, z: valleys and ridges, and on them the cents of an order's price where there is one (for two cells of five or so), else a pattern."""
     n = height(spark, sf_dir) * WIDTH
-    cells = spark.range(n).select(F.floor(F.col("id") / WIDTH).cast("int").alias("y"), (F.col("id") % WIDTH).cast("int").alias("x"))
-    tenths = 15000 + 40 * F.abs(F.col("x") % 40 - 20) + 30 * F.abs(F.col("y") % 30 - 15) + (F.col("x") * 31 + F.col("y") * 17) % 97
-    return cells.withColumn("z", tenths / 10.0)
+    cells = spark.range(n).select("id", F.floor(F.col("id") / WIDTH).cast("int").alias("y"), (F.col("id") % WIDTH).cast("int").alias("x"))
+    priced = table(spark, sf_dir, "orders").where(F.col("o_orderkey") * 2 < n).select((F.col("o_orderkey") * 2).alias("id"), (F.round(F.col("o_totalprice") * 100).cast("long") % 97).alias("_cents"))
+    rough = F.coalesce("_cents", (F.col("x") * 31 + F.col("y") * 17) % 97)
+    tenths = 15000 + 40 * F.abs(F.col("x") % 40 - 20) + 30 * F.abs(F.col("y") % 30 - 15) + rough
+    return cells.join(priced, "id", "left").select("y", "x", (tenths / 10.0).alias("z"))
 
 
 def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +57,8 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def polygons(spark: SparkSession) -> DataFrame:
-    """fid, seq, rings: rectangles, one with a hole, and an L; no point of the fixtures lies on an edge."""
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, seq, rings, props of each region: rectangles, one with a hole, and an L, moved a little by the length of the region's name; no point of the fixtures lies on an edge."""
     d = 0.00005
     box = lambda w, s, e, n: [(w + d, s + d), (e + d, s + d), (e + d, n + d), (w + d, n + d)]
     shapes = [
@@ -66,8 +68,14 @@ def polygons(spark: SparkSession) -> DataFrame:
         [[(-119.75 + d, 54.05 + d), (-119.45 + d, 54.05 + d), (-119.45 + d, 54.10 + d), (-119.65 + d, 54.10 + d), (-119.65 + d, 54.25 + d), (-119.75 + d, 54.25 + d)]],
         [box(-119.40, 54.10, -119.10, 54.15)],
     ]
-    rows = [(i, i, [[{"lon": x, "lat": y} for x, y in ring] for ring in rings], {"name": f"unit {i % 3}"}) for i, rings in enumerate(shapes)]
-    return spark.createDataFrame(rows, "fid long, seq int, rings array<array<struct<lon:double,lat:double>>>, props map<string,string>")
+    moved = F.length("r_name") / 1000000.0
+    spot = lambda x, y: F.struct((F.lit(x) + moved).alias("lon"), (F.lit(y) + moved).alias("lat"))
+    k = F.col("r_regionkey")
+    rings = None
+    for i, shape in enumerate(shapes):
+        found = F.array(*(F.array(*(spot(x, y) for x, y in ring)) for ring in shape))
+        rings = F.when(k == i, found) if rings is None else rings.when(k == i, found)
+    return table(spark, sf_dir, "region").where(k < len(shapes)).select(k.cast("long").alias("fid"), k.cast("int").alias("seq"), rings.alias("rings"), F.create_map(F.lit("name"), F.concat(F.lit("unit "), (k % 3).cast("string"))).alias("props"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +101,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_SIZE = f"size AS (SELECT {ROWS_PER_SUPPLIER} * count(*) AS h FROM supplier)"
-SQL_DEM = f"""{SQL_SIZE}, dem AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, (15000 + 40 * abs(x % 40 - 20) + 30 * abs(y % 30 - 15) + (x * 31 + y * 17) % 97) / 10e0 AS z
-  FROM (SELECT unnest(range(h)) AS y FROM size), (SELECT unnest(range({WIDTH})) AS x))"""
+SQL_DEM = f"""{SQL_SIZE}, dem AS (SELECT CAST(y AS INT) AS y, CAST(x AS INT) AS x, (15000 + 40 * abs(x % 40 - 20) + 30 * abs(y % 30 - 15) + coalesce(CAST(round(o_totalprice * 100) AS BIGINT) % 97, (x * 31 + y * 17) % 97)) / 10e0 AS z
+  FROM (SELECT * FROM (SELECT unnest(range(h)) AS y FROM size), (SELECT unnest(range({WIDTH})) AS x)) LEFT JOIN orders ON o_orderkey * 2 = y * {WIDTH} + x)"""
 SQL_COVER = f"{SQL_DEM}, cover AS (SELECT y, x, z, list_extract([1,2,5,6,8,10,13,14,16,18], ((x // 6) * 7 + (y // 6) * 3) % 10 + 1) AS code FROM dem)"
 SQL_POINTS = f"""{SQL_SIZE}, pts AS (SELECT c_custkey AS id, -119.85e0 + (c_custkey * 7919) % 9000 / 10000e0 AS lon, 53.80e0 + (c_custkey * 104729) % 5000 / 10000e0 AS lat,
   (c_custkey * 7919) % {WIDTH * 100} / 100e0 AS px, (c_custkey * 104729) % (h * 100) / 100e0 AS py FROM customer, size)"""

@@ -219,13 +219,13 @@ _GAPS = f"a AS (SELECT id, CAST(fid AS BIGINT) AS fid, lon, lat, {_PLANE} FROM p
 @query(f"WITH {_ONE}, {_sql_polygons()}, ins AS (SELECT CAST(fid AS BIGINT) AS fid FROM pts, edge WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1)*(lat - y1)/(y2 - y1) + x1 GROUP BY fid HAVING count(*) % 2 = 1), {_GAPS} SELECT fid, round(metres, 3) AS metres FROM c WHERE fid NOT IN (SELECT fid FROM ins)")
 def j_not_holding(spark, d):
     """Every polygon that doesn't hold a place, with its distance."""
-    return places.not_holding(fx.polygons(spark), *HERE).select("fid", r(F.col("metres"), 3).alias("metres"))
+    return places.not_holding(fx.polygons(spark, d), *HERE).select("fid", r(F.col("metres"), 3).alias("metres"))
 
 
 @query(f"WITH {_INSIDE} SELECT id, fid FROM ins WHERE fid % 3 = 1")
 def j_filtered_containing(spark, d):
     """Polygons of one tag that hold a point; the tag is tested before the join."""
-    return vector.containing(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark).where(vector.has_tag(F.col("props"), "name", "unit 1"))).select("id", "fid")
+    return vector.containing(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark, d).where(vector.has_tag(F.col("props"), "name", "unit 1"))).select("id", "fid")
 
 
 @query(f"""WITH {SQL_POINTS}, {_SEGS}, a AS (SELECT id, lon, lat, fid, n, {_PLANE} FROM pts JOIN sg ON abs(sg.y1 - lat) < 0.02 AND abs(sg.x1 - lon) < 0.03 WHERE fid % 10 >= 3), b AS (SELECT *, {_FOOT} FROM a), e AS (SELECT *, round(sqrt(pow(ax + t*(gx-ax), 2) + pow(ay + t*(gy-ay), 2)), 6) AS m FROM b),
@@ -254,7 +254,7 @@ _STEP_X, _STEP_Y = (fx.BOX[2] - fx.BOX[0]), (fx.BOX[3] - fx.BOX[1])
   l AS (SELECT fid, max_by(kept, i) AS kept FROM go GROUP BY fid), u AS (SELECT fid, unnest(range(len(kept))) AS k, kept FROM l) SELECT fid, CAST(k AS INT) AS rank, round(kept[k + 1].lon, 6) AS lon, round(kept[k + 1].lat, 6) AS lat, round(kept[k + 1].score, 3) AS score FROM u""")
 def j_label_points(spark, d):
     """Places for labels inside polygons, well apart and far from edges."""
-    return places.label_points(fx.polygons(spark), fx.BOX, 6, 3000.0).select("fid", "rank", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"), r(F.col("score"), 3).alias("score"))
+    return places.label_points(fx.polygons(spark, d), fx.BOX, 6, 3000.0).select("fid", "rank", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"), r(F.col("score"), 3).alias("score"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT c_nationkey AS sheet, c_custkey AS rank, CAST((c_custkey*7919) % 200 AS DOUBLE) AS west, CAST((c_custkey*104729) % 100 AS DOUBLE) AS south FROM customer), b AS (SELECT *, west + 10 + rank % 20 AS east, south + 4 AS north, row_number() OVER (PARTITION BY sheet ORDER BY rank) AS i FROM l),

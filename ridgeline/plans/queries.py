@@ -241,18 +241,20 @@ def t_moon(spark, d):
     return _dates(spark, d).select("date", r(lit).alias("lit"), r(age, 5).alias("age"), name.alias("phase"))
 
 
-@query(f"""WITH days AS (SELECT CAST(u AS DATE) AS date FROM range(DATE '2026-09-28', DATE '2026-12-01', INTERVAL 1 DAY) v(u)), dd AS (SELECT date, date_diff('day', DATE '1970-01-01', date) AS n, CASE WHEN date < DATE '2026-11-01' THEN -6 ELSE -7 END AS utc FROM days), {_sql_crossing()}, {_sql_crossing(96.0, "v")}, {_sql_moon("24 - utc", "dd")},
+@query(f"""WITH days AS (SELECT DISTINCT DATE '2026-09-28' + CAST(o_orderkey % 64 AS INT) AS date FROM orders), dd AS (SELECT date, date_diff('day', DATE '1970-01-01', date) AS n, CASE WHEN date < DATE '2026-11-01' THEN -6 ELSE -7 END AS utc FROM days), {_sql_crossing()}, {_sql_crossing(96.0, "v")}, {_sql_moon("24 - utc", "dd")},
   s AS (SELECT date, max(hour) FILTER (k = 'rise') AS rise, max(hour) FILTER (k = 'set') AS set FROM y3 GROUP BY date), c AS (SELECT date, max(hour) FILTER (k = 'rise') AS rise, max(hour) FILTER (k = 'set') AS set FROM vy3 GROUP BY date)
   SELECT dd.date, CASE utc WHEN -6 THEN 'MDT' ELSE 'MST' END AS zone, phase AS moon_phase, round(s.rise + utc, 5) AS rise, round(s.set + utc, 5) AS set, round(s.rise + utc - 0.5, 5) AS legal_from, round(s.set + utc + 0.5, 5) AS legal_to, round(c.rise + utc, 5) AS civil_rise, round(c.set + utc, 5) AS civil_set, round(lit, 5) AS moon_lit, round(age, 5) AS moon_age
   FROM dd JOIN s ON s.date = dd.date JOIN c ON c.date = dd.date JOIN moons ON moons.date = dd.date""")
 def t_day_table(spark, d):
     """Rise, set, legal light, twilight, zone and moon of each date of the season."""
-    days = spark.sql("SELECT explode(sequence(date'2026-09-28', date'2026-11-30')) AS date")
+    days = fx.table(spark, d, "orders").select(F.date_add(F.lit("2026-09-28").cast("date"), (F.col("o_orderkey") % 64).cast("int")).alias("date")).distinct()
     out = astro.day_table(days, *HERE)
     return out.select("date", "zone", "moon_phase", *(r(F.col(c), 5).alias(c) for c in ("rise", "set", "legal_from", "legal_to", "civil_rise", "civil_set", "moon_lit", "moon_age")))
 
 
-@query()
+@query(f"""WITH {_DATES}, {_sql_crossing()}, rs AS (SELECT date, max(hour) FILTER (k = 'rise') + 0.02 AS start, max(hour) FILTER (k = 'set') AS set FROM y3 GROUP BY date),
+  step AS (SELECT rs.date, n, start, set, unnest(range(0, CAST(floor((set - start) * 6) AS INT) + 1)) AS i FROM rs JOIN dd ON dd.date = rs.date), pth AS (SELECT date, n, i, start + i / 6e0 AS hour, {HERE[0]} AS lon, {HERE[1]} AS lat FROM step WHERE start + i / 6e0 < set), {sql_solar("n + 2440587.5 + hour/24", "pth")}, {_POS}
+  SELECT date, CAST(i AS INT) AS i, round(hour, 5) AS hour, round(az, 4) AS azimuth, round(alt, 4) + 0 AS altitude FROM pos WHERE alt > 0""")
 def t_sun_path(spark, d):
     """Samples every ten minutes from just after sunrise while the sun is up, on each distinct date."""
     days = astro.days_of(F.col("date"))
@@ -702,7 +704,7 @@ def f_smooth_line(spark, d):
 # ---- vectors
 
 def _sql_polygons() -> str:
-    """Edges (fid, part, lon1, lat1, lon2, lat2) of the fixture's rings as VALUES."""
+    """Edges (fid, x1, y1, x2, y2) of the fixture's rings, moved by their regions."""
     d = 0.00005
     box = lambda w, s, e, n: [(w + d, s + d), (e + d, s + d), (e + d, n + d), (w + d, n + d)]
     shapes = [
@@ -710,7 +712,7 @@ def _sql_polygons() -> str:
         [[(-119.75 + d, 54.05 + d), (-119.45 + d, 54.05 + d), (-119.45 + d, 54.10 + d), (-119.65 + d, 54.10 + d), (-119.65 + d, 54.25 + d), (-119.75 + d, 54.25 + d)]], [box(-119.40, 54.10, -119.10, 54.15)],
     ]
     rows = [f"({f}, {a[0]!r}e0, {a[1]!r}e0, {b[0]!r}e0, {b[1]!r}e0)" for f, rings in enumerate(shapes) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
-    return f"edge(fid, x1, y1, x2, y2) AS (VALUES {', '.join(rows)})"
+    return f"corner(fid, x1, y1, x2, y2) AS (VALUES {', '.join(rows)}), edge AS (SELECT fid, x1 + m AS x1, y1 + m AS y1, x2 + m AS x2, y2 + m AS y2 FROM corner JOIN (SELECT r_regionkey, length(r_name) / 1000000e0 AS m FROM region) ON r_regionkey = fid)"
 
 
 _INSIDE = f"{SQL_POINTS}, {_sql_polygons()}, ins AS (SELECT id, CAST(fid AS BIGINT) AS fid FROM pts, edge WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1)*(lat - y1)/(y2 - y1) + x1 GROUP BY id, fid HAVING count(*) % 2 = 1)"
@@ -719,17 +721,17 @@ _INSIDE = f"{SQL_POINTS}, {_sql_polygons()}, ins AS (SELECT id, CAST(fid AS BIGI
 @query(f"WITH {_INSIDE} SELECT id, fid FROM ins")
 def j_containing(spark, d):
     """All polygons that hold a point."""
-    return vector.containing(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark)).select("id", "fid")
+    return vector.containing(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark, d)).select("id", "fid")
 
 
 @query(f"WITH {_INSIDE} SELECT pts.id, min(fid) AS fid FROM pts LEFT JOIN ins ON ins.id = pts.id GROUP BY pts.id")
 def j_first_containing(spark, d):
-    return vector.first_containing(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark)).select("id", "fid")
+    return vector.first_containing(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark, d)).select("id", "fid")
 
 
 @query(f"WITH {_INSIDE} SELECT id, 'in' AS side FROM pts WHERE id IN (SELECT id FROM ins) UNION ALL SELECT id, 'out' FROM pts WHERE id NOT IN (SELECT id FROM ins)")
 def j_semi_anti(spark, d):
-    p, g = fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark)
+    p, g = fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark, d)
     return vector.inside_any(p, g).select("id", F.lit("in").alias("side")).unionByName(vector.outside_all(p, g).select("id", F.lit("out").alias("side")))
 
 
@@ -741,7 +743,7 @@ _FOOT = "least(greatest(coalesce((0 - ax*(gx-ax) - ay*(gy-ay))/nullif((gx-ax)*(g
   SELECT c.id, c.fid, round(metres, 3) AS metres FROM c LEFT JOIN ins ON ins.id = c.id AND ins.fid = c.fid WHERE ins.id IS NULL AND metres <= 2000""")
 def j_near_polygons(spark, d):
     """Polygons within two kilometres of a point that they don't hold."""
-    return vector.distance_to_polygons(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark), 2000.0).select("id", "fid", r(F.col("metres"), 3).alias("metres"))
+    return vector.distance_to_polygons(fx.points(spark, d).select("id", "lon", "lat"), fx.polygons(spark, d), 2000.0).select("id", "fid", r(F.col("metres"), 3).alias("metres"))
 
 
 _SEGS = """sg AS (SELECT s_suppkey AS fid, j AS n, -119.80e0 + ((s_suppkey*613)%7000 + 20*j)/10000e0 AS x1, 53.85e0 + ((s_suppkey*271)%4000 + 15*(j%2))/10000e0 AS y1, -119.80e0 + ((s_suppkey*613)%7000 + 20*(j+1))/10000e0 AS x2, 53.85e0 + ((s_suppkey*271)%4000 + 15*((j+1)%2))/10000e0 AS y2 FROM supplier, (SELECT unnest(range(4)) AS j))"""
@@ -756,7 +758,7 @@ def j_nearest_line(spark, d):
 @query(f"""WITH {_sql_polygons()}, pts AS (SELECT i AS id, {fx.BOX[0]} + (i % 40 + 0.5)*({fx.BOX[2]} - {fx.BOX[0]})/40e0 AS lon, {fx.BOX[1]} + (i // 40 + 0.5)*({fx.BOX[3]} - {fx.BOX[1]})/40e0 AS lat FROM (SELECT unnest(range(1600)) AS i)),
   ins AS (SELECT id FROM pts, edge WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1)*(lat - y1)/(y2 - y1) + x1 GROUP BY id, fid HAVING count(*) % 2 = 1) SELECT round(count(DISTINCT id)/1600e0, 6) AS share FROM ins""")
 def j_areal_share(spark, d):
-    return vector.areal_share(spark, fx.polygons(spark), fx.BOX).select(r(F.col("share")).alias("share"))
+    return vector.areal_share(spark, fx.polygons(spark, d), fx.BOX).select(r(F.col("share")).alias("share"))
 
 
 @query(f"""WITH {SQL_POINTS}, {_SEGS}, v AS (SELECT DISTINCT x, y FROM (SELECT x1 AS x, y1 AS y FROM sg UNION ALL SELECT x2, y2 FROM sg)), m AS (SELECT id, min(2*6371008.8*asin(sqrt(pow(sin(radians(y - lat)/2), 2) + cos(radians(lat))*cos(radians(y))*pow(sin(radians(x - lon)/2), 2)))) AS m FROM pts, v GROUP BY id)
@@ -767,7 +769,7 @@ def j_nearest_vertex(spark, d):
 
 @query()
 def j_interior_points(spark, d):
-    return vector.interior_points(spark, fx.polygons(spark)).select("fid", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"), r(F.col("score"), 3).alias("score"))
+    return vector.interior_points(spark, fx.polygons(spark, d)).select("fid", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"), r(F.col("score"), 3).alias("score"))
 
 
 @query(f"WITH {SQL_POINTS} SELECT id FROM pts WHERE lon BETWEEN -119.6 AND -119.3 AND lat BETWEEN 53.95 AND 54.2")
