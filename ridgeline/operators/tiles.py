@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialise, own_columns
 
-TILE = 256
+TILE = 512
 ROUNDS = 10_000
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ def _walked(hours: np.ndarray, moves: np.ndarray) -> np.ndarray:
     inner = np.zeros(hours.shape, bool)
     inner[REACH:-REACH, REACH:-REACH] = True
     inner, best = inner.ravel().tolist(), hours.ravel().tolist()
-    costs = [m.ravel().tolist() for m in moves]
+    costs = [array("d", m.tobytes()) for m in moves]  # a list of floats would take four times as much
     steps = [(dy * side + dx, costs[k]) for k, (dy, dx) in enumerate(MOVES)]
     heap = [(t, i) for i, t in enumerate(best) if t < math.inf]
     heapq.heapify(heap)
