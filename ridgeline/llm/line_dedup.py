@@ -12,9 +12,9 @@ more: of two lines that agree in the first and not in the second, the later is l
 
 Only lines of ``MIN_CHARS`` characters or more are compared for similarity; of shorter ones equal copies go. A document that is proved a copy of one other
 is left alone, for document-level deduplication to judge; however much of any other document is repeated, its repeated lines go. What counts as proof is
-lines whose equals stand first in one other document, and stay there: either both texts are the same, or these are all lines of the document in the other's order and it has no
+lines whose equals stand first in one other document, and stay there: either these are all lines of the document in the other's order, and the other has no
 more words than they, or the windows of ``SHINGLE`` words inside runs of them, taken in the order of both, are ``ALIKE`` of the windows of both documents together, which is what
-near-dedup asks for. A part of a longer document, lines in another order, passages of several documents, boilerplate beside lines of its own, and similar but unequal lines prove nothing.
+near-dedup asks for. A part of a longer document, a copy of one that loses lines itself, lines in another order, passages of several documents, boilerplate beside lines of its own, and similar but unequal lines prove nothing.
 
 Defined results: null and empty texts have no lines that count; lines of spaces only are never dropped; a null id counts as the smallest; rows
 that share an id (or have none) but not the text are documents of their own; rows that repeat an id and a text share their fate and are counted as one; an empty table gives no rows.
@@ -241,8 +241,8 @@ def line_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, i
     )
 
 
-def proved_copy(held: Column, doc: Column, n_lines: Column, words: Column, alike: float = ALIKE) -> Column:
-    """Whether one other document has the same text, or all lines in that order and no more words, or ``alike`` of the windows of both; held: sorted structs
+def proved_copy(held: Column, n_lines: Column, words: Column, alike: float = ALIKE) -> Column:
+    """Whether one other document has all lines in that order and no more words, or ``alike`` of the windows of both; held: sorted structs
     (id, doc, words, at_other, at, line_words) of lines that stand first in the document (id, doc)."""
     windows = lambda n: F.greatest(n - (SHINGLE - 1), F.lit(0))
     start = F.struct(
@@ -254,7 +254,7 @@ def proved_copy(held: Column, doc: Column, n_lines: Column, words: Column, alike
         kept = s["kept"] + windows(s["run"])
         both = F.greatest(windows(words), F.lit(1)) + F.greatest(windows(s["words"]), F.lit(1)) - kept
         whole = (s["lines"] == n_lines) & s["ordered"] & (s["words"] == words)
-        return s["proved"] | F.coalesce(s["doc"] == doc, F.lit(False)) | whole | ((kept > 0) & (kept >= alike * both))
+        return s["proved"] | whole | ((kept > 0) & (kept >= alike * both))
 
     def step(s: Column, x: Column) -> Column:
         same = s["id"].eqNullSafe(x["id"]) & s["doc"].eqNullSafe(x["doc"])
@@ -293,7 +293,7 @@ def document_verdicts(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHAR
     )
     # rows that repeat id and text are one document
     found = found.withColumns({c: F.expr(f"{c} div _rows") for c in ("n_lines", "n_copies", "n_near", "n_links", "_words")})
-    found = found.withColumn("whole_copy", proved_copy(F.col("_held"), F.col("doc"), F.col("n_lines"), F.col("_words"), alike)).drop("_held", "_words", "_rows")
+    found = found.withColumn("whole_copy", proved_copy(F.col("_held"), F.col("n_lines"), F.col("_words"), alike)).drop("_held", "_words", "_rows")
     return found.withColumn("gone", F.when(F.col("whole_copy"), F.array().cast("array<int>")).otherwise(F.col("gone")))
 
 

@@ -211,3 +211,53 @@ def test_archives_and_secrets_of_awkward_rows(spark, awkward):
     found = secrets.secret_scan(docs).collect()
     assert Counter(x["doc_id"] for x in found) == Counter(ids)
     assert [x["n_assign"] for x in found if x["doc_id"] == ids[-1]] == [1]
+
+
+def test_pipeline_against_plain_loops(spark, tmp_path):
+    """Every stage by loops over a corpus with bad documents, shared passages, exact and near copies; the verdict of the trained field is taken from its operator."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n)) + "."
+    passage = [line(20), line(20)]
+    texts = ["\n".join(line(18) for _ in range(6)) for _ in range(60)]
+    texts += ["\n".join([line(18), *passage, line(18), line(18), line(18)]) for _ in range(8)]
+    texts += [texts[3], texts[3], texts[62]]
+    words = [texts[k].replace("\n", " ").split(" ") for k in (10, 11)]
+    texts += [" ".join(w[:60] + [word()] + w[61:]) for w in words]  # near copies, of one line each
+    texts += ["\n".join(" ".join(f"{word().upper()}!!$$" for _ in range(20)) for _ in range(5)) for _ in range(20)]
+    n_good = len(texts) - 20
+    path = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(path + "/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < n_good), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    labels.write.parquet(path + "/labels.parquet")
+    out = {x["doc_id"]: x for x in corpus_pipeline.run(spark, path).collect()}
+
+    kept = {x["doc_id"] for x in quality_rules.quality_rules(spark.read.parquet(path + "/documents.parquet"), spark.read.parquet(path + "/labels.parquet")).where("kept").collect()}
+    assert set(range(n_good)) <= kept and not kept & set(range(n_good, len(texts)))
+
+    seen, left = {}, {}
+    for i in sorted(kept):
+        first = next((j for j in sorted(left) if texts[j] == texts[i] and all(seen[x] == j for x in texts[i].split("\n"))), None)  # a copy of one that keeps all its lines
+        rest = [x for x in texts[i].split("\n") if x not in seen]  # planted lines differ by far more than two edits, or not at all
+        left[i] = texts[i] if first is not None else "\n".join(rest)
+        for x in texts[i].split("\n"):
+            seen.setdefault(x, i)
+
+    def windows(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+
+    groups = []
+    for i, t in left.items():
+        mine = next((g for g in groups if any(len(windows(left[j]) & windows(t)) >= 0.8 * len(windows(left[j]) | windows(t)) for j in g)), None)
+        mine.append(i) if mine else groups.append([i])
+    assert sorted(map(len, groups), reverse=True)[:4] == [3, 2, 2, 1] and left[70] == "" and passage[0] not in left[62]
+    assert all(sum(i in out for i in g) == 1 for g in groups) and len(out) == len(groups)
+    for i, x in out.items():
+        assert x["decoded_sha256"] == hashlib.sha256(left[i].encode()).hexdigest()
+    stayed = spark.createDataFrame([(i, left[i], f"s{i % 3}") for i in out], "doc_id long, text string, source string")
+    places = {x["doc_id"]: x["mix_position"] for x in mixing.positions(stayed).collect()}
+    assert {i: x["mix_position"] for i, x in out.items()} == places and sorted(places.values()) == list(range(len(out)))
