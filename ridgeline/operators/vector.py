@@ -160,8 +160,8 @@ def areal_share(spark, polygons: DataFrame, box: tuple[float, float, float, floa
 
 def touches_box(points: Column, box: tuple[float, float, float, float], margin: float = 0.02) -> Column:
     """Whether any vertex lies inside the grown box; on its border is outside."""
-    west, south, east, north = box
-    return F.exists(points, lambda p: (p["lon"] > west - margin) & (p["lon"] < east + margin) & (p["lat"] > south - margin) & (p["lat"] < north + margin))
+    west, south, east, north = (round(edge + grow, 9) for edge, grow in zip(box, (-margin, -margin, margin, margin)))  # -119.4 + 0.02 is not -119.38
+    return F.exists(points, lambda p: (p["lon"] > west) & (p["lon"] < east) & (p["lat"] > south) & (p["lat"] < north))
 
 
 #: Cells of a ring's reach and how many times larger than the smallest they are, one round after the other.

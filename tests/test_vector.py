@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from ridgeline.operators import vector
 
 LINES = "fid long, pts array<struct<lon:double,lat:double>>"
@@ -64,3 +66,10 @@ def test_places_decide_what_holds_a_point(spark):
     assert sorted(map(key, vector.inside_any(points, square).collect())) == [(0, 0.5), (1, 0.5)]
     assert sorted(map(key, vector.outside_all(points, square).collect())) == [(0, 6.0), (1, 5.0), (2, 0)]
     assert sorted((*key(r), r["fid"]) for r in vector.first_containing(points, square).collect()) == [(0, 0.5, 7), (0, 6.0, None), (1, 0.5, 7), (1, 5.0, None), (2, 0, None)]
+
+
+def test_a_vertex_on_the_border_of_a_grown_box_is_outside(spark):
+    box = (-119.6, 53.95, -119.4, 54.05)
+    rows = [(1, [(-119.38, 54.0)]), (2, [(-119.62, 54.0)]), (3, [(-119.5, 53.93)]), (4, [(-119.5, 54.07)]), (5, [(-119.381, 54.069)]), (6, [(-119.619, 53.931)]), (7, [(-119.8 + 0.18, 54.0)])]
+    got = spark.createDataFrame(rows, LINES).where(vector.touches_box(F.col("pts"), box)).collect()
+    assert sorted(r["fid"] for r in got) == [5, 6, 7]  # -119.8 + 0.18 lies just inside of -119.62
