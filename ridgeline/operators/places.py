@@ -233,6 +233,12 @@ def all_places(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
+def two_point(pairs: DataFrame, cell: float, key: str = "id") -> DataFrame:
+    """key, m and bearing from (ox, oy) to (tx, ty), in cells; as doubles, since squares of whole numbers overflow."""
+    across, up = (F.col(a).cast("double") - F.col(b) for a, b in (("tx", "ox"), ("oy", "ty")))
+    return pairs.select(key, (F.sqrt(across * across + up * up) * cell).alias("m"), ((F.degrees(F.atan2(across, up)) + 360) % 360).alias("bearing"))
+
+
 def measured(profile: DataFrame, key: str, order: str, far: str, z: str) -> DataFrame:
     """Climb, descent, the path along the ground, rise and shot angle of profiles (metres from the start in ``far``); points without a height are left out."""
     known = profile.where(F.col(z).isNotNull())

@@ -290,8 +290,7 @@ def k_all_places(spark, d):
 def v_measure(spark, d):
     """Two-point measure: distance, bearing, climb, descent, the path along the ground and the angle of a shot; v_line_of_sight has the sight of the same pairs."""
     p = _pairs(spark, d)
-    across, up = F.col("tx") - F.col("ox"), F.col("oy") - F.col("ty")
-    line = p.select("id", (F.sqrt(across * across + up * up) * CELL).alias("m"), ((F.degrees(F.atan2(across, up)) + 360) % 360).alias("bearing"))
+    line = places.two_point(p, CELL)
     at = rays.profile_points(p, 20).withColumn("k", F.col("id") * 100 + F.col("seq"))
     z = raster.sample_bilinear(at, fx.dem(spark, d), "z", WIDTH, fx.height(spark, d), "k", out="v").join(line, "id").withColumn("far", F.col("m") * F.col("seq") / 20)
     out = places.measured(z, "id", "seq", "far", "v").join(line.select("id", "bearing"), "id")

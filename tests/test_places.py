@@ -1,6 +1,7 @@
 """Requests, fetched files, and facts about places against plain loops."""
 
 import json
+import math
 import random
 
 import pytest
@@ -84,3 +85,8 @@ def test_empty_and_missing(spark):
     profile = spark.createDataFrame([(1, 0, 0.0, 10.0), (1, 1, 5.0, None), (1, 2, 30.0, 50.0), (2, 0, 0.0, 3.0)], "id int, seq int, far double, z double")
     got = {x["id"]: x for x in places.measured(profile, "id", "seq", "far", "z").collect()}
     assert (got[1]["climb"], got[1]["path"], got[1]["rise"]) == (40.0, 50.0, 40.0) and got[2]["climb"] == 0 and got[2]["path"] is None
+
+
+def test_two_points_far_apart(spark):
+    row = places.two_point(spark.createDataFrame([(1, 0, 0, 30_000, 40_000)], "id long, ox int, oy int, tx int, ty int"), 30.0).first()
+    assert row["m"] == 1_500_000.0 and math.isclose(row["bearing"], 90 + math.degrees(math.atan2(4, 3)))
