@@ -214,8 +214,8 @@ def chosen_saddles(peaks: DataFrame, grid: DataFrame, cell: float, here: tuple[f
     while len(kept) < top:
         nearer = F.lit(False)
         for k in kept:
-            dy, dx = F.col("saddle_y") - k["saddle_y"], F.col("saddle_x") - k["saddle_x"]
-            nearer = nearer | (F.sqrt((dy * dy + dx * dx).cast("double")) * cell < apart_m)
+            dy, dx = ((F.col(c) - k[c]).cast("double") for c in ("saddle_y", "saddle_x"))  # squares of whole numbers overflow
+            nearer = nearer | (F.sqrt(dy * dy + dx * dx) * cell < apart_m)
         best = left.where(~nearer).orderBy(F.desc("depth"), "y", "x").limit(1).collect()
         if not best:
             break

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.functions.geodesy import View
-from ridgeline.operators import places
+from ridgeline.operators import peaks, places
 from ridgeline.sources import requests
 
 BOX = (-119.85, 53.8, -118.95, 54.3)
@@ -90,3 +90,11 @@ def test_empty_and_missing(spark):
 def test_two_points_far_apart(spark):
     row = places.two_point(spark.createDataFrame([(1, 0, 0, 30_000, 40_000)], "id long, ox int, oy int, tx int, ty int"), 30.0).first()
     assert row["m"] == 1_500_000.0 and math.isclose(row["bearing"], 90 + math.degrees(math.atan2(4, 3)))
+
+
+def test_saddles_far_apart(spark):
+    rows = [(y, 0, 9.0, 5.0, y, 1, False) for y in (10, 60_000, 120_000)]
+    found = spark.createDataFrame(rows, "y int, x int, height double, prominence double, saddle_y int, saddle_x int, edge boolean")
+    grid = spark.createDataFrame([(y, 1, True) for y in (10, 60_000, 120_000)], "y int, x int, open boolean")
+    got = peaks.chosen_saddles(found, grid, 30.0, (0, 0)).orderBy("number").collect()
+    assert [r["saddle_y"] for r in got] == [10, 60_000, 120_000]
