@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geodesy import View, bearing, haversine
 from . import raster, vector
+from .tiles import TILE, tile_of, touched
 
 
 def seen_area(view: DataFrame, seen: str, cell: float) -> DataFrame:
@@ -16,20 +19,35 @@ def seen_area(view: DataFrame, seen: str, cell: float) -> DataFrame:
     return view.agg(F.try_divide(F.sum(seen), F.count(seen)).alias("share"), (F.coalesce(F.sum(seen), F.lit(0)) * (cell * cell / 1e6)).alias("km2"))
 
 
-def highest_within(points: DataFrame, grid: DataFrame, value: str, metres: float, cell: float, view: View) -> DataFrame:
+def highest_within(points: DataFrame, grid: DataFrame, value: str, metres: float, cell: float, view: View, tile: int = TILE) -> DataFrame:
     """id, z, bearing and metres of the highest cell (the first in row-major order of equals) within a disc of whole cells around the cell (y, x) of each place.
 
-    The disc is dealt as offsets, of which there are as many for every place, and joined with the cells by place, so that no side is crossed or broadcast.
+    A task holds the cells of a tile and as far about it as discs reach, and the cells of the tile that have a place, each once however many places it has.
     """
     reach = int(metres / cell)
-    near = points.withColumn("_dy", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_dx", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).where(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy") <= reach * reach)
-    keyed = near.select("id", "lon", "lat", (F.col("y") + F.col("_dy")).alias("_y"), (F.col("x") + F.col("_dx")).alias("_x"))
-    met = keyed.join(grid.where(F.col(value).isNotNull()).select(F.col("y").alias("_y"), F.col("x").alias("_x"), F.col(value).alias("_v")), ["_y", "_x"])
-    best = met.groupBy("id", "lon", "lat").agg(F.max(F.struct(F.col("_v").alias("v"), (-F.col("_y")).alias("ny"), (-F.col("_x")).alias("nx"))).alias("_b"))
+    disc = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dy * dy + dx * dx <= reach * reach]
+    spots = points.where("y IS NOT NULL AND x IS NOT NULL").select(F.col("y").cast("int"), F.col("x").cast("int")).distinct()
+    cells = touched(grid.where(F.col(value).isNotNull()).select(F.col("y").cast("int"), F.col("x").cast("int"), F.col(value).cast("double").alias("v")), reach, tile)
+
+    def run(key: tuple, own: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        heights = np.full((tile + 2 * reach, tile + 2 * reach), np.nan)
+        heights[about["y"].to_numpy() - key[0] * tile + reach, about["x"].to_numpy() - key[1] * tile + reach] = about["v"].to_numpy()
+        y, x = own["y"].to_numpy(), own["x"].to_numpy()
+        best, at_y, at_x = np.full(len(own), np.nan), y.copy(), x.copy()
+        for dy, dx in disc:
+            near = heights[y + dy - key[0] * tile + reach, x + dx - key[1] * tile + reach]
+            better = (near > best) | (np.isnan(best) & ~np.isnan(near))
+            best[better], at_y[better], at_x[better] = near[better], y[better] + dy, x[better] + dx
+        found = ~np.isnan(best)
+        return pd.DataFrame({"y": y[found], "x": x[found], "_v": best[found], "_hy": at_y[found], "_hx": at_x[found]})
+
+    dealt = spots.withColumns({"ty": tile_of("y", tile), "tx": tile_of("x", tile)})
+    tops = dealt.groupBy("ty", "tx").cogroup(cells.groupBy("ty", "tx")).applyInPandas(run, "y int, x int, _v double, _hy int, _hx int")
+    best = points.join(tops, ["y", "x"]).groupBy("id", "lon", "lat").agg(F.max(F.struct(F.col("_v").alias("v"), (-F.col("_hy")).alias("ny"), (-F.col("_hx")).alias("nx"))).alias("_b"))
     lon, lat = view.lonlat(-F.col("_b.nx") + 0.5, -F.col("_b.ny") + 0.5)
     at = best.withColumns({"_lon": lon, "_lat": lat})
     here, there = (F.col("lon"), F.col("lat")), (F.col("_lon"), F.col("_lat"))
-    return at.select("id", F.col("_b.v").alias("z"), bearing(*here, *there).alias("bearing"), haversine(*here, *there).alias("metres"))
+    return at.select("id", F.col("_b.v").cast(dict(grid.dtypes)[value]).alias("z"), bearing(*here, *there).alias("bearing"), haversine(*here, *there).alias("metres"))
 
 
 def cover_about(cells: DataFrame, name: str, is_open: str, y: int, x: int, metres: float, cell: float) -> DataFrame:

@@ -98,3 +98,20 @@ def test_saddles_far_apart(spark):
     grid = spark.createDataFrame([(y, 1, True) for y in (10, 60_000, 120_000)], "y int, x int, open boolean")
     got = peaks.chosen_saddles(found, grid, 30.0, (0, 0)).orderBy("number").collect()
     assert [r["saddle_y"] for r in got] == [10, 60_000, 120_000]
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_highest_by_tiles(spark, tile):
+    r = random.Random(8)
+    z = {(y, x): float(r.randrange(6)) for y in range(15) for x in range(18) if (y * 18 + x) % 7}
+    spots = [(i, r.randrange(-5, 20), r.randrange(-5, 23)) for i in range(150)] + [(7, None, 3)]
+    view = View(*BOX, 18, 15)
+    points = spark.createDataFrame([(i, -119.0, 54.0, y, x) for i, y, x in spots], "id long, lon double, lat double, y int, x int")
+    grid = spark.createDataFrame([(y, x, v) for (y, x), v in z.items()], "y int, x int, z double")
+    found = places.highest_within(points, grid, "z", 95.0, 30.0, view, tile=tile)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(sequence(-3" not in plan  # places aren't multiplied by the cells of a disc
+    got = {row["id"]: row["z"] for row in found.collect()}
+    for i, y, x in spots[:-1]:
+        near = [z[y + dy, x + dx] for dy in range(-3, 4) for dx in range(-3, 4) if dy * dy + dx * dx <= 9 and (y + dy, x + dx) in z]
+        assert got.get(i) == (max(near) if near else None)
