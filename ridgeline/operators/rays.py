@@ -371,55 +371,105 @@ def pick_distances(cell: float, far: float) -> list[float]:
     return out
 
 
-def ray_pick(picks: DataFrame, grid: DataFrame, width: int, height: int, cell: float, value: str = "z", key: str = "id") -> DataFrame:
+#: Rays that a task takes over one tile, and steps that it works out at once.
+RAYS_A_TASK, STEPS_AT_ONCE = 20_000, 500_000
+
+
+def ray_pick(picks: DataFrame, grid: DataFrame, width: int, height: int, cell: float, value: str = "z", key: str = "id", tile: int = TILE) -> DataFrame:
     """key, t, px, py, z: where rays (ox, oy in cells, oz in metres, dx, dy, dz a direction in metres) first go under the ground; t in metres, null with the rest if they don't.
 
     A ray is marched until it is under; a ray that has come over the grid and leaves it, or comes over a cell without a value, hits nothing. The crossing is halved between the
-    last two steps, over the few cells that they span. Joins only: a row a step, then one a hit.
+    last two steps. Rays are dealt to the tiles that they pass, those of a tile in parts of some ``RAYS_A_TASK``; each tile says over which steps it has ground below a ray and which is the first under it. Where
+    the whole grid has values, rays are dealt no further than down to its lowest ground.
     """
-    steps = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(t).alias("t")) for i, t in enumerate(pick_distances(cell, max(width, height) * cell * 3))))
-    cells = grid.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).cast("double").alias("_z")).where("_z IS NOT NULL")
-    at = lambda c, d, t: F.col(c) + F.col(d) * t / cell
-    march = picks.select(key, "ox", "oy", "oz", "dx", "dy", "dz", F.explode(steps).alias("_s")).select("*", F.col("_s.s").alias("_i"), F.col("_s.t").alias("_t"))
-    march = march.withColumns({"_px": at("ox", "dx", F.col("_t")), "_py": at("oy", "dy", F.col("_t")), "_ray": F.col("oz") + F.col("dz") * F.col("_t")})
-    over = march.where(F.col("_px").between(0, width - 1) & F.col("_py").between(0, height - 1))
-    gx, gy = F.least(F.floor("_px"), F.lit(width - 2)), F.least(F.floor("_py"), F.lit(height - 2))
-    fx, fy = F.col("_px") - gx, F.col("_py") - gy
-    corners = F.array(*(F.struct((gx + i).cast("int").alias("x"), (gy + j).cast("int").alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    taps = over.select(key, "_i", "_ray", F.explode(corners).alias("_c")).select(key, "_i", "_ray", F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"), F.col("_c.w").alias("_w"))
-    ground = taps.join(cells, ["_x", "_y"]).groupBy(key, "_i", "_ray").agg(F.sum(F.col("_z") * F.col("_w")).alias("_g"), F.count(F.lit(1)).alias("_n")).where("_n = 4")
-    # steps over ground follow one another until the ray leaves it: the first of a gap ends the march
-    w = Window.partitionBy(key).orderBy("_i")
-    asked = ground.select(key, "_i", (F.col("_ray") <= F.col("_g")).alias("_under"), (F.col("_i") - F.row_number().over(w)).alias("_lead"))
-    hits = asked.groupBy(key).agg(F.min("_lead").alias("_first"), F.min(F.when(F.col("_under"), F.struct("_i", "_lead"))).alias("_h")).where("_h._lead = _first").select(key, F.col("_h._i").alias("_i"))
-    times = F.transform(steps, lambda s: s["t"])
-    found = picks.join(hits, key).withColumns({"_b": F.get(times, F.col("_i")), "_a": F.coalesce(F.get(times, F.col("_i") - 1), F.lit(0.0))})
-    spans = {}
-    for axis, most in (("x", width - 1), ("y", height - 1)):
-        a, b = F.floor(at(f"o{axis}", f"d{axis}", F.col("_a"))), F.floor(at(f"o{axis}", f"d{axis}", F.col("_b")))
-        spans[f"_{axis}"] = F.explode(F.sequence(F.greatest(F.least(a, b) - 1, F.lit(0)).cast("int"), F.least(F.greatest(a, b) + 1, F.lit(most)).cast("int")))
-    few = found
-    for name, span in spans.items():
-        few = few.withColumn(name, span)
-    around = few.join(cells, ["_x", "_y"]).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct((F.col("_y").cast("long") * width + F.col("_x")).alias("k"), F.col("_z").alias("z")))).alias("_m"))
-    near = found.join(around, key)
-
-    def height_at(t: Column) -> Column:
-        px, py = at("ox", "dx", t), at("oy", "dy", t)
-        x, y = F.least(F.floor(px), F.lit(width - 2)), F.least(F.floor(py), F.lit(height - 2))
-        u, v = px - x, py - y
-        h = lambda i, j: F.try_element_at("_m", ((y + j) * width + x + i).cast("long"))
-        return (h(0, 0) * (1 - u) + h(1, 0) * u) * (1 - v) + (h(0, 1) * (1 - u) + h(1, 1) * u) * v
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = (s["a"] + s["b"]) / 2
-        px, py = at("ox", "dx", middle), at("oy", "dy", middle)
-        inside = px.between(0, width - 1) & py.between(0, height - 1)
-        under = F.coalesce(inside & (F.col("oz") + F.col("dz") * middle <= height_at(middle)), F.lit(False))
-        return F.struct(F.when(under, s["a"]).otherwise(middle).alias("a"), F.when(under, middle).otherwise(s["b"]).alias("b"))
-
-    hit = F.aggregate(F.sequence(F.lit(1), F.lit(PICK_HALVINGS)), F.struct(F.col("_a").cast("double").alias("a"), F.col("_b").cast("double").alias("b")), halve, lambda s: s["b"])
-    spot = near.withColumn("t", hit).select(key, "t", at("ox", "dx", F.col("t")).alias("px"), at("oy", "dy", F.col("t")).alias("py"), (F.col("oz") + F.col("dz") * F.col("t")).alias("z"))
+    kind = dict(picks.dtypes)[key]
+    valued, low = grid.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)), F.min(value)).first()
+    rays = picks.select(key, *(F.col(c).cast("double") for c in ("ox", "oy", "oz", "dx", "dy", "dz")))
+    steepest = rays.agg(F.max(F.greatest(F.abs("dx"), F.abs("dy")))).first()[0] or 0.0
+    longest = 60.0  # metres of the longest step
+    halo = int(longest * steepest / cell) + 3
+    far = np.array(pick_distances(cell, max(width, height) * cell * 3))
+
+    def slab(axis: str, most: int) -> tuple[Column, Column]:
+        """Metres at which a ray comes over the cells 0 to most and at which it leaves them."""
+        ends = [F.try_divide((v - F.col(f"o{axis}")) * cell, F.col(f"d{axis}")) for v in (F.lit(0.0), F.lit(float(most)))]
+        over = F.col(f"o{axis}").between(0, most)
+        return F.coalesce(F.least(*ends), F.when(over, F.lit(0.0)).otherwise(F.lit(math.inf))), F.coalesce(F.greatest(*ends), F.when(over, F.lit(math.inf)).otherwise(F.lit(-math.inf)))
+
+    (x_in, x_out), (y_in, y_out) = slab("x", width - 1), slab("y", height - 1)
+    spans = rays.withColumns({"_in": F.greatest(x_in, y_in, F.lit(0.0)) - 1, "_out": F.least(x_out, y_out, F.lit(float(far[-1]) if len(far) else 0.0)) + 1})
+    if valued == width * height:
+        down = F.when(F.col("dz") < 0, F.greatest(F.try_divide(F.lit(float(low)) - F.col("oz"), F.col("dz")), F.col("_in")) + longest + 2)
+        spans = spans.withColumn("_out", F.least("_out", down))
+    spans = spans.where("_in <= _out")
+    at = lambda axis, t: F.col(f"o{axis}") + F.col(f"d{axis}") * F.col(t) / cell
+    dealt = spans.withColumns({f"_{axis}{n}": at(axis, t) for axis in "yx" for n, t in enumerate(("_in", "_out"))})
+    for axis, most in (("y", height - 1), ("x", width - 1)):
+        first, last = F.least(f"_{axis}0", f"_{axis}1") - 2, F.greatest(f"_{axis}0", f"_{axis}1") + 2
+        edge = lambda c, most=most: tile_of(F.least(F.greatest(c, F.lit(0.0)), F.lit(float(most))), tile)
+        dealt = dealt.withColumn(f"t{axis}", F.explode(F.sequence(edge(first), edge(last))))
+    middle = lambda c: (F.col(c) + 0.5) * tile
+    dealt = dealt.where(_near_line(F.col("_y0"), F.col("_x0"), F.col("_y1"), F.col("_x1"), middle("ty"), middle("tx")) <= 0.7072 * tile + 4).select(key, "ox", "oy", "oz", "dx", "dy", "dz", "_in", "_out", "ty", "tx")
+    parts = dealt.groupBy("ty", "tx").agg(F.ceil(F.count(F.lit(1)) / RAYS_A_TASK).cast("int").alias("_parts"))
+    dealt = dealt.join(F.broadcast(parts), ["ty", "tx"]).withColumn("part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).drop("_parts")
+    tiles = pack(grid.select("y", "x", F.col(value).alias("z")), ["z"], halo, tile)
+    jobs = tiles.join(parts, ["ty", "tx"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).select("part", "ty", "tx", "z")
+
+    def pick(place: tuple, job: pd.Series, own: pd.DataFrame) -> pd.DataFrame:
+        ground = plane(job["z"], tile, halo)
+        x0, y0 = place[2] * tile - halo, place[1] * tile - halo
+        ox, oy, oz, dx, dy, dz, start, end = (own[c].to_numpy() for c in ("ox", "oy", "oz", "dx", "dy", "dz", "_in", "_out"))
+        for o, d, first in ((ox, dx, place[2] * tile), (oy, dy, place[1] * tile)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ends = np.array([(first - 1 - o) * cell / d, (first + tile + 1 - o) * cell / d])
+            start = np.where(d == 0, start, np.fmax(start, ends.min(0)))
+            end = np.where(d == 0, end, np.fmin(end, ends.max(0)))
+        i0, i1 = np.searchsorted(far, start - 1), np.searchsorted(far, end + 1)
+        n = np.maximum(i1 - i0, 0)
+
+        def under(r: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """For rays at metres: whether there is ground, whether they are under it, and the cell (y, x) it lies in."""
+            px, py = ox[r] + dx[r] * t / cell, oy[r] + dy[r] * t / cell
+            over = (px >= 0) & (px <= width - 1) & (py >= 0) & (py <= height - 1)
+            gx, gy = np.minimum(np.floor(np.where(over, px, 0.0)), width - 2).astype(int), np.minimum(np.floor(np.where(over, py, 0.0)), height - 2).astype(int)
+            held = over & (gx >= max(x0, 0)) & (gx < x0 + tile + 2 * halo - 1) & (gy >= max(y0, 0)) & (gy < y0 + tile + 2 * halo - 1)
+            j, i = np.where(held, gy - y0, 0), np.where(held, gx - x0, 0)
+            u, v = px - gx, py - gy
+            g = (ground[j, i] * (1 - u) + ground[j, i + 1] * u) * (1 - v) + (ground[j + 1, i] * (1 - u) + ground[j + 1, i + 1] * u) * v
+            known = held & ~np.isnan(g)
+            return known, known & (oz[r] + dz[r] * t <= g), gy, gx
+
+        out, many = [], np.cumsum(n)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(many, np.arange(STEPS_AT_ONCE, many[-1] if len(many) else 0, STEPS_AT_ONCE)) + 1, [len(n)]]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            r = np.repeat(np.arange(a, b), n[a:b])
+            i = np.arange(len(r)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b]) + i0[r]
+            known, hit, gy, gx = under(r, far[i])
+            here = known & (gy // tile == place[1]) & (gx // tile == place[2])
+            r, i, hit = r[here], i[here], hit[here]
+            if not len(r):
+                continue
+            # steps of a ray stand together and in order
+            whose, begin = np.unique(r, return_index=True)
+            never = np.iinfo(np.int64).max
+            first_hit = np.minimum.reduceat(np.where(hit, i, never), begin)
+            steps = np.add.reduceat((i <= np.repeat(first_hit, np.diff(np.append(begin, len(r))))).astype(int), begin)
+            struck = first_hit < never
+            hits = np.where(struck, first_hit, 0)
+            t0, t1 = np.where(hits > 0, far[hits - 1], 0.0), far[hits]
+            for _ in range(PICK_HALVINGS):
+                t = (t0 + t1) / 2
+                below = under(whose, t)[1]
+                t0, t1 = np.where(below, t0, t), np.where(below, t, t1)
+            out.append(pd.DataFrame({key: own[key].to_numpy()[whose], "_first": i[begin], "_n": steps, "_hit": pd.array(np.where(struck, first_hit, 0), "Int64"), "t": t1}).assign(_hit=lambda f, struck=struck: f["_hit"].where(struck), t=lambda f, struck=struck: f["t"].where(struck)))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (key, "_first", "_n", "_hit", "t")})
+
+    told = with_cells(jobs, dealt, ["part", "ty", "tx"], pick, f"{key} {kind}, _first long, _n long, _hit long, t double")
+    # steps over ground follow one another until the ray leaves it: what is missing before the hit ended the march
+    by_ray = told.groupBy(key).agg(F.min("_first").alias("_came"), F.min(F.when(F.col("_hit").isNotNull(), F.struct("_hit", "t"))).alias("_h"), F.collect_list(F.struct("_first", "_n")).alias("_runs"))
+    before = F.aggregate(F.filter("_runs", lambda run: run["_first"] <= F.col("_h._hit")), F.lit(0).cast("long"), lambda s, run: s + run["_n"])
+    hits = by_ray.where(F.col("_h").isNotNull()).where(before == F.col("_h._hit") - F.col("_came") + 1).select(key, F.col("_h.t").alias("t"))
+    spot = rays.join(hits, key).select(key, "t", (F.col("ox") + F.col("dx") * F.col("t") / cell).alias("px"), (F.col("oy") + F.col("dy") * F.col("t") / cell).alias("py"), (F.col("oz") + F.col("dz") * F.col("t")).alias("z"))
     return picks.select(key).join(spot, key, "left")
 
 

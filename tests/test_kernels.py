@@ -131,3 +131,53 @@ def test_rank_without_a_window(spark):
     assert stats.at_rank(df.limit(0), "v", 0.5).first()[0] is None
     plan = stats.at_rank(df, "v", 0.5)._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("tile", [5, 16, 64])
+def test_rays_are_picked_by_tiles_as_by_marching(spark, rough, tile):
+    """Rays that begin outside, run along an axis, leave the grid, or come over a cell without a value before or after ground."""
+    z = np.kron(rough, np.ones((3, 3)))[:40, :50]
+    z[8:10, 20:26], z[30, 10] = np.nan, np.nan
+    h, w = z.shape
+    r = np.random.default_rng(9)
+    picks = [(i, float(r.uniform(-20, w + 20)), float(r.uniform(-20, h + 20)), float(r.uniform(30, 200)), *(float(c) for c in (*(r.uniform(-1, 1, 2) if i % 5 else ((1, 0), (0, -1))[i % 2]), -r.uniform(0.0, 0.3)))) for i in range(400)]
+    far = rays.pick_distances(30.0, max(w, h) * 90.0)
+
+    def height_at(x, y):
+        if not (0 <= x <= w - 1 and 0 <= y <= h - 1):
+            return None
+        i, j = min(int(x), w - 2), min(int(y), h - 2)
+        u, v = x - i, y - j
+        g = (z[j, i] * (1 - u) + z[j, i + 1] * u) * (1 - v) + (z[j + 1, i] * (1 - u) + z[j + 1, i + 1] * u) * v
+        return None if g != g else g
+
+    def marched(ox, oy, oz, dx, dy, dz):
+        came = False
+        for i, t in enumerate(far):
+            g = height_at(ox + dx * t / 30, oy + dy * t / 30)
+            if g is None and came:
+                return None
+            came = came or g is not None
+            if g is not None and oz + dz * t <= g:
+                a, b = far[i - 1] if i else 0.0, t
+                for _ in range(rays.PICK_HALVINGS):
+                    m = (a + b) / 2
+                    g = height_at(ox + dx * m / 30, oy + dy * m / 30)
+                    a, b = (a, m) if g is not None and oz + dz * m <= g else (m, b)
+                return b
+        return None
+
+    got = {x["id"]: x for x in rays.ray_pick(spark.createDataFrame(picks, "id long, ox double, oy double, oz double, dx double, dy double, dz double"), grid_of(spark, z), w, h, 30.0, tile=tile).collect()}
+    wanted = {i: marched(*ray) for i, *ray in picks}
+    assert len(got) == 400 and 50 < sum(t is not None for t in wanted.values()) < 350
+    for i, t in wanted.items():
+        assert (got[i]["t"] is None) == (t is None) and (t is None or math.isclose(got[i]["t"], t, abs_tol=1e-6))
+
+
+def test_picks_over_a_long_grid_are_not_steps_in_the_plan(spark):
+    """The steps of a grid of 180,000 rows stay out of the plan, and a ray is dealt to the tiles that it passes only."""
+    grid = spark.range(180_000 * 2).selectExpr("CAST(id div 2 AS INT) AS y", "CAST(id % 2 AS INT) AS x", "0.0D AS z").where("y < 600 OR y > 179000")
+    picks = spark.createDataFrame([(1, 0.5, 10.0, 50.0, 0.0, 1.0, -0.1), (2, 0.5, 179_500.0, 50.0, 0.0, -1.0, -0.1)], "id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    found = rays.ray_pick(picks, grid, 2, 180_000, 30.0)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+    assert [round(r["t"], 1) for r in found.orderBy("id").collect()] == [500.0, 500.0]
