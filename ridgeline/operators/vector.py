@@ -6,6 +6,9 @@ side is broadcast or crossed, and a large feature is split over its tiles.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,10 +127,40 @@ def _within_180(lon: Column) -> Column:
     return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon)
 
 
+def _spacing(spots: DataFrame, lon: str, lat: str) -> float:
+    """Degrees of latitude of the side of a square that holds one of the spots, were they spread evenly over their box; 0 if there are none."""
+    n, west, south, east, north = spots.agg(F.count(F.lit(1)), F.min(lon), F.min(lat), F.max(lon), F.max(lat)).first()
+    if not n or None in (west, south, east, north):
+        return 0.0
+    return math.sqrt((east - west) * math.cos(math.radians((south + north) / 2)) * (north - south) / n)
+
+
 def nearest_within(points: DataFrame, lines: DataFrame, metres: float) -> DataFrame:
-    """id, fid, metres, bearing, foot_lon, foot_lat of the nearest line within a distance; ties by fid and segment."""
-    near = _near_segments(points, line_segments(lines), metres)
-    best = near.groupBy("id", "lon", "lat").agg(F.min(F.struct(F.round("_d", 6).alias("metres"), "fid", "n", "_fx", "_fy")).alias("_b"))
+    """id, fid, metres, bearing, foot_lon, foot_lat of the nearest line within a distance; ties by fid and segment.
+
+    Places are looked up once each, and of segments that lie on one another the first is asked. The first round looks about as far as segments stand apart, each further one
+    four times as far, for the places that have found none yet; so the pairs met grow with the places, not with the density of lines. Rounds are written to the shared folder.
+    """
+    ends = ["lon1", "lat1", "lon2", "lat2"]
+    segments = line_segments(lines).groupBy(*ends).agg(F.min(F.struct("fid", "n")).alias("_f")).select(*ends, "_f.fid", "_f.n")
+    segments = materialise(segments, "segments")
+    rows = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("id", "lon", "lat").distinct()
+    left = rows.select("lon", "lat").distinct()
+    far, found, passed = min(metres, max(metres / 4096, 3 * _spacing(segments, "lon1", "lat1") * METRES_PER_DEGREE_LAT)), [], []
+    while True:
+        near = _near_segments(left, segments, far)
+        best = near.groupBy("lon", "lat").agg(F.min(F.struct(F.round("_d", 6).alias("metres"), "fid", "n", "_fx", "_fy")).alias("_b"))
+        # at the very end of what was looked at there may be an equal one beyond
+        found.append(materialise(best if far >= metres else best.where(F.col("_b.metres") < far - 1e-3), "nearest"))
+        if far >= metres:
+            break
+        left = materialise(left.join(found[-1], ["lon", "lat"], "left_anti"), "left")
+        passed.append(left)
+        if left.isEmpty():
+            break
+        far = min(metres, 4 * far)
+    discard(segments, *passed)
+    best = rows.join(reduce(DataFrame.unionByName, found), ["lon", "lat"])
     east, north = F.col("_b._fx"), F.col("_b._fy")
     return best.select(
         "id", F.col("_b.fid").alias("fid"), F.col("_b.metres").alias("metres"), ((F.degrees(F.atan2(east, north)) + 360) % 360).alias("bearing"),
@@ -168,16 +201,21 @@ def touches_box(points: Column, box: tuple[float, float, float, float], margin:
 VERTEX_RINGS = ((1, 1), (4, 1), (16, 1), (16, 8), (16, 64))
 
 
-def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02, rings: tuple[tuple[int, int], ...] = VERTEX_RINGS) -> DataFrame:
+def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02, rings: tuple[tuple[int, float], ...] = VERTEX_RINGS) -> DataFrame:
     """id, lon, lat, vertex_lon, vertex_lat, metres of the nearest vertex: rings of cells around the point until one holds a vertex that nothing outside can beat.
 
     Places without one get larger rings, of larger cells. Beyond the last ring (16 cells of 1.28 degrees, as parameters stand), and for a point without a place, the vertex is null.
-    Places are looked up once each and joined back, so every row of points has its row, whatever its id. Only the ring's inner border bounds what is certain,
+    Places are looked up once each, and of vertices in one spot the first; where they stand close, smaller cells come before the rings. Places are joined back, so every row of points has its row, whatever its id. Only the ring's inner border bounds what is certain,
     in longitude that of the latitude where meridians are closest. Vertices near the 180th meridian stand on both sides of it. Rounds are written to the shared folder.
     """
     from ..functions.geodesy import haversine
 
-    vertices = lines.select(F.posexplode("pts").alias("n", "p"), "fid").select("fid", "n", F.col("p.lon").alias("vertex_lon"), F.col("p.lat").alias("vertex_lat"))
+    vertices = lines.select(F.posexplode("pts").alias("n", "p"), "fid").groupBy(F.col("p.lon").alias("vertex_lon"), F.col("p.lat").alias("vertex_lat")).agg(F.min(F.struct("fid", "n")).alias("_f"))
+    vertices = materialise(vertices.where("vertex_lon IS NOT NULL AND vertex_lat IS NOT NULL").select("_f.fid", "_f.n", "vertex_lon", "vertex_lat"), "vertices")
+    # where vertices stand close, cells that hold a few come first
+    apart = 2 * _spacing(vertices, "vertex_lon", "vertex_lat") / cell
+    fine = [apart * 4**i for i in range(6) if apart * 4**i < 0.6] if apart > 1e-3 else []
+    rings = (*((1, larger) for larger in fine), *rings)
     left, found = points.where("lon IS NOT NULL AND lat IS NOT NULL").select("lon", "lat").distinct(), []
     passed = []
     for reach, larger in rings:
@@ -197,7 +235,7 @@ def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02, ring
         passed.append(left)
         if left.isEmpty():
             break
-    discard(*passed)
+    discard(vertices, *passed)
     done = found[0]
     for more in found[1:]:
         done = done.unionByName(more)

@@ -73,3 +73,34 @@ def test_a_vertex_on_the_border_of_a_grown_box_is_outside(spark):
     rows = [(1, [(-119.38, 54.0)]), (2, [(-119.62, 54.0)]), (3, [(-119.5, 53.93)]), (4, [(-119.5, 54.07)]), (5, [(-119.381, 54.069)]), (6, [(-119.619, 53.931)]), (7, [(-119.8 + 0.18, 54.0)])]
     got = spark.createDataFrame(rows, LINES).where(vector.touches_box(F.col("pts"), box)).collect()
     assert sorted(r["fid"] for r in got) == [5, 6, 7]  # -119.8 + 0.18 lies just inside of -119.62
+
+
+def test_nearest_among_copies_and_clusters(spark):
+    """Close and far places, repeated points and lines: as brute force says, and pairs don't grow with copies."""
+    r = random.Random(12)
+    lines = [(i, [(lon, lat), (lon + r.uniform(-0.002, 0.002), lat + r.uniform(-0.002, 0.002))]) for i, (lon, lat) in enumerate((10 + r.choice((0, 0.3)) + r.uniform(0, 0.02), 50 + r.uniform(0, 0.02)) for _ in range(200))]
+    spots = [(10 + r.choice((0, 0.01, 0.28, 0.33)) + r.uniform(0, 0.02), 50 + r.uniform(-0.02, 0.04)) for _ in range(150)]
+    copies = [(i + 200 * k, pts) for k in (1, 2, 0) for i, pts in lines]
+    points = spark.createDataFrame([(i + 150 * k, *p) for k in range(3) for i, p in enumerate(spots)], "id long, lon double, lat double")
+    layer = spark.createDataFrame(copies, LINES)
+    got = {x["id"]: x for x in vector.nearest_within(points, layer, 3000.0).collect()}
+    corners = {x["id"]: x["metres"] for x in vector.nearest_vertex(points, layer).collect()}
+
+    def distance(p, pts):
+        scale = (vector.METRES_PER_DEGREE_LON * math.cos(math.radians(p[1])), vector.METRES_PER_DEGREE_LAT)
+        (ax, ay), (bx, by) = (((x - p[0]) * scale[0], (y - p[1]) * scale[1]) for x, y in pts)
+        dx, dy = bx - ax, by - ay
+        t = max(0.0, min(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+        return math.hypot(ax + t * dx, ay + t * dy)
+
+    def arc(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2))
+
+    for i, p in enumerate(spots):
+        least, fid = min((round(distance(p, pts), 6), fid) for fid, pts in lines)
+        for k in range(3):
+            assert (i + 150 * k in got) == (least <= 3000)
+            if least <= 3000:
+                assert (got[i + 150 * k]["fid"], round(got[i + 150 * k]["metres"], 4)) == (fid, round(least, 4))
+            assert math.isclose(corners[i + 150 * k], min(arc(p, q) for _, pts in lines for q in pts), abs_tol=1e-4)
