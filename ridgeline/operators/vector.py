@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
+from ..config import MEAN_RADIUS_M, METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON
 from ..storage import discard, materialise
 
 TILE_DEGREES = 0.1
@@ -197,6 +197,13 @@ def touches_box(points: Column, box: tuple[float, float, float, float], margin:
     return F.exists(points, lambda p: (p["lon"] > west) & (p["lon"] < east) & (p["lat"] > south) & (p["lat"] < north))
 
 
+def _at_least() -> Column:
+    """Metres that a place (lon, lat) lies from any spot of a box (_min_lon, _max_lon, _min_lat, _max_lat), or less: the way along its meridian, or straight to the box's nearest meridian."""
+    gap = lambda c: F.greatest(F.col(f"_min_{c}") - F.col(c), F.col(c) - F.col(f"_max_{c}"), F.lit(0.0))
+    aside = F.asin(F.sin(F.radians(F.least(gap("lon"), F.lit(90.0)))) * F.cos(F.radians("lat")))
+    return F.greatest(F.radians(gap("lat")), F.when(gap("lon") < 90, aside).otherwise(F.lit(0.0))) * MEAN_RADIUS_M * (1 - 1e-9)
+
+
 #: Cells of a ring's reach and how many times larger than the smallest they are, one round after the other.
 VERTEX_RINGS = ((1, 1), (4, 1), (16, 1), (16, 8), (16, 64))
 
@@ -222,10 +229,16 @@ def nearest_vertex(points: DataFrame, lines: DataFrame, cell: float = 0.02, ring
         size = cell * larger
         seam = (reach + 1) * size
         copies = F.array_compact(F.array(F.lit(0.0), F.when(F.col("vertex_lon") < -180 + seam, 360.0), F.when(F.col("vertex_lon") > 180 - seam, -360.0)))
-        keyed = vertices.withColumn("_turn", F.explode(copies)).withColumns({"_tx": F.floor((F.col("vertex_lon") + F.col("_turn")) / size), "_ty": F.floor(F.col("vertex_lat") / size)}).drop("_turn")
+        keyed = vertices.withColumn("_lon", F.explode(F.transform(copies, lambda turn: F.col("vertex_lon") + turn))).withColumns({"_tx": F.floor(F.col("_lon") / size), "_ty": F.floor(F.col("vertex_lat") / size)})
         span = F.sequence(F.lit(-reach), F.lit(reach))
         around = left.withColumn("_dx", F.explode(span)).withColumn("_dy", F.explode(span)).withColumns({"_tx": F.floor(F.col("lon") / size) + F.col("_dx"), "_ty": F.floor(F.col("lat") / size) + F.col("_dy")})
-        met = around.join(keyed, ["_tx", "_ty"]).withColumn("_m", haversine(F.col("lon"), F.col("lat"), F.col("vertex_lon"), F.col("vertex_lat")))
+        # one vertex of each cell says how far the nearest may lie at most; cells that lie farther aren't opened
+        first = F.min(F.struct("vertex_lon", "vertex_lat"))
+        cells = keyed.groupBy("_tx", "_ty").agg(first["vertex_lon"].alias("_one_lon"), first["vertex_lat"].alias("_one_lat"), *(f(c).alias(f"_{f.__name__}_{name}") for f in (F.min, F.max) for c, name in (("_lon", "lon"), ("vertex_lat", "lat"))))
+        near = around.join(cells, ["_tx", "_ty"]).withColumns({"_most": haversine(F.col("lon"), F.col("lat"), F.col("_one_lon"), F.col("_one_lat")), "_least": _at_least()})
+        bound = near.groupBy("lon", "lat").agg(F.min("_most").alias("_bound"))
+        opened = near.join(bound, ["lon", "lat"]).where(F.col("_least") <= F.col("_bound") + 1e-3).select("lon", "lat", "_tx", "_ty")
+        met = opened.join(keyed, ["_tx", "_ty"]).withColumn("_m", haversine(F.col("lon"), F.col("lat"), F.col("vertex_lon"), F.col("vertex_lat")))
         best = met.groupBy("lon", "lat").agg(F.min(F.struct(F.round("_m", 6).alias("metres"), "fid", "n", "vertex_lon", "vertex_lat")).alias("_b"))
         # where meridians are closest within the distance that is asked for
         pole = F.least(F.abs("lat") + F.col("_b.metres") / METRES_PER_DEGREE_LAT, F.lit(90.0))
