@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import CURVATURE_RADIUS_M, REFRACTION
 from ..storage import materialise
-from .tiles import TILE, pack, plane, tile_of, with_cells
+from .tiles import TILE, pack, plane, tile_of, touched, with_cells
 
 
 def curvature_drop(metres):
@@ -339,22 +339,37 @@ def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: f
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("first", "last")})
 
 
-def wind_shelter(grid: DataFrame, wind_from: float, reach_m: float, cell: float, width: int, height: int, value: str = "z") -> DataFrame:
-    """y, x, shelter: mean over five rays about the wind of the largest upward angle within reach, by joins only."""
+def wind_shelter(grid: DataFrame, wind_from: float, reach_m: float, cell: float, width: int, height: int, value: str = "z", tile: int = TILE) -> DataFrame:
+    """y, x, shelter: mean over five rays about the wind of the largest upward angle within reach; null for a cell without a value.
+
+    A task holds a tile and what rays reach about it. Samples that lack one of their four cells don't count.
+    """
     steps = math.ceil(reach_m / cell)
-    rays = [(k, math.sin(math.radians(wind_from + off)), math.cos(math.radians(wind_from + off))) for k, off in enumerate((-15.0, -7.5, 0.0, 7.5, 15.0))]
-    moves = F.array(*(F.struct(F.lit(k).alias("ray"), F.lit(s).alias("s"), F.lit(e * s).alias("dx"), F.lit(-n * s).alias("dy")) for k, e, n in rays for s in range(1, steps + 1)))
-    each = grid.select("y", "x", F.col(value).cast("double").alias("_z0"), F.explode(moves).alias("_m"))
-    px = F.least(F.greatest(F.col("x") + F.col("_m.dx"), F.lit(0.0)), F.lit(width - 1.001))
-    py = F.least(F.greatest(F.col("y") + F.col("_m.dy"), F.lit(0.0)), F.lit(height - 1.001))
-    at = each.select("y", "x", "_z0", F.col("_m.ray").alias("_ray"), F.col("_m.s").alias("_s"), px.alias("_px"), py.alias("_py"))
-    fx, fy = F.col("_px") - F.floor("_px"), F.col("_py") - F.floor("_py")
-    corners = F.array(*(F.struct((F.floor("_px") + i).cast("int").alias("x"), (F.floor("_py") + j).cast("int").alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for i in (0, 1) for j in (0, 1)))
-    taps = at.select("y", "x", "_z0", "_ray", "_s", F.explode(corners).alias("_c")).select("y", "x", "_z0", "_ray", "_s", F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"), F.col("_c.w").alias("_w"))
-    cells = grid.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(value).cast("double").alias("_z"))
-    ground = taps.join(cells, ["_x", "_y"]).groupBy("y", "x", "_z0", "_ray", "_s").agg(F.sum(F.col("_z") * F.col("_w")).alias("_g"))
-    angle = F.degrees(F.atan((F.col("_g") - F.col("_z0")) / (F.col("_s") * cell)))
-    return ground.groupBy("y", "x", "_ray").agg(F.max(angle).alias("_a")).groupBy("y", "x").agg(F.avg("_a").alias("shelter"))
+    halo = steps + 2
+    rays = [(math.sin(math.radians(wind_from + off)), math.cos(math.radians(wind_from + off))) for off in (-15.0, -7.5, 0.0, 7.5, 15.0)]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = key[0] * tile - halo, key[1] * tile - halo
+        z = np.full((tile + 2 * halo, tile + 2 * halo), np.nan)
+        z[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0] = pdf["z"].to_numpy(float)
+        y, x = np.nonzero(~np.isnan(z[halo:-halo, halo:-halo]))
+        z0, y, x = z[y + halo, x + halo], y + key[0] * tile, x + key[1] * tile
+        total, n = np.zeros(len(y)), np.zeros(len(y))
+        for east, north in rays:
+            steepest = np.full(len(y), -np.inf)
+            for s in range(1, steps + 1):
+                px, py = np.clip(x + east * s, 0.0, width - 1.001), np.clip(y - north * s, 0.0, height - 1.001)
+                rise = (bilinear(z, px - x0, py - y0) - z0) / (s * cell)
+                steepest = np.fmax(steepest, rise)
+            met = steepest > -np.inf
+            total[met] += np.degrees(np.arctan(steepest[met]))
+            n += met
+        with np.errstate(invalid="ignore"):
+            return pd.DataFrame({"y": y, "x": x, "shelter": total / n})
+
+    cells = touched(grid.where(F.col(value).isNotNull()).select(F.col("y").cast("int"), F.col("x").cast("int"), F.col(value).cast("double").alias("z")), halo, tile)
+    out = cells.groupBy("ty", "tx").applyInPandas(run, "y int, x int, shelter double").withColumn("shelter", F.nanvl("shelter", F.lit(None).cast("double")))
+    return out.unionByName(grid.where(F.col(value).isNull()).select(F.col("y").cast("int"), F.col("x").cast("int"), F.lit(None).cast("double").alias("shelter")))
 
 
 #: Halvings between the last step above the ground and the first below.

@@ -181,3 +181,22 @@ def test_picks_over_a_long_grid_are_not_steps_in_the_plan(spark):
     found = rays.ray_pick(picks, grid, 2, 180_000, 30.0)
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
     assert [round(r["t"], 1) for r in found.orderBy("id").collect()] == [500.0, 500.0]
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_wind_shelter_by_tiles(spark, rough, tile):
+    h, w = rough.shape
+    found = rays.wind_shelter(grid_of(spark, rough), 250.0, 95.0, 30.0, w, h, tile=tile)
+    assert "Generate explode(array(named_struct" not in found._jdf.queryExecution().logical().toString()  # no row for each step of a ray
+    got = {(r["y"], r["x"]): r["shelter"] for r in found.collect()}
+    assert len(got) == rough.size
+    for y, x in np.ndindex(h, w):
+        angles = []
+        for off in (-15.0, -7.5, 0.0, 7.5, 15.0):
+            az = math.radians(250.0 + off)
+            rises = []
+            for s in range(1, 5):
+                px, py = min(max(x + math.sin(az) * s, 0), w - 1.001), min(max(y - math.cos(az) * s, 0), h - 1.001)
+                rises.append((float(rays.bilinear(rough, np.array([px]), np.array([py]))[0]) - rough[y, x]) / (s * 30.0))
+            angles.append(math.degrees(math.atan(max(rises))))
+        assert math.isclose(got[y, x], sum(angles) / 5, abs_tol=1e-9)
