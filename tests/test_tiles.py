@@ -7,7 +7,8 @@ import pytest
 import whole_grids as whole
 from pyspark.sql import functions as F
 
-from ridgeline.operators import contour, flood, jumping, peaks, raster, rays, walks
+from ridgeline import storage
+from ridgeline.operators import contour, flood, jumping, peaks, raster, rays, tiles, walks
 
 
 def grid_of(spark, z):
@@ -264,3 +265,21 @@ def test_sun_by_tiles(spark, tile):
         r = got[y, x]
         assert (r["first"], r["last"], r["hours"]) == (None if np.isnan(first[i]) else first[i], None if np.isnan(last[i]) else last[i], n[i] / 2)
     assert 0 < n.sum() < 4 * z.size
+
+
+def test_ways_along_a_narrow_grid_pass_few_tiles(spark, monkeypatch):
+    assert walks._long_tile(180_000, 120) == (8738, 120) and walks._long_tile(7, 5000) == (7, 5000) and walks._long_tile(9000, 9000) == (1024, 1024)
+    monkeypatch.setattr(walks, "CELLS", 100)
+    z = rough(3, (60, 5), 40)
+    z[25, 0:3] = np.nan
+    rows = [(y, x, None if z[y, x] != z[y, x] else float(z[y, x]), 1.0) for y, x in np.ndindex(*z.shape)]
+    grid = spark.createDataFrame(rows, "y int, x int, z double, factor double")
+    starts = spark.createDataFrame([(1, 2, 2, False)], "start int, sy int, sx int, reverse boolean")
+    rounds = []
+    monkeypatch.setattr(tiles, "materialise", lambda df, label: (rounds.append(label), storage.materialise(df, label))[1])
+    got = {(r["y"], r["x"]): (r["hours"], r["before_y"], r["before_x"]) for r in walks.travel_table(grid, starts, 30.0).collect()}
+    hours, before = whole.travel_time(z, np.ones(z.shape), np.full(60, 30.0), (2, 2), False)
+    assert set(got) == {(int(y), int(x)) for y, x in zip(*np.nonzero(np.isfinite(hours)))}
+    for (y, x), (h, by, bx) in got.items():
+        assert math.isclose(h, hours[y, x], rel_tol=1e-12) and (by, bx) == (tuple(divmod(int(before[y, x]), 5)) if before[y, x] >= 0 else (-1, -1))
+    assert len(rounds) <= 5  # three tiles of 20 rows; squares of 10 cells make a round for each ten rows
