@@ -13,9 +13,14 @@ from .fixtures import CELL, SQL_COVER, SQL_DEM
 from .queries import query, r
 
 
-def _documents(items: DataFrame, name: str, label: str) -> str:
-    """The folder of JSON documents {name: [...]}, one of each bucket of rows (bucket, item), items in order."""
-    docs = items.groupBy("bucket").agg(F.array_sort(F.collect_list("item")).alias("_l")).select(F.concat(F.lit(f'{{"{name}":['), F.array_join(F.transform("_l", lambda i: i["text"]), ","), F.lit("]}")).alias("value"))
+#: Items of a document: a document is one row of one task wherever it is written or read.
+ITEMS = 10_000
+
+
+def _documents(items: DataFrame, n: int, name: str, label: str) -> str:
+    """The folder of JSON documents {name: [...]} of n items in order, dealt by their text to as many documents as ``ITEMS`` asks for."""
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("item.text"), F.lit(max(8, -(-n // ITEMS)))))
+    docs = dealt.groupBy("bucket").agg(F.array_sort(F.collect_list("item")).alias("_l")).select(F.concat(F.lit(f'{{"{name}":['), F.array_join(F.transform("_l", lambda i: i["text"]), ","), F.lit("]}")).alias("value"))
     path = shared_path(items.sparkSession, label)
     docs.write.option("maxRecordsPerFile", 1).text(path)
     return path
@@ -30,8 +35,7 @@ def a_geojson(spark, d):
     """Places written as GeoJSON features and read again: texts are trimmed, empty ones go."""
     names = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("name"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise("").alias("bal"))
     features = export.geojson_features(fx.points(spark, d).select("id", "lon", "lat").join(names, "id"))
-    numbered = features.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(16)))
-    path = _documents(numbered.select("bucket", _item(F.lit(0), F.col("value"))), "features", "geojson")
+    path = _documents(features.select(_item(F.lit(0), F.col("value"))), names.count(), "features", "geojson")
     got = vector_io.read_geojson(spark, path)
     return got.select(F.col("props")["name"].alias("name"), r(F.col("pts")[0]["lon"]).alias("lon"), r(F.col("pts")[0]["lat"]).alias("lat"), F.col("props")["bal"].alias("bal"))
 
@@ -48,7 +52,8 @@ def a_elements(spark, d):
     text = F.when(k % 4 == 0, node)
     for i, points in ways.items():
         text = text.when(k % 4 == i, F.to_json(F.struct(F.lit("way").alias("type"), k.alias("id"), tags.alias("tags"), points.alias("geometry"))))
-    path = _documents(fx.table(spark, d, "supplier").select((k % 8).alias("bucket"), _item(k, text)), "elements", "elements")
+    rows = fx.table(spark, d, "supplier")
+    path = _documents(rows.select(_item(k, text)), rows.count(), "elements", "elements")
     got = vector_io.read_elements(spark, path)
     n = F.when(F.col("kind") == "poly", F.size(F.col("rings")[0])).otherwise(F.size("pts"))
     return got.select("fid", "kind", n.alias("n"), F.col("props")["name"].alias("name"), F.col("props")["natural"].alias("nature"))
@@ -61,7 +66,8 @@ def a_names(spark, d):
     place = F.when(k % 5 > 0, 53 + k % 70 / 100)
     code = F.element_at(F.array(*map(F.lit, ("RIV", "LAKE", "MTN"))), (k % 3 + 1).cast("int"))
     text = F.to_json(F.struct(k.cast("string").alias("id"), F.concat(F.col("p_name"), F.lit(" ")).alias("name"), place.alias("latitude"), (-119 - k % 100 / 100).alias("longitude"), F.struct(code.alias("code")).alias("concise"), F.struct(F.col("p_type").alias("code")).alias("generic")))
-    path = _documents(fx.table(spark, d, "part").select((k % 8).alias("bucket"), _item(k, text)), "items", "names")
+    rows = fx.table(spark, d, "part")
+    path = _documents(rows.select(_item(k, text)), rows.count(), "items", "names")
     return vector_io.read_names(spark, path).select("fid", "name", r(F.col("lon")).alias("lon"), r(F.col("lat")).alias("lat"), "code", "generic")
 
 
@@ -87,7 +93,8 @@ def a_scene_search(spark, d):
     props = F.concat(F.lit('{"datetime":"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('T18:00:00Z","eo:cloud_cover":'), (F.col("o_custkey") % 100 / 2).cast("string"), F.lit(',"mgrs:utm_zone":11,"mgrs:latitude_band":"U","mgrs:grid_square":"'), square, F.lit('"'), F.when(k % 2 == 0, ',"earthsearch:boa_offset_applied":true').otherwise(""), F.lit("}"))
     assets = F.concat(*(F.concat(F.lit(f'{"," if i else ""}"{b}":{{"href":"{b[0]}'), k.cast("string"), F.lit('"}')) for i, b in enumerate(("red", "green", "blue", "nir"))))
     text = F.concat(F.lit('{"id":"scene '), k.cast("string"), F.lit('","properties":'), props, F.lit(',"assets":{'), assets, F.lit("}}"))
-    path = _documents(fx.table(spark, d, "orders").select((k % 16).alias("bucket"), _item(k, text)), "features", "scenes")
+    rows = fx.table(spark, d, "orders")
+    path = _documents(rows.select(_item(k, text)), rows.count(), "features", "scenes")
     found = vector_io.searched(vector_io.read_scenes(spark, path), "1997-03-01", "1998-02-28", 20.0)
     return found.select("id", "day", "cloud", "tile", "offset_applied", F.col("hrefs")[0].alias("red"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINT = "struct<lon:double,lat:double>"
+#: A character that JSON has nowhere: a whole document is one record, parsed from memory. By multiLine each value that is kept as JSON text is read from the file a second time, with blocks about it.
+NOWHERE = "\x01"
 
 
 def clean_props(props: Column) -> Column:
@@ -20,7 +22,7 @@ def _points(coordinates: Column) -> Column:
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """(fid, seq, part, kind, pts, rings, props): one row per part of a feature, other geometry types dropped. Values that aren't text become JSON text."""
     shape = "features array<struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>>"
-    each = spark.read.schema(shape).option("multiLine", True).json(path).select(F.posexplode("features").alias("seq", "f"))
+    each = spark.read.schema(shape).option("lineSep", NOWHERE).json(path).select(F.posexplode("features").alias("seq", "f"))
     kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
     point, line, area = "array<double>", "array<array<double>>", "array<array<array<double>>>"
     parts = {

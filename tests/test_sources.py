@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ridgeline.functions import geodesy
 from ridgeline.sinks import export
@@ -210,3 +211,14 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="without an image"):
         rows.write.format("strip_raster").mode("append").option("path", str(tmp_path / "broken")).option("meta", "{}").save()
     assert not (tmp_path / "broken").exists() or not list((tmp_path / "broken").iterdir())
+
+
+def test_documents_grow_in_number_not_in_size(spark, monkeypatch):
+    from ridgeline.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "ITEMS", 50)
+    items = spark.range(1000).select(source_queries._item(F.col("id"), F.concat(F.lit('{"i":'), F.col("id").cast("string"), F.lit("}"))))
+    path = source_queries._documents(items, 1000, "items", "many")
+    docs = [[i["i"] for i in json.loads(r["value"])["items"]] for r in spark.read.text(path).collect()]
+    assert len(docs) == 20 and max(map(len, docs)) < 100  # one of sixteen or eight buckets had 62 or 125, and ever more
+    assert all(d == sorted(d) for d in docs) and sorted(i for d in docs for i in d) == list(range(1000))
