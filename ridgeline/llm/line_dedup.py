@@ -34,7 +34,9 @@ ALIKE = 0.8
 SHINGLE = 5
 NO_ID = -(1 << 63)
 #: Lines under one segment key from which on pairs are joined with the bound on their characters.
-HOT = 32
+HOT = 8
+#: Segment keys have 40 bits: most rows that are shuffled are a key of a line and a segment key. Whatever meets by chance is told apart by the distance.
+SEGMENT_BITS = (1 << 40) - 1
 
 
 def n_words(line: Column) -> Column:
@@ -88,7 +90,7 @@ def sized(lines: DataFrame, tau: int) -> DataFrame:
 def segment_keys(tau: int = TAU) -> list[Column]:
     """Index keys of column ``line`` of sized lines."""
     cut = [(i, *_segment(0, i, tau)) for i in range(1, tau + 2)]
-    return [F.expr(f"xxhash64(m0, {i}, substring(line, {start}, {size}))") for i, start, size in cut]
+    return [F.expr(f"xxhash64(m0, {i}, substring(line, {start}, {size})) & {SEGMENT_BITS}") for i, start, size in cut]
 
 
 def probe_keys(tau: int = TAU, shortest: int = 0) -> list[Column]:
@@ -98,7 +100,7 @@ def probe_keys(tau: int = TAU, shortest: int = 0) -> list[Column]:
         for i in range(1, tau + 2):
             start, size = _segment(delta, i, tau)
             for shift in range(max(-(i - 1), delta - (tau + 1 - i)), min(i - 1, delta + (tau + 1 - i)) + 1):
-                key = f"xxhash64(m{delta}, {i}, substring(line, {start} + {shift}, {size}))"
+                key = f"xxhash64(m{delta}, {i}, substring(line, {start} + {shift}, {size})) & {SEGMENT_BITS}"
                 out.append(F.expr(key if shortest - delta > tau else f"IF(m{delta} > {tau}, {key}, NULL)"))
     return out
 

@@ -359,3 +359,14 @@ def test_long_texts_with_parts_swapped_are_told_apart_quickly(monkeypatch):
         plain = near.similarity(a, b)
         monkeypatch.setattr(near, "LONG", 0)
         assert near.similarity(a, b) == plain
+
+
+def test_lines_that_share_a_segment_only_are_no_candidates(spark):
+    rng = random.Random(5)
+    texts = ["the same head of a line " + "".join(rng.choices(string.ascii_lowercase, k=48)) for _ in range(20)]
+    table = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "key long, line string, n int")
+    parity = [sum(1 << c for c in range(64) if sum(ord(x) % 64 == c for x in t) % 2) for t in texts]
+    allowed = sum((parity[i] ^ parity[j]).bit_count() <= 4 for i in range(20) for j in range(i))
+    assert lines.candidates(table, 2, 20).count() == allowed < 20  # 190 pairs where a segment alone makes candidates
+    top = lines.sized(table, 2).select(F.max(F.array_max(F.array(*lines.segment_keys()))).alias("m"), F.min(F.array_min(F.array(*lines.probe_keys(2, 20)))).alias("p")).first()
+    assert 0 <= top["p"] and top["m"] < 1 << 40
