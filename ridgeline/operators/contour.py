@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +116,10 @@ def _pieces(sides: np.ndarray, places: np.ndarray) -> list[tuple[bool, np.ndarra
     return out
 
 
-def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
-    """Douglas-Peucker without recursion."""
-    if len(points) < 3:
-        return points
-    p = np.array(points)
+def _kept(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which of a line's points Douglas-Peucker keeps, without recursion."""
+    if len(p) < 3:
+        return np.ones(len(p), bool)
     keep = np.zeros(len(p), bool)
     keep[[0, -1]] = True
     todo = [(0, len(p) - 1)]
@@ -135,7 +135,27 @@ def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[
         if off[k] > tolerance:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    return [tuple(map(float, q)) for q in p[keep]]
+    return keep
+
+
+def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """The points that Douglas-Peucker keeps."""
+    p = np.array(points, float).reshape(-1, 2)
+    return [tuple(map(float, q)) for q in p[_kept(p, tolerance)]]
+
+
+def _thinned(lines: pa.Array, tolerance: float) -> pa.Array:
+    """An array of lists of (x, y) with the points of each list that are kept; points stay in flat arrays, for a line may have millions."""
+    ends = lines.offsets.to_numpy()
+    x, y = (c.to_numpy() for c in lines.values.flatten())
+    p = np.column_stack([x[ends[0] : ends[-1]], y[ends[0] : ends[-1]]])
+    ends = ends - ends[0]
+    keep = np.zeros(len(p), bool)
+    for a, b in zip(ends, ends[1:]):
+        keep[a:b] = _kept(p[a:b], tolerance)
+    n = np.r_[0, np.cumsum(keep)][ends]
+    kept = p[keep]
+    return pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.StructArray.from_arrays([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], ["x", "y"]))
 
 
 _POINTS = "array<struct<x:double,y:double>>"
@@ -191,12 +211,11 @@ def contours(grid: DataFrame, value: str, interval: float, tolerance: float = 0.
     if not tolerance:
         return out
 
-    def thin(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def thin(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            part["pts"] = [[{"x": x, "y": y} for x, y in simplify([(p["x"], p["y"]) for p in pts], tolerance)] for pts in part["pts"]]
-            yield part
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("level", "line_id", "closed")), _thinned(part.column("pts"), tolerance)], ["level", "line_id", "closed", "pts"])
 
-    return out.mapInPandas(thin, f"level double, line_id long, closed boolean, pts {_POINTS}")
+    return out.select("level", "line_id", "closed", "pts").mapInArrow(thin, f"level double, line_id long, closed boolean, pts {_POINTS}")
 
 
 def polyline_length(points: Column) -> Column:

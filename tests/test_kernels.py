@@ -200,3 +200,21 @@ def test_wind_shelter_by_tiles(spark, rough, tile):
                 rises.append((float(rays.bilinear(rough, np.array([px]), np.array([py]))[0]) - rough[y, x]) / (s * 30.0))
             angles.append(math.degrees(math.atan(max(rises))))
         assert math.isclose(got[y, x], sum(angles) / 5, abs_tol=1e-9)
+
+
+def test_thinning_keeps_points_flat():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 50_000
+    x = np.arange(n, dtype=float)
+    y = np.where(np.arange(n) % 1000 == 0, 5.0, np.random.default_rng(1).random(n) / 100)
+    lists = pa.ListArray.from_arrays(pa.array([0, 2, 2, n - 1, n], pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+    tracemalloc.start()
+    got = contour._thinned(lists[1:], 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * n  # a dict of two floats for each point takes more than 230 bytes
+    want = [contour.simplify(list(zip(x[a:b], y[a:b])), 0.1) for a, b in ((2, 2), (2, n - 1), (n - 1, n))]
+    assert [[(q["x"], q["y"]) for q in line] for line in got.to_pylist()] == want
