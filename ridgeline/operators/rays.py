@@ -268,6 +268,38 @@ def ray_steps(longest: float) -> np.ndarray:
     return np.array(out)
 
 
+def _shaded(z0: np.ndarray, y: np.ndarray, x: np.ndarray, ground: np.ndarray, there: tuple[int, int], tile: int, beam: tuple[float, float, float], steps: np.ndarray, cell: float, size: _Extent) -> np.ndarray:
+    """Which cells the ground of the tile at ``there`` shades at one of the steps from a beam (east, north, rise).
+
+    Cells are asked for as long as they are lit, their way passes the tile, and under a rising beam no longer than until it is above all ground.
+    """
+    east, north, rise = beam
+    dark = np.zeros(len(y), bool)
+    if not len(steps):
+        return dark
+    passes = np.ones(len(y), bool)
+    for at, way, first in ((y, -north, there[0] * tile), (x, east, there[1] * tile)):
+        ends = at + way * steps[0], at + way * steps[-1]
+        passes &= (np.maximum(*ends) >= first - 1) & (np.minimum(*ends) <= first + tile + 1)
+    lit = np.flatnonzero(passes)
+    for d in steps:
+        px, py = x[lit] + east * d, y[lit] - north * d
+        height = z0[lit] + 1 + d * cell * rise + curvature_drop(d * cell)
+        low = height <= size.top
+        over = np.flatnonzero(low & (px >= 0) & (py >= 0) & (px <= size.width - 1) & (py <= size.height - 1))
+        cx, cy = size.clipped(px[over], py[over])
+        on = _in_tile(cx, cy, *there, tile)
+        over = over[on]
+        under = over[_sampled(ground, cx[on], cy[on], *there, tile) > height[over]]
+        dark[lit[under]] = True
+        keep = low if rise > 0 else np.ones(len(lit), bool)
+        keep[under] = False
+        lit = lit[keep]
+        if not len(lit):
+            break
+    return dark
+
+
 def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: float, step_hours: float, value: str = "z", tile: int = TILE) -> DataFrame:
     """y, x, first, last (hours of the first and last sample lit, null if never) and hours lit; ``sun`` holds (hour, azimuth, altitude).
 
@@ -304,16 +336,9 @@ def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: f
         farthest = math.hypot(*((abs(key[i + 2] - key[i]) + 1) * tile for i in (0, 1)))
         out = []
         for k in row["samples"]:
-            east, north, rise, _, _ = beams[k]
-            dark = np.zeros(len(y), bool)
-            for d in steps[(steps >= nearest - 1) & (steps <= farthest + 1)]:
-                px, py = x_ + east * d, y_ - north * d
-                beam = z0 + 1 + d * cell * rise + curvature_drop(d * cell)
-                live = np.flatnonzero(~dark & (px >= 0) & (py >= 0) & (px <= size.width - 1) & (py <= size.height - 1) & (beam <= size.top))
-                cx, cy = size.clipped(px[live], py[live])
-                on = _in_tile(cx, cy, key[2], key[3], tile)
-                live = live[on]
-                dark[live[_sampled(ground, cx[on], cy[on], key[2], key[3], tile) > beam[live]]] = True
+            east, north, rise, _, reach = beams[k]
+            asked = steps[(steps >= nearest - 1) & (steps <= min(farthest, reach) + 1)]
+            dark = _shaded(z0, y_, x_, ground, (key[2], key[3]), tile, (east, north, rise), asked, cell, size)
             whole = np.zeros((tile, tile), bool)
             whole[y, x] = dark
             if dark.any():

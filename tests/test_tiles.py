@@ -283,3 +283,16 @@ def test_ways_along_a_narrow_grid_pass_few_tiles(spark, monkeypatch):
     for (y, x), (h, by, bx) in got.items():
         assert math.isclose(h, hours[y, x], rel_tol=1e-12) and (by, bx) == (tuple(divmod(int(before[y, x]), 5)) if before[y, x] >= 0 else (-1, -1))
     assert len(rounds) <= 5  # three tiles of 20 rows; squares of 10 cells make a round for each ten rows
+
+
+def test_shade_is_asked_no_further_than_ground_can_stand_above_the_beam(monkeypatch):
+    size, steps = rays._Extent(64, 32, 200.0, 100.0), rays.ray_steps(70.0)
+    y, x = (a.ravel() for a in np.indices((32, 32)))
+    z0, ground, asked = np.full(y.size, 100.0), np.full((34, 34), 200.0), []
+    real = rays._in_tile
+    monkeypatch.setattr(rays, "_in_tile", lambda px, *a: (asked.append(len(px)), real(px, *a))[1])
+    # a beam to the south that rises by 30 m a cell is above all ground after 3.3 cells: only the last rows can be in the shade of the tile below
+    dark = rays._shaded(z0, y, x, ground, (1, 0), 32, (0.0, -1.0, 1.0), steps, 30.0, size)
+    assert set(y[dark]) == {30, 31} and sum(asked) <= 32 * 32 * 3
+    level = rays._shaded(z0, y, x, ground, (1, 0), 32, (0.0, -1.0, 0.0), steps, 30.0, size)
+    assert level.all()
