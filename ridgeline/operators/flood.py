@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -13,33 +12,49 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialise
 from .jumping import chain_ranks, subtree_sums
-from .tiles import TILE, about, bands, pack, plane, settle, tile_of, with_cells
+from .tiles import about, long_tile, pack, plane, settle, sides, tile_of, with_cells
 
 STEPS_8 = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 
 
+#: Cells of a tile, and how far beyond it the ground is flooded with it: ways that wind to and fro across a border within that are found in one round.
+CELLS = 1 << 18
+OVERLAP = 64
+
+
 def flooded(z: np.ndarray, known: np.ndarray, lift: float) -> np.ndarray:
-    """Water levels of a padded tile: from cells whose level is known (finite), each cell is filled to just above the lowest that reaches it; NaN cells are no ground."""
+    """Water levels of a padded tile: from cells whose level is known (finite), each cell is filled to just above the lowest that reaches it; NaN cells are no ground.
+
+    Cells whose level fell and lies within a span of the lowest are gone on from at once, until no level falls; the least are the same as one by one.
+    """
     side = z.shape[1]
-    ground, level = z.ravel().tolist(), known.ravel().copy()
-    closed = np.isfinite(level) | np.isnan(z.ravel())
+    ground, level = z.ravel(), known.ravel().copy()
     ring = np.ones(z.shape, bool)
     ring[1:-1, 1:-1] = False
-    heap = [(float(level[i]), int(i)) for i in np.flatnonzero(np.isfinite(level))]
-    closed = (closed | ring.ravel()).tolist()
-    level = level.tolist()
-    heapq.heapify(heap)
-    steps = [dy * side + dx for dy, dx in STEPS_8]
-    n = len(ground)
-    while heap:
-        here, i = heapq.heappop(heap)
-        for step in steps:
-            j = i + step
-            if 0 <= j < n and not closed[j]:  # cells of the ring are closed, so no step runs over a side
-                closed[j] = True
-                level[j] = max(ground[j], here + lift)
-                heapq.heappush(heap, (level[j], j))
-    return np.array(level).reshape(z.shape)
+    free = ~(np.isfinite(level) | np.isnan(ground) | ring.ravel())
+    steps = np.array([dy * side + dx for dy, dx in STEPS_8])
+    held = ground[~np.isnan(ground)]
+    span = float(held.max() - held.min()) / 32 if len(held) else 0.0
+    todo, waits = np.flatnonzero(np.isfinite(level)), np.zeros(level.size, bool)
+    waits[todo] = True
+    while len(todo):
+        due = level[todo] <= level[todo].min() + span
+        now, todo = todo[due], todo[~due]
+        waits[now] = False
+        cells = (now[:, None] + steps).ravel()
+        water = np.repeat(level[now] + lift, len(steps))
+        on = (cells >= 0) & (cells < level.size)  # cells of the ring aren't free, so no step runs over a side
+        cells, water = cells[on], water[on]
+        on = free[cells]
+        cells, water = cells[on], water[on]
+        water = np.maximum(ground[cells], water)
+        on = water < level[cells]
+        cells = cells[on]
+        np.minimum.at(level, cells, water[on])
+        fell = np.unique(cells[~waits[cells]])
+        waits[fell] = True
+        todo = np.concatenate([todo, fell])
+    return level.reshape(z.shape)
 
 
 @dataclass(frozen=True)
@@ -50,29 +65,55 @@ class _Frame:
     left: int
     bottom: int
     right: int
-    tile: int
+    rows: int
+    columns: int
 
     @property
     def width(self) -> int:
         return self.right + 1
 
+    @property
+    def ends(self) -> tuple[int, int, int, int]:
+        return self.top, self.left, self.bottom, self.right
+
+    @property
+    def halo(self) -> int:
+        return min(OVERLAP, self.rows, self.columns)
+
+    def near(self, padded: np.ndarray) -> np.ndarray:
+        """The tile and the cells next to it, of an array that reaches as far as the overlap."""
+        cut = self.halo - 1
+        return padded[cut : padded.shape[0] - cut, cut : padded.shape[1] - cut]
+
     def levels(self, ty: int, tx: int, z: np.ndarray, ring: pd.DataFrame) -> np.ndarray:
-        """What is known of a padded tile: the levels of cells about it, and the heights of cells at the grid's border."""
+        """What is known of a padded tile: the levels of its outermost cells, and the heights of cells at the grid's border."""
         out = np.full(z.shape, np.inf)
-        y0, x0 = ty * self.tile, tx * self.tile
-        out[ring["y"].to_numpy(int) - y0 + 1, ring["x"].to_numpy(int) - x0 + 1] = ring["v"].to_numpy(float)
+        y0, x0 = ty * self.rows - self.halo, tx * self.columns - self.halo
+        y, x, v = ring["y"].to_numpy(int) - y0, ring["x"].to_numpy(int) - x0, ring["v"].to_numpy(float)
+        on = (y == 0) | (x == 0) | (y == z.shape[0] - 1) | (x == z.shape[1] - 1)
+        out[y[on], x[on]] = v[on]
         for y in (self.top, self.bottom):
-            if 0 <= y - y0 < self.tile:
-                out[y - y0 + 1, 1:-1] = z[y - y0 + 1, 1:-1]
+            if 0 <= y - y0 < z.shape[0]:
+                out[y - y0] = z[y - y0]
         for x in (self.left, self.right):
-            if 0 <= x - x0 < self.tile:
-                out[1:-1, x - x0 + 1] = z[1:-1, x - x0 + 1]
+            if 0 <= x - x0 < z.shape[1]:
+                out[:, x - x0] = z[:, x - x0]
         return np.where(np.isnan(out), np.inf, out)
 
+    def beyond(self, ty: int, tx: int, depth: int) -> np.ndarray:
+        """The cells of a tile that lie ``depth`` cells from another one, on the sides that have one."""
+        out = np.zeros((self.rows, self.columns), bool)
+        y0, x0 = ty * self.rows, tx * self.columns
+        for there, part in ((y0 > self.top, np.s_[depth - 1]), (y0 + self.rows <= self.bottom, np.s_[-depth]), (x0 > self.left, np.s_[:, depth - 1]), (x0 + self.columns <= self.right, np.s_[:, -depth])):
+            out[part] |= there
+        return out
+
 
-def _frame(grid: DataFrame, tile: int) -> _Frame | None:
+def _frame(grid: DataFrame, tile: int | tuple[int, int] | None) -> _Frame | None:
     ends = grid.agg(F.min("y"), F.min("x"), F.max("y"), F.max("x")).first()
-    return None if ends[0] is None else _Frame(*ends, tile)
+    if ends[0] is None:
+        return None
+    return _Frame(*ends, *(long_tile(ends[2] - min(ends[0], 0) + 1, ends[3] - min(ends[1], 0) + 1, CELLS) if tile is None else sides(tile)))
 
 
 def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
@@ -82,8 +123,7 @@ def _shifted(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
 
 def _downstream(z: np.ndarray, filled: np.ndarray, size: np.ndarray, y0: int, x0: int, frame: _Frame) -> np.ndarray:
     """The cell's number that each inner cell of a padded tile drains to, -1 for none."""
-    side = z.shape[0] - 2
-    yy, xx = np.indices((side, side))
+    yy, xx = np.indices((z.shape[0] - 2, z.shape[1] - 2))
     number = (yy + y0).astype(np.int64) * frame.width + xx + x0
     ground = np.where(np.isnan(z), np.inf, z)
     here = np.where(np.isinf(ground), -np.inf, ground)[1:-1, 1:-1]
@@ -102,55 +142,60 @@ def _downstream(z: np.ndarray, filled: np.ndarray, size: np.ndarray, y0: int, x0
 
 
 class _Flow:
-    """The drained cells of one tile in order from the highest level, and where their water goes.
+    """The drained cells of one tile, and where their water goes.
 
-    Water is handed on only to cells that come later in that order; ``late`` cells drain to an earlier one, which gets their area without handing it on.
+    Water is handed on only to cells that come later in the order from the highest level; ``late`` cells drain to an earlier one, which gets their area without handing it on.
     """
 
     def __init__(self, job: pd.Series, ty: int, tx: int, frame: _Frame):
-        tile = frame.tile
+        rows, columns = tile = frame.rows, frame.columns
         padded = plane(job["filled"], tile, 1)
         self.filled = padded[1:-1, 1:-1]
-        self.down = np.frombuffer(job["down"], np.int64).reshape(tile, tile)
-        self.area = np.frombuffer(job["area"]).reshape(tile, tile)
-        yy, xx = np.indices((tile, tile))
-        self.y, self.x = yy + ty * tile, xx + tx * tile
+        self.down = np.frombuffer(job["down"], np.int64).reshape(tile)
+        self.area = np.frombuffer(job["area"]).reshape(tile)
+        yy, xx = np.indices(tile)
+        self.y, self.x = yy + ty * rows, xx + tx * columns
         self.number = self.y.astype(np.int64) * frame.width + self.x
-        ty_, tx_ = self.down // frame.width - ty * tile, self.down % frame.width - tx * tile
+        ty_, tx_ = self.down // frame.width - ty * rows, self.down % frame.width - tx * columns
         known = self.down >= 0
         level = padded[np.where(known, ty_ + 1, 0), np.where(known, tx_ + 1, 0)]
         onward = known & ((self.filled > level) | ((self.filled == level) & (self.number < self.down)))
         self.late = known & ~onward
-        inside = (ty_ >= 0) & (ty_ < tile) & (tx_ >= 0) & (tx_ < tile)
+        inside = (ty_ >= 0) & (ty_ < rows) & (tx_ >= 0) & (tx_ < columns)
         self.leaves = (onward & ~inside).ravel()
-        self.next = np.where(onward & inside, ty_ * tile + tx_, -1).ravel()
-        there = np.flatnonzero(np.isfinite(self.filled.ravel()))
-        self.order = there[np.lexsort((self.number.ravel()[there], -self.filled.ravel()[there]))]
+        self.next = np.where(onward & inside, ty_ * columns + tx_, -1).ravel()
 
     def drained(self, inflow: np.ndarray) -> np.ndarray:
-        """Upstream area of each cell within the tile and of what flows in."""
-        out, following = (self.area + inflow).ravel().tolist(), self.next.tolist()
-        for i in self.order.tolist():
-            if following[i] >= 0:
-                out[following[i]] += out[i]
-        return np.array(out).reshape(self.area.shape)
+        """Upstream area of each cell within the tile and of what flows in: cells hand theirs on once all above them have."""
+        out, goes = (self.area + inflow).ravel(), self.next >= 0
+        above = np.bincount(self.next[goes], minlength=out.size)
+        now = np.flatnonzero(goes & (above == 0))
+        while len(now):
+            to = self.next[now]
+            np.add.at(out, to, out[now])
+            np.subtract.at(above, to, 1)
+            to = np.unique(to)
+            now = to[goes[to] & (above[to] == 0)]
+        return out.reshape(self.area.shape)
 
     def exits(self) -> np.ndarray:
         """The cell by which water leaves the tile from each cell, -1 if it stays."""
-        out, following, leaves = [-1] * self.next.size, self.next.tolist(), self.leaves.tolist()
-        for i in reversed(self.order.tolist()):
-            out[i] = i if leaves[i] else out[following[i]] if following[i] >= 0 else -1
-        return np.array(out)
+        out = np.where(self.next >= 0, self.next, np.arange(self.next.size))
+        while True:
+            further = out[out]
+            if (further == out).all():
+                return np.where(self.leaves[out], out, -1)
+            out = further
 
 
-def drainage_table(grid: DataFrame, cell: float | str, value: str = "z", lift: float = 1e-3, tile: int = TILE) -> DataFrame:
+def drainage_table(grid: DataFrame, cell: float | str, value: str = "z", lift: float = 1e-3, tile: int | tuple[int, int] | None = None) -> DataFrame:
     """(y, x, filled, down_y, down_x, area_km2); down is null at outlets. ``cell`` is the cell size in metres or a column that has it.
 
     Levels are those of a flood from the grid's border: a cell is filled to ``lift`` above the lowest cell that reaches it, or stands above. Where nothing was filled water takes the
     steepest way down, elsewhere it follows the flood back to the lowest neighbour, of equals the first. Cells without a value are no ground: water neither crosses
     nor leaves there, and what they shut in from the border has no level, no way and its own area.
 
-    By tiles: levels settle in rounds; then each tile says which of its cells hand water to another tile, how much of its own, and by which of them water
+    By tiles, long ones where the grid is narrow: levels settle in rounds, each tile being flooded with the ground about it, so rounds are few; then each tile says which of its cells hand water to another tile, how much of its own, and by which of them water
     that enters it leaves again. Sums along those links, by pointer jumping, are what flows in, and each tile is drained once more with that.
     """
     size = F.col(cell) if isinstance(cell, str) else F.lit(float(cell))
@@ -159,32 +204,34 @@ def drainage_table(grid: DataFrame, cell: float | str, value: str = "z", lift: f
     schema = "y int, x int, filled double, down_y int, down_x int, area_km2 double"
     if frame is None:
         return grid.sparkSession.createDataFrame([], schema)
-    tiles = materialise(pack(grid, ["z", "size"], 1, tile), "tiles")
+    tile, halo = (frame.rows, frame.columns), frame.halo
+    tiles = materialise(pack(grid, ["z", "size"], halo, tile, frame.ends), "tiles")
 
     def solve(at: tuple, job: pd.Series, ring: pd.DataFrame) -> pd.DataFrame:
-        z = plane(job["z"], tile, 1)
-        return bands(flooded(z, frame.levels(*at, z, ring), lift)[1:-1, 1:-1], at[0] * tile, at[1] * tile, 1)
+        z = plane(job["z"], tile, halo)
+        inner = flooded(z, frame.levels(*at, z, ring), lift)[halo:-halo, halo:-halo]
+        y, x = np.nonzero(np.isfinite(inner) & frame.beyond(*at, halo))
+        return pd.DataFrame({"y": (y + at[0] * frame.rows).astype("int32"), "x": (x + at[1] * frame.columns).astype("int32"), "v": inner[y, x]})
 
-    levels = settle(tiles, tiles.select("ty", "tx"), solve, [], "", 1, tile)
+    levels = settle(tiles, tiles.select("ty", "tx"), solve, [], "", halo, tile)
 
     def drain(at: tuple, job: pd.Series, ring: pd.DataFrame) -> pd.DataFrame:
-        z, size = plane(job["z"], tile, 1), plane(job["size"], tile, 1)
-        filled = flooded(z, frame.levels(*at, z, ring), lift)
-        down = _downstream(z, filled, size, at[0] * tile, at[1] * tile, frame)
+        z = plane(job["z"], tile, halo)
+        filled = frame.near(flooded(z, frame.levels(*at, z, ring), lift))
+        size = frame.near(plane(job["size"], tile, halo))
+        down = _downstream(frame.near(z), filled, size, at[0] * frame.rows, at[1] * frame.columns, frame)
         there = np.where(np.isnan(size[1:-1, 1:-1]), 0.0, size[1:-1, 1:-1] ** 2 / 1e6)
         return pd.DataFrame({"ty": [at[0]], "tx": [at[1]], "filled": [filled.tobytes()], "down": [down.astype(np.int64).tobytes()], "area": [there.tobytes()]})
 
     place = ["ty", "tx"]
-    flows = materialise(with_cells(tiles, about(levels, 1, tile), place, drain, "ty int, tx int, filled binary, down binary, area binary"), "flows")
+    flows = materialise(with_cells(tiles, about(levels, halo, tile), place, drain, "ty int, tx int, filled binary, down binary, area binary"), "flows")
     discard(tiles)
 
     def links(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         flow = _Flow(pdf.iloc[0], *at, frame)
         own, exits, number = flow.drained(np.zeros(flow.area.shape)).ravel(), flow.exits(), flow.number.ravel()
         out = np.flatnonzero(flow.leaves)
-        rim = np.ones((tile, tile), bool)
-        rim[1:-1, 1:-1] = False
-        enter = np.flatnonzero(rim.ravel() & (exits >= 0))
+        enter = np.flatnonzero(frame.beyond(*at, 1).ravel() & (exits >= 0))
         weight = pd.Series([*own[out].tolist(), *[None] * len(enter)], dtype=object)
         return pd.DataFrame({"cell": np.r_[number[out], number[enter]], "other": np.r_[flow.down.ravel()[out], number[exits[enter]]], "own": weight})
 
@@ -194,12 +241,12 @@ def drainage_table(grid: DataFrame, cell: float | str, value: str = "z", lift: f
     totals = subtree_sums(leaving.join(through, "to", "left").select("id", "next", "weight"))
     row, col = F.floor(F.col("to") / frame.width), F.col("to") % frame.width
     inflow = totals.join(leaving, "id").groupBy("to").agg(F.sum("total").alias("v")).select(row.cast("int").alias("y"), col.cast("int").alias("x"), "v")
-    inflow = inflow.withColumns({"ty": tile_of("y", tile), "tx": tile_of("x", tile)})
+    inflow = inflow.withColumns({"ty": tile_of("y", frame.rows), "tx": tile_of("x", frame.columns)})
 
     def accumulate(at: tuple, job: pd.Series, ring: pd.DataFrame) -> pd.DataFrame:
         flow = _Flow(job, *at, frame)
         gained = np.zeros(flow.area.shape)
-        gained[ring["y"].to_numpy(int) - at[0] * tile, ring["x"].to_numpy(int) - at[1] * tile] = ring["v"].to_numpy(float)
+        gained[ring["y"].to_numpy(int) - at[0] * frame.rows, ring["x"].to_numpy(int) - at[1] * frame.columns] = ring["v"].to_numpy(float)
         there = flow.area > 0
         y, x, down = flow.y[there], flow.x[there], flow.down[there]
         none = down < 0

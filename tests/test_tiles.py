@@ -296,3 +296,20 @@ def test_shade_is_asked_no_further_than_ground_can_stand_above_the_beam(monkeypa
     assert set(y[dark]) == {30, 31} and sum(asked) <= 32 * 32 * 3
     level = rays._shaded(z0, y, x, ground, (1, 0), 32, (0.0, -1.0, 0.0), steps, 30.0, size)
     assert level.all()
+
+
+def test_levels_that_wind_across_a_border_settle_in_few_rounds(spark, monkeypatch):
+    z = np.full((24, 40), 90.0)
+    z[11, 1::4], z[12, 1::4] = 5.0, 5.0
+    z[12, 0::4], z[12, 2::4] = 5.0, 5.0
+    for x in range(2, 40, 4):  # a ditch that runs over rows 11 and 12 by turns, from the left border
+        z[12, x], z[11, x], z[11, x + 1] = 90.0, 5.0, 5.0
+        z[12, x + 1] = 5.0
+    z[:, 39] = 95.0
+    rounds = []
+    monkeypatch.setattr(tiles, "materialise", lambda df, label: (rounds.append(label), storage.materialise(df, label))[1])
+    got = {(r["y"], r["x"]): r for r in flood.drainage_table(grid_of(spark, z), 30.0, tile=12).collect()}
+    filled, down, area = whole.drainage(z, np.array(30.0))
+    for (y, x), r in got.items():
+        assert r["filled"] == filled[y, x] and math.isclose(r["area_km2"], area[y, x], rel_tol=1e-12)
+    assert len(got) == z.size and len(rounds) <= 6
