@@ -313,3 +313,35 @@ def test_levels_that_wind_across_a_border_settle_in_few_rounds(spark, monkeypatc
     for (y, x), r in got.items():
         assert r["filled"] == filled[y, x] and math.isclose(r["area_km2"], area[y, x], rel_tol=1e-12)
     assert len(got) == z.size and len(rounds) <= 6
+
+
+def test_ways_share_pieces_and_tiles_are_read_once(spark, monkeypatch):
+    monkeypatch.setattr(walks, "CHUNK", 4)
+    monkeypatch.setattr(walks, "WAYS", 3)
+    z = rough(5, (90, 6), 30)
+    rows = [(y, x, float(z[y, x]), 1.0) for y, x in np.ndindex(*z.shape)]
+    grid = spark.createDataFrame(rows, "y int, x int, z double, factor double")
+    starts = spark.createDataFrame([("a", 2, 2, False), ("b", 80, 3, True)], "start string, sy int, sx int, reverse boolean")
+    table = walks.travel_table(grid, starts, 30.0)
+    ends = table.where("y % 3 = 1").select(F.concat_ws(":", "start", "y", "x").alias("path"), "start", "y", "x")
+    steps = []
+    monkeypatch.setattr(walks, "materialise", lambda df, label: (steps.append((label, out := storage.materialise(df, label))), out)[1])
+    got = {}
+    for r in walks.path_table(table, ends, (9, 6)).orderBy("path", "seq").collect():
+        got.setdefault(r["path"], []).append((r["seq"], r["y"], r["x"], r["hours"]))
+    came = {(r["start"], r["y"], r["x"]): r for r in table.collect()}
+    assert len(got) == 2 * 30 * 6
+    for path, way in got.items():
+        start, y, x = path.split(":")
+        want, at = [], (int(y), int(x))
+        while at != (-1, -1):
+            r = came[start, *at]
+            want.append((*at, r["hours"]))
+            at = r["before_y"], r["before_x"]
+        assert way == [(i, *w) for i, w in enumerate(want[::-1])]
+    labels = [label for label, _ in steps]
+    assert labels.count("pieces") == 1 and labels.count("reach") <= 6  # ten tiles: a logarithm of rounds
+    pieces = next(out for label, out in steps if label == "pieces").where("piece IS NOT NULL")
+    # a cell is stored once however many ways pass it
+    assert pieces.select("start", F.explode("cells").alias("c")).groupBy("start", "c.y", "c.x").count().where("count > 1").count() == 0
+    assert pieces.select(F.sum(F.size("cells"))).first()[0] < sum(map(len, got.values())) / 10
