@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import CURVATURE_RADIUS_M, REFRACTION
 from ..storage import materialise
-from .tiles import TILE, pack, plane, tile_of, touched, with_cells
+from .tiles import TILE, pack, plane, sides, tile_of, touched, with_cells
 
 
 def curvature_drop(metres):
@@ -50,13 +50,15 @@ def _extent(grid: DataFrame, value: str) -> _Extent:
     return _Extent((bottom or 0) + 1, (right or 0) + 1, top if top is not None else 0.0, low if low is not None else 0.0)
 
 
-def _in_tile(px: np.ndarray, py: np.ndarray, ty: int, tx: int, tile: int) -> np.ndarray:
-    return (np.floor(px) >= tx * tile) & (np.floor(px) < (tx + 1) * tile) & (np.floor(py) >= ty * tile) & (np.floor(py) < (ty + 1) * tile)
+def _in_tile(px: np.ndarray, py: np.ndarray, ty: int, tx: int, tile: int | tuple[int, int]) -> np.ndarray:
+    rows, columns = sides(tile)
+    return (np.floor(px) >= tx * columns) & (np.floor(px) < (tx + 1) * columns) & (np.floor(py) >= ty * rows) & (np.floor(py) < (ty + 1) * rows)
 
 
-def _sampled(z: np.ndarray, px: np.ndarray, py: np.ndarray, ty: int, tx: int, tile: int) -> np.ndarray:
+def _sampled(z: np.ndarray, px: np.ndarray, py: np.ndarray, ty: int, tx: int, tile: int | tuple[int, int]) -> np.ndarray:
     """Heights at places of a tile, of which the array reaches one cell beyond it."""
-    return bilinear(z, px - tx * tile + 1, py - ty * tile + 1)
+    rows, columns = sides(tile)
+    return bilinear(z, px - tx * columns + 1, py - ty * rows + 1)
 
 
 def _near_line(y0: Column, x0: Column, y1: Column, x1: Column, y: Column, x: Column) -> Column:
@@ -134,12 +136,13 @@ def viewsheds(grid: DataFrame, eyes: DataFrame, radius_m: float, cell: float, ey
     return with_cells(looked.join(tiles, ["ty", "tx"]), shade, ["eye", "ty", "tx"], tell, f"{kind}, y int, x int, seen int")
 
 
-def _any(bits: Iterable[bytes], tile: int) -> np.ndarray:
+def _any(bits: Iterable[bytes], tile: int | tuple[int, int]) -> np.ndarray:
     """Cells of a tile that any of the packed masks holds."""
-    out = np.zeros(-(-tile * tile // 8), np.uint8)
+    rows, columns = sides(tile)
+    out = np.zeros(-(-rows * columns // 8), np.uint8)
     for b in bits:
         out |= np.frombuffer(b, np.uint8)
-    return np.unpackbits(out, count=tile * tile).reshape(tile, tile).astype(bool)
+    return np.unpackbits(out, count=rows * columns).reshape(rows, columns).astype(bool)
 
 
 def viewshed(grid: DataFrame, oy: int, ox: int, radius_m: float, cell: float, eye: float = 1.7, target: float = 1.0, value: str = "z", tile: int = TILE) -> DataFrame:
@@ -268,7 +271,7 @@ def ray_steps(longest: float) -> np.ndarray:
     return np.array(out)
 
 
-def _shaded(z0: np.ndarray, y: np.ndarray, x: np.ndarray, ground: np.ndarray, there: tuple[int, int], tile: int, beam: tuple[float, float, float], steps: np.ndarray, cell: float, size: _Extent) -> np.ndarray:
+def _shaded(z0: np.ndarray, y: np.ndarray, x: np.ndarray, ground: np.ndarray, there: tuple[int, int], tile: tuple[int, int], beam: tuple[float, float, float], steps: np.ndarray, cell: float, size: _Extent) -> np.ndarray:
     """Which cells the ground of the tile at ``there`` shades at one of the steps from a beam (east, north, rise).
 
     Cells are asked for as long as they are lit, their way passes the tile, and under a rising beam no longer than until it is above all ground.
@@ -278,9 +281,9 @@ def _shaded(z0: np.ndarray, y: np.ndarray, x: np.ndarray, ground: np.ndarray, th
     if not len(steps):
         return dark
     passes = np.ones(len(y), bool)
-    for at, way, first in ((y, -north, there[0] * tile), (x, east, there[1] * tile)):
+    for at, way, place, side in ((y, -north, there[0], tile[0]), (x, east, there[1], tile[1])):
         ends = at + way * steps[0], at + way * steps[-1]
-        passes &= (np.maximum(*ends) >= first - 1) & (np.minimum(*ends) <= first + tile + 1)
+        passes &= (np.maximum(*ends) >= place * side - 1) & (np.minimum(*ends) <= (place + 1) * side + 1)
     lit = np.flatnonzero(passes)
     for d in steps:
         px, py = x[lit] + east * d, y[lit] - north * d
@@ -304,11 +307,12 @@ def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: f
     """y, x, first, last (hours of the first and last sample lit, null if never) and hours lit; ``sun`` holds (hour, azimuth, altitude).
 
     The grid carries nx, ny, nz: slopes that face away are dark without a ray. A tile meets each tile that lies towards the sun from it, for the samples
-    for which it does, as far as ground may still stand above the beam; a task has two tiles.
+    for which it does, as far as ground may still stand above the beam; a task has two tiles. Tiles are no wider or longer than the grid.
     """
     size = _extent(grid, value)
+    rows, columns = area = min(tile, size.height), min(tile, size.width)
     planes = ["z", "nx", "ny", "nz"]
-    tiles = materialise(pack(grid.select("y", "x", F.col(value).alias("z"), "nx", "ny", "nz"), planes, 1, tile), "tiles")
+    tiles = materialise(pack(grid.select("y", "x", F.col(value).alias("z"), "nx", "ny", "nz"), planes, 1, area), "tiles")
     beams = []
     for _, azimuth, altitude in sun:
         az, al = math.radians(azimuth), math.radians(altitude)
@@ -317,29 +321,29 @@ def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: f
         beams.append((math.sin(az), math.cos(az), rise, al, min(across, (size.top - size.low) / (cell * rise)) if rise > 0 else across))
     spans = [(k, east, -north, reach) for k, (east, north, _, _, reach) in enumerate(beams)]
     dealt = tiles.select("ty", "tx", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(e).alias("dx"), F.lit(s).alias("dy"), F.lit(r).alias("reach")) for k, e, s, r in spans))).alias("_b")).select("ty", "tx", "_b.*")
-    middle = lambda c: (F.col(c) + 0.5) * tile
+    middle = lambda c: (F.col(c) + 0.5) * (rows if c.endswith("y") else columns)
     ends = dealt.withColumns({"_ey": middle("ty") + F.col("dy") * F.col("reach"), "_ex": middle("tx") + F.col("dx") * F.col("reach")})
-    for axis in ("y", "x"):
-        here, there = F.col(f"t{axis}"), tile_of(f"_e{axis}", tile)
+    for axis, side in zip("yx", area):
+        here, there = F.col(f"t{axis}"), tile_of(f"_e{axis}", side)
         ends = ends.withColumn(f"r{axis}", F.explode(F.sequence(F.least(here, there) - 1, F.greatest(here, there) + 1)))
-    on_way = ends.where(_near_line(middle("ty"), middle("tx"), F.col("_ey"), F.col("_ex"), middle("ry"), middle("rx")) <= 1.4143 * tile + 2)
+    on_way = ends.where(_near_line(middle("ty"), middle("tx"), F.col("_ey"), F.col("_ex"), middle("ry"), middle("rx")) <= math.hypot(rows, columns) + 2)
     pairs = on_way.groupBy("ty", "tx", "ry", "rx").agg(F.sort_array(F.collect_set("k")).alias("samples"))
     pairs = pairs.join(tiles.select("ty", "tx", "z"), ["ty", "tx"]).join(tiles.select(F.col("ty").alias("ry"), F.col("tx").alias("rx"), F.col("z").alias("ground")), ["ry", "rx"])
     steps = ray_steps(math.hypot(size.height, size.width))
 
     def shade(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        z, ground = plane(row["z"], tile, 1)[1:-1, 1:-1], plane(row["ground"], tile, 1)
+        z, ground = plane(row["z"], area, 1)[1:-1, 1:-1], plane(row["ground"], area, 1)
         y, x = np.nonzero(~np.isnan(z))
-        z0, y_, x_ = z[y, x], y + key[0] * tile, x + key[1] * tile
-        nearest = math.hypot(*(max(abs(key[i + 2] - key[i]) - 1, 0) * tile for i in (0, 1)))
-        farthest = math.hypot(*((abs(key[i + 2] - key[i]) + 1) * tile for i in (0, 1)))
+        z0, y_, x_ = z[y, x], y + key[0] * rows, x + key[1] * columns
+        nearest = math.hypot(*(max(abs(key[i + 2] - key[i]) - 1, 0) * area[i] for i in (0, 1)))
+        farthest = math.hypot(*((abs(key[i + 2] - key[i]) + 1) * area[i] for i in (0, 1)))
         out = []
         for k in row["samples"]:
             east, north, rise, _, reach = beams[k]
             asked = steps[(steps >= nearest - 1) & (steps <= min(farthest, reach) + 1)]
-            dark = _shaded(z0, y_, x_, ground, (key[2], key[3]), tile, (east, north, rise), asked, cell, size)
-            whole = np.zeros((tile, tile), bool)
+            dark = _shaded(z0, y_, x_, ground, (key[2], key[3]), area, (east, north, rise), asked, cell, size)
+            whole = np.zeros(area, bool)
             whole[y, x] = dark
             if dark.any():
                 out.append((key[0], key[1], int(k), np.packbits(whole).tobytes()))
@@ -348,17 +352,17 @@ def sun_exposure(grid: DataFrame, sun: list[tuple[float, float, float]], cell: f
     shadows = pairs.groupBy("ty", "tx", "ry", "rx").applyInPandas(shade, "ty int, tx int, k int, hidden binary")
 
     def expose(key: tuple, job: pd.Series, found: pd.DataFrame) -> pd.DataFrame:
-        z, nx, ny, nz = (plane(job[c], tile, 1)[1:-1, 1:-1] for c in planes)
+        z, nx, ny, nz = (plane(job[c], area, 1)[1:-1, 1:-1] for c in planes)
         y, x = np.nonzero(~np.isnan(z))
         first, last, n = np.full(len(y), np.nan), np.full(len(y), np.nan), np.zeros(len(y))
         for k, (hour, _, _) in enumerate(sun):
             east, north, _, al, _ = beams[k]
             facing = nx[y, x] * east * math.cos(al) + ny[y, x] * north * math.cos(al) + nz[y, x] * math.sin(al)
-            lit = (facing > 0) & ~_any(found["hidden"][found["k"] == k], tile)[y, x]
+            lit = (facing > 0) & ~_any(found["hidden"][found["k"] == k], area)[y, x]
             first = np.where(lit & np.isnan(first), hour, first)
             last = np.where(lit, hour, last)
             n += lit
-        return pd.DataFrame({"y": y + key[0] * tile, "x": x + key[1] * tile, "first": first, "last": last, "hours": n * step_hours})
+        return pd.DataFrame({"y": y + key[0] * rows, "x": x + key[1] * columns, "first": first, "last": last, "hours": n * step_hours})
 
     out = with_cells(tiles, shadows, ["ty", "tx"], expose, "y int, x int, first double, last double, hours double")
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("first", "last")})

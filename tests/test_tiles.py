@@ -345,3 +345,16 @@ def test_ways_share_pieces_and_tiles_are_read_once(spark, monkeypatch):
     # a cell is stored once however many ways pass it
     assert pieces.select("start", F.explode("cells").alias("c")).groupBy("start", "c.y", "c.x").count().where("count > 1").count() == 0
     assert pieces.select(F.sum(F.size("cells"))).first()[0] < sum(map(len, got.values())) / 10
+
+
+def test_sun_on_a_narrow_grid_has_tiles_no_wider_than_it(spark, monkeypatch):
+    z = rough(13, (70, 5), 90)
+    grid = raster.horn(grid_of(spark, z), "z", 30.0).select("y", "x", "z", "nx", "ny", "nz")
+    sun = [(7.0, 20.0, 8.0), (9.0, 130.0, 25.0), (12.0, 180.0, 12.0), (18.0, 275.0, 6.0)]
+    want = {tuple(r) for r in rays.sun_exposure(grid, sun, 30.0, 0.5, tile=128).collect()}
+    kept = []
+    monkeypatch.setattr(rays, "materialise", lambda df, label: (kept.append(out := storage.materialise(df, label)), out)[1])
+    got = {tuple(r) for r in rays.sun_exposure(grid, sun, 30.0, 0.5, tile=16).collect()}
+    assert got == want and len(got) == z.size
+    # 16 x 5 cells and one about them, not 16 x 16
+    assert {r[0] for r in kept[0].select(F.length("z")).distinct().collect()} == {18 * 7 * 8}
