@@ -218,3 +218,11 @@ def test_thinning_keeps_points_flat():
     assert peak < 150 * n  # a dict of two floats for each point takes more than 230 bytes
     want = [contour.simplify(list(zip(x[a:b], y[a:b])), 0.1) for a, b in ((2, 2), (2, n - 1), (n - 1, n))]
     assert [[(q["x"], q["y"]) for q in line] for line in got.to_pylist()] == want
+
+
+def test_directions_of_picks_are_those_of_decimals(spark, tmp_path):
+    from ridgeline.plans import queries
+
+    spark.createDataFrame([(k,) for k in (3, 50734, 60807, 68722, 88344)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    for r in queries._picks(spark, str(tmp_path)).collect():
+        assert math.isclose(r["dx"], math.cos(r["id"] * 7 / 10) * 0.97, abs_tol=1e-13) and math.isclose(r["dy"], math.sin(r["id"] * 7 / 10) * 0.97, abs_tol=1e-13)
